@@ -31,7 +31,7 @@ def _plain(v):
     if isinstance(v, (int, np.integer)):
         return int(v)
     if isinstance(v, (float, np.floating)):
-        v = round(float(v), 5)
+        v = round(float(v), 9)
         return int(v) if v.is_integer() else v
     return str(v)
 

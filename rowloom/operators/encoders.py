@@ -139,7 +139,8 @@ class UnixTs(Encoder):
     mean = None
 
     def statistics(self, df):
-        return [F.avg(micros(F.col(self.name)).cast("double"))]
+        # decimal: an exact sum that does not depend on the order of the rows
+        return [F.avg(micros(F.col(self.name)).cast("decimal(20,0)"))]
 
     def learn(self, values):
         self.mean = float(values[0] or 0.0)

@@ -73,7 +73,9 @@ def label_quota(labels: DataFrame, ids: DataFrame, id_col: str, label: str = "la
 def _blocked(df: DataFrame, name: str, seed_stream: str, block_rows: int) -> tuple[DataFrame, int]:
     blocks = max(1, -(-df.count() // block_rows))
     part = F.pmod(F.xxhash64(F.col("key"), F.lit(seed_stream)), F.lit(blocks)).cast("int")
-    return df.withColumn(name, part), blocks
+    # a fresh expression per side: both may come from the same table
+    vector = F.transform("embedding", lambda x: x.cast("double")).alias("embedding")
+    return df.select("key", vector, part.alias(name)), blocks
 
 
 def nearest_labels(unseen: DataFrame, seen: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
