@@ -58,7 +58,7 @@ def c_transform_chain(spark, sf):
         lo = c.fit(lo).transform(lo)
     return lo.select(
         *RK, "o_orderdate", F.col("l_returnflag#l_linestatus").alias("flags"),
-        r6(F.col("`l_discount#0.0#0.1`"), "discount_code"), r6(F.col("l_shipdate#o_orderdate"), "gap_code"),
+        r6(F.col("l_discount#0_0#0_1"), "discount_code"), r6(F.col("l_shipdate#o_orderdate"), "gap_code"),
     )
 
 

@@ -30,14 +30,32 @@ def as_number(df: DataFrame, name: str) -> Column:
     return column(df, name).cast("double")
 
 
-def micros(col: Column) -> Column:
-    """Microseconds since 1970 of a date or timestamp."""
-    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), col.cast("timestamp_ntz"))
+DAY_MICROS = 86_400_000_000
+
+
+def micros(col: Column, dtype: T.DataType) -> Column:
+    """Microseconds since 1970. Wall-clock times are counted without any time zone, so a
+    session zone with daylight saving does not bend their differences."""
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(col)
+    days = F.unix_date(col.cast("date")).cast("bigint") * F.lit(DAY_MICROS)
+    if isinstance(dtype, T.DateType):
+        return days
+    seconds = F.hour(col) * 3600 + F.minute(col) * 60
+    return days + seconds.cast("bigint") * 1_000_000 + (F.extract(F.lit("SECOND"), col) * 1_000_000).cast("bigint")
 
 
 def from_micros(col: Column, dtype: T.DataType) -> Column:
-    epoch = F.lit(EPOCH).cast("timestamp_ntz")
-    return F.timestamp_add("MICROSECOND", col.try_cast("bigint"), epoch).cast(dtype)
+    """The inverse of ``micros``."""
+    whole = col.try_cast("bigint")
+    if isinstance(dtype, T.TimestampType):
+        return F.timestamp_micros(whole)
+    wall = F.timestamp_add("MICROSECOND", whole, F.lit(EPOCH).cast("timestamp_ntz"))
+    return wall if isinstance(dtype, T.TimestampNTZType) else wall.cast(dtype)
+
+
+def time_number(df: DataFrame, name: str) -> Column:
+    return micros(F.col(f"`{name}`"), df.schema[name].dataType)
 
 
 def literal(value) -> Column:

@@ -108,7 +108,7 @@ def make_ids_unique(df: DataFrame, spec: TableSpec, order_by) -> DataFrame:
         if field.type == "id" and field.name in df.columns and has_duplicates(df, field.name):
             columns = df.columns
             order = [order_by] if isinstance(order_by, str) else list(order_by)
-            keyed = df.withColumns({f"_order{i}": F.col(c) for i, c in enumerate(order)})
+            keyed = df.withColumns({f"_order{i}": F.col(f"`{c}`") for i, c in enumerate(order)})
             made = make_ids(keyed, field, [f"_order{i}" for i in range(len(order))])
             df = made.select(*columns)
     return df

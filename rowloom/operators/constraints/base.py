@@ -21,8 +21,9 @@ def resolve(target):
 
 
 def free_name(parts: list[str], taken) -> str:
-    """Join ``parts`` with as many ``#`` as it takes to get a new column name."""
+    """Join ``parts`` with as many ``#`` as it takes to get a new column name (without dots)."""
     token = "#"
+    parts = [p.replace(".", "_") for p in parts]
     while token.join(parts) in taken:
         token += "#"
     return token.join(parts)

@@ -68,7 +68,7 @@ class OneHot(Constraint):
         if self.model is None:
             raise ValueError("fit the constraint before filling conditions that leave a choice")
         drawn = self.model.draw_given(df, given, open_columns, seed, id_col)
-        best = argmax(F.array(*[F.col(f"_draw_{c}") for c in open_columns]))
+        best = argmax(F.array(*[F.col(f"`_draw_{c}`") for c in open_columns]))
         made = {
             c: F.when(has_one, F.lit(0.0)).otherwise(F.when(best == i, F.lit(1.0)).otherwise(F.lit(0.0)))
             for i, c in enumerate(open_columns)

@@ -18,10 +18,14 @@ def _names(value) -> list[str]:
 
 @dataclass(frozen=True)
 class _Side:
-    """One side of a comparison: a column or a scalar."""
+    """One side of a comparison: a column, or a scalar read in the type of column ``like``."""
 
     value: object
     scalar: bool
+    like: str | None = None
+
+    def _type(self, df: DataFrame) -> T.DataType:
+        return df.schema[self.like if self.scalar else self.value].dataType
 
     def is_time(self, df: DataFrame) -> bool:
         if self.scalar:
@@ -30,12 +34,15 @@ class _Side:
 
     def raw(self, df: DataFrame) -> Column:
         """Value to compare; null means unknown."""
-        return literal(self.value) if self.scalar else column(df, self.value)
+        if not self.scalar:
+            return column(df, self.value)
+        given = literal(self.value)
+        return given.cast(self._type(df)) if self.is_time(df) and self.like in df.columns else given
 
     def number(self, df: DataFrame, time: bool) -> Column:
         """Double to calculate with; times count in microseconds."""
         if time:
-            return micros(self.raw(df))
+            return micros(self.raw(df), self._type(df) if self.like in (None, *df.columns) else T.TimestampNTZType())
         return F.lit(float(self.value)) if self.scalar else as_number(df, self.value)
 
 
@@ -76,9 +83,13 @@ class GreaterThan(Constraint):
 
     def _pairs(self) -> list[tuple[_Side, _Side]]:
         n = max(len(self.low), len(self.high))
-        low = [_Side(v, self.scalar == "low") for v in self.low] * (n if len(self.low) == 1 else 1)
-        high = [_Side(v, self.scalar == "high") for v in self.high] * (n if len(self.high) == 1 else 1)
-        return list(zip(low, high))
+        lows = self.low * (n if len(self.low) == 1 else 1)
+        highs = self.high * (n if len(self.high) == 1 else 1)
+        return [
+            (_Side(a, self.scalar == "low", b if self.scalar == "low" else None),
+             _Side(b, self.scalar == "high", a if self.scalar == "high" else None))
+            for a, b in zip(lows, highs)
+        ]
 
     def _time(self, df: DataFrame) -> bool:
         kinds = [side.is_time(df) for pair in self._pairs() for side in pair]
@@ -167,7 +178,7 @@ class Between(Constraint):
         value, scalar = getattr(self, which), getattr(self, f"{which}_is_scalar")
         if scalar is None:
             scalar = value not in df.columns
-        return _Side(value, scalar)
+        return _Side(value, scalar, self.column if scalar else None)
 
     def _sides(self, df: DataFrame) -> tuple[_Side, _Side]:
         return self._side(df, "low"), self._side(df, "high")

@@ -42,8 +42,8 @@ class Unique(Constraint):
             F.min(F.struct(*self.order_by)).alias("_first")
         )
         side = first.select(
-            *[F.col(c).alias(f"_k_{c}") for c in self.keys],
-            *[F.col(f"_first.{c}").alias(f"_o_{c}") for c in self.order_by],
+            *[F.col(f"`{c}`").alias(f"_k_{c}") for c in self.keys],
+            *[F.col(f"_first.`{c}`").alias(f"_o_{c}") for c in self.order_by],
             F.lit(True).alias(name),
         )
         test = [df[c] == side[f"_k_{c}"] for c in self.keys]

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.numbers import as_number, back_to, column, from_micros, is_time, micros
+from ..functions.numbers import as_number, back_to, column, from_micros, is_time, time_number
 from ..functions.random import normal
 from ..functions.vectors import argmax
 from ..session import materialize
@@ -33,8 +33,8 @@ def copula_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     one = numbers.agg(*aggs)
     rows = F.array(*[
         F.struct(
-            F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"m_{a}").alias("mean_a"), F.col(f"m_{b}").alias("mean_b"),
-            F.col(f"s_{a}").alias("std_a"), F.col(f"s_{b}").alias("std_b"), F.col(f"r_{a}_{b}").alias("corr"),
+            F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`m_{a}`").alias("mean_a"), F.col(f"`m_{b}`").alias("mean_b"),
+            F.col(f"`s_{a}`").alias("std_a"), F.col(f"`s_{b}`").alias("std_b"), F.col(f"`r_{a}_{b}`").alias("corr"),
         )
         for a, b in pairs
     ])
@@ -101,7 +101,7 @@ class Copula:
         if dim.category is not None:
             return column(df, dim.column).eqNullSafe(F.lit(dim.category[0])).cast("double")
         if is_time(dtype):
-            return micros(column(df, dim.column)).cast("double")
+            return time_number(df, dim.column).cast("double")
         return as_number(df, dim.column)
 
     def _of(self, names) -> list[int]:
@@ -142,14 +142,14 @@ class Copula:
         for c in wanted:
             own, dtype = self._of([c]), self.types[c]
             if self.dims[own[0]].category is not None:
-                best = argmax(F.array(*[F.col(f"_dim{i}") for i in own])) + 1
+                best = argmax(F.array(*[F.col(f"`_dim{i}`") for i in own])) + 1
                 made[c] = F.element_at(F.array(*[F.lit(self.dims[i].category[0]).cast(dtype) for i in own]), best)
             elif is_time(dtype):
-                made[c] = from_micros(F.rint(F.col(f"_dim{own[0]}")), dtype)
+                made[c] = from_micros(F.rint(F.col(f"`_dim{own[0]}`")), dtype)
             elif isinstance(dtype, T.IntegralType):
-                made[c] = back_to(F.rint(F.col(f"_dim{own[0]}")), dtype)
+                made[c] = back_to(F.rint(F.col(f"`_dim{own[0]}`")), dtype)
             else:
-                made[c] = F.col(f"_dim{own[0]}").cast(dtype)
+                made[c] = F.col(f"`_dim{own[0]}`").cast(dtype)
         return scored.withColumns(made).drop(*[f"_dim{i}" for i in drawn])
 
 
@@ -170,7 +170,7 @@ def complete_conditions(conditions: DataFrame, constraint, seed: int = 0, id_col
         keyed = dense_index(conditions, names, "_cond")
         keyed = materialize(keyed, "conditions")
     else:
-        keyed = conditions.withColumn("_cond", F.col(id_col).cast("bigint"))
+        keyed = conditions.withColumn("_cond", F.col(f"`{id_col}`").cast("bigint"))
     pending, done, first, tried, found = keyed, [], 0, 0, 0
     for _ in range(ROUNDS):
         waiting = pending.count()

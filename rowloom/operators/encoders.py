@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import NotFittedError
-from ..functions.numbers import as_number, back_to, column, from_micros, is_time, micros, round_even
+from ..functions.numbers import as_number, back_to, column, from_micros, is_time, round_even, time_number
 from ..functions.random import uniform
 from ..functions.vectors import argmax, one_hot
 from ..session import materialize
@@ -140,13 +140,13 @@ class UnixTs(Encoder):
 
     def statistics(self, df):
         # decimal: an exact sum that does not depend on the order of the rows
-        return [F.avg(micros(F.col(self.name)).cast("decimal(20,0)"))]
+        return [F.avg(time_number(df, self.name).cast("decimal(20,0)"))]
 
     def learn(self, values):
         self.mean = float(values[0] or 0.0)
 
     def encoded(self, df):
-        return F.array(F.coalesce(micros(F.col(self.name)).cast("double"), F.lit(self.mean)) * 1000.0)
+        return F.array(F.coalesce(time_number(df, self.name).cast("double"), F.lit(self.mean)) * 1000.0)
 
     def decoded(self, vector):
         return from_micros(F.rint(vector[0] / 1000.0), self.type)
@@ -303,7 +303,7 @@ def encode(df: DataFrame, encoders: dict[str, Encoder], name: str = "vector", id
     out = df
     for i, e in enumerate(encoders.values()):
         out = e.encode(out, f"_v{i}", list(ids))
-    parts = [F.col(f"_v{i}") for i in range(len(encoders))]
+    parts = [F.col(f"`_v{i}`") for i in range(len(encoders))]
     return out.select(*[F.col(f"`{c}`") for c in keep], F.concat(*parts).alias(name))
 
 
@@ -312,7 +312,7 @@ def decode(df: DataFrame, encoders: dict[str, Encoder], name: str = "vector") ->
     out = df
     keep = [c for c in df.columns if c != name and c not in encoders]
     for i, span in enumerate(layout(encoders)):
-        out = out.withColumn(f"_v{i}", F.slice(F.col(name), span.start + 1, span.width))
+        out = out.withColumn(f"_v{i}", F.slice(F.col(f"`{name}`"), span.start + 1, span.width))
     for i, (c, e) in enumerate(encoders.items()):
         out = e.decode(out, f"_v{i}", c)
     return out.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`") for c in encoders])

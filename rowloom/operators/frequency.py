@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numbers import column
 from ..functions.random import index_below, uniform
+from ..session import materialize
 from .intervals import cumulative
 from .joins import lookup
 
@@ -49,7 +50,7 @@ def _pair_rows(df: DataFrame, label: str, columns: list[str], carry: list[str] =
         )
         for x, y in pair_names(columns)
     ]
-    return df.select(*[F.col(c) for c in carry], F.inline(F.array(*entries)))
+    return df.select(*[F.col(f"`{c}`") for c in carry], F.inline(F.array(*entries)))
 
 
 def joint_counts(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
@@ -75,43 +76,63 @@ def triple_bounds(joint: DataFrame) -> DataFrame:
     return cumulative(joint, ["pair"], ["label", "a", "b"])
 
 
-def bucketed(rows: DataFrame, group: list[str], ids: list[str], seed: int = 0,
-             rows_per_bucket: int = ROWS_PER_BUCKET, sizes: DataFrame | None = None) -> DataFrame:
-    """Add the hashed ``_part`` of each row inside its group: large groups get many parts.
+def group_sizes(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(group, _n), written: one map-side combined count."""
+    return materialize(rows.groupBy(*group).agg(F.count(F.lit(1)).cast("bigint").alias("_n")), "sizes")
 
-    A group of n rows is cut into ceil(n / rows_per_bucket) parts by the hash of the row id,
-    so a group with a third of the table is ranked by as many tasks as it needs.
+
+def hot_groups(sizes: DataFrame, rows_per_bucket: int) -> DataFrame | None:
+    """(group, _parts) of the groups too large for one task, None if there are none.
+
+    There are at most total rows / rows_per_bucket of them.
+    """
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    if most <= rows_per_bucket:
+        return None
+    parts = F.ceil(F.col("_n") / F.lit(rows_per_bucket)).cast("bigint")
+    return materialize(sizes.filter(F.col("_n") > rows_per_bucket).withColumn("_parts", parts).drop("_n"), "hot")
+
+
+def with_parts(rows: DataFrame, group: list[str], ids: list[str], hot: DataFrame, seed: int) -> DataFrame:
+    """Add the hashed ``_part`` of each row inside its group; 0 for groups of normal size.
+
+    A hot group is cut by the hash of the row id, so a group with a third of the table is
+    ranked by as many tasks as it needs.
     """
-    if sizes is None:
-        sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")) if group else rows.agg(F.count(F.lit(1)).alias("_n"))
     if group:
-        sized = lookup(rows, sizes, group, null_safe=True, salt_by=ids)
+        rows = lookup(rows, hot, group, null_safe=True, salt_by=ids)
     else:
-        sized = rows.withColumn("_n", F.lit(sizes.first()["_n"]))
-    parts = F.ceil(F.col("_n") / F.lit(rows_per_bucket))
-    return sized.withColumn("_part", index_below(uniform(seed, "part", *ids), parts))
+        rows = rows.withColumn("_parts", F.lit(hot.first()["_parts"]))
+    part = index_below(uniform(seed, "part", *ids), F.coalesce(F.col("_parts"), F.lit(1).cast("bigint")))
+    return rows.withColumn("_part", part).drop("_parts")
 
 
 def part_offsets(parts: DataFrame, group: list[str]) -> DataFrame:
-    """(group, _part, _count, _offset, _size): rows of the part, of the parts before and of the
-    whole group; the windows run over parts, not rows."""
+    """(group, _part, _count, _offset): rows of the part and of the parts before; the window
+    runs over parts, not rows."""
     counts = parts.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_count"))
     w = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumns({
-        "_offset": F.coalesce(F.sum("_count").over(w), F.lit(0)).cast("bigint"),
-        "_size": F.sum("_count").over(Window.partitionBy(*group)),
-    })
+    return counts.withColumn("_offset", F.coalesce(F.sum("_count").over(w), F.lit(0)).cast("bigint"))
 
 
 def group_ordinals(rows: DataFrame, group: list[str], ids: list[str], name: str = "ordinal", seed: int = 0,
                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Number the rows of each group 0..n-1 in the order of (part, ids), without collecting a group."""
-    parted = bucketed(rows, group, ids, seed, rows_per_bucket)
-    offsets = part_offsets(parted, group).select(*group, "_part", "_offset")
+    """Number the rows of each group 0..n-1 in the order of (part, ids), without collecting a group.
+
+    Groups of normal size have one part and are ordered by their ids alone.
+    """
+    hot = hot_groups(group_sizes(rows, group), rows_per_bucket)
+    if hot is None:
+        w = Window.partitionBy(*group).orderBy(*ids)
+        return rows.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
+    parted = with_parts(rows, group, ids, hot, seed)
+    large = lookup(parted, hot.drop("_parts"), group, how="left_semi", null_safe=True, salt_by=ids) if group else parted
+    offsets = materialize(part_offsets(large, group).drop("_count"), "offsets")
     w = Window.partitionBy(*group, "_part").orderBy(*ids)
     ranked = parted.withColumn("_rank", F.row_number().over(w) - 1)
     out = lookup(ranked, offsets, group + ["_part"], null_safe=True, salt_by=ids)
-    return out.withColumn(name, (F.col("_offset") + F.col("_rank")).cast("bigint")).drop("_rank", "_offset", "_part", "_n")
+    number = F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_rank")
+    return out.withColumn(name, number.cast("bigint")).drop("_rank", "_offset", "_part")
 
 
 def triple_ordinals(df: DataFrame, label: str, columns: list[str], ids: list[str], seed: int = 0,
@@ -123,7 +144,7 @@ def triple_ordinals(df: DataFrame, label: str, columns: list[str], ids: list[str
 
 def labels_by_appearance(df: DataFrame, label: str, order_by: str) -> DataFrame:
     """(label, first_at): distinct labels with the smallest order key, which sorts them by appearance."""
-    return df.groupBy(F.col(label).alias("label")).agg(F.min(order_by).alias("first_at")).orderBy("first_at")
+    return df.groupBy(F.col(f"`{label}`").alias("label")).agg(F.min(order_by).alias("first_at")).orderBy("first_at")
 
 
 def condition_groups(conditions: DataFrame, columns: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ from .constraints import reverse_all
 from .frequency import category_counts, joint_counts, pair_names
 from .intervals import Guide, build_guide, cumulative, pick
 from .mixture import SPREAD, Mixture, fit_mixtures, label_components
-from .sampling import with_pair
+from .sampling import pair_columns, with_pair
 
 
 @dataclass
@@ -49,11 +49,10 @@ class Model:
                 made = build_guide(cumulative(self.joint, ["pair"], ["label", "a", "b"]), ["pair"])
             elif name == "pair":
                 made = build_guide(cumulative(self.joint, ["pair", "label"], ["a", "b"]), ["pair", "label"])
+            elif name == "value":
+                made = build_guide(cumulative(self.conditional, ["column", "label"], ["value"]), ["column", "label"])
             else:
-                kind, column = name.split(":", 1)
-                table, value = (self.conditional, "value") if kind == "value" else (self.components, "component")
-                own = table.filter(F.col("column") == column).drop("column")
-                made = build_guide(cumulative(own, ["label"], [value]), ["label"])
+                made = build_guide(cumulative(self.components, ["column", "label"], ["component"]), ["column", "label"])
             self.guides[name] = made
         return self.guides[name]
 
@@ -86,7 +85,7 @@ def fit_model(df: DataFrame, label: str, columns: list[str], continuous: list[st
     else:
         counts = category_counts(df, [label]).select(F.col("value").alias("label"), "n")
         if columns:
-            one = df.groupBy(F.col(label).cast("string").alias("label"), F.col(columns[0]).cast("string").alias("value"))
+            one = df.groupBy(F.col(f"`{label}`").cast("string").alias("label"), F.col(columns[0]).cast("string").alias("value"))
             conditional = one.agg(F.count(F.lit(1)).alias("n")).withColumn("column", F.lit(columns[0]))
             conditional = materialize(conditional, "conditional")
     mixtures = fit_mixtures(df, continuous) if mixtures is None else mixtures
@@ -111,24 +110,25 @@ def generate(model: Model, ids: DataFrame, id_cols: list[str], seed: int, given:
         rows = _with_pair(rows, model.columns, seed, key)
         u = uniform(seed, "triple", *key)
         rows = pick(rows, model.guide("pair" if given else "triple"), u)
-        rows = rows.drop("n").withColumns({"_x": F.split("pair", r"\|")[0], "_y": F.split("pair", r"\|")[1]})
+        x, y = pair_columns()
+        rows = rows.drop("n").withColumns({"_x": x, "_y": y})
     elif not given:
         rows = pick(rows, model.guide("label"), uniform(seed, "label", *key)).drop("n")
     made = {}
     for c in model.columns:
         if len(model.columns) > 2 or len(model.columns) == 1:
-            rows = pick(rows, model.guide(f"value:{c}"), uniform(seed, f"value/{c}", *key)).drop("n")
+            rows = pick(rows, model.guide("value"), uniform(seed, f"value/{c}", *key), fixed={"column": c}).drop("n")
             rows = rows.withColumnRenamed("value", f"_own_{c}")
-            value = F.col(f"_own_{c}")
+            value = F.col(f"`_own_{c}`")
         else:
             value = F.lit(None).cast("string")
         if len(model.columns) >= 2:
             value = F.when(F.col("_x") == c, F.col("a")).when(F.col("_y") == c, F.col("b")).otherwise(value)
         made[c] = value.cast(model.types[c])
     for c, mix in model.mixtures.items():
-        rows = pick(rows, model.guide(f"component:{c}"), uniform(seed, f"component/{c}", *key)).drop("n")
+        rows = pick(rows, model.guide("component"), uniform(seed, f"component/{c}", *key), fixed={"column": c}).drop("n")
         rows = rows.withColumnRenamed("component", f"_own_{c}")
-        value = component_value(F.col(f"_own_{c}"), mix, normal(seed, f"z/{c}", *key) / F.lit(SPREAD))
+        value = component_value(F.col(f"`_own_{c}`"), mix, normal(seed, f"z/{c}", *key) / F.lit(SPREAD))
         dtype = model.types[c]
         if is_time(dtype):
             made[c] = from_micros(F.rint(value), dtype)
@@ -136,18 +136,18 @@ def generate(model: Model, ids: DataFrame, id_cols: list[str], seed: int, given:
             made[c] = back_to(F.rint(value) if isinstance(dtype, T.IntegralType) else value, dtype)
     carried = [c for c in ids.columns if c != "label"]
     label = F.col("label").cast(model.types[model.label]) if model.label in model.types else F.col("label")
-    return rows.select(*[F.col(c) for c in carried], label.alias(model.label), *[v.alias(c) for c, v in made.items()])
+    return rows.select(*[F.col(f"`{c}`") for c in carried], label.alias(model.label), *[v.alias(c) for c, v in made.items()])
 
 
 def _id_expression(id_cols: list[str]) -> list[Column]:
-    return [F.col(c) for c in id_cols]
+    return [F.col(f"`{c}`") for c in id_cols]
 
 
 def _with_pair(rows: DataFrame, columns: list[str], seed: int, key) -> DataFrame:
     hashed = rows.withColumns({f"_key{i}": k for i, k in enumerate(key)})
     if len(key) == 1:
         return with_pair(hashed, "_key0", columns, seed).drop("_key0")
-    joined = hashed.withColumn("_key", F.xxhash64(*[F.col(f"_key{i}").cast("bigint") for i in range(len(key))]))
+    joined = hashed.withColumn("_key", F.xxhash64(*[F.col(f"`_key{i}`").cast("bigint") for i in range(len(key))]))
     return with_pair(joined, "_key", columns, seed).drop("_key", *[f"_key{i}" for i in range(len(key))])
 
 
@@ -164,7 +164,7 @@ def finalize(rows: DataFrame, spec: TableSpec, constraints, seed: int, id_col: s
         if f.type == "id" and f.name not in out.columns:
             if total is not None:
                 check_capacity(f, total)
-            made[f.name] = id_value(F.col(id_col), f)
+            made[f.name] = id_value(F.col(f"`{id_col}`"), f)
     out = out.withColumns(made) if made else out
     extra = [c for c in [id_col, *keep] if c in out.columns and c not in spec.names()]
     fields = [_restored(out, f.name, (types or {}).get(f.name)) for f in spec.fields]

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import fits_broadcast, materialize
 from .joins import lookup
-from .ordinals import running_sum
+from .ordinals import WINDOW_ROWS, running_sum
 
 MIN_BUCKETS = 64
 MAX_BUCKETS = 2**20
@@ -31,16 +31,18 @@ def cumulative(weights: DataFrame, keys: list[str], order: list[str], weight: st
 
     Sums stay integers until one final division, so bounds meet exactly and the last is 1.0.
     """
-    kept = weights.filter(F.col(weight) > 0)
+    kept = weights.filter(F.col(f"`{weight}`") > 0)
     rows = kept.count()
     summed = running_sum(kept, keys, order, weight, "_upto", rows)
-    totals = kept.groupBy(*keys).agg(F.sum(weight).alias("_total")) if keys else kept.agg(F.sum(weight).alias("_total"))
-    if keys:
+    if rows <= WINDOW_ROWS:
+        summed = summed.withColumn("_total", F.sum(weight).over(Window.partitionBy(*keys)))
+    elif keys:
+        totals = materialize(kept.groupBy(*keys).agg(F.sum(weight).alias("_total")), "totals")
         summed = lookup(summed, totals, keys, null_safe=True)
     else:
-        summed = summed.withColumn("_total", F.lit(totals.first()["_total"]))
+        summed = summed.withColumn("_total", F.lit(kept.agg(F.sum(weight)).first()[0]))
     return summed.withColumns(
-        {"lo": (F.col("_upto") - F.col(weight)) / F.col("_total"), "hi": F.col("_upto") / F.col("_total")}
+        {"lo": (F.col("_upto") - F.col(f"`{weight}`")) / F.col("_total"), "hi": F.col("_upto") / F.col("_total")}
     ).drop("_upto", "_total")
 
 
@@ -69,11 +71,10 @@ def build_guide(bounds: DataFrame, keys: list[str], buckets: int | None = None,
     k = F.lit(float(buckets))
     first, last = _bucket(F.col("lo"), k), F.ceil(F.col("hi") * k).cast("bigint") - 1
     listed = materialize(bounds.withColumn("_bucket", F.explode(F.sequence(first, last))), "guide")
-    full = listed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > crowded)
-    full = materialize(full, "crowded")
-    if not full.count():
-        small = fits_broadcast(listed)
-        return Guide(listed.withColumn("_fine", F.lit(0).cast("bigint")), keys, buckets, None, small)
+    full = listed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    if (full.agg(F.max("_c")).first()[0] or 0) <= crowded:
+        return Guide(listed.withColumn("_fine", F.lit(0).cast("bigint")), keys, buckets, None, fits_broadcast(listed))
+    full = materialize(full.filter(F.col("_c") > crowded), "crowded")
     # power of two above the number of intervals, so that products with it are exact
     full = full.select(*keys, "_bucket", F.pow(F.lit(2.0), F.ceil(F.log2("_c"))).alias("_cut"))
     cut = lookup(listed, full, keys + ["_bucket"], null_safe=True)
@@ -89,24 +90,35 @@ def build_guide(bounds: DataFrame, keys: list[str], buckets: int | None = None,
     return Guide(fine, keys, buckets, full, fits_broadcast(fine))
 
 
-def pick(draws: DataFrame, guide: Guide, u: Column, how: str = "inner") -> DataFrame:
-    """For every draw the interval of its keys that contains ``u``; adds the guide's value columns."""
-    keys = guide.keys
+def pick(draws: DataFrame, guide: Guide, u: Column, how: str = "inner", fixed: dict | None = None) -> DataFrame:
+    """For every draw the interval of its keys that contains ``u``; adds the guide's value columns.
+
+    ``fixed`` gives some keys one value for all draws, which prunes the guide table.
+    """
+    fixed = fixed or {}
+    keys = [k for k in guide.keys if k not in fixed]
+
+    def own(table: DataFrame) -> DataFrame:
+        for k, v in fixed.items():
+            table = table.filter(F.col(k) == F.lit(v)).drop(k)
+        return table
+
     out = draws.withColumn("_u", u).withColumn("_bucket", _bucket(F.col("_u"), F.lit(float(guide.buckets))))
     if guide.crowded is not None:
-        out = lookup(out, guide.crowded, keys + ["_bucket"], null_safe=True)
+        out = lookup(out, own(guide.crowded), keys + ["_bucket"], null_safe=True)
         fine = F.floor(F.col("_u") * F.lit(float(guide.buckets)) * F.col("_cut"))
         out = out.withColumn("_fine", F.coalesce(fine, F.lit(0)).cast("bigint")).drop("_cut")
     else:
         out = out.withColumn("_fine", F.lit(0).cast("bigint"))
     on = keys + ["_bucket", "_fine"]
-    table = guide.table.select(
-        *[F.col(c).alias(f"_g_{c}") for c in on + ["lo", "hi"]],
-        *[c for c in guide.table.columns if c not in on + ["lo", "hi"]],
+    guided = own(guide.table)
+    table = guided.select(
+        *[F.col(f"`{c}`").alias(f"_g_{c}") for c in on + ["lo", "hi"]],
+        *[c for c in guided.columns if c not in on + ["lo", "hi"]],
     )
     if guide.small:
         table = F.broadcast(table)
     test = (F.col("_u") >= F.col("_g_lo")) & (F.col("_u") < F.col("_g_hi"))
     for c in on:
-        test = test & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        test = test & F.col(f"`{c}`").eqNullSafe(F.col(f"`_g_{c}`"))
     return out.join(table, test, how).drop("_u", "_bucket", "_fine", *[f"_g_{c}" for c in on + ["lo", "hi"]])

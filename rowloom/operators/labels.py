@@ -20,7 +20,7 @@ def label_to_iri(df: DataFrame, dictionary: DataFrame, label: str = "label", nam
 
 def normalise_key(df: DataFrame, label: str, pattern: str, replacement: str, name: str | None = None) -> DataFrame:
     """Rewrite a label prefix so that it matches the keys of the embedding table."""
-    return df.withColumn(name or label, F.regexp_replace(F.col(label), pattern, replacement))
+    return df.withColumn(name or label, F.regexp_replace(F.col(f"`{label}`"), pattern, replacement))
 
 
 def with_embedding(df: DataFrame, embeddings: DataFrame, key: str, size: int, on_missing: str = "error",
@@ -46,7 +46,7 @@ def label_fidelity(rows: DataFrame, embeddings: DataFrame, requested: str, produ
     the requested label's embedding, times five. The loss depends on the two labels only,
     so rows are counted per label pair first and the vectors meet once per pair.
     """
-    pairs = rows.groupBy(F.col(requested).alias("requested"), F.col(produced).alias("produced")).agg(
+    pairs = rows.groupBy(F.col(f"`{requested}`").alias("requested"), F.col(f"`{produced}`").alias("produced")).agg(
         F.count(F.lit(1)).alias("n")
     )
     left = embeddings.select(F.col("key").alias("produced"), F.col("embedding").alias("_x"))
@@ -65,8 +65,8 @@ def label_quota(labels: DataFrame, ids: DataFrame, id_col: str, label: str = "la
     ``labels`` carries a dense ``position``; id i gets the label at position i mod k.
     """
     k = labels.count()
-    table = labels.select(F.col(order).alias("_position"), F.col(label))
-    placed = ids.withColumn("_position", F.col(id_col) % F.lit(k))
+    table = labels.select(F.col(f"`{order}`").alias("_position"), F.col(f"`{label}`"))
+    placed = ids.withColumn("_position", F.col(f"`{id_col}`") % F.lit(k))
     return lookup(placed, table, ["_position"], how="inner", salt_by=[id_col]).drop("_position")
 
 

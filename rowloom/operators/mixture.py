@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numbers import as_number, back_to, from_micros, is_time, micros
+from ..functions.numbers import as_number, back_to, from_micros, is_time, time_number
 from ..functions.random import normal, uniform
 from ..functions.vectors import argmax, number_array
 from .encoders import Encoder
@@ -56,10 +56,10 @@ def histogram(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame:
         q1, mid, q3 = row[f"q_{c}"]
         scale = (q3 - q1) or (row[f"hi_{c}"] - row[f"lo_{c}"]) or 1.0
         lo, hi = (float(np.arcsinh((row[f"{s}_{c}"] - mid) / scale)) for s in ("lo", "hi"))
-        place = F.asinh((F.col(c) - F.lit(mid)) / F.lit(scale))
+        place = F.asinh((F.col(f"`{c}`") - F.lit(mid)) / F.lit(scale))
         width = (hi - lo) or 1.0
         number = F.least(F.floor((place - F.lit(lo)) / F.lit(width) * bins), F.lit(bins - 1)).cast("int")
-        entries.append(F.struct(F.lit(c).alias("column"), number.alias("bin"), F.col(c).alias("x")))
+        entries.append(F.struct(F.lit(c).alias("column"), number.alias("bin"), F.col(f"`{c}`").alias("x")))
     flat = values.select(F.inline(F.array(*entries))).filter(F.col("x").isNotNull())
     return flat.groupBy("column", "bin").agg(
         F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"), F.sum(F.col("x") * F.col("x")).alias("squares")
@@ -67,7 +67,7 @@ def histogram(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame:
 
 
 def _number(df: DataFrame, name: str) -> Column:
-    return micros(F.col(name)).cast("double") if is_time(df.schema[name].dataType) else as_number(df, name)
+    return time_number(df, name).cast("double") if is_time(df.schema[name].dataType) else as_number(df, name)
 
 
 def _em(pdf: pd.DataFrame, clusters: int, threshold: float) -> pd.DataFrame:
@@ -142,15 +142,15 @@ def with_probabilities(df: DataFrame, value: Column, mix: Mixture, prefix: str)
         for i in k
     }
     df = df.withColumns(logs)
-    top = F.greatest(*[F.col(n) for n in logs]) if mix.size > 1 else F.col(f"{prefix}l0")
+    top = F.greatest(*[F.col(f"`{n}`") for n in logs]) if mix.size > 1 else F.col(f"`{prefix}l0`")
     df = df.withColumn(f"{prefix}m", top)
-    df = df.withColumns({f"{prefix}r{i}": F.exp(F.col(f"{prefix}l{i}") - F.col(f"{prefix}m")) for i in k})
-    total = F.col(f"{prefix}r0")
+    df = df.withColumns({f"{prefix}r{i}": F.exp(F.col(f"`{prefix}l{i}`") - F.col(f"`{prefix}m`")) for i in k})
+    total = F.col(f"`{prefix}r0`")
     for i in k[1:]:
-        total = total + F.col(f"{prefix}r{i}")
+        total = total + F.col(f"`{prefix}r{i}`")
     df = df.withColumn(f"{prefix}s", total)
     scale = F.lit(1.0 + mix.size * FLOOR)
-    df = df.withColumns({f"{prefix}{i}": (F.col(f"{prefix}r{i}") / F.col(f"{prefix}s") + F.lit(FLOOR)) / scale for i in k})
+    df = df.withColumns({f"{prefix}{i}": (F.col(f"`{prefix}r{i}`") / F.col(f"`{prefix}s`") + F.lit(FLOOR)) / scale for i in k})
     return df.drop(f"{prefix}m", f"{prefix}s", *[f"{prefix}{t}{i}" for i in k for t in "lr"])
 
 
@@ -168,7 +168,7 @@ def transform_mixture(df: DataFrame, name: str, mix: Mixture, seed: int, ids: li
     scored = scored.withColumn("_u", uniform(seed, f"component/{name}", *ids))
     upto, number = F.lit(0.0), F.lit(0)
     for i in k[:-1]:
-        upto = upto + F.col(f"_p{i}")
+        upto = upto + F.col(f"`_p{i}`")
         number = number + F.when(F.col("_u") >= upto, 1).otherwise(0)
     scored = scored.withColumn("_c", number)
     centre, spread = F.lit(mix.means[0]), F.lit(mix.stds[0])
@@ -195,13 +195,13 @@ def label_components(df: DataFrame, label: str, mixtures: dict[str, Mixture], sc
     One aggregation over all columns and components; ``n`` is the summed probability as an
     integer share of 1/scale.
     """
-    out, sums = df.select(F.col(label).cast("string").alias("label"), *[_number(df, c).alias(c) for c in mixtures]), []
+    out, sums = df.select(F.col(f"`{label}`").cast("string").alias("label"), *[_number(df, c).alias(c) for c in mixtures]), []
     for j, (c, mix) in enumerate(mixtures.items()):
-        out = with_probabilities(out, F.col(c), mix, f"_q{j}_")
+        out = with_probabilities(out, F.col(f"`{c}`"), mix, f"_q{j}_")
         sums += [(c, i, f"_q{j}_{i}") for i in range(mix.size)]
     one = out.groupBy("label").agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for _, _, n in sums])
     entries = [
-        F.struct(F.lit(c).alias("column"), F.lit(i).alias("component"), F.round(F.col(n) * F.lit(scale)).cast("bigint").alias("n"))
+        F.struct(F.lit(c).alias("column"), F.lit(i).alias("component"), F.round(F.col(f"`{n}`") * F.lit(scale)).cast("bigint").alias("n"))
         for c, i, n in sums
     ]
     return one.select("label", F.inline(F.array(*entries))).filter("n > 0")

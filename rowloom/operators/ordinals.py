@@ -60,10 +60,10 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, na
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
     totals = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    totals = totals.select(*[F.col(c).alias(f"_t_{c}") for c in keys + ["_part"]], "_before")
+    totals = totals.select(*[F.col(f"`{c}`").alias(f"_t_{c}") for c in keys + ["_part"]], "_before")
     test = F.col("_part") == F.col("_t__part")
     for c in keys:
-        test = test & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+        test = test & F.col(f"`{c}`").eqNullSafe(F.col(f"`_t_{c}`"))
     out = placed.withColumn("_local", F.sum(value).over(local)).join(totals, test)
     return out.withColumn(name, F.col("_local") + F.col("_before")).drop(
         "_local", "_before", "_part", *[f"_t_{c}" for c in keys + ["_part"]]
@@ -84,8 +84,8 @@ def cut_after(df: DataFrame, id_col: str, n: int) -> int | None:
     low, width, need = int(low), int(high) - int(low) + 1, n
     while width > 1:
         step = -(-width // _FAN)
-        inside = df.filter((F.col(id_col) >= low) & (F.col(id_col) < low + width))
-        bins = inside.groupBy(F.call_function("div", F.col(id_col) - low, F.lit(step).cast("bigint")).alias("b"))
+        inside = df.filter((F.col(f"`{id_col}`") >= low) & (F.col(f"`{id_col}`") < low + width))
+        bins = inside.groupBy(F.call_function("div", F.col(f"`{id_col}`") - low, F.lit(step).cast("bigint")).alias("b"))
         for b, c in sorted(tuple(r) for r in bins.agg(F.count(F.lit(1)).alias("c")).collect()):
             if c >= need:
                 low, width = low + b * step, step
@@ -97,4 +97,4 @@ def cut_after(df: DataFrame, id_col: str, n: int) -> int | None:
 def first_rows(df: DataFrame, id_col: str, n: int) -> DataFrame:
     """The ``n`` rows with the smallest unique integer ids, found by a cut instead of a sort."""
     bound = cut_after(df, id_col, n)
-    return df if bound is None else df.filter(F.col(id_col) < F.lit(bound))
+    return df if bound is None else df.filter(F.col(f"`{id_col}`") < F.lit(bound))

@@ -42,7 +42,7 @@ def cap_rows(df: DataFrame, entity: str, order_by: list[str], most: int) -> Data
 
 
 def _codes(df: DataFrame, column: str) -> DataFrame:
-    values = df.select(F.col(column).cast("string").alias("value")).distinct()
+    values = df.select(F.col(f"`{column}`").cast("string").alias("value")).distinct()
     return dense_index(values, "value", "code")
 
 
@@ -90,10 +90,10 @@ def private_freq(df: DataFrame, label: str, columns: list[str], entity: str, ord
     capped = cap_rows(df.select(*needed), entity, order_by, max_rows_per_entity)
     counts = joint_counts(capped, label, columns)
     cells = domain_cells(df, label, columns, domain)
-    side = counts.select(*[F.col(c).alias(f"_{c}") for c in ("pair", "label", "a", "b")], "n")
+    side = counts.select(*[F.col(f"`{c}`").alias(f"_{c}") for c in ("pair", "label", "a", "b")], "n")
     test = None
     for c in ("pair", "label", "a", "b"):
-        t = F.col(c).eqNullSafe(F.col(f"_{c}"))
+        t = F.col(f"`{c}`").eqNullSafe(F.col(f"`_{c}`"))
         test = t if test is None else test & t
     full = cells.join(side, test, "left")
     deviation = sigma * max_rows_per_entity * math.sqrt(len(pair_names(columns)))

@@ -49,8 +49,8 @@ def filter_conditions(df: DataFrame, conditions: dict, rtol: float = FLOAT_RTOL)
 def _filter_wanted(df: DataFrame, names: list[str], rtol: float) -> DataFrame:
     """As ``filter_conditions`` with each row's own wanted values in ``_want_<name>``."""
     for name in names:
-        df = df.filter(_matches(df, name, F.col(f"_want_{name}"), rtol))
-    set_to = {n: F.col(f"_want_{n}").cast(df.schema[n].dataType) for n in names if _is_float(df.schema[n].dataType)}
+        df = df.filter(_matches(df, name, F.col(f"`_want_{name}`"), rtol))
+    set_to = {n: F.col(f"`_want_{n}`").cast(df.schema[n].dataType) for n in names if _is_float(df.schema[n].dataType)}
     return df.withColumns(set_to) if set_to else df
 
 
@@ -163,8 +163,9 @@ def sample_conditional(conditions: DataFrame, generator: Generator, constraints=
         Unique([*[f"_want_{n}" for n in names], *c.keys], [cond_id, "attempt"]) for c in constraints if isinstance(c, Unique)
     ]
     done: DataFrame | None = None
+    asked = waiting = wanted.count()
     first, per_row = 0, 1
-    for _ in range(max_retries + 1):
+    for _ in range(max_retries + 1 if asked else 0):
         tries = pending.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + per_row - 1))))
         rows = _filter_wanted(filter_valid(generator(tries), row_wise), names, rtol)
         cells = [c for c in rows.columns if c not in (cond_id, "attempt")]
@@ -178,12 +179,15 @@ def sample_conditional(conditions: DataFrame, generator: Generator, constraints=
         else:
             best = materialize(best, "accepted")
             done = best if done is None else done.unionByName(best)
-        pending = materialize(wanted.join(done.select(cond_id), cond_id, "left_anti"), "pending")
-        if pending.isEmpty():
+        # a unique constraint may send an accepted condition back, so all are looked at again
+        open_rows, served_rows = (wanted, done) if unique else (pending, best)
+        pending = materialize(open_rows.join(served_rows.select(cond_id), cond_id, "left_anti"), "pending")
+        waiting = pending.count()
+        if not waiting:
             break
         first += per_row
-        per_row = min(max_rows_multiplier, per_row * 2)
-    left = pending.count()
+        per_row = max(1, min(asked * max_rows_multiplier // waiting, per_row * 4))
+    left = waiting
     if left:
         groups = [f"_want_{n}" for n in names]
         served = done.select(*groups).distinct()
@@ -192,6 +196,8 @@ def sample_conditional(conditions: DataFrame, generator: Generator, constraints=
         if not graceful:
             raise ValueError(f"Could not get enough valid rows within {max_retries} trials.")
         warnings.warn(f"{left} rows could not be sampled within {max_retries} trials.", stacklevel=2)
+    if done is None:
+        done = generator(wanted.withColumn("attempt", F.lit(0)))
     return done.drop("attempt", *[f"_want_{n}" for n in names])
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.random import index_below, uniform
 from ..functions.vectors import one_hot
 from ..session import materialize
-from .frequency import ROWS_PER_BUCKET, _pair_rows, bucketed, pair_names, part_offsets, text_of
+from .frequency import (
+    ROWS_PER_BUCKET, _pair_rows, group_sizes, hot_groups, pair_names, part_offsets, text_of, with_parts,
+)
 from .intervals import Guide, build_guide, cumulative, pick
 from .joins import lookup
 
@@ -24,6 +26,11 @@ def with_pair(ids: DataFrame, id_col: str, columns: list[str], seed: int) -> Dat
     return ids.withColumn("pair", _choice(names, uniform(seed, "pair", id_col)))
 
 
+def pair_columns() -> tuple[Column, Column]:
+    """Names of the two columns of a pair."""
+    return F.substring_index("pair", "|", 1), F.substring_index("pair", "|", -1)
+
+
 def draw_conditions(guide: Guide, ids: DataFrame, id_col: str, columns: list[str], seed: int) -> DataFrame:
     """For every id a pair of columns and one (label, a, b) with its joint probability."""
     drawn = with_pair(ids, id_col, columns, seed)
@@ -34,32 +41,44 @@ def draw_members(df: DataFrame, group: list[str], ids: list[str], draws: DataFra
                  rows_per_bucket: int = ROWS_PER_BUCKET, prefix: str = "row") -> DataFrame:
     """For every draw one row of its group, uniformly; adds ``<prefix>_<id>`` columns.
 
-    The draw's rank in the group is turned into (part, rank in part) through the part sizes,
-    so rows are ranked inside small hashed parts only, and only in the parts that were drawn.
-    Draws whose group has no rows are dropped.
+    A draw becomes a rank in its group. Groups too large for one task are cut into hashed
+    parts; there the rank is turned into (part, rank in part) through the part sizes, and only
+    the parts that were drawn are ranked. Draws whose group has no rows are dropped.
     """
     rows = df.select(*group, *ids)
-    parted = materialize(bucketed(rows, group, ids, seed, rows_per_bucket), "parts")
-    guide = build_guide(cumulative(part_offsets(parted, group), group, ["_part"], "_count"), group)
-    located = draws.withColumn("_member_u", uniform(seed, "member", *draw_ids))
-    located = pick(located, guide, F.col("_member_u"))
-    rank = index_below(F.col("_member_u"), F.col("_size")) - F.col("_offset")
-    rank = F.least(F.greatest(rank, F.lit(0)), F.col("_count") - 1)
-    located = located.withColumn("_rank", rank.cast("bigint")).drop("_member_u", "_size", "_offset", "_count")
-
-    used = located.select(*group, "_part").distinct()
-    inner = lookup(parted, used, group + ["_part"], how="left_semi", null_safe=True, salt_by=ids)
-    w = Window.partitionBy(*group, "_part").orderBy(*ids)
-    ranked = inner.withColumn("_rank", (F.row_number().over(w) - 1).cast("bigint"))
+    sizes = group_sizes(rows, group)
+    hot = hot_groups(sizes, rows_per_bucket)
+    u = uniform(seed, "member", *draw_ids)
+    if group:
+        located = lookup(draws, sizes, group, how="inner", null_safe=True, salt_by=draw_ids)
+    else:
+        located = draws.withColumn("_n", F.lit(sizes.first()["_n"])).filter(F.col("_n") > 0)
+    located = located.withColumn("_rank", index_below(u, F.col("_n"))).drop("_n")
+    if hot is None:
+        parted, keys = rows, group
+    else:
+        parted, keys = materialize(with_parts(rows, group, ids, hot, seed), "parts"), group + ["_part"]
+        large = lookup(parted, hot.drop("_parts"), group, how="left_semi", null_safe=True, salt_by=ids) if group else parted
+        bounds = cumulative(part_offsets(large, group), group, ["_part"], "_count")
+        located = pick(located, build_guide(bounds, group), u, how="left")
+        rank = F.least(F.greatest(F.col("_rank") - F.col("_offset"), F.lit(0)), F.col("_count") - 1)
+        located = located.withColumns({
+            "_rank": F.when(F.col("_part").isNull(), F.col("_rank")).otherwise(rank).cast("bigint"),
+            "_part": F.coalesce(F.col("_part"), F.lit(0).cast("bigint")),
+        }).drop("_offset", "_count")
+        used = materialize(located.select(*keys).distinct(), "used")
+        parted = lookup(parted, used, keys, how="left_semi", null_safe=True, salt_by=ids)
+    w = Window.partitionBy(*keys).orderBy(*ids)
+    ranked = parted.withColumn("_rank", (F.row_number().over(w) - 1).cast("bigint"))
     side = ranked.select(
-        *[F.col(c).alias(f"_m_{c}") for c in group + ["_part", "_rank"]],
-        *[F.col(c).alias(f"{prefix}_{c}") for c in ids],
+        *[F.col(f"`{c}`").alias(f"_m_{c}") for c in keys + ["_rank"]],
+        *[F.col(f"`{c}`").alias(f"{prefix}_{c}") for c in ids],
     )
     test = None
-    for c in group + ["_part", "_rank"]:
-        t = F.col(c).eqNullSafe(F.col(f"_m_{c}"))
+    for c in keys + ["_rank"]:
+        t = F.col(f"`{c}`").eqNullSafe(F.col(f"`_m_{c}`"))
         test = t if test is None else test & t
-    return located.join(side, test).drop("_part", "_rank", *[f"_m_{c}" for c in group + ["_part", "_rank"]])
+    return located.join(side, test).drop("_part", "_rank", *[f"_m_{c}" for c in keys + ["_rank"]])
 
 
 def sample_rows(df: DataFrame, label: str, columns: list[str], ids: list[str], drawn: DataFrame, draw_id: str,
@@ -77,7 +96,7 @@ def draw_original(df: DataFrame, label: str, columns: list[str], ids: list[str],
     picked = draw_members(df, [], ids, draws, [draw_id], seed, rows_per_bucket)
     picked = with_pair(picked, draw_id, columns, seed)
     source = df.select(
-        *[F.col(c).alias(f"row_{c}") for c in ids],
+        *[F.col(f"`{c}`").alias(f"row_{c}") for c in ids],
         text_of(df, label).alias("label"),
         F.create_map(*[x for c in columns for x in (F.lit(c), text_of(df, c))]).alias("_values"),
     )
@@ -89,7 +108,7 @@ def draw_original(df: DataFrame, label: str, columns: list[str], ids: list[str],
 def condition_vector(drawn: DataFrame, label: str, columns: list[str], categories: dict[str, list],
                      name: str = "vector", mask: str = "mask") -> DataFrame:
     """Render (pair, label, a, b) as one one-hot vector over all discrete columns, and the column mask."""
-    names = F.split("pair", r"\|")
+    names = pair_columns()
     parts = [one_hot(F.col("label"), categories[label])]
     bits = [F.lit(1)]
     for c in columns:

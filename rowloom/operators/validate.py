@@ -64,7 +64,7 @@ def validate_table(df: DataFrame, spec: TableSpec) -> DataFrame:
         if df.schema[name].dataType == want:
             continue
         aggs.append(F.count_if(value.isNotNull() & value.try_cast(want).isNull()).alias(f"bad_{name}"))
-        rows.append(entry(name, "invalid values", F.col(f"bad_{name}")))
+        rows.append(entry(name, "invalid values", F.col(f"`bad_{name}`")))
     rows += [entry(n, "missing column", F.lit(1)) for n in spec.names() if n not in df.columns]
     one = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs)
     if not rows:
@@ -91,7 +91,7 @@ def duplicate_keys(df: DataFrame, key: str | list[str]) -> DataFrame:
     """(key columns, n) of keys that occur more than once or are null. The count combines on
     the map side, so a key with very many rows is cheap."""
     keys = [key] if isinstance(key, str) else list(key)
-    null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    null = reduce(lambda a, b: a | b, [F.col(f"`{k}`").isNull() for k in keys])
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | null)
 
 
@@ -106,8 +106,8 @@ def orphan_keys(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFr
 
     References are counted before the join, so it moves distinct keys and no hot ones.
     """
-    used = child.filter(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("n"))
-    return used.join(parent.select(F.col(pk).alias("_pk")), F.col(fk) == F.col("_pk"), "left_anti")
+    used = child.filter(F.col(f"`{fk}`").isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("n"))
+    return used.join(parent.select(F.col(pk).alias("_pk")), F.col(f"`{fk}`") == F.col("_pk"), "left_anti")
 
 
 def orphan_rows(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:

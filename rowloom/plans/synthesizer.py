@@ -91,7 +91,7 @@ class Profile:
             drawn = generate(model, ids, id_cols, seed, given)
             limits = {c: e.decoded(F.array(F.col(f"`{c}`").cast("double"))) for c, e in self.numbers.items()}
             drawn = drawn.withColumns(limits) if limits else drawn
-            numbered = drawn.withColumn(row, F.xxhash64(*[F.col(c).cast("bigint") for c in id_cols]))
+            numbered = drawn.withColumn(row, F.xxhash64(*[F.col(f"`{c}`").cast("bigint") for c in id_cols]))
             carried = [c for c in ids.columns if c != "label"]
             ready = finalize_fields(numbered, self.spec, self.constraints, seed, row, self.types)
             names = [f.name for f in self.spec.fields if f.type != "id"]
@@ -193,9 +193,9 @@ class Profile:
             rows = make(ids)
             if fixed is not None:
                 extra = [c for c in fixed.columns if c != "cond_id"]
-                side = fixed.select("cond_id", *[F.col(c).alias(f"_fix_{c}") for c in extra])
+                side = fixed.select("cond_id", *[F.col(f"`{c}`").alias(f"_fix_{c}") for c in extra])
                 rows = rows.join(side, "cond_id")
-                rows = rows.withColumns({c: F.col(f"_fix_{c}").cast(rows.schema[c].dataType) for c in extra})
+                rows = rows.withColumns({c: F.col(f"`_fix_{c}`").cast(rows.schema[c].dataType) for c in extra})
                 rows = rows.drop(*[f"_fix_{c}" for c in extra])
             return rows
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 _RUN = uuid.uuid4().hex
@@ -48,10 +48,23 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _bytes(col: Column, dtype: T.DataType) -> Column:
+    """Bytes of a value: exact for text and vectors, eight for other plain values."""
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 16
+    if isinstance(dtype, T.ArrayType) and not isinstance(dtype.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+        return F.greatest(F.size(col), F.lit(0)) * 8 + 16
+    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0)) + 16
+    return F.lit(8)
+
+
 def measure(df: DataFrame) -> tuple[int, int]:
-    """Row count and an upper estimate of the bytes of ``df`` (one job, no collect of rows)."""
-    text = F.octet_length(F.to_json(F.struct("*"))) if df.columns else F.lit(0)
-    row = df.select(text.alias("_bytes")).agg(F.count(F.lit(1)), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
+    """Row count and bytes of ``df`` (one aggregation, no rows on the driver)."""
+    size = F.lit(16)
+    for f in df.schema.fields:
+        size = size + _bytes(F.col(f"`{f.name}`"), f.dataType)
+    row = df.select(size.cast("bigint").alias("_bytes")).agg(F.count(F.lit(1)), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
     return int(row[0]), int(row[1])
 
 
