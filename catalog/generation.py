@@ -17,6 +17,7 @@ from rowloom.operators.ordinals import dense_index
 from rowloom.operators.privacy import private_freq
 from rowloom.operators.rejection import filter_conditions, make_conditions, repeat_fill, sample_conditional, sample_valid
 from rowloom.plans.synthesizer import Profile
+from rowloom.session import materialize
 from rowloom.sources import read_label_dict
 from rowloom.spec import FieldSpec, TableSpec
 
@@ -48,7 +49,8 @@ def l_embedding_join(spark, sf):
 
 def _label_vectors(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.groupBy(F.col("label").cast("string").alias("key")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    vectors = e.groupBy(F.col("label").cast("string").alias("key")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return materialize(vectors, "vectors")
 
 
 _VECTORS = "(SELECT label::VARCHAR AS key, arg_min(embedding, vec_id)::DOUBLE[] AS v FROM embeddings GROUP BY 1)"

@@ -1,5 +1,9 @@
 """Learn the shape of a table on Spark and generate realistic rows of the same shape."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from .errors import ConstraintsNotMetError, MetadataError, MetadataNotFittedError, MissingConstraintColumnError, NotFittedError
 from .operators.constraints import (
     Between, ColumnFormula, Constraint, Custom, GreaterThan, Negative, OneHot, Positive, Rounding, Unique, UniqueCombinations,
@@ -7,6 +11,10 @@ from .operators.constraints import (
 from .plans import Profile, Synthesizer
 from .spec import DatasetSpec, FieldSpec, TableSpec, project
 
+# the few functions that run in Python workers travel with their code, so that the executors
+# do not need this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "Between", "ColumnFormula", "Constraint", "ConstraintsNotMetError", "Custom", "DatasetSpec", "FieldSpec", "GreaterThan",
     "MetadataError", "MetadataNotFittedError", "MissingConstraintColumnError", "Negative", "NotFittedError", "OneHot",

@@ -1,6 +1,6 @@
 """Column model of a constraint: a joint normal distribution over a few columns.
 
-The fit is one aggregation. Conditioning is linear in the given values, so all conditions
+The fit is two aggregations over the assembled vectors. Conditioning is linear in the given values, so all conditions
 are drawn in one projection instead of one solve per condition.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.numbers import as_number, back_to, column, from_micros, is_time, time_number
@@ -88,11 +90,12 @@ class Copula:
         model = cls(columns, types, dims, np.zeros(len(dims)), np.zeros((len(dims), len(dims))))
         means = df.agg(*[F.avg(model._raw(df, d)).alias(f"m{i}") for i, d in enumerate(dims)]).first()
         mean = [float(v) if v is not None else 0.0 for v in means]
-        full = df.select(*[F.coalesce(model._raw(df, d), F.lit(m)).alias(f"d{i}") for i, (d, m) in enumerate(zip(dims, mean))])
-        pairs = [(i, j) for i in range(len(dims)) for j in range(i, len(dims))]
-        row = full.agg(*[F.covar_pop(f"d{i}", f"d{j}") for i, j in pairs]).first()
-        for (i, j), v in zip(pairs, row):
-            model.cov[i, j] = model.cov[j, i] = float(v or 0.0)
+        full = F.array(*[F.coalesce(model._raw(df, d), F.lit(m)) for d, m in zip(dims, mean)])
+        vectors = df.select(array_to_vector(full).alias("v"))
+        spread = np.sqrt(vectors.select(Summarizer.variance(F.col("v")).alias("s")).first()["s"].toArray())
+        corr = np.nan_to_num(Correlation.corr(vectors, "v").first()[0].toArray())
+        np.fill_diagonal(corr, 1.0)
+        model.cov = corr * np.outer(spread, spread)
         model.mean = np.asarray(mean)
         return model
 

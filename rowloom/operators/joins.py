@@ -39,7 +39,7 @@ def lookup(
     how: str = "left",
     null_safe: bool = False,
     salt_by: list[str] | None = None,
-    limit: int | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Join ``rows`` with the distinct-keyed ``table`` on the columns ``on``.
 
@@ -53,7 +53,7 @@ def lookup(
     pairs = [(c, f"_key_{c}") for c in on]
     if how in ("left_semi", "left_anti"):
         renamed = renamed.select(*[b for _, b in pairs])
-    if fits_broadcast(table, limit):
+    if fits_broadcast(table) if fits is None else fits:
         return _joined(rows, F.broadcast(renamed), pairs, how, null_safe)
 
     hot = hot_keys(rows, on)

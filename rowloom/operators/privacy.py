@@ -15,6 +15,7 @@ import secrets
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.random import normal
+from ..session import BROADCAST_BYTES, measure
 from .frequency import joint_counts, pair_names
 from .joins import lookup
 from .ordinals import dense_index
@@ -59,7 +60,8 @@ def domain_cells(df: DataFrame, label: str, columns: list[str], domain: dict[str
             codes[c] = dense_index(domain[c].select(F.col("value").cast("string")).distinct(), "value", "code")
         else:
             codes[c] = _codes(df, c)
-    size = {c: t.count() for c, t in codes.items()}
+    measured = {c: measure(t) for c, t in codes.items()}
+    size = {c: rows for c, (rows, _) in measured.items()}
     out, start = None, 0
     for x, y in pair_names(columns):
         total = size[label] * size[x] * size[y]
@@ -71,7 +73,8 @@ def domain_cells(df: DataFrame, label: str, columns: list[str], domain: dict[str
         )
         for key, c, name in (("_l", label, "label"), ("_a", x, "a"), ("_b", y, "b")):
             table = codes[c].select(F.col("code").alias(key), F.col("value").alias(name))
-            cells = lookup(cells, table, [key], how="inner", salt_by=["cell"]).drop(key)
+            cells = lookup(cells, table, [key], how="inner", salt_by=["cell"],
+                           fits=measured[c][1] <= BROADCAST_BYTES).drop(key)
         start += total
         out = cells if out is None else out.unionByName(cells)
     return out
