@@ -143,8 +143,15 @@ def probabilities_sql(source, value, mix=MIX):
 
 
 def _component_sql():
-    src = with_u(probabilities_sql("lineitem", "l_extendedprice"), RK, 7, "component/l_extendedprice")
-    return f"(SELECT *, CASE WHEN u >= p0 + p1 THEN 2 WHEN u >= p0 THEN 1 ELSE 0 END AS c FROM {src})"
+    src = with_u("lineitem", RK, 7, "component/l_extendedprice")
+    for i in range(MIX.size):
+        src = with_u(src, RK, 7, f"component/l_extendedprice/{i}", f"u{i}")
+    logs = [
+        f"{math.log(MIX.weights[i]) - math.log(MIX.stds[i])!r} - 0.5 * ((l_extendedprice - {MIX.means[i]!r}) / {MIX.stds[i]!r}) ** 2 - ln(-ln(u{i}))"
+        for i in range(MIX.size)]
+    rare = MIX.size * 1e-6 / (1 + MIX.size * 1e-6)
+    best = f"CASE WHEN u < {rare!r} THEN least(floor(u / {rare!r} * {MIX.size}), {MIX.size - 1}) ELSE list_position(g, list_max(g)) - 1 END::INTEGER"
+    return f"(SELECT *, {best} AS c FROM (SELECT *, [{', '.join(logs)}] AS g FROM {src}))"
 
 
 _Z = f"least(greatest((l_extendedprice - {MIX.means!r}[c + 1]) / (4 * {MIX.stds!r}[c + 1]), -0.99), 0.99)"

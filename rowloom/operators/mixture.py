@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import as_number, back_to, from_micros, is_time, time_number
 from ..functions.random import normal, uniform
-from ..functions.vectors import argmax, number_array
+from ..functions.vectors import argmax, number_array, one_hot_index
 from .encoders import Encoder
 
 MAX_CLUSTERS = 10  # fixed values of the normaliser
@@ -130,28 +130,44 @@ def fit_mixtures(df: DataFrame, columns: list[str], **kwargs) -> dict[str, Mixtu
     return out
 
 
+def _log_density(value: Column, mix: Mixture, i: int) -> Column:
+    start = float(np.log(mix.weights[i]) - np.log(mix.stds[i]))
+    return F.lit(start) - F.lit(0.5) * F.pow((value - F.lit(mix.means[i])) / F.lit(mix.stds[i]), F.lit(2.0))
+
+
 def with_probabilities(df: DataFrame, value: Column, mix: Mixture, prefix: str) -> DataFrame:
     """Add ``<prefix>0..``: floored probabilities that the value belongs to each component.
 
-    Plain columns instead of array functions keep the arithmetic inside generated code.
+    ``1 / sum_j exp(l_j - l_i)`` needs no common maximum, so the expressions stay small and
+    inside generated code; an overflow to infinity gives probability zero, as it should.
     """
     k = range(mix.size)
-    logs = {
-        f"{prefix}l{i}": F.lit(float(np.log(mix.weights[i]) - np.log(mix.stds[i])))
-        - F.lit(0.5) * F.pow((value - F.lit(mix.means[i])) / F.lit(mix.stds[i]), F.lit(2.0))
-        for i in k
-    }
-    df = df.withColumns(logs)
-    top = F.greatest(*[F.col(f"`{n}`") for n in logs]) if mix.size > 1 else F.col(f"`{prefix}l0`")
-    df = df.withColumn(f"{prefix}m", top)
-    df = df.withColumns({f"{prefix}r{i}": F.exp(F.col(f"`{prefix}l{i}`") - F.col(f"`{prefix}m`")) for i in k})
-    total = F.col(f"`{prefix}r0`")
-    for i in k[1:]:
-        total = total + F.col(f"`{prefix}r{i}`")
-    df = df.withColumn(f"{prefix}s", total)
-    scale = F.lit(1.0 + mix.size * FLOOR)
-    df = df.withColumns({f"{prefix}{i}": (F.col(f"`{prefix}r{i}`") / F.col(f"`{prefix}s`") + F.lit(FLOOR)) / scale for i in k})
-    return df.drop(f"{prefix}m", f"{prefix}s", *[f"{prefix}{t}{i}" for i in k for t in "lr"])
+    df = df.withColumns({f"{prefix}l{i}": _log_density(value, mix, i) for i in k})
+    made = {}
+    for i in k:
+        total = F.lit(1.0)
+        for j in k:
+            if j != i:
+                total = total + F.exp(F.col(f"{prefix}l{j}") - F.col(f"{prefix}l{i}"))
+        made[f"{prefix}{i}"] = (F.lit(1.0) / total + F.lit(FLOOR)) / F.lit(1.0 + mix.size * FLOOR)
+    return df.withColumns(made).drop(*[f"{prefix}l{i}" for i in k])
+
+
+def draw_component(value: Column, mix: Mixture, seed: int, stream: str, ids) -> Column:
+    """Component of a value, drawn by the floored probabilities, as one small expression.
+
+    The largest of ``log density + Gumbel noise`` is a draw by the plain probabilities. The
+    floor adds the same small amount to every component, which is a rare uniform draw.
+    """
+    k = mix.size
+    if k == 1:
+        return F.lit(0)
+    scores = F.array(*[
+        _log_density(value, mix, i) - F.ln(-F.ln(uniform(seed, f"{stream}/{i}", *ids))) for i in range(k)
+    ])
+    rare = F.lit(k * FLOOR / (1.0 + k * FLOOR))
+    u = uniform(seed, stream, *ids)
+    return F.when(u < rare, F.least(F.floor(u / rare * k), F.lit(k - 1)).cast("int")).otherwise(argmax(scores))
 
 
 def transform_mixture(df: DataFrame, name: str, mix: Mixture, seed: int, ids: list[str], out: str,
@@ -163,22 +179,12 @@ def transform_mixture(df: DataFrame, name: str, mix: Mixture, seed: int, ids: li
     value = _number(df, name)
     if mean is not None:
         value = F.coalesce(value, F.lit(mean))
-    k = range(mix.size)
-    scored = with_probabilities(df.withColumn("_x", value), F.col("_x"), mix, "_p")
-    scored = scored.withColumn("_u", uniform(seed, f"component/{name}", *ids))
-    upto, number = F.lit(0.0), F.lit(0)
-    for i in k[:-1]:
-        upto = upto + F.col(f"`_p{i}`")
-        number = number + F.when(F.col("_u") >= upto, 1).otherwise(0)
-    scored = scored.withColumn("_c", number)
-    centre, spread = F.lit(mix.means[0]), F.lit(mix.stds[0])
-    for i in k[1:]:
-        centre = F.when(F.col("_c") == i, F.lit(mix.means[i])).otherwise(centre)
-        spread = F.when(F.col("_c") == i, F.lit(mix.stds[i])).otherwise(spread)
+    drawn = df.withColumn("_x", value)
+    drawn = drawn.withColumn("_c", draw_component(F.col("_x"), mix, seed, f"component/{name}", ids))
+    centre, spread = (F.element_at(number_array(v), F.col("_c") + 1) for v in (mix.means, mix.stds))
     z = (F.col("_x") - centre) / (F.lit(SPREAD) * spread)
     z = F.when(F.col("_x").isNotNull(), F.greatest(F.least(z, F.lit(CLIP)), F.lit(-CLIP)))
-    vector = F.array(z, *[F.when(F.col("_c") == i, 1.0).otherwise(0.0) for i in k])
-    return scored.withColumn(out, vector).drop("_x", "_u", "_c", *[f"_p{i}" for i in k])
+    return drawn.withColumn(out, F.concat(F.array(z), one_hot_index(F.col("_c"), mix.size))).drop("_x", "_c")
 
 
 def inverse_mixture(vector: Column, mix: Mixture, noise: Column | None = None) -> Column:
