@@ -37,10 +37,14 @@ class Unique(Constraint):
 
     def flag(self, df, name="is_valid"):
         # the first order value per key combines on the map side; the join back is on
-        # (key, order), which no hot key can make uneven
+        # (key, order), which no hot key can make uneven. Rows equal in both are numbered
+        # inside that same partitioning, so that only one of them counts as first
         first = df.filter(self._known(df)).groupBy(*self.keys).agg(
             F.min(F.struct(*self.order_by)).alias("_first")
         )
+        columns = df.columns
+        twins = Window.partitionBy(*self.keys, *self.order_by).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+        df = df.withColumn("_twin", F.row_number().over(twins))
         side = first.select(
             *[F.col(f"`{c}`").alias(f"_k_{c}") for c in self.keys],
             *[F.col(f"_first.`{c}`").alias(f"_o_{c}") for c in self.order_by],
@@ -49,4 +53,5 @@ class Unique(Constraint):
         test = [df[c] == side[f"_k_{c}"] for c in self.keys]
         test += [df[c].eqNullSafe(side[f"_o_{c}"]) for c in self.order_by]
         out = df.join(side, reduce(lambda a, b: a & b, test), "left")
-        return out.select(*df.columns, F.coalesce(name, F.lit(False)).alias(name))
+        verdict = F.coalesce(name, F.lit(False)) & (F.col("_twin") == 1)
+        return out.select(*[F.col(f"`{c}`") for c in columns], verdict.alias(name))

@@ -156,7 +156,8 @@ class Copula:
         return scored.withColumns(made).drop(*[f"_dim{i}" for i in drawn])
 
 
-def complete_conditions(conditions: DataFrame, constraint, seed: int = 0, id_col: str | None = None) -> DataFrame:
+def complete_conditions(conditions: DataFrame, constraint, seed: int = 0, id_col: str | None = None,
+                        rounds: int = ROUNDS) -> DataFrame:
     """Fill the constraint columns that ``conditions`` leave out, so that the constraint holds.
 
     Every condition row makes its own attempts, so no condition that occurs very often
@@ -175,7 +176,7 @@ def complete_conditions(conditions: DataFrame, constraint, seed: int = 0, id_col
     else:
         keyed = conditions.withColumn("_cond", F.col(f"`{id_col}`").cast("bigint"))
     pending, done, first, tried, found = keyed, [], 0, 0, 0
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         waiting = pending.count()
         if not waiting:
             break
@@ -200,6 +201,6 @@ def complete_conditions(conditions: DataFrame, constraint, seed: int = 0, id_col
             completed.select(F.col("_cond").alias("_from__cond"), *wanted), "_from__cond"
         )
         if extra.count() < left:
-            raise ValueError(f"Could not get enough valid rows within {ROUNDS} trials.")
+            raise ValueError(f"Could not get enough valid rows within {rounds} trials.")
         completed = completed.unionByName(extra.select(*completed.columns))
     return completed.select(*names, *wanted)

@@ -38,14 +38,15 @@ def draw_conditions(guide: Guide, ids: DataFrame, id_col: str, columns: list[str
 
 
 def draw_members(df: DataFrame, group: list[str], ids: list[str], draws: DataFrame, draw_ids: list[str], seed: int,
-                 rows_per_bucket: int = ROWS_PER_BUCKET, prefix: str = "row") -> DataFrame:
-    """For every draw one row of its group, uniformly; adds ``<prefix>_<id>`` columns.
+                 rows_per_bucket: int = ROWS_PER_BUCKET, prefix: str = "row", carry: list[str] = ()) -> DataFrame:
+    """For every draw one row of its group, uniformly; adds ``<prefix>_<id>`` columns and the
+    row's ``carry`` columns.
 
     A draw becomes a rank in its group. Groups too large for one task are cut into hashed
     parts; there the rank is turned into (part, rank in part) through the part sizes, and only
     the parts that were drawn are ranked. Draws whose group has no rows are dropped.
     """
-    rows = df.select(*group, *ids)
+    rows = df.select(*group, *ids, *carry)
     sizes = group_sizes(rows, group)
     hot = hot_groups(sizes, rows_per_bucket)
     u = uniform(seed, "member", *draw_ids)
@@ -73,6 +74,7 @@ def draw_members(df: DataFrame, group: list[str], ids: list[str], draws: DataFra
     side = ranked.select(
         *[F.col(f"`{c}`").alias(f"_m_{c}") for c in keys + ["_rank"]],
         *[F.col(f"`{c}`").alias(f"{prefix}_{c}") for c in ids],
+        *carry,
     )
     test = None
     for c in keys + ["_rank"]:
@@ -93,16 +95,12 @@ def sample_rows(df: DataFrame, label: str, columns: list[str], ids: list[str], d
 def draw_original(df: DataFrame, label: str, columns: list[str], ids: list[str], draws: DataFrame, draw_id: str,
                   seed: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """For every draw a uniform source row; its label and the values of two drawn columns."""
-    picked = draw_members(df, [], ids, draws, [draw_id], seed, rows_per_bucket)
-    picked = with_pair(picked, draw_id, columns, seed)
-    source = df.select(
-        *[F.col(f"`{c}`").alias(f"row_{c}") for c in ids],
-        text_of(df, label).alias("label"),
-        F.create_map(*[x for c in columns for x in (F.lit(c), text_of(df, c))]).alias("_values"),
-    )
-    out = picked.join(source, [f"row_{c}" for c in ids])
-    names = F.split("pair", r"\|")
-    return out.withColumns({"a": F.col("_values")[names[0]], "b": F.col("_values")[names[1]]}).drop("_values")
+    values = F.create_map(*[x for c in columns for x in (F.lit(c), text_of(df, c))])
+    source = df.select(*ids, text_of(df, label).alias("label"), values.alias("_values"))
+    picked = draw_members(source, [], ids, draws, [draw_id], seed, rows_per_bucket, carry=["label", "_values"])
+    out = with_pair(picked, draw_id, columns, seed)
+    first, second = pair_columns()
+    return out.withColumns({"a": F.col("_values")[first], "b": F.col("_values")[second]}).drop("_values")
 
 
 def condition_vector(drawn: DataFrame, label: str, columns: list[str], categories: dict[str, list],

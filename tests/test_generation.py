@@ -100,7 +100,7 @@ def test_completed_conditions_hold(spark):
     assert full.filter("country = 'FR' AND city <> 'Lyon'").count() == 0
     assert full.filter("city IN ('Bonn', 'Ulm')").count() == 60
     with pytest.raises(ValueError, match="enough valid rows"):
-        complete_conditions(spark.createDataFrame([("XX",)], "country string"), rule)
+        complete_conditions(spark.createDataFrame([("XX",)], "country string"), rule, rounds=2)
 
 
 # -- rejection ----------------------------------------------------------------------------
