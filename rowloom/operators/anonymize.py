@@ -75,8 +75,7 @@ def check_capacity(field: FieldSpec, rows: int) -> None:
         most = capacity(pattern)
         if most < rows:
             raise ValueError(
-                f"Unable to generate {rows} unique values for regex {pattern}, "
-                f"the maximum number of unique values is {most}."
+                f"the pattern {pattern} yields {most} strings, too few for {rows} rows"
             )
 
 

@@ -54,7 +54,7 @@ class Constraint:
 
     def __init__(self, handling: str = "transform", fit_columns_model: bool = False):
         if handling not in HANDLING:
-            raise ValueError(f"Unknown handling strategy: {handling}")
+            raise ValueError(f"handling must be one of {HANDLING}, not {handling!r}")
         self.handling = handling
         self.fit_columns_model = fit_columns_model
         if handling == "reject_sampling":
@@ -81,6 +81,10 @@ class Constraint:
         """``df`` with the verdict on every row in column ``name``."""
         return df.withColumn(name, self.valid(df))
 
+    def count_invalid(self, df: DataFrame) -> DataFrame:
+        """One row (invalid): how many rows break the constraint."""
+        return df.agg(F.count_if(~self.valid(df)).alias("invalid"))
+
     def _keep(self, df: DataFrame) -> DataFrame:
         return df.filter(self.valid(df))
 
@@ -158,7 +162,7 @@ def prepare(constraints) -> list[Constraint]:
         both = taken & set(c.columns)
         if both:
             raise ValueError(
-                f"Multiple constraints will modify the same column(s): {sorted(both)}; "
+                f"two constraints change the columns {sorted(both)}; "
                 'use "reject_sampling" for one of them'
             )
         taken.update(c.rebuilds)

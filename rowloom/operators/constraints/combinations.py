@@ -32,7 +32,7 @@ class UniqueCombinations(Constraint):
 
     def __init__(self, columns, handling="transform", fit_columns_model=False):
         if len(columns) < 2:
-            raise ValueError("UniqueCombinations requires at least two constraint columns.")
+            raise ValueError("a combination needs two or more columns")
         self.columns = self.rebuilds = tuple(columns)
         self.table = None
         super().__init__(handling, fit_columns_model)
@@ -54,6 +54,13 @@ class UniqueCombinations(Constraint):
     def flag(self, df, name="is_valid"):
         return self._key(df, "_joint").withColumn(name, F.col("_joint").isNotNull()).drop("_joint")
 
+    def count_invalid(self, df):
+        # distinct combinations are counted first, so rows do not take part in the join
+        own = df.select(*[column(df, c).alias(c) for c in self.columns])
+        counts = own.groupBy(*self.columns).agg(F.count(F.lit(1)).alias("_n"))
+        missed = lookup(counts, self._learned(), list(self.columns), how="left_anti", null_safe=True)
+        return missed.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("invalid"))
+
     def _keep(self, df):
         return lookup(df, self._learned(), list(self.columns), how="left_semi", null_safe=True)
 

@@ -45,9 +45,9 @@ class OneHot(Constraint):
         ones = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0.0)) for v in values])
         bad, many = df.agg(F.count_if(~bits), F.count_if(bits & (ones > 1.0))).first()
         if bad:
-            raise ValueError("Condition values must be ones or zeros.")
+            raise ValueError("conditions on one-hot columns are zeros and ones")
         if many:
-            raise ValueError("Each row of a condition can only contain one number one.")
+            raise ValueError("a condition asks for more than one 1")
 
     def fill(self, df: DataFrame, seed: int = 0, id_col: str | None = None) -> DataFrame:
         """Complete conditions that name some of the columns.

@@ -62,18 +62,18 @@ class GreaterThan(Constraint):
 
     def __init__(self, low, high, strict=False, handling="transform", fit_columns_model=False, drop=None, scalar=None):
         if scalar not in (None, "low", "high"):
-            raise ValueError(f"Invalid `scalar` value: `{scalar}`. Use either: 'high', 'low', or None.")
+            raise ValueError(f"scalar must be 'low', 'high' or None, not {scalar!r}")
         if scalar is not None and drop == scalar:
-            raise ValueError(f"Invalid `drop` value: `{drop}`. Cannot drop a scalar.")
+            raise ValueError(f"the {drop} side is a scalar and cannot be dropped")
         if drop not in (None, "low", "high"):
-            raise ValueError(f"Invalid `drop` value: `{drop}`")
+            raise ValueError(f"drop must be 'low', 'high' or None, not {drop!r}")
         if scalar is not None and isinstance(low if scalar == "low" else high, (list, tuple)):
             raise ValueError(f"`{scalar}` must be a single scalar")
         self.strict, self.drop, self.scalar = strict, drop, scalar
         self.low = [low] if scalar == "low" else _names(low)
         self.high = [high] if scalar == "high" else _names(high)
         if scalar is None and len(self.low) > 1 and len(self.high) > 1:
-            raise ValueError("either `high` or `low` must contain only one column.")
+            raise ValueError("only one side may name several columns")
         self.columns = tuple(([] if scalar == "low" else self.low) + ([] if scalar == "high" else self.high))
         rebuild_low = drop == "low" or (drop is None and scalar == "high")
         self.target_side = "low" if rebuild_low else "high"
@@ -94,14 +94,14 @@ class GreaterThan(Constraint):
     def _time(self, df: DataFrame) -> bool:
         kinds = [side.is_time(df) for pair in self._pairs() for side in pair]
         if any(kinds) and not all(kinds):
-            raise ValueError("Both high and low must be datetime.")
+            raise ValueError("low and high must both be times or both be numbers")
         return all(kinds)
 
     def _fit(self, df):
         for side in ("low", "high"):
             missing = set() if self.scalar == side else set(getattr(self, side)) - set(df.columns)
             if missing:
-                raise KeyError(f'The `{side}` columns {missing} were not found; if `{side}` is a scalar, set `scalar="{side}"`.')
+                raise KeyError(f'no columns {sorted(map(str, missing))} for the {side} side; a scalar needs scalar="{side}"')
         self.time = self._time(df)
         self.types = {c: df.schema[c].dataType for c in self.targets}
         base = None if self.scalar else (self.low if len(self.low) == 1 else self.high)[0]
@@ -188,7 +188,7 @@ class Between(Constraint):
         self.low_is_scalar, self.high_is_scalar = low.scalar, high.scalar
         kinds = [low.is_time(df), high.is_time(df), is_time(df.schema[self.column].dataType)]
         if any(kinds) and not all(kinds):
-            raise ValueError("The constraint column and bounds must all be datetime.")
+            raise ValueError("the column and its bounds must all be times or all be numbers")
         self.time = all(kinds)
         self.type = df.schema[self.column].dataType
         self.encoded = free_name([self.column, str(self.low), str(self.high)], df.columns)

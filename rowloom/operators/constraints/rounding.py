@@ -15,9 +15,9 @@ class Rounding(Constraint):
 
     def __init__(self, columns, digits, handling="transform", tolerance=None):
         if digits > 15:
-            raise ValueError("The value of digits cannot exceed 15")
+            raise ValueError("doubles carry at most 15 digits")
         if tolerance is not None and tolerance >= 10.0 ** (-digits):
-            raise ValueError("Tolerance must be less than the rounding level")
+            raise ValueError("the tolerance must be smaller than one rounding step")
         self.targets = [columns] if isinstance(columns, str) else list(columns)
         self.digits = digits
         self.tolerance = tolerance or 10.0 ** (-(digits + 1))

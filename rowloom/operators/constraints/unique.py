@@ -35,6 +35,12 @@ class Unique(Constraint):
         w = Window.partitionBy(*self.keys).orderBy(*self.order_by)
         return df.filter(self._known(df)).withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
 
+    def count_invalid(self, df):
+        # rows minus known keys; counting per key combines before the shuffle
+        counts = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"))
+        kept = F.count_if(self._known(counts))
+        return counts.agg((F.coalesce(F.sum("_n"), F.lit(0)) - kept).alias("invalid"))
+
     def flag(self, df, name="is_valid"):
         # the first order value per key combines on the map side; the join back is on
         # (key, order), which no hot key can make uneven. Rows equal in both are numbered

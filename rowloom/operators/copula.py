@@ -131,8 +131,8 @@ class Copula:
 
     def draw_given(self, df: DataFrame, given, wanted, seed: int = 0, id_col: str | None = None) -> DataFrame:
         """Add raw draws ``_draw_<column>`` of numeric columns given other columns of the row."""
-        if id_col is None:
-            df = df.withColumn("_row", F.monotonically_increasing_id())
+        if id_col is None:  # written, so that a repeated task draws the same numbers
+            df = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
         drawn = self._draw(df, given, wanted, seed, [id_col or "_row"])
         out = df.withColumns({f"_draw_{self.dims[i].column}": v for i, v in drawn.items()})
         return out.drop("_row") if id_col is None else out
@@ -201,6 +201,6 @@ def complete_conditions(conditions: DataFrame, constraint, seed: int = 0, id_col
             completed.select(F.col("_cond").alias("_from__cond"), *wanted), "_from__cond"
         )
         if extra.count() < left:
-            raise ValueError(f"Could not get enough valid rows within {rounds} trials.")
+            raise ValueError(f"some conditions have no completion after {rounds} rounds")
         completed = completed.unionByName(extra.select(*completed.columns))
     return completed.select(*names, *wanted)

@@ -256,7 +256,7 @@ def default_encoder(dtype: T.DataType) -> Encoder:
         return UnixTs()
     if isinstance(dtype, T.NumericType):
         return Numeric()
-    raise ValueError(f"Unsupported dtype {dtype.simpleString()}")
+    raise ValueError(f"no encoder for the type {dtype.simpleString()}")
 
 
 # fixed values: names under which a field may ask for an encoder

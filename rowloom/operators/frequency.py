@@ -68,7 +68,7 @@ def joint_freq(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
 
 def cumulative_freq(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, n, lo, hi): the interval of each category, in order of its value."""
-    return cumulative(category_counts(df, columns), ["column"], ["value"])
+    return cumulative(materialize(category_counts(df, columns), "counts"), ["column"], ["value"])
 
 
 def triple_bounds(joint: DataFrame) -> DataFrame:

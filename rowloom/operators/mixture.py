@@ -245,6 +245,6 @@ class MixtureNorm(Encoder):
     def decode(self, df, vector, out, ids=()):
         if self.sigma is None:
             return super().decode(df, vector, out)
-        noise = F.lit(self.sigma) * normal(self.seed, f"noise/{self.name}", *(ids or [F.monotonically_increasing_id()]))
+        noise = F.lit(self.sigma) * normal(self.seed, f"noise/{self.name}", *(ids or [F.xxhash64(vector)]))
         value = inverse_mixture(F.col(vector), self.mixture, noise)
         return df.withColumn(out, from_micros(F.rint(value), self.type) if is_time(self.type) else back_to(value, self.type))

@@ -135,7 +135,7 @@ def make_conditions(spark: SparkSession, conditions, n: int | None = None) -> Da
         if "cond_id" in conditions.columns:
             return conditions
         return dense_index(conditions, conditions.columns, "cond_id")
-    raise TypeError("`conditions` must be a dataframe, a dictionary or a series.")
+    raise TypeError("conditions are a frame, a dictionary or a series")
 
 
 def sample_conditional(conditions: DataFrame, generator: Generator, constraints=(), fields=None,
@@ -152,7 +152,7 @@ def sample_conditional(conditions: DataFrame, generator: Generator, constraints=
     names = [c for c in conditions.columns if c != cond_id]
     for name in names:
         if fields is not None and name not in fields:
-            raise ValueError(f"Invalid column name `{name}`")
+            raise ValueError(f"condition on the unknown column `{name}`")
     known = conditions
     for c in names:
         known = known.filter(column(conditions, c).isNotNull())
@@ -169,10 +169,13 @@ def sample_conditional(conditions: DataFrame, generator: Generator, constraints=
         tries = pending.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + per_row - 1))))
         rows = _filter_wanted(filter_valid(generator(tries), row_wise), names, rtol)
         cells = [c for c in rows.columns if c not in (cond_id, "attempt")]
-        best = rows.groupBy(cond_id).agg(
-            F.min("attempt").alias("attempt"), F.min_by(F.struct(*[F.col(f"`{c}`") for c in cells]), "attempt").alias("_row")
-        )
-        best = best.select(cond_id, "attempt", *[F.col(f"_row.`{c}`").alias(c) for c in cells])
+        if per_row == 1:  # one candidate per condition: nothing to choose from
+            best = rows.select(cond_id, "attempt", *[F.col(f"`{c}`") for c in cells])
+        else:
+            best = rows.groupBy(cond_id).agg(
+                F.min("attempt").alias("attempt"), F.min_by(F.struct(*[F.col(f"`{c}`") for c in cells]), "attempt").alias("_row")
+            )
+            best = best.select(cond_id, "attempt", *[F.col(f"_row.`{c}`").alias(c) for c in cells])
         if unique:
             together = best if done is None else done.unionByName(best)
             done = materialize(filter_valid(together, unique), "accepted")
@@ -192,10 +195,10 @@ def sample_conditional(conditions: DataFrame, generator: Generator, constraints=
         groups = [f"_want_{n}" for n in names]
         served = done.select(*groups).distinct()
         if not pending.select(*groups).distinct().join(served, groups, "left_anti").isEmpty():
-            raise ValueError("No valid rows could be generated with the given conditions.")
+            raise ValueError("some conditions were never met")
         if not graceful:
-            raise ValueError(f"Could not get enough valid rows within {max_retries} trials.")
-        warnings.warn(f"{left} rows could not be sampled within {max_retries} trials.", stacklevel=2)
+            raise ValueError(f"some rows are still missing after {max_retries} retries")
+        warnings.warn(f"{left} rows are still missing after {max_retries} retries", stacklevel=2)
     if done is None:
         done = generator(wanted.withColumn("attempt", F.lit(0)))
     return done.drop("attempt", *[f"_want_{n}" for n in names])

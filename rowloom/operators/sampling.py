@@ -38,16 +38,18 @@ def draw_conditions(guide: Guide, ids: DataFrame, id_col: str, columns: list[str
 
 
 def draw_members(df: DataFrame, group: list[str], ids: list[str], draws: DataFrame, draw_ids: list[str], seed: int,
-                 rows_per_bucket: int = ROWS_PER_BUCKET, prefix: str = "row", carry: list[str] = ()) -> DataFrame:
+                 rows_per_bucket: int = ROWS_PER_BUCKET, prefix: str = "row", carry: list[str] = (),
+                 sizes: DataFrame | None = None) -> DataFrame:
     """For every draw one row of its group, uniformly; adds ``<prefix>_<id>`` columns and the
     row's ``carry`` columns.
 
     A draw becomes a rank in its group. Groups too large for one task are cut into hashed
     parts; there the rank is turned into (part, rank in part) through the part sizes, and only
-    the parts that were drawn are ranked. Draws whose group has no rows are dropped.
+    the parts that were drawn are ranked. Draws whose group has no rows are dropped. ``sizes``
+    (group, _n) spares the count when the caller has it.
     """
     rows = df.select(*group, *ids, *carry)
-    sizes = group_sizes(rows, group)
+    sizes = group_sizes(rows, group) if sizes is None else sizes
     hot = hot_groups(sizes, rows_per_bucket)
     u = uniform(seed, "member", *draw_ids)
     if group:
@@ -60,7 +62,7 @@ def draw_members(df: DataFrame, group: list[str], ids: list[str], draws: DataFra
     else:
         parted, keys = materialize(with_parts(rows, group, ids, hot, seed), "parts"), group + ["_part"]
         large = lookup(parted, hot.drop("_parts"), group, how="left_semi", null_safe=True, salt_by=ids) if group else parted
-        bounds = cumulative(part_offsets(large, group), group, ["_part"], "_count")
+        bounds = cumulative(materialize(part_offsets(large, group), "offsets"), group, ["_part"], "_count")
         located = pick(located, build_guide(bounds, group), u, how="left")
         rank = F.least(F.greatest(F.col("_rank") - F.col("_offset"), F.lit(0)), F.col("_count") - 1)
         located = located.withColumns({
@@ -84,12 +86,17 @@ def draw_members(df: DataFrame, group: list[str], ids: list[str], draws: DataFra
 
 
 def sample_rows(df: DataFrame, label: str, columns: list[str], ids: list[str], drawn: DataFrame, draw_id: str,
-                seed: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """For every drawn (pair, label, a, b) the id of one real row that carries it, uniformly."""
+                seed: int, rows_per_bucket: int = ROWS_PER_BUCKET, joint: DataFrame | None = None) -> DataFrame:
+    """For every drawn (pair, label, a, b) the id of one real row that carries it, uniformly.
+
+    ``joint``, the written joint counts of the same rows, spares counting them again.
+    """
     wanted = drawn.select("pair").distinct()
     rows = _pair_rows(df, label, columns, ids)
     rows = rows.join(F.broadcast(wanted), "pair", "left_semi")
-    return draw_members(rows, ["pair", "label", "a", "b"], ids, drawn, [draw_id], seed, rows_per_bucket)
+    group = ["pair", "label", "a", "b"]
+    sizes = None if joint is None else joint.select(*group, F.col("n").alias("_n"))
+    return draw_members(rows, group, ids, drawn, [draw_id], seed, rows_per_bucket, sizes=sizes)
 
 
 def draw_original(df: DataFrame, label: str, columns: list[str], ids: list[str], draws: DataFrame, draw_id: str,
@@ -122,9 +129,9 @@ def fixed_condition(ids: DataFrame, columns: list[str], categories: dict[str, li
                     name: str = "vector") -> DataFrame:
     """The same one-hot vector, naming one value of one column, for every id."""
     if column not in columns:
-        raise ValueError(f"The column_name `{column}` doesn't exist in the data.")
+        raise ValueError(f"`{column}` is not a discrete column")
     if value not in categories[column]:
-        raise ValueError(f"The value `{value}` doesn't exist in the column `{column}`.")
+        raise ValueError(f"`{value}` is not a category of `{column}`")
     at = sum(len(categories[c]) for c in columns[: columns.index(column)]) + categories[column].index(value)
     width = sum(len(categories[c]) for c in columns)
     vector = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(i == at, 1.0).otherwise(0.0))

@@ -39,7 +39,7 @@ def discrete_columns(df: DataFrame, listed: list[str] | None = None, **kwargs) -
     """Names of the discrete columns; listed ones must exist."""
     unknown = set(listed or []) - set(df.columns)
     if unknown:
-        raise ValueError(f"Invalid columns found: {sorted(unknown)}")
+        raise ValueError(f"no such columns: {sorted(unknown)}")
     if listed is not None:
         return list(listed)
     return [r["field"] for r in profile_fields(df, **kwargs).collect() if r["discrete"]]
@@ -79,12 +79,12 @@ def validate_dataset(spec: DatasetSpec, tables: dict[str, DataFrame] | None = No
         if tables is None:
             continue
         if name not in tables:
-            found.append(f"Table `{name}` not found in tables")
+            found.append(f"no data given for table `{name}`")
             continue
         for r in validate_table(tables[name], table).collect():
             found.append(f"{r['problem']} in table `{name}`: `{r['field']}` ({r['n']})")
     if found:
-        raise MetadataError("Invalid Metadata specification:\n - " + "\n - ".join(found))
+        raise MetadataError("the description or the data is wrong:\n - " + "\n - ".join(found))
 
 
 def duplicate_keys(df: DataFrame, key: str | list[str]) -> DataFrame:
@@ -119,7 +119,7 @@ def constraint_audit(df: DataFrame, constraints: dict) -> DataFrame:
     """(name, invalid): rows that break each named constraint, each judged on all rows.
 
     All row-local constraints share one aggregation over one scan; Unique and
-    UniqueCombinations add one branch each. Constraints whose columns are absent are skipped.
+    UniqueCombinations add one count per key each. Constraints whose columns are absent are skipped.
     """
     spark = df.sparkSession
     present = {n: c for n, c in constraints.items() if c.applies_to(df)}
@@ -131,14 +131,13 @@ def constraint_audit(df: DataFrame, constraints: dict) -> DataFrame:
         parts.append(one.select(F.inline(F.array(*entries))))
     for name, c in present.items():
         if not c.row_local:
-            flagged = c.flag(df, "_ok").agg(F.count_if(~F.col("_ok")).alias("invalid"))
-            parts.append(flagged.select(F.lit(name).alias("name"), "invalid"))
+            parts.append(c.count_invalid(df).select(F.lit(name).alias("name"), "invalid"))
     if not parts:
         return spark.createDataFrame([], "name string, invalid bigint")
     return reduce(DataFrame.unionByName, parts)
 
 
-def assert_constraints(df: DataFrame, constraints, message: str = "Data is not valid for the given constraints") -> None:
+def assert_constraints(df: DataFrame, constraints, message: str = "rows break the constraints") -> None:
     """Raise when any applicable constraint is broken, with all counts listed."""
     named = {f"{i}:{type(c).__name__}": c for i, c in enumerate(constraints)}
     bad = {r["name"]: r["invalid"] for r in constraint_audit(df, named).collect() if r["invalid"]}

@@ -178,11 +178,11 @@ class Profile:
         names = [c for c in asked.columns if c != "cond_id"]
         for c in names:
             if c not in self.spec:
-                raise ValueError(f"Invalid column name `{c}`")
+                raise ValueError(f"condition on the unknown column `{c}`")
         try:
             assert_constraints(asked.select(*names), self.constraints)
         except ConstraintsNotMetError as e:
-            raise ConstraintsNotMetError("Passed conditions are not valid for the given constraints", e.counts) from e
+            raise ConstraintsNotMetError("the conditions break the constraints", e.counts) from e
         asked = materialize(asked, "asked")
         fixed = self._completed(asked, names)
         given = self.label in names

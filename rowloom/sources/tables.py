@@ -80,7 +80,7 @@ def read_tables(spark: SparkSession, spec: DatasetSpec, names: list[str] | None
     """Lazy frames of the named tables, or of all tables in use."""
     for n in names or []:
         if n not in spec.tables:
-            raise ValueError(f'Table "{n}" does not exist')
+            raise ValueError(f'no table "{n}" in the description')
     return {n: read_table(spark, spec.tables[n], spec.root) for n in names or spec.tables}
 
 

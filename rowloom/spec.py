@@ -42,7 +42,7 @@ class FieldSpec:
         try:
             return SPARK_TYPES[(self.type, self.subtype)]
         except KeyError:
-            raise MetadataError(f'Invalid type/subtype "{self.type}/{self.subtype}" of field "{self.name}"') from None
+            raise MetadataError(f'field "{self.name}" has the unknown type {self.type}/{self.subtype}') from None
 
 
 def infer_field(name: str, dtype: T.DataType) -> FieldSpec:
@@ -57,7 +57,7 @@ def infer_field(name: str, dtype: T.DataType) -> FieldSpec:
         return FieldSpec(name, "boolean")
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return FieldSpec(name, "datetime")
-    raise ValueError(f"Unsupported dtype {dtype.simpleString()} in column {name}")
+    raise ValueError(f"column {name} has the unsupported type {dtype.simpleString()}")
 
 
 @dataclass
@@ -85,7 +85,7 @@ class TableSpec:
         fields = []
         for name in names:
             if name not in df.columns:
-                raise ValueError(f"Field {name} not found in given data")
+                raise ValueError(f"the data has no field {name}")
             given = (field_types or {}).get(name)
             spec = FieldSpec(name, **given) if given else infer_field(name, df.schema[name].dataType)
             if (anonymize or {}).get(name):
@@ -114,7 +114,7 @@ class TableSpec:
         """Turn the declared primary key into ``id`` fields, or say why it cannot be one."""
         for name in self.key_fields():
             if name not in self:
-                raise ValueError(f'Field "{name}" does not exist in this table')
+                raise ValueError(f'key field "{name}" is not part of the table')
             spec = self[name]
             if spec.type == "id":
                 continue
@@ -123,9 +123,9 @@ class TableSpec:
             elif spec.type == "numerical":
                 subtype = spec.subtype
             else:
-                raise ValueError(f'Invalid field "type" for key field: "{spec.type}"')
+                raise ValueError(f'a {spec.type} field cannot be a key')
             if subtype not in ("integer", "string"):
-                raise ValueError(f'Invalid field "subtype" for key field: "{subtype}"')
+                raise ValueError(f'a key must be an integer or a string, not {subtype}')
             spec.type, spec.subtype = "id", subtype
         return self
 
@@ -168,7 +168,7 @@ class DatasetSpec:
     def from_dict(cls, data: dict, root: str = "") -> DatasetSpec:
         entries = data.get("tables")
         if not entries:
-            raise MetadataError('"tables" entry not found in Metadata.')
+            raise MetadataError('the description lists no tables')
         if isinstance(entries, list):
             entries = {e["name"]: e for e in entries}
         used = {n: e for n, e in entries.items() if e.get("use", True)}
@@ -203,9 +203,9 @@ class DatasetSpec:
                     found.append(f'id field "{f.name}" of table "{name}" is neither a primary key nor a reference')
             for key in table.key_fields():
                 if key not in table:
-                    found.append(f'Invalid primary key: "{key}" not found in table "{name}"')
+                    found.append(f'table "{name}" has no field "{key}" for its primary key')
                 elif table[key].type != "id":
-                    found.append(f'Primary key "{key}" of table "{name}" not of type "id"')
+                    found.append(f'primary key "{key}" of table "{name}" is not an id field')
         for child, field, parent, parent_field in self.edges():
             if parent not in self.tables:
                 found.append(f'Table "{parent}" referenced by "{child}.{field}" does not exist')
@@ -217,7 +217,7 @@ class DatasetSpec:
                 found.append(f'"{child}.{field}" and "{parent}.{parent_field}" have different subtypes')
         for name in self.tables:
             if self._reaches(name, name):
-                found.append(f'Circular relationship found for table "{name}"')
+                found.append(f'table "{name}" refers back to itself')
         return found
 
     def _reaches(self, start: str, goal: str) -> bool:
@@ -236,5 +236,5 @@ def project(df: DataFrame, spec: TableSpec, ids: bool = False) -> DataFrame:
     """The declared fields in declared order, without id fields unless asked for."""
     missing = [n for n in spec.names() if n not in df.columns]
     if missing:
-        raise ValueError(f"Field {missing[0]} not found in given data")
+        raise ValueError(f"the data has no field {missing[0]}")
     return df.select(*[f"`{n}`" for n in spec.names(ids)])

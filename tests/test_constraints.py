@@ -72,7 +72,7 @@ def test_greater_than_times(spark):
     assert abs((back[0][1] - day(3)).total_seconds()) < 0.01
     since = GreaterThan(day(3), "b", scalar="low").fit(df)
     assert verdicts(df, since) == [True, False, True]
-    with pytest.raises(ValueError, match="datetime"):
+    with pytest.raises(ValueError, match="times"):
         GreaterThan("id", "b").fit(df)
 
 
@@ -163,9 +163,9 @@ def test_one_hot_fill(spark):
     assert filled.filter(rule.valid(filled)).count() == 40
     drawn = filled.filter("a = 0").groupBy().sum("b", "c").first()
     assert drawn[0] > 3 and drawn[1] > 3
-    with pytest.raises(ValueError, match="ones or zeros"):
+    with pytest.raises(ValueError, match="zeros and ones"):
         rule.fill(spark.createDataFrame([(0.5, 0.0)], "a double, b double"))
-    with pytest.raises(ValueError, match="only contain one"):
+    with pytest.raises(ValueError, match="more than one"):
         rule.fill(spark.createDataFrame([(1.0, 1.0)], "a double, b double"))
 
 
@@ -237,7 +237,7 @@ def test_handling(pairs):
 def test_order_and_conflicts():
     checks, codes = Unique("a", "id"), GreaterThan("a", "b")
     assert prepare([codes, checks]) == [checks, codes]
-    with pytest.raises(ValueError, match="Multiple constraints"):
+    with pytest.raises(ValueError, match="two constraints"):
         prepare([Between("b", 0, 1), GreaterThan("a", "b")])
     prepare([Between("b", 0, 1), GreaterThan("a", "b", handling="reject_sampling")])
 

@@ -139,9 +139,9 @@ def test_condition_vectors(spark):
     assert got["vector"] == [0, 1, 0, 1, 0, 0, 1] and got["mask"] == [1, 1, 0, 1]
     fixed = fixed_condition(spark.range(2), ["l", "s", "t"], cats, "s", "a").first()["vector"]
     assert fixed == [0, 0, 1, 0, 0, 0]
-    with pytest.raises(ValueError, match="doesn't exist in the data"):
+    with pytest.raises(ValueError, match="not a discrete column"):
         fixed_condition(spark.range(2), ["l"], cats, "z", "a")
-    with pytest.raises(ValueError, match="doesn't exist in the column"):
+    with pytest.raises(ValueError, match="not a category"):
         fixed_condition(spark.range(2), ["l"], cats, "l", "q")
 
 

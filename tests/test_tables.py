@@ -34,15 +34,15 @@ def test_infer(people):
     assert project(people, spec).columns == ["name", "x", "ok", "at"]
     assert TableSpec.infer(people, {"x", "id"}).names() == ["id", "x"]
     assert TableSpec.infer(people, ["x", "id"]).names() == ["x", "id"]
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="no field"):
         TableSpec.infer(people, ["nope"])
-    with pytest.raises(ValueError, match="Unsupported dtype"):
+    with pytest.raises(ValueError, match="unsupported type"):
         TableSpec.infer(people.withColumn("a", F.array("x")))
-    with pytest.raises(ValueError, match="does not exist"):
+    with pytest.raises(ValueError, match="not part"):
         TableSpec.infer(people, primary_key="nope")
-    with pytest.raises(ValueError, match="subtype"):
+    with pytest.raises(ValueError, match="must be an integer"):
         TableSpec.infer(people, primary_key="x")
-    with pytest.raises(ValueError, match='"type"'):
+    with pytest.raises(ValueError, match="cannot be a key"):
         TableSpec.infer(people, primary_key="ok")
 
 
@@ -78,7 +78,7 @@ def test_dataset_spec_and_csv(spark, tmp_path):
         read_tables(spark, spec, ["old"])
     assert spec.edges() == [("s", "uid", "u", "id")] and spec.children("u") == {"s"}
     validate_dataset(spec, tables)
-    with pytest.raises(MetadataError, match="not found in tables"):
+    with pytest.raises(MetadataError, match="no data given"):
         validate_dataset(spec, {"u": tables["u"]})
 
 
@@ -88,7 +88,7 @@ def test_dataset_problems():
     bad["tables"]["u"]["fields"]["loose"] = {"type": "id", "subtype": "integer"}
     bad["tables"]["s"]["primary_key"] = "none"
     text = " ".join(DatasetSpec.from_dict(bad).problems())
-    for part in ("Circular", "loose", "not found in table", "is not a primary key"):
+    for part in ("refers back to itself", "loose", "for its primary key", "is not a primary key"):
         assert part in text
     with pytest.raises(MetadataError):
         DatasetSpec.from_dict({})
@@ -134,7 +134,7 @@ def test_profile_fields(spark):
     assert got == {"b": ("numerical", True), "f": ("numerical", True), "s": ("categorical", True), "t": ("boolean", True), "n": ("numerical", False)}
     ones = spark.createDataFrame([(1,), (1,)], "b int")
     assert discrete_columns(ones) == []  # 1 alone is not a yes/no column
-    with pytest.raises(ValueError, match="Invalid columns"):
+    with pytest.raises(ValueError, match="no such columns"):
         discrete_columns(df, ["nope"])
 
 
@@ -171,7 +171,7 @@ def test_ids(spark):
     assert made == [(i, i) for i in range(120)]
     text = rows(make_ids(df, FieldSpec("i", "id", "string", regex="[ab]{7}"), "k").select("k", "i"), "k")
     assert len({t for _, t in text}) == 120 and text[0][1] == "aaaaaaa" and text[1][1] == "aaaaaab"
-    with pytest.raises(ValueError, match="Unable to generate 120"):
+    with pytest.raises(ValueError, match="too few for 120"):
         make_ids(df, FieldSpec("i", "id", "string", regex=r"\d{2}"), "k")
     spec = TableSpec([FieldSpec("k", "id"), FieldSpec("dup", "id")])
     fixed = make_ids_unique(df, spec, "k")
