@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import fits_broadcast, materialize
+from ..session import BROADCAST_BYTES, fits_broadcast, materialize, row_bytes
 from .joins import lookup
 from .ordinals import WINDOW_ROWS, running_sum
 
@@ -54,7 +54,8 @@ class Guide:
     keys: list[str]
     buckets: int
     crowded: DataFrame | None = None
-    small: bool = False  # measured below the broadcast bound when built
+    crowded_small: bool = False  # measured below the broadcast bound when built
+    small: bool = False
 
 
 def _bucket(u: Column, buckets) -> Column:
@@ -65,15 +66,18 @@ def build_guide(bounds: DataFrame, keys: list[str], buckets: int | None = None,
     """Guide table over intervals ``lo``/``hi`` per ``keys``; written, since every draw reads it."""
     bounds = materialize(bounds, "intervals")
     if buckets is None:
+        # buckets for the average key, so that the listing grows with the intervals and not
+        # with keys times the widest key; keys with many intervals get crowded buckets instead
         per_key = bounds.groupBy(*keys).count() if keys else bounds.groupBy().count()
-        widest = per_key.agg(F.max("count")).first()[0] or 1
-        buckets = min(max(power_of_two(widest), MIN_BUCKETS), MAX_BUCKETS)
+        total, n = per_key.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
+        buckets = min(max(power_of_two(-(-total // max(n, 1))), MIN_BUCKETS), MAX_BUCKETS)
     k = F.lit(float(buckets))
     first, last = _bucket(F.col("lo"), k), F.ceil(F.col("hi") * k).cast("bigint") - 1
     listed = materialize(bounds.withColumn("_bucket", F.explode(F.sequence(first, last))), "guide")
-    full = listed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    if (full.agg(F.max("_c")).first()[0] or 0) <= crowded:
-        return Guide(listed.withColumn("_fine", F.lit(0).cast("bigint")), keys, buckets, None, fits_broadcast(listed))
+    full = listed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_c"), F.sum(row_bytes(listed)).alias("_b"))
+    most, size = full.agg(F.coalesce(F.max("_c"), F.lit(0)), F.coalesce(F.sum("_b"), F.lit(0))).first()
+    if most <= crowded:
+        return Guide(listed.withColumn("_fine", F.lit(0).cast("bigint")), keys, buckets, None, False, size <= BROADCAST_BYTES)
     full = materialize(full.filter(F.col("_c") > crowded), "crowded")
     # power of two above the number of intervals, so that products with it are exact
     full = full.select(*keys, "_bucket", F.pow(F.lit(2.0), F.ceil(F.log2("_c"))).alias("_cut"))
@@ -87,7 +91,7 @@ def build_guide(bounds: DataFrame, keys: list[str], buckets: int | None = None,
     fine = cut.withColumn("_fine", F.explode(F.sequence(inner_first, inner_last)))
     fine = fine.withColumn("_fine", F.when(F.col("_cut").isNull(), F.lit(0)).otherwise(F.col("_fine")).cast("bigint"))
     fine = materialize(fine.drop("_cut"), "fine")
-    return Guide(fine, keys, buckets, full, fits_broadcast(fine))
+    return Guide(fine, keys, buckets, full, fits_broadcast(full), fits_broadcast(fine))
 
 
 def pick(draws: DataFrame, guide: Guide, u: Column, how: str = "inner", fixed: dict | None = None) -> DataFrame:
@@ -105,7 +109,7 @@ def pick(draws: DataFrame, guide: Guide, u: Column, how: str = "inner", fixed: d
 
     out = draws.withColumn("_u", u).withColumn("_bucket", _bucket(F.col("_u"), F.lit(float(guide.buckets))))
     if guide.crowded is not None:
-        out = lookup(out, own(guide.crowded), keys + ["_bucket"], null_safe=True)
+        out = lookup(out, own(guide.crowded), keys + ["_bucket"], null_safe=True, fits=guide.crowded_small)
         fine = F.floor(F.col("_u") * F.lit(float(guide.buckets)) * F.col("_cut"))
         out = out.withColumn("_fine", F.coalesce(fine, F.lit(0)).cast("bigint")).drop("_cut")
     else:

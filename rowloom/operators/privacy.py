@@ -15,8 +15,8 @@ import secrets
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.random import normal
-from ..session import BROADCAST_BYTES, measure
-from .frequency import joint_counts, pair_names
+from ..session import BROADCAST_BYTES, materialize, measure
+from .frequency import category_counts, joint_counts, pair_names
 from .joins import lookup
 from .ordinals import dense_index
 
@@ -42,11 +42,6 @@ def cap_rows(df: DataFrame, entity: str, order_by: list[str], most: int) -> Data
     return df.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= most).drop("_nth")
 
 
-def _codes(df: DataFrame, column: str) -> DataFrame:
-    values = df.select(F.col(f"`{column}`").cast("string").alias("value")).distinct()
-    return dense_index(values, "value", "code")
-
-
 def domain_cells(df: DataFrame, label: str, columns: list[str], domain: dict[str, DataFrame] | None = None) -> DataFrame:
     """(pair, label, a, b, cell) of the whole category domain.
 
@@ -54,12 +49,13 @@ def domain_cells(df: DataFrame, label: str, columns: list[str], domain: dict[str
     lists, so the product of the lists is never formed by a cross join. ``domain`` gives
     (value) tables; without it the observed categories are used, which is not private.
     """
-    codes = {}
-    for c in [label, *columns]:
-        if domain and c in domain:
-            codes[c] = dense_index(domain[c].select(F.col("value").cast("string")).distinct(), "value", "code")
-        else:
-            codes[c] = _codes(df, c)
+    named = [label, *columns]
+    given = {c: domain[c].select(F.col("value").cast("string").alias("value")).distinct() for c in named if c in (domain or {})}
+    open_columns = [c for c in named if c not in given]
+    if open_columns:  # one pass for the categories of all columns
+        seen = materialize(category_counts(df, open_columns), "domain")
+        given |= {c: seen.filter(F.col("column") == c).select("value") for c in open_columns}
+    codes = {c: dense_index(given[c], "value", "code") for c in named}
     measured = {c: measure(t) for c, t in codes.items()}
     size = {c: rows for c, (rows, _) in measured.items()}
     out, start = None, 0

@@ -59,12 +59,17 @@ def _bytes(col: Column, dtype: T.DataType) -> Column:
     return F.lit(8)
 
 
-def measure(df: DataFrame) -> tuple[int, int]:
-    """Row count and bytes of ``df`` (one aggregation, no rows on the driver)."""
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of each row of ``df``."""
     size = F.lit(16)
     for f in df.schema.fields:
         size = size + _bytes(F.col(f"`{f.name}`"), f.dataType)
-    row = df.select(size.cast("bigint").alias("_bytes")).agg(F.count(F.lit(1)), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
+    return size.cast("bigint")
+
+
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Row count and bytes of ``df`` (one aggregation, no rows on the driver)."""
+    row = df.select(row_bytes(df).alias("_bytes")).agg(F.count(F.lit(1)), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
     return int(row[0]), int(row[1])
 
 

@@ -155,3 +155,21 @@ def test_no_python_and_no_nested_loops_in_draws(spark):
     text = plan_of(pick(spark.range(2000).withColumn("k", F.lit("p")), guide, uniform(1, "u", "id")))
     assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text
     assert "BroadcastHashJoin" in text
+
+
+def test_hot_keys_are_cut_before_the_shuffle(spark, skewed):
+    from rowloom import Unique
+    from rowloom.operators.privacy import cap_rows
+
+    for df in (Unique("g", "id").filter_valid(skewed), cap_rows(skewed, "g", ["id"], 3)):
+        text = plan_of(df)
+        assert text.count("WindowGroupLimit") == 2 and "Partial" in text
+    counted = plan_of(joint_counts(skewed.withColumns({"s": F.col("g"), "t": F.col("id") % 3}), "g", ["s", "t"]))
+    assert "partial_count" in counted
+
+
+def test_lost_partitions_give_the_same_rows(spark, skewed):
+    """What a task computes again after a loss equals what it computed first, on any layout."""
+    one = draw_members(skewed, ["g"], ["id"], skewed.select(F.col("id").alias("d"), "g"), ["d"], 5, 100)
+    two = draw_members(skewed.repartition(2, "id"), ["g"], ["id"], skewed.repartition(3).select(F.col("id").alias("d"), "g"), ["d"], 5, 100)
+    assert rows(one.select("d", "row_id"), "d") == rows(two.select("d", "row_id"), "d")
