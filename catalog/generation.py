@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F, types as T
 
+from rowloom.functions.numbers import time_number
 from rowloom.functions.random import uniform
 
 from rowloom.operators.constraints import Between, UniqueCombinations
@@ -308,8 +309,6 @@ def p_private_freq(spark, sf):
     SELECT event_id, 'http://x/' || event_type AS key, epoch_us(ts) AS micros, date_diff('day', TIMESTAMP '2024-01-01', ts)::BIGINT AS days FROM events""")
 def x_scalar_mix(spark, sf):
     e = table(spark, sf, "events").withColumn("label", F.concat(F.lit("EX."), F.col("event_type")))
-    start = F.lit("1970-01-01").cast("timestamp_ntz")
-    return normalise_key(e, "label", "EX.", "http://x/", "key").select(
-        "event_id", "key", F.timestamp_diff("MICROSECOND", start, F.col("ts")).alias("micros"),
-        F.timestamp_diff("DAY", F.lit("2024-01-01").cast("timestamp_ntz"), F.date_trunc("day", "ts").cast("timestamp_ntz")).alias("days"),
-    )
+    days = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint")
+    out = normalise_key(e, "label", "EX.", "http://x/", "key")
+    return out.select("event_id", "key", time_number(out, "ts").alias("micros"), days.alias("days"))
