@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.joins import lookup
 from ..session import materialize
 from .common import unit, word_count
 from .registry import query, table
@@ -110,23 +111,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     totals = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = materialize(source_targets(totals, weights, budget, low, high), "targets")
     lam = balance(groups, targets, low, high)
-    plan = materialize(targets.join(lam, targets["source"].eqNullSafe(lam["source"])).select(targets["source"].alias("p_source"), "source_size", "target", "unit", "lam"), "plan")
+    plan = materialize(targets.join(lam, targets["source"].eqNullSafe(lam["source"])).select(targets["source"], "source_size", "target", "unit", "lam"), "plan")
 
-    rated = sized.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("rate", _rate(F.col("lam"), F.col("size") / F.col("unit"), low, high))
+    rated = lookup(sized, plan, ["source"], "inner", null_safe=True, salt_by=["at"]).withColumn("rate", _rate(F.col("lam"), F.col("size") / F.col("unit"), low, high))
     drawn = F.floor(F.col("rate") + unit(F.col("id"), F.col("size"), F.lit("copies"))).cast("int")
     rated = rated.withColumn("copies", F.greatest(F.lit(int(low)), F.least(F.lit(int(high)), F.when(F.col("size") == 0, F.lit(1)).otherwise(drawn))))
-    rated = materialize(rated.drop("p_source", "unit", "lam"), "rounded")
+    rated = materialize(rated.drop("unit", "lam"), "rounded")
 
     # what rounding missed, per source, is made up by documents from large to small
-    misses = rated.groupBy("source").agg(F.round(F.first("target") - F.sum(F.col("copies") * F.col("size"))).cast("bigint").alias("miss")).withColumnRenamed("source", "m_source")
-    spare = rated.filter("size > 0").join(misses, F.col("source").eqNullSafe(F.col("m_source")))
+    misses = rated.groupBy("source").agg(F.round(F.first("target") - F.sum(F.col("copies") * F.col("size"))).cast("bigint").alias("miss"))
+    spare = lookup(rated.filter("size > 0"), materialize(misses, "misses"), ["source"], "inner", null_safe=True, salt_by=["at"])
     spare = spare.filter(F.when(F.col("miss") > 0, F.col("copies") < int(high)).otherwise((F.col("miss") < 0) & (F.col("copies") > int(low))))
     spare = spare.select("source", "miss", "size", "at", F.floor(F.log2("size")).alias("scale"), F.xxhash64("id", F.lit("spare")).alias("pick"))
     spare = spare.withColumn("turn", F.row_number().over(Window.partitionBy("source", "scale").orderBy("pick", "at"))).filter(F.col("turn") <= SPARES)
     listed = spare.groupBy("source", "miss").agg(F.sort_array(F.collect_list(F.struct("size", "at")), asc=False).alias("cs"))  # at most SPARES a size class
     start = F.struct(F.abs("miss").alias("rest"), F.array().cast("array<bigint>").alias("ats"))
     fill = F.aggregate("cs", start, lambda acc, c: F.when(
-        c["size"] < acc["rest"] * 2, F.struct((acc["rest"] - c["size"]).alias("rest"), F.concat(acc["ats"], F.array(c["at"])).alias("ats"))
+        c["size"] <= acc["rest"], F.struct((acc["rest"] - c["size"]).alias("rest"), F.concat(acc["ats"], F.array(c["at"])).alias("ats"))
     ).otherwise(acc))
     fixes = listed.select(F.signum("miss").cast("int").alias("by"), F.explode(fill["ats"]).alias("f_at"))
     out = rated.join(fixes, F.col("at") == F.col("f_at"), "left").withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0)))
