@@ -24,6 +24,7 @@ from .words import list_array, pieces, split_words
 
 FEATURES = 2048
 MIN_DOCS = 3
+MIN_GAIN = 8.0  # a log likelihood ratio that chance hardly reaches among thousands of features
 FIT_ROWS = 10_000  # expected rows of each class in the fit
 FIT_PAIRS = 20_000  # expected counterfactual pairs in the fit
 PENALTY = 10.0
@@ -90,7 +91,7 @@ def select_features(labelled: DataFrame, features: int) -> list[str]:
     share = a / n
     base = bad_rows / rows
     gain = a * F.log(share / F.lit(base)) + (n - a) * F.log((F.lit(1.0) - share) / F.lit(1 - base))
-    best = counts.filter(F.col("docs") >= MIN_DOCS).withColumn("gain", gain).orderBy(F.desc("gain"), "feature").limit(features)
+    best = counts.filter(F.col("docs") >= MIN_DOCS).withColumn("gain", gain).filter(F.col("gain") >= MIN_GAIN).orderBy(F.desc("gain"), "feature").limit(features)
     return [r["feature"] for r in best.select("feature").collect()]
 
 
