@@ -12,9 +12,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import fold
+from ..operators.joins import lookup
+from .common import fold, unit
 from .registry import query, table
 from .words import pieces, split_words
 
@@ -99,10 +100,11 @@ class ContextTrees:
 
 
 def fit_context_trees(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ContextTrees:
-    """Trees from rows (text, lang). Rows without text or language are not used; each language learns from at most ``sample_rows`` whole texts, chosen by a hash of the text."""
-    known = rows.filter("text is not null and lang is not null").select("lang", "text")
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = known.select("lang", "text", F.row_number().over(pick).alias("at")).filter(F.col("at") <= sample_rows)
+    """Trees from rows (text, lang, draw). Rows without text or language are not used. Each language learns from all its whole
+    texts, or from about ``sample_rows`` of them: those whose ``draw``, a number in [0, 1), lies below the wanted share."""
+    known = rows.filter("text is not null and lang is not null").select("lang", "text", "draw")
+    shares = known.groupBy("lang").agg((F.lit(float(sample_rows)) / F.count(F.lit(1))).alias("share"))
+    sample = lookup(known, shares, ["lang"], "inner", salt_by=["draw"]).filter("draw < share")
 
     def count(batches):
         for batch in batches:
@@ -183,6 +185,7 @@ def identify(docs: DataFrame, trees: ContextTrees, text_col: str = "text") -> Da
 @query("op10_language_id")
 def op10_language_id(spark, sf):
     docs = table(spark, sf, "documents")
-    trees = fit_context_trees(docs.filter(fold(F.col("doc_id"), 3) != 1))
+    learn = docs.filter(fold(F.col("doc_id"), 3) != 1)
+    trees = fit_context_trees(learn.select("text", "lang", unit("text", "doc_id").alias("draw")))
     out = identify(docs.select("doc_id", "text"), trees)
     return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
