@@ -94,28 +94,23 @@ def balance(groups: DataFrame, targets: DataFrame, low: float, high: float) -> D
     return state.select("source", "unit", "lam")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, low: float = 0.0, high: float = 2.0, carry: list[str] | None = None) -> DataFrame:
-    """One row per input row: id, size, source, source_size, target, rate, copies, taken and the columns named in ``carry``.
+def _copies(id_col: Column, size: Column, rate: Column, low: float, high: float) -> Column:
+    """Whole copies from a rate, by a hash of id and size; documents without words keep one where the bounds allow it."""
+    drawn = F.floor(rate + unit(id_col, size, F.lit("copies"))).cast("int")
+    return F.greatest(F.lit(int(low)), F.least(F.lit(int(high)), F.when(size == 0, F.lit(1)).otherwise(drawn)))
 
-    A null text has size 0, a null source is a source of its own. Copies lie between the whole numbers around the
-    rate, so between ``low`` and ``high``; documents without words keep one copy where the bounds allow it. The result depends on ids, sizes
-    and sources only: reruns agree; of repeated rows any may be the one that is adjusted. Other columns are ignored.
-    An empty table gives an empty result.
-    """
-    sized = materialize(
-        docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"),
-                    *[F.col(c).alias(f"c_{c}") for c in carry or []], F.monotonically_increasing_id().alias("at")),
-        "sizes",
-    )
+
+def _solve(sized: DataFrame, weights: tuple[int, ...], budget: float, low: float, high: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For rows (id, size, source, at): the plan of each source, the rows with rate and rounded copies, and corrections (f_at, by)."""
     groups = materialize(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "size-groups")
     totals = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = materialize(source_targets(totals, weights, budget, low, high), "targets")
     lam = balance(groups, targets, low, high)
     plan = materialize(targets.join(lam, targets["source"].eqNullSafe(lam["source"])).select(targets["source"], "source_size", "target", "unit", "lam"), "plan")
 
-    rated = lookup(sized, plan, ["source"], "inner", null_safe=True, salt_by=["at"]).withColumn("rate", _rate(F.col("lam"), F.col("size") / F.col("unit"), low, high))
-    drawn = F.floor(F.col("rate") + unit(F.col("id"), F.col("size"), F.lit("copies"))).cast("int")
-    rated = rated.withColumn("copies", F.greatest(F.lit(int(low)), F.least(F.lit(int(high)), F.when(F.col("size") == 0, F.lit(1)).otherwise(drawn))))
+    rated = lookup(sized, plan, ["source"], "inner", null_safe=True, salt_by=["at"])
+    rated = rated.withColumn("rate", _rate(F.col("lam"), F.col("size") / F.col("unit"), low, high))
+    rated = rated.withColumn("copies", _copies(F.col("id"), F.col("size"), F.col("rate"), low, high))
     rated = materialize(rated.drop("unit", "lam"), "rounded")
 
     # what rounding missed, per source, is made up by documents from large to small
@@ -130,8 +125,46 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         c["size"] <= acc["rest"], F.struct((acc["rest"] - c["size"]).alias("rest"), F.concat(acc["ats"], F.array(c["at"])).alias("ats"))
     ).otherwise(acc))
     fixes = listed.select(F.signum("miss").cast("int").alias("by"), F.explode(fill["ats"]).alias("f_at"))
+    return plan, rated, materialize(fixes, "corrections")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return materialize(
+        docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), F.monotonically_increasing_id().alias("at")), "sizes"
+    )
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, low: float = 0.0, high: float = 2.0) -> DataFrame:
+    """One row per input row: id, size, source, source_size, target, rate, copies, taken.
+
+    A null text has size 0, a null source is a source of its own. Copies lie between the whole numbers around the
+    rate, so between ``low`` and ``high``; documents without words keep one copy where the bounds allow it. The result depends on ids, sizes
+    and sources only: reruns agree; of repeated rows any may be the one that is corrected. Other columns are ignored.
+    An empty table gives an empty result.
+    """
+    _, rated, fixes = _solve(_sized(docs, id_col, text_col, source_col), weights, budget, low, high)
     out = rated.join(fixes, F.col("at") == F.col("f_at"), "left").withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0)))
-    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias("source"), "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"), *[F.col(f"c_{c}").alias(c) for c in carry or []])
+    return out.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
+
+
+def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, low: float = 0.0, high: float = 2.0) -> DataFrame:
+    """The mixed rows themselves: each row of ``docs``, with all its columns, as often as the mix takes it.
+
+    Whole rows are not shuffled: the number of copies follows from the plan of the row's source and a hash, and from a bounded list of
+    corrections by (id, size, source). Rows that repeat all three are corrected together. Otherwise as ``mix``.
+    """
+    sized = _sized(docs, id_col, text_col, source_col)
+    plan, _, fixes = _solve(sized, weights, budget, low, high)
+    fixes = sized.join(fixes, F.col("at") == F.col("f_at")).groupBy("id", "size", "source").agg(F.first("by").alias("_mix_by"))
+    fixes = fixes.select(F.to_json(F.struct("id", "size", "source"), {"ignoreNullFields": "false"}).alias("_mix_key"), "_mix_by")
+    plan = plan.select(F.col("source").alias("_mix_source"), F.col("unit").alias("_mix_unit"), F.col("lam").alias("_mix_lam"))
+    rows = docs.withColumn("_mix_size", word_count(F.col(text_col))).withColumn("_mix_source", F.col(source_col))
+    rows = lookup(rows, plan, ["_mix_source"], "inner", null_safe=True, salt_by=[id_col])
+    rows = rows.withColumn("_mix_copies", _copies(F.col(id_col), F.col("_mix_size"), _rate(F.col("_mix_lam"), F.col("_mix_size") / F.col("_mix_unit"), low, high), low, high))
+    key = F.struct(F.col(id_col).alias("id"), F.col("_mix_size").alias("size"), F.col("_mix_source").alias("source"))
+    rows = lookup(rows.withColumn("_mix_key", F.to_json(key, {"ignoreNullFields": "false"})), materialize(fixes, "corrected"), ["_mix_key"], "left", salt_by=[id_col])
+    rows = rows.withColumn("_mix_copies", F.col("_mix_copies") + F.coalesce("_mix_by", F.lit(0))).filter("_mix_copies > 0")
+    return rows.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op4_mix_sources")
