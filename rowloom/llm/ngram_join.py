@@ -3,8 +3,8 @@
 Documents with equal shingle sets form a class. Classes are first put into groups: those that share a
 min-hash are compared with one of them, and verified links make a group. Each group keeps the union of its
 members' rarest shingles (the token-group matrix): a set of n shingles can only reach the wanted similarity with
-a set that shares one of its n - ceil(t n) + 1 first shingles in a common order, so a class whose shingles
-meet no other group's union within the bound on sizes and positions opens none of that group's members.
+a set that shares some of its n - ceil(t n) + 1 first shingles in a common order. The shared ones bound the overlap, and a class
+opens the members of another group only where that bound and the sizes allow the similarity.
 Only the qualifying members are compared in full. Members of one group are already linked and never compared again,
 so a large group of copies costs its own size and not the square of it.
 
@@ -127,33 +127,36 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = materialize(set_features(rows, n, num, den, frequent_shingles(rows, n)), "features")
-    classes = found.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("mins").alias("mins"))
-    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-
-    # groups: each class is compared with the first class under each of its min-hashes
-    mins = classes.select("cid", "n", F.posexplode("mins").alias("k", "m"))
+    found = set_features(rows, n, num, den, frequent_shingles(rows, n)).withColumn("at", F.monotonically_increasing_id())
+    found = materialize(found, "features")
+    classes = found.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.min("at").alias("cid"))  # a class is named by one of its rows
+    classes = materialize(classes, "classes")
+    of_class = lookup(found.select("n", "prefix", "mins", F.col("at").alias("cid")), classes.select("cid"), ["cid"], "inner")
+
+    # groups: each class is compared with the first class under each of its min-hashes, if several of them agree
+    mins = of_class.select("cid", "n", F.posexplode("mins").alias("k", "m"))
     hubs = mins.groupBy("k", "m").agg(F.min(F.struct("cid", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     hubs = materialize(hubs.select("k", "m", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
-    stars = lookup(mins, hubs, ["k", "m"], "inner", salt_by=["cid"])
-    stars = stars.filter((F.col("cid") != F.col("hub")) & _size_bound("n", "hub_n", num, den)).select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    links = verified(stars, rows, classes, n, num, den)
+    stars = lookup(mins, hubs, ["k", "m"], "inner", salt_by=["cid"]).filter((F.col("cid") != F.col("hub")) & _size_bound("n", "hub_n", num, den))
+    stars = stars.groupBy(F.col("hub").alias("a"), F.col("cid").alias("b")).agg(F.count(F.lit(1)).alias("same")).filter(F.col("same") >= MIN_HASHES // 2)
+    links = verified(stars.select("a", "b"), rows, classes, n, num, den)
     groups = materialize(components(links, "a", "b"), "groups")
 
-    # the token-group matrix, and what it opens
-    grouped = classes.select("cid", "n", "prefix").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
-    matrix = grouped.select("cid", "n", F.coalesce("root", "cid").alias("grp"), F.posexplode("prefix").alias("at", "token"))
-    left = matrix.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("grp").alias("ga"), F.col("at").alias("ia"))
-    right = matrix.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("gb"), F.col("at").alias("ib"))
-    needed = F.ceil(F.lit(float(num)) * (F.col("na") + F.col("nb")) / F.lit(float(num + den)) - F.lit(1e-9))
-    opened = left.join(right, "token").filter(
-        (F.col("ga") < F.col("gb")) & _size_bound("na", "nb", num, den) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= needed)
-    )
-    more = verified(opened.select("a", "b").distinct(), rows, classes, n, num, den)
+    # the token-group matrix, and what it opens: of two sets, all shared shingles that the pair of prefixes does not show lie behind one of the prefixes
+    grouped = lookup(of_class.select("cid", "n", "prefix"), groups.withColumnRenamed("node", "cid"), ["cid"], "left")
+    matrix = grouped.select("cid", "n", F.coalesce("root", "cid").alias("grp"), F.explode("prefix").alias("token"))
+    left = matrix.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("grp").alias("ga"))
+    right = matrix.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("gb"))
+    shared = left.join(right, "token").filter((F.col("ga") < F.col("gb")) & _size_bound("na", "nb", num, den))
+    shared = shared.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("seen"))
+    behind = lambda m: F.floor((F.col(m) * num + (den - 1)) / F.lit(den)) - 1  # noqa: E731  shingles of a set after its prefix
+    needed = F.col("seen") + F.greatest(behind("na"), behind("nb"))
+    opened = shared.filter(needed * (num + den) >= F.lit(num) * (F.col("na") + F.col("nb"))).select("a", "b")
+    more = verified(opened, rows, classes, n, num, den)
 
     joined = materialize(components(links.unionByName(more), "a", "b"), "components")
-    named = classes.select("cid", "id", "key").join(joined.withColumnRenamed("node", "cid"), "cid", "left")
-    named = named.withColumn("root", F.coalesce("root", "cid"))
+    named = lookup(classes, joined.withColumnRenamed("node", "cid"), ["cid"], "left").withColumn("root", F.coalesce("root", "cid"))
+    named = materialize(named, "rooted")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     named = lookup(named.select("key", "root"), materialize(least, "least-ids"), ["root"], "inner", salt_by=["key"]).select("key", "component_id")
     out = lookup(found.select("id", "n", "key"), materialize(named, "class-components"), ["key"], "left", salt_by=["id"])
