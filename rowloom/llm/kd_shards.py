@@ -9,6 +9,7 @@ are fewer than leaves, reach the driver.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -28,11 +29,18 @@ def text_number(col: Column) -> Column:
     return F.coalesce(F.conv(F.substring(lead, 1, 12), 16, 10).cast("double"), F.lit(-1.0))
 
 
+def small_table(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A short list as a table, spelled out inside the plan."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
+
+
 def _assign(rows: DataFrame, levels: list[list[tuple]]) -> DataFrame:
     """The node of each row under the cuts found so far: a chain of joins with small tables."""
     out = rows.withColumn("node", F.lit(1).cast("bigint"))
     for cuts in levels:
-        small = rows.sparkSession.createDataFrame(cuts, "c_node bigint, c_dim int, c_cut bigint")
+        small = small_table(rows.sparkSession, cuts, "c_node bigint, c_dim int, c_cut bigint")
         out = out.join(F.broadcast(small), F.col("node") == F.col("c_node"), "left")
         right = (F.element_at("keys", F.col("c_dim") + 1) >= F.col("c_cut")).cast("bigint")
         out = out.withColumn("node", F.when(F.col("c_node").isNull(), F.col("node")).otherwise(F.col("node") * 2 + right))
@@ -47,7 +55,7 @@ def _cuts(placed: DataFrame, wanted: dict[int, tuple[int, float]]) -> dict[int,
     found: dict[int, int] = {}
     while state:
         rows = [(n, d, lo, max(1, width // BINS), w) for n, (d, lo, width, w) in state.items()]
-        small = spark.createDataFrame(rows, "s_node bigint, s_dim int, s_lo bigint, s_step bigint, s_want double")
+        small = small_table(spark, rows, "s_node bigint, s_dim int, s_lo bigint, s_step bigint, s_want double")
         inside = placed.join(F.broadcast(small), F.col("node") == F.col("s_node")).withColumn("k", F.element_at("keys", F.col("s_dim") + 1) - F.col("s_lo"))
         inside = inside.filter((F.col("k") >= 0) & (F.col("k") < F.col("s_step") * BINS))
         bins = inside.groupBy("node", "s_step", "s_want", F.call_function("div", F.col("k"), F.col("s_step")).alias("bin")).agg(
@@ -114,7 +122,7 @@ def kd_shards(docs: DataFrame, dims: dict[str, Column], size: Column, id_col: st
         levels.append([(n, wanted[n][0], c) for n, c in sorted(cuts.items())])
         share = {m: p for n in cuts for m, p in ((2 * n, share[n] // 2), (2 * n + 1, share[n] - share[n] // 2))} | {n: p for n, p in share.items() if n not in cuts and p == 1}
     leaves = sorted(share, key=lambda n: [int(c) for c in bin(n)[3:]])
-    small = rows.sparkSession.createDataFrame([(n, i) for i, n in enumerate(leaves)], "leaf bigint, shard int")
+    small = small_table(rows.sparkSession, [(n, i) for i, n in enumerate(leaves)], "leaf bigint, shard int")
     placed = _assign(rows, levels).join(F.broadcast(small), F.col("node") == F.col("leaf")).select("id", "size", "crc", "shard")
     out = number_within(placed, "shard", ["id", "crc"], "slot")
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
