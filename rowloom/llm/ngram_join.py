@@ -103,13 +103,13 @@ def whole_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the similarity."""
+    """The pairs (a, b) of classes whose whole sets reach the similarity. Sets are shuffled to their pairs at every size."""
     pairs = materialize(pairs, "candidates")
     ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
     wanted = materialize(classes.select("cid", "id", "key").join(ends, "cid"), "opened")
     sets = materialize(whole_sets(rows, wanted, n), "sets")
-    left = lookup(pairs, sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), ["a"], "inner", salt_by=["b"])
-    both = lookup(left, sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), ["b"], "inner", salt_by=["a"])
+    left = lookup(pairs, sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), ["a"], "inner", salt_by=["b"], fits=False)
+    both = lookup(left, sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), ["b"], "inner", salt_by=["a"], fits=False)
     both = both.withColumn("i", F.size(F.array_intersect("ta", "tb")).cast("bigint"))
     return materialize(both.filter(F.col("i") * den >= (F.size("ta") + F.size("tb") - F.col("i")) * num).select("a", "b"), "links")
 
@@ -133,12 +133,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = materialize(classes, "classes")
     of_class = lookup(found.select("n", "prefix", "mins", F.col("at").alias("cid")), classes.select("cid"), ["cid"], "inner")
 
-    # groups: each class is compared with the first class under each of its min-hashes, if several of them agree
+    # groups: each class is compared with the first and the last class under each of its min-hashes, if several of them agree
     mins = of_class.select("cid", "n", F.posexplode("mins").alias("k", "m"))
-    hubs = mins.groupBy("k", "m").agg(F.min(F.struct("cid", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    hubs = materialize(hubs.select("k", "m", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
-    stars = lookup(mins, hubs, ["k", "m"], "inner", salt_by=["cid"]).filter((F.col("cid") != F.col("hub")) & _size_bound("n", "hub_n", num, den))
-    stars = stars.groupBy(F.col("hub").alias("a"), F.col("cid").alias("b")).agg(F.count(F.lit(1)).alias("same")).filter(F.col("same") >= MIN_HASHES // 2)
+    ends = F.array(F.min(F.struct("cid", "n")), F.max(F.struct("cid", "n")))
+    hubs = mins.groupBy("k", "m").agg(ends.alias("ends"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    hubs = materialize(hubs.select("k", "m", "ends"), "hubs")
+    stars = lookup(mins, hubs, ["k", "m"], "inner", salt_by=["cid"]).select("cid", "n", F.explode("ends").alias("hub"))
+    stars = stars.select("cid", "n", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"))
+    stars = stars.filter((F.col("cid") != F.col("hub")) & _size_bound("n", "hub_n", num, den))
+    stars = stars.select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("same"))
+    stars = stars.filter(F.col("same") >= 2)
     links = verified(stars.select("a", "b"), rows, classes, n, num, den)
     groups = materialize(components(links, "a", "b"), "groups")
 
