@@ -88,7 +88,7 @@ def drawn(spark, sf):
     joint = materialize(joint_counts(lo, LABEL, COLUMNS), "joint")
     guide = build_guide(triple_bounds(joint), ["pair"])
     ids = table(spark, sf, "orders").select("o_orderkey")
-    return lo, draw_conditions(guide, ids, "o_orderkey", COLUMNS, SEED), joint
+    return lo, draw_conditions(guide, ids, "o_orderkey", COLUMNS, SEED)
 
 
 @query("f_draw_category", f"SELECT o_orderkey, pair, label, a, b FROM {draws_sql()}")
@@ -102,12 +102,12 @@ def f_draw_category(spark, sf):
     FROM {with_u(draws_sql(), ['o_orderkey'], SEED, 'member', 'um')} d JOIN {members_sql()} m
       ON d.pair = m.pair AND d.label = m.label AND d.a = m.a AND d.b = m.b AND m.ordinal = {below('um', 'd.n')}""")
 def f_sample_rows(spark, sf):
-    lo, draws, joint = drawn(spark, sf)
-    return sample_rows(lo, LABEL, COLUMNS, RK, draws.drop("n"), "o_orderkey", SEED, joint=joint)
+    lo, draws = drawn(spark, sf)
+    return sample_rows(lo, LABEL, COLUMNS, RK, draws.drop("n"), "o_orderkey", SEED)
 
 
 @query("f_draw_original", f"""
-    WITH rows AS (SELECT *, row_number() OVER (ORDER BY {RK_SQL}) - 1 AS k, count(*) OVER () AS total FROM {LO_SQL}),
+    WITH rows AS (SELECT *, row_number() OVER (ORDER BY {RK_SQL}, {', '.join(f'{c}::VARCHAR' for c in [LABEL, *COLUMNS])}) - 1 AS k, count(*) OVER () AS total FROM {LO_SQL}),
     d AS (SELECT o_orderkey, {below('um', '(SELECT count(*) FROM lineitem)')} AS k, {below('up', '3')} AS p
           FROM {with_u(with_u('(SELECT o_orderkey FROM orders)', ['o_orderkey'], SEED, 'member', 'um'), ['o_orderkey'], SEED, 'pair', 'up')})
     SELECT d.o_orderkey, [{', '.join(f"'{x}|{y}'" for x, y in PAIRS)}][p + 1] AS pair, {LABEL} AS label,
@@ -142,7 +142,7 @@ _POSITIONS = " UNION ALL ".join(
         any_value('1' || CASE pair {' '.join(f"WHEN '{x}|{y}' THEN '{''.join(str(int(c in (x, y))) for c in COLUMNS)}'" for x, y in PAIRS)} END) AS mask
     FROM {draws_sql()}, ({_POSITIONS}) GROUP BY o_orderkey""")
 def f_condvec(spark, sf):
-    lo, draws, _ = drawn(spark, sf)
+    lo, draws = drawn(spark, sf)
     out = condition_vector(draws, LABEL, COLUMNS, categories_of(lo, [LABEL, *COLUMNS]))
     return out.select("o_orderkey", _bits(F.col("vector")).alias("bits"), _bits(F.col("mask")).alias("mask"))
 
@@ -159,7 +159,7 @@ def f_fixed_condvec(spark, sf):
 
 @query("f_decode_label", f"SELECT o_orderkey, label FROM {draws_sql()}")
 def f_decode_label(spark, sf):
-    lo, draws, _ = drawn(spark, sf)
+    lo, draws = drawn(spark, sf)
     cats = categories_of(lo, [LABEL, *COLUMNS])
     vectors = condition_vector(draws, LABEL, COLUMNS, cats).select("o_orderkey", "vector")
     return decode_label(vectors, "vector", cats[LABEL]).select("o_orderkey", "label")

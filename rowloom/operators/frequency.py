@@ -7,12 +7,10 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numbers import column
-from ..functions.random import index_below, uniform
 from ..session import materialize
 from .intervals import cumulative
 from .joins import lookup
-
-ROWS_PER_BUCKET = 1_000_000
+from .ordinals import _ranged
 
 
 def text_of(df: DataFrame, name: str):
@@ -76,70 +74,32 @@ def triple_bounds(joint: DataFrame) -> DataFrame:
     return cumulative(joint, ["pair"], ["label", "a", "b"])
 
 
-def group_sizes(rows: DataFrame, group: list[str]) -> DataFrame:
-    """(group, _n), written: one map-side combined count."""
-    return materialize(rows.groupBy(*group).agg(F.count(F.lit(1)).cast("bigint").alias("_n")), "sizes")
-
-
-def hot_groups(sizes: DataFrame, rows_per_bucket: int) -> DataFrame | None:
-    """(group, _parts) of the groups too large for one task, None if there are none.
+def placed_rows(rows: DataFrame, group: list[str], ids: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows range-partitioned and sorted by (group, ids), and the (group, _part, _count, _first, _offset) of what each
+    partition holds of each group.
 
-    There are at most total rows / rows_per_bucket of them.
+    ``_at`` numbers the rows of a partition, ``_first`` is the number of a group's first row there, ``_offset`` its rows in the partitions
+    before. The ids split a group of any size over partitions, and the order is by ids at every size. Only the
+    groups at the edges of a partition lie in several.
     """
-    most = sizes.agg(F.max("_n")).first()[0] or 0
-    if most <= rows_per_bucket:
-        return None
-    parts = F.ceil(F.col("_n") / F.lit(rows_per_bucket)).cast("bigint")
-    return materialize(sizes.filter(F.col("_n") > rows_per_bucket).withColumn("_parts", parts).drop("_n"), "hot")
+    placed = _ranged(rows, [*group, *ids]).withColumn("_part", F.shiftright("_at", 33))
+    parts = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_count"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_offset", F.coalesce(F.sum("_count").over(before), F.lit(0)).cast("bigint"))
+    return placed, materialize(parts, "placed-parts")
 
 
-def with_parts(rows: DataFrame, group: list[str], ids: list[str], hot: DataFrame, seed: int) -> DataFrame:
-    """Add the hashed ``_part`` of each row inside its group; 0 for groups of normal size.
-
-    A hot group is cut by the hash of the row id, so a group with a third of the table is
-    ranked by as many tasks as it needs.
-    """
-    if group:
-        rows = lookup(rows, hot, group, null_safe=True, salt_by=ids)
-    else:
-        rows = rows.withColumn("_parts", F.lit(hot.first()["_parts"]))
-    part = index_below(uniform(seed, "part", *ids), F.coalesce(F.col("_parts"), F.lit(1).cast("bigint")))
-    return rows.withColumn("_part", part).drop("_parts")
+def group_ordinals(rows: DataFrame, group: list[str], ids: list[str], name: str = "ordinal") -> DataFrame:
+    """Number the rows of each group 0..n-1 in the order of their ids, without collecting a group."""
+    placed, parts = placed_rows(rows, group, ids)
+    out = lookup(placed, parts.select(*group, "_part", "_first", "_offset"), [*group, "_part"], how="inner", null_safe=True, salt_by=["_at"])
+    return out.withColumn(name, (F.col("_offset") + F.col("_at") - F.col("_first")).cast("bigint")).drop("_at", "_part", "_first", "_offset")
 
 
-def part_offsets(parts: DataFrame, group: list[str]) -> DataFrame:
-    """(group, _part, _count, _offset): rows of the part and of the parts before; the window
-    runs over parts, not rows."""
-    counts = parts.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_count"))
-    w = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_offset", F.coalesce(F.sum("_count").over(w), F.lit(0)).cast("bigint"))
-
-
-def group_ordinals(rows: DataFrame, group: list[str], ids: list[str], name: str = "ordinal", seed: int = 0,
-                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Number the rows of each group 0..n-1 in the order of (part, ids), without collecting a group.
-
-    Groups of normal size have one part and are ordered by their ids alone.
-    """
-    hot = hot_groups(group_sizes(rows, group), rows_per_bucket)
-    if hot is None:
-        w = Window.partitionBy(*group).orderBy(*ids)
-        return rows.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
-    parted = with_parts(rows, group, ids, hot, seed)
-    large = lookup(parted, hot.drop("_parts"), group, how="left_semi", null_safe=True, salt_by=ids) if group else parted
-    offsets = materialize(part_offsets(large, group).drop("_count"), "offsets")
-    w = Window.partitionBy(*group, "_part").orderBy(*ids)
-    ranked = parted.withColumn("_rank", F.row_number().over(w) - 1)
-    out = lookup(ranked, offsets, group + ["_part"], null_safe=True, salt_by=ids)
-    number = F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_rank")
-    return out.withColumn(name, number.cast("bigint")).drop("_rank", "_offset", "_part")
-
-
-def triple_ordinals(df: DataFrame, label: str, columns: list[str], ids: list[str], seed: int = 0,
-                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def triple_ordinals(df: DataFrame, label: str, columns: list[str], ids: list[str]) -> DataFrame:
     """(ids, pair, label, a, b, ordinal): the rows that carry each triple, numbered."""
     rows = _pair_rows(df, label, columns, ids)
-    return group_ordinals(rows, ["pair", "label", "a", "b"], ids, "ordinal", seed, rows_per_bucket)
+    return group_ordinals(rows, ["pair", "label", "a", "b"], ids, "ordinal")
 
 
 def labels_by_appearance(df: DataFrame, label: str, order_by: str) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.random import index_below, uniform
 from ..functions.vectors import one_hot
 from ..session import materialize
-from .frequency import (
-    ROWS_PER_BUCKET, _pair_rows, group_sizes, hot_groups, pair_names, part_offsets, text_of, with_parts,
-)
+from .frequency import _pair_rows, pair_names, placed_rows, text_of
 from .intervals import Guide, build_guide, cumulative, pick
 from .joins import lookup
 
@@ -38,76 +36,55 @@ def draw_conditions(guide: Guide, ids: DataFrame, id_col: str, columns: list[str
 
 
 def draw_members(df: DataFrame, group: list[str], ids: list[str], draws: DataFrame, draw_ids: list[str], seed: int,
-                 rows_per_bucket: int = ROWS_PER_BUCKET, prefix: str = "row", carry: list[str] = (),
-                 sizes: DataFrame | None = None) -> DataFrame:
+                 prefix: str = "row", carry: list[str] = ()) -> DataFrame:
     """For every draw one row of its group, uniformly; adds ``<prefix>_<id>`` columns and the
     row's ``carry`` columns.
 
-    A draw becomes a rank in its group. Groups too large for one task are cut into hashed
-    parts; there the rank is turned into (part, rank in part) through the part sizes, and only
-    the parts that were drawn are ranked. Draws whose group has no rows are dropped. ``sizes``
-    (group, _n) spares the count when the caller has it.
+    A draw becomes a rank in its group, in the order of the ids; equal ids are ordered by the carried columns. Rows are placed once, in
+    that order. The rank is the place of a row unless the group lies in several partitions: then it falls into one of them by the
+    counts, of which there are no more than partitions. Draws whose group has no rows are dropped.
     """
-    rows = df.select(*group, *ids, *carry)
-    sizes = group_sizes(rows, group) if sizes is None else sizes
-    hot = hot_groups(sizes, rows_per_bucket)
+    placed, parts = placed_rows(df.select(*group, *ids, *carry), group, [*ids, *carry])
     u = uniform(seed, "member", *draw_ids)
+    sizes = materialize(
+        parts.groupBy(*group).agg(F.sum("_count").cast("bigint").alias("_n"), F.count(F.lit(1)).alias("_parts"), F.min("_first").alias("_start")), "sizes"
+    )
     if group:
         located = lookup(draws, sizes, group, how="inner", null_safe=True, salt_by=draw_ids)
     else:
-        located = draws.withColumn("_n", F.lit(sizes.first()["_n"])).filter(F.col("_n") > 0)
+        located = draws.join(F.broadcast(sizes.filter("_n > 0")))  # one row
     located = located.withColumn("_rank", index_below(u, F.col("_n"))).drop("_n")
-    if hot is None:
-        parted, keys = rows, group
+    wide = sizes.filter("_parts > 1").drop("_n", "_parts", "_start")
+    if not sizes.filter("_parts > 1").isEmpty():
+        wide = lookup(parts, materialize(wide, "wide"), group, how="left_semi", null_safe=True) if group else parts
+        guide = build_guide(cumulative(materialize(wide, "wide-parts"), group, ["_part"], "_count"), group)
+        located = pick(located, guide, u, how="left")
+        inside = F.least(F.greatest(F.col("_rank") - F.col("_offset"), F.lit(0)), F.col("_count") - 1)
+        place = F.when(F.col("_first").isNull(), F.col("_start") + F.col("_rank")).otherwise(F.col("_first") + inside)
+        located = located.withColumn("_place", place).drop("_part", "_first", "_offset", "_count")
     else:
-        parted, keys = materialize(with_parts(rows, group, ids, hot, seed), "parts"), group + ["_part"]
-        large = lookup(parted, hot.drop("_parts"), group, how="left_semi", null_safe=True, salt_by=ids) if group else parted
-        bounds = cumulative(materialize(part_offsets(large, group), "offsets"), group, ["_part"], "_count")
-        located = pick(located, build_guide(bounds, group), u, how="left")
-        rank = F.least(F.greatest(F.col("_rank") - F.col("_offset"), F.lit(0)), F.col("_count") - 1)
-        located = located.withColumns({
-            "_rank": F.when(F.col("_part").isNull(), F.col("_rank")).otherwise(rank).cast("bigint"),
-            "_part": F.coalesce(F.col("_part"), F.lit(0).cast("bigint")),
-        }).drop("_offset", "_count")
-        used = materialize(located.select(*keys).distinct(), "used")
-        parted = lookup(parted, used, keys, how="left_semi", null_safe=True, salt_by=ids)
-    w = Window.partitionBy(*keys).orderBy(*ids)
-    ranked = parted.withColumn("_rank", (F.row_number().over(w) - 1).cast("bigint"))
-    side = ranked.select(
-        *[F.col(f"`{c}`").alias(f"_m_{c}") for c in keys + ["_rank"]],
-        *[F.col(f"`{c}`").alias(f"{prefix}_{c}") for c in ids],
-        *carry,
-    )
-    test = None
-    for c in keys + ["_rank"]:
-        t = F.col(f"`{c}`").eqNullSafe(F.col(f"`_m_{c}`"))
-        test = t if test is None else test & t
-    return located.join(side, test).drop("_part", "_rank", *[f"_m_{c}" for c in keys + ["_rank"]])
+        located = located.withColumn("_place", F.col("_start") + F.col("_rank"))
+    side = placed.select(F.col("_at").alias("_m_at"), *[F.col(f"`{c}`").alias(f"{prefix}_{c}") for c in ids], *carry)
+    return located.join(side, F.col("_place") == F.col("_m_at")).drop("_m_at", "_place", "_rank", "_parts", "_start")
 
 
-def sample_rows(df: DataFrame, label: str, columns: list[str], ids: list[str], drawn: DataFrame, draw_id: str,
-                seed: int, rows_per_bucket: int = ROWS_PER_BUCKET, joint: DataFrame | None = None) -> DataFrame:
-    """For every drawn (pair, label, a, b) the id of one real row that carries it, uniformly.
-
-    ``joint``, the written joint counts of the same rows, spares counting them again.
-    """
+def sample_rows(df: DataFrame, label: str, columns: list[str], ids: list[str], drawn: DataFrame, draw_id: str, seed: int) -> DataFrame:
+    """For every drawn (pair, label, a, b) the id of one real row that carries it, uniformly."""
     wanted = drawn.select("pair").distinct()
     rows = _pair_rows(df, label, columns, ids)
     rows = rows.join(F.broadcast(wanted), "pair", "left_semi")
-    group = ["pair", "label", "a", "b"]
-    sizes = None if joint is None else joint.select(*group, F.col("n").alias("_n"))
-    return draw_members(rows, group, ids, drawn, [draw_id], seed, rows_per_bucket, sizes=sizes)
+    return draw_members(rows, ["pair", "label", "a", "b"], ids, drawn, [draw_id], seed)
 
 
-def draw_original(df: DataFrame, label: str, columns: list[str], ids: list[str], draws: DataFrame, draw_id: str,
-                  seed: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def draw_original(df: DataFrame, label: str, columns: list[str], ids: list[str], draws: DataFrame, draw_id: str, seed: int) -> DataFrame:
     """For every draw a uniform source row; its label and the values of two drawn columns."""
-    values = F.create_map(*[x for c in columns for x in (F.lit(c), text_of(df, c))])
-    source = df.select(*ids, text_of(df, label).alias("label"), values.alias("_values"))
-    picked = draw_members(source, [], ids, draws, [draw_id], seed, rows_per_bucket, carry=["label", "_values"])
+    values = {c: f"_v{i}" for i, c in enumerate(columns)}
+    source = df.select(*ids, text_of(df, label).alias("label"), *[text_of(df, c).alias(v) for c, v in values.items()])
+    picked = draw_members(source, [], ids, draws, [draw_id], seed, carry=["label", *values.values()])
     out = with_pair(picked, draw_id, columns, seed)
     first, second = pair_columns()
-    return out.withColumns({"a": F.col("_values")[first], "b": F.col("_values")[second]}).drop("_values")
+    value = lambda name: F.coalesce(*[F.when(name == c, F.col(v)) for c, v in values.items()])
+    return out.withColumns({"a": value(first), "b": value(second)}).drop(*values.values())
 
 
 def condition_vector(drawn: DataFrame, label: str, columns: list[str], categories: dict[str, list],
