@@ -127,6 +127,10 @@ class Profile:
             quota = list(unseen)
         elif labels:
             given, quota = True, [str(x) for x in labels]
+            asked = spark.createDataFrame([(x,) for x in set(quota)], "label string")
+            strange = asked.join(model.counts.select("label"), "label", "left_anti").limit(5).collect()
+            if strange:
+                raise ValueError(f"labels that were never learned: {sorted(r['label'] for r in strange)}")
         make = self._generator(model, seed, ["cand_id"], given)
         if quota is not None:
             table = spark.createDataFrame([(str(x), i) for i, x in enumerate(quota)], "label string, position bigint")

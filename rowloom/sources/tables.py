@@ -68,11 +68,14 @@ def _typed(field: FieldSpec) -> Column:
     return raw
 
 
-def read_table(spark: SparkSession, spec: TableSpec, root: str = "") -> DataFrame:
-    """The table's CSV as a lazy frame with the declared types."""
+def read_table(spark: SparkSession, spec: TableSpec, root: str = "", multi_line: bool = True) -> DataFrame:
+    """The table's CSV as a lazy frame with the declared types.
+
+    Doubled quotes and quoted line breaks belong to the value. ``multi_line=False`` keeps large files splittable when no value holds a line break.
+    """
     path = f"{root.rstrip('/')}/{spec.path}" if root else spec.path
     schema = T.StructType([T.StructField(f.name, _read_as(f)) for f in spec.fields])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"').option("multiLine", multi_line).csv(path)
     return raw.select(*[_typed(f).alias(f.name) for f in spec.fields])
 
 
@@ -90,7 +93,7 @@ def write_rows(df: DataFrame, path: str, fmt: str = "csv", partition_by=None, mo
     if partition_by:
         writer = writer.partitionBy(partition_by)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("escape", '"').csv(path)
     elif fmt == "parquet":
         writer.parquet(path)
     else:
