@@ -7,12 +7,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 _MASK = (1 << 64) - 1
 
 
 def pieces(batch: pa.RecordBatch, text_col: str, limit: int = PIECE_BYTES):
-    """Slices of a batch with about ``limit`` bytes of text, one whole row at least."""
+    """Slices of a batch with about ``limit`` bytes of text, one whole row at least.
+
+    Workers live on from stage to stage, so memory that a batch no longer uses is given back at its end.
+    """
     sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
@@ -22,6 +25,7 @@ def pieces(batch: pa.RecordBatch, text_col: str, limit: int = PIECE_BYTES):
         held += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
