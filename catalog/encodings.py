@@ -192,22 +192,18 @@ def _name_sql(first, last):
             f"{_list(_W['last'])}[{below(last, str(len(_W['last'])))} + 1]")
 
 
-_MAP = f"SELECT c_name AS value, {_name_sql(_keyed('s', 'first', 'c_name'), _keyed('s', 'last', 'c_name'))} AS fake FROM customer WHERE c_acctbal >= 0"
-
-
-def _map(spark, sf):
-    c = table(spark, sf, "customer")
-    return c, anon_map(c.filter("c_acctbal >= 0"), "c_name", "name", "s")
+_MAP = f"SELECT c_name AS value, {_name_sql(_keyed('s', 'first', 'c_name'), _keyed('s', 'last', 'c_name'))} AS fake FROM customer"
 
 
 @query("a_map", _MAP)
 def a_map(spark, sf):
-    return _map(spark, sf)[1]
+    return anon_map(table(spark, sf, "customer"), "c_name", "name", "s")
 
 
-@query("a_apply", f"SELECT c_custkey, fake AS c_name FROM customer LEFT JOIN ({_MAP}) ON value = c_name")
+@query("a_apply", f"SELECT c_custkey, fake AS c_name FROM customer LEFT JOIN ({_MAP} WHERE c_acctbal >= 0) ON value = c_name")
 def a_apply(spark, sf):
-    c, names = _map(spark, sf)
+    c = table(spark, sf, "customer")
+    names = anon_map(c.filter("c_acctbal >= 0"), "c_name", "name", "s")  # values never seen become null
     return anonymize(c, {"c_name": names}).select("c_custkey", "c_name")
 
 

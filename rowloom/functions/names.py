@@ -78,15 +78,18 @@ _MAKERS = {
 def fake(category, u: Uniform, locale: str | list[str] | None = None) -> Column:
     """Fake value of ``category``; a tuple gives the category and its arguments.
 
-    ``u`` maps the name of a random stream to a uniform number of the row.
+    ``u`` maps the name of a random stream to a uniform number of the row. Of several locales each row draws one.
     """
     name, *args = category if isinstance(category, (tuple, list)) else (category,)
-    locale = locale[0] if isinstance(locale, (list, tuple)) else locale or "en_US"
+    locales = list(locale) if isinstance(locale, (list, tuple)) else [locale]
+    locales = [x or "en_US" for x in locales] or ["en_US"]
     if name not in _MAKERS:
         raise ValueError(f'unknown category "{name}" of fake values')
-    if locale not in WORDS:
-        raise ValueError(f'unknown locale "{locale}" of fake values')
-    return _MAKERS[name](WORDS[locale], u, *args)
+    for x in locales:
+        if x not in WORDS:
+            raise ValueError(f'unknown locale "{x}" of fake values')
+    made = [_MAKERS[name](WORDS[x], u, *args) for x in locales]
+    return made[0] if len(made) == 1 else F.element_at(F.array(*made), (index_below(u("locale"), len(made)) + 1).cast("int"))
 
 
 def keyed_uniform(value: Column, salt: str) -> Uniform:

@@ -171,7 +171,8 @@ def complete_conditions(conditions: DataFrame, constraint, seed: int = 0, id_col
     given = [c for c in constraint.columns if c in names]
     wanted = [c for c in constraint.columns if c not in names]
     if id_col is None:
-        keyed = dense_index(conditions, names, "_cond")
+        placed = materialize(conditions.withColumn("_place", F.monotonically_increasing_id()), "placed")  # splits equal rows
+        keyed = dense_index(placed, [*names, "_place"], "_cond").drop("_place")
         keyed = materialize(keyed, "conditions")
     else:
         keyed = conditions.withColumn("_cond", F.col(f"`{id_col}`").cast("bigint"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..errors import NotFittedError
 from ..functions.numbers import as_number, back_to, column, from_micros, is_time, round_even, time_number
 from ..functions.random import uniform
-from ..functions.vectors import argmax, one_hot
+from ..functions.vectors import argmax, one_hot_index
 from ..session import materialize
 from ..spec import TableSpec
 from .frequency import text_of
@@ -23,7 +23,6 @@ from .joins import lookup
 from .ordinals import dense_index
 
 MAX_DECIMALS = 15  # fixed value: decimals looked at when learning the rounding
-ONE_HOT_WIDTH = 10_000
 
 
 class Encoder:
@@ -152,27 +151,6 @@ class UnixTs(Encoder):
         return from_micros(F.rint(vector[0] / 1000.0), self.type)
 
 
-class OneHotEnc(Encoder):
-    """One place per category, in order of appearance; an unseen value is all zero."""
-
-    kind = "softmax"
-    uses_categories = True
-
-    def learn_categories(self, table):
-        top = table.orderBy("first_at", "value").limit(ONE_HOT_WIDTH + 1).collect()
-        if len(top) > ONE_HOT_WIDTH:
-            raise ValueError(f"column {self.name} has more than {ONE_HOT_WIDTH} categories; use LabelEnc")
-        self.categories = [r["value"] for r in top]
-        self.width = len(self.categories)
-
-    def encoded(self, df):
-        return one_hot(text_of(df, self.name), self.categories)
-
-    def decoded(self, vector):
-        table = F.array(*[F.lit(c).cast("string") for c in self.categories])
-        return F.element_at(table, argmax(vector) + 1).cast(self.type)
-
-
 class LabelEnc(Encoder):
     """The position of the category in order of appearance; any number of categories."""
 
@@ -192,6 +170,29 @@ class LabelEnc(Encoder):
         return found.withColumn(out, F.col("value").cast(self.type)).drop("value", "code")
 
 
+class OneHotEnc(LabelEnc):
+    """One place per category, in order of appearance; an unseen value is all zero.
+
+    The categories stay in a table of (value, code), so the plan does not grow with their number.
+    """
+
+    kind = "softmax"
+
+    def learn_categories(self, table):
+        super().learn_categories(table)
+        self.width = self.table.count()
+
+    def encode(self, df, out, ids=()):
+        if not self.width:
+            return df.withColumn(out, F.array().cast("array<double>"))
+        coded = super().encode(df, "_code", ids)
+        return coded.withColumn(out, one_hot_index(F.coalesce(F.col("_code")[0], F.lit(-1.0)).cast("int"), self.width)).drop("_code")
+
+    def decode(self, df, vector, out):
+        best = df.withColumn("_best", F.array(argmax(F.col(vector)).cast("double")))
+        return super().decode(best, "_best", out).drop("_best")
+
+
 class UniformCat(Encoder):
     """A number drawn inside the category's interval, as wide as its frequency."""
 

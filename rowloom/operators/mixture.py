@@ -6,6 +6,7 @@ maximisation then runs on at most a few thousand bins per column.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,7 +71,7 @@ def _number(df: DataFrame, name: str) -> Column:
     return time_number(df, name).cast("double") if is_time(df.schema[name].dataType) else as_number(df, name)
 
 
-def _em(pdf: pd.DataFrame, clusters: int, threshold: float) -> pd.DataFrame:
+def _em(pdf: pd.DataFrame, clusters: int, threshold: float, iterations: int = ITERATIONS) -> pd.DataFrame:
     pdf = pdf.sort_values("bin")
     n = pdf["n"].to_numpy(float)
     x = pdf["total"].to_numpy(float) / n
@@ -83,7 +84,8 @@ def _em(pdf: pd.DataFrame, clusters: int, threshold: float) -> pd.DataFrame:
     stds = np.full(k, spread / max(k, 1) + 1e-12)
     weights = np.full(k, 1.0 / k)
     tiny = (spread * 1e-4 + 1e-12) ** 2
-    for _ in range(ITERATIONS):
+    converged = False
+    for _ in range(iterations):
         logs = np.log(weights) - np.log(stds) - 0.5 * ((x[:, None] - means) ** 2 + inner[:, None]) / stds**2
         resp = np.exp(logs - logs.max(axis=1, keepdims=True))
         resp = resp / resp.sum(axis=1, keepdims=True) * n[:, None]
@@ -93,28 +95,30 @@ def _em(pdf: pd.DataFrame, clusters: int, threshold: float) -> pd.DataFrame:
         moved = np.abs(new_means - means).max()
         means, stds, weights = new_means, np.sqrt(np.maximum(var, tiny)), mass / mass.sum()
         if moved < spread * 1e-7:
+            converged = True
             break
     keep = weights > threshold
     weights = weights[keep] / weights[keep].sum()
     order = np.argsort(means[keep], kind="stable")
     return pd.DataFrame({
         "column": pdf["column"].iloc[0], "component": np.arange(keep.sum()),
-        "mean": means[keep][order], "std": stds[keep][order], "weight": weights[order],
+        "mean": means[keep][order], "std": stds[keep][order], "weight": weights[order], "converged": converged,
     })
 
 
 def mixture_table(df: DataFrame, columns: list[str], max_clusters: int = MAX_CLUSTERS,
-                  weight_threshold: float = WEIGHT_THRESHOLD) -> DataFrame:
-    """(column, component, mean, std, weight): fitted components of every column.
+                  weight_threshold: float = WEIGHT_THRESHOLD, bins: int = BINS, iterations: int = ITERATIONS) -> DataFrame:
+    """(column, component, mean, std, weight, converged): fitted components of every column.
 
-    Each task of the grouped step sees the at most 2,000 bins of one column.
+    Each task of the grouped step sees the at most ``bins`` bins of one column. ``converged`` is false where the means still
+    moved after ``iterations`` steps.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _em(pdf, max_clusters, weight_threshold)
+        return _em(pdf, max_clusters, weight_threshold, iterations)
 
-    return histogram(df, columns).groupBy("column").applyInPandas(
-        fit, "column string, component int, mean double, std double, weight double"
+    return histogram(df, columns, bins).groupBy("column").applyInPandas(
+        fit, "column string, component int, mean double, std double, weight double, converged boolean"
     )
 
 
@@ -126,6 +130,8 @@ def fit_mixtures(df: DataFrame, columns: list[str], **kwargs) -> dict[str, Mixtu
     out = {}
     for c, rows in found.items():
         rows = sorted(rows, key=lambda r: r["component"])
+        if not all(r["converged"] for r in rows):
+            warnings.warn(f"the mixture of {c} has not converged", stacklevel=2)
         out[c] = Mixture([r["mean"] for r in rows], [r["std"] for r in rows], [r["weight"] for r in rows])
     return out
 

@@ -82,7 +82,8 @@ def private_freq(df: DataFrame, label: str, columns: list[str], entity: str, ord
     """(pair, label, a, b, noisy, p, epsilon): joint frequencies with normal noise.
 
     Counts are floored at zero and renormalised within the pair. Without a seed a secret
-    random one is drawn.
+    random one is drawn. The epsilon holds only if ``domain`` names the label and every column; otherwise the cells
+    tell which categories occur, and it is null.
     """
     seed = secret_seed() if seed is None else seed
     needed = list(dict.fromkeys([entity, *order_by, label, *columns]))
@@ -98,8 +99,9 @@ def private_freq(df: DataFrame, label: str, columns: list[str], entity: str, ord
     deviation = sigma * max_rows_per_entity * math.sqrt(len(pair_names(columns)))
     noise = normal(seed, "noise", "cell") * F.lit(deviation)
     full = full.withColumn("noisy", F.greatest(F.coalesce(F.col("n"), F.lit(0)) + noise, F.lit(0.0)))
+    loss = epsilon(sigma, delta) if {label, *columns} <= set(domain or {}) else None
     totals = full.groupBy("pair").agg(F.sum("noisy").alias("_total"))
     out = full.join(F.broadcast(totals), "pair")
     return out.select(
-        "pair", "label", "a", "b", "noisy", F.try_divide("noisy", "_total").alias("p"), F.lit(epsilon(sigma, delta)).alias("epsilon")
+        "pair", "label", "a", "b", "noisy", F.try_divide("noisy", "_total").alias("p"), F.lit(loss).cast("double").alias("epsilon")
     )

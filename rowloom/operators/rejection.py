@@ -66,10 +66,11 @@ def next_batch(wanted: int, valid: int, tried: int, multiplier: int = MAX_ROWS_M
 
 def sample_valid(spark: SparkSession, generator: Generator, constraints, n: int, max_retries: int = MAX_RETRIES,
                  max_rows_multiplier: int = MAX_ROWS_MULTIPLIER, conditions: dict | None = None,
-                 rtol: float = FLOAT_RTOL, id_col: str = "cand_id") -> DataFrame:
-    """The first ``n`` generated rows that hold; fewer if the retries run out.
+                 rtol: float = FLOAT_RTOL, id_col: str = "cand_id", graceful: bool = False) -> DataFrame:
+    """The first ``n`` generated rows that hold.
 
-    ``generator`` maps a frame of candidate ids to rows that keep the id column.
+    ``generator`` maps a frame of candidate ids to rows that keep the id column. When the retries run out before ``n`` rows
+    hold, that is an error, or with ``graceful`` a warning and fewer rows.
     """
     if n <= 0:
         return generator(spark.range(0, 0).withColumnRenamed("id", id_col))
@@ -95,6 +96,11 @@ def sample_valid(spark: SparkSession, generator: Generator, constraints, n: int,
         if valid >= n:
             break
         batch = next_batch(n, valid, tried, max_rows_multiplier)
+    if valid < n:
+        said = f"{n - valid} rows of {n} are still missing after {max_retries} retries"
+        if not graceful:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
     return first_rows(reduce(DataFrame.unionByName, parts), id_col, n)
 
 
@@ -134,7 +140,9 @@ def make_conditions(spark: SparkSession, conditions, n: int | None = None) -> Da
             raise ValueError("the number of rows must be None or match the conditions")
         if "cond_id" in conditions.columns:
             return conditions
-        return dense_index(conditions, conditions.columns, "cond_id")
+        # the place of a row splits a condition that many rows share; it is written, so that it stays the same
+        placed = materialize(conditions.withColumn("_place", F.monotonically_increasing_id()), "placed")
+        return dense_index(placed, [*conditions.columns, "_place"], "cond_id").drop("_place")
     raise TypeError("conditions are a frame, a dictionary or a series")
 
 

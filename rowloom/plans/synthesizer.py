@@ -112,7 +112,8 @@ class Profile:
 
         ``labels`` / ``unseen`` restrict the labels, with near-equal shares; unseen labels are
         generated from the mix of their ``k`` nearest seen labels. ``conditions`` asks for one
-        row per condition. ``sort`` orders by label (conditions: by their order).
+        row per condition. ``sort`` orders by label (conditions: by their order). Rows that are still missing when the
+        retries run out are an error, or a warning with ``graceful``.
         """
         spark = spark or self._spark()
         if conditions is not None:
@@ -139,7 +140,7 @@ class Profile:
                 return make(label_quota(table, ids, "cand_id"))
         else:
             source = make
-        rows = sample_valid(spark, source, self.constraints, n, max_retries, max_rows_multiplier)
+        rows = sample_valid(spark, source, self.constraints, n, max_retries, max_rows_multiplier, graceful=graceful)
         rows = self._with_ids(rows, "cand_id") if self.spec.names() != self.spec.names(ids=False) else rows
         out = rows.select(*[F.col(f"`{c}`") for c in self.spec.names()])
         return out.orderBy(self.label) if sort else out

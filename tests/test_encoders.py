@@ -64,7 +64,7 @@ def words(spark):
 
 def test_one_hot_and_label_follow_appearance(spark, words):
     hot = OneHotEnc().fit(words, "x", "id")
-    assert hot.categories == ["c", "b", None, "a"] and hot.width == 4
+    assert rows(hot.table.select("code", "value")) == [(0, "c"), (1, "b"), (2, None), (3, "a")] and hot.width == 4
     assert codes(hot, words)[:3] == [[1, 0, 0, 0], [0, 1, 0, 0], [0, 1, 0, 0]]
     assert back(hot, words) == ["c", "b", "b", None, "a"]
     other = spark.createDataFrame([(1, "zzz")], "id int, x string")
@@ -75,6 +75,15 @@ def test_one_hot_and_label_follow_appearance(spark, words):
     assert codes(label, other) == [[None]]
 
 
+def test_one_hot_of_many_categories(spark):
+    wide = spark.range(12_000).select("id", F.concat(F.lit("v"), "id").alias("x"))
+    hot = OneHotEnc().fit(wide, "x", "id")
+    some = hot.encode(wide.filter("id IN (0, 11999)"), "c")
+    assert hot.width == 12_000
+    assert sorted(r[0] for r in some.select(F.array_position("c", 1.0)).collect()) == [1, 12_000]
+    assert sorted(r[0] for r in hot.decode(some.drop("x"), "c", "x").select("x").collect()) == ["v0", "v11999"]
+
+
 def test_uniform_category(spark):
     df = spark.range(4000).withColumn("x", F.when(F.col("id") % 4 == 0, "rare").otherwise("often"))
     enc = UniformCat(seed=2).fit(df, "x")

@@ -119,14 +119,27 @@ def test_first_valid_candidates_in_order(spark):
     every = maker(spark.range(200_000).withColumnRenamed("id", "cand_id")).filter("v BETWEEN 0.3 AND 0.4")
     assert rows(got, "cand_id") == [tuple(r) for r in every.orderBy("cand_id").limit(2000).collect()]
     assert sample_valid(spark, maker, [], 0).count() == 0
-    few = sample_valid(spark, maker, [Between("v", 2, 3, handling="reject_sampling")], 10, max_retries=2)
-    assert few.count() == 0
+    never = [Between("v", 2, 3, handling="reject_sampling")]
+    with pytest.raises(ValueError, match="10 rows of 10"):
+        sample_valid(spark, maker, never, 10, max_retries=2)
+    with pytest.warns(UserWarning, match="still missing"):
+        assert sample_valid(spark, maker, never, 10, max_retries=2, graceful=True).count() == 0
+
+
+def test_equal_conditions_are_numbered_in_many_tasks(spark):
+    same = spark.range(20_000).select(F.when(F.col("id") % 5 < 3, "hot").otherwise("cold").alias("c"))
+    got = make_conditions(spark, same)
+    assert got.agg(F.min("cond_id"), F.max("cond_id"), F.countDistinct("cond_id")).first() == (0, 19_999, 20_000)
+    assert got.filter("c = 'hot'").agg(F.min("cond_id")).first()[0] == 8_000
+    most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 12_000
 
 
 def test_unique_over_all_rounds(spark):
     got = sample_valid(spark, maker, [Unique("k", "cand_id")], 400)
     assert got.count() == 400 and got.select("k").distinct().count() == 400
-    short = sample_valid(spark, maker, [Unique("k", "cand_id")], 600, max_retries=3)
+    with pytest.warns(UserWarning):
+        short = sample_valid(spark, maker, [Unique("k", "cand_id")], 600, max_retries=3, graceful=True)
     assert 450 < short.count() <= 500 and short.select("k").distinct().count() == short.count()
 
 
@@ -205,6 +218,10 @@ def test_privacy(spark):
     assert calm.agg(F.sum("noisy")).first()[0] == pytest.approx(2001, abs=1e-3)
     wider = private_freq(df, "l", ["a", "b"], "who", ["id"], seed=4, domain={"a": spark.createDataFrame([("0",), ("1",), ("9",)], "value string")})
     assert wider.count() == 18 and wider.filter("a = '9'").count() == 6
+    assert wider.filter("epsilon IS NOT NULL").count() == 0  # the other columns tell which categories occur
+    lists = {c: spark.createDataFrame([(v,) for v in vs], "value string") for c, vs in {"l": "xy", "a": "01", "b": "012"}.items()}
+    public = private_freq(df, "l", ["a", "b"], "who", ["id"], seed=4, domain=lists)
+    assert {r["epsilon"] for r in public.collect()} == {epsilon(5.0, 2e-6)}
     assert secret_seed() != secret_seed()
 
 
