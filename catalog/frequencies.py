@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowloom.operators.frequency import (
-    category_counts, category_freq, condition_groups, cumulative_freq, joint_counts, joint_freq, labels_by_appearance,
+    category_codes, category_counts, category_freq, condition_groups, cumulative_freq, joint_counts, joint_freq, labels_by_appearance,
     triple_bounds, triple_ordinals,
 )
 from rowloom.operators.intervals import build_guide
@@ -120,14 +120,6 @@ def f_draw_original(spark, sf):
     return out.select("o_orderkey", "pair", "label", "a", "b", *[f"row_{c}" for c in RK])
 
 
-def categories_of(df, columns):
-    """Category lists on the driver: as long as the one-hot vector that spells them out."""
-    found = {c: [] for c in columns}
-    for r in category_counts(df, columns).orderBy("column", "value").collect():
-        found[r["column"]].append(r["value"])
-    return found
-
-
 def _bits(vector):
     return F.array_join(F.transform(vector, lambda x: x.cast("int").cast("string")), "")
 
@@ -143,7 +135,7 @@ _POSITIONS = " UNION ALL ".join(
     FROM {draws_sql()}, ({_POSITIONS}) GROUP BY o_orderkey""")
 def f_condvec(spark, sf):
     lo, draws = drawn(spark, sf)
-    out = condition_vector(draws, LABEL, COLUMNS, categories_of(lo, [LABEL, *COLUMNS]))
+    out = condition_vector(draws, LABEL, COLUMNS, category_codes(lo, [LABEL, *COLUMNS]))
     return out.select("o_orderkey", _bits(F.col("vector")).alias("bits"), _bits(F.col("mask")).alias("mask"))
 
 
@@ -151,18 +143,17 @@ def f_condvec(spark, sf):
     SELECT o_orderkey, (SELECT string_agg(CASE WHEN name = 'o_orderpriority' AND v = '2-HIGH' THEN '1' ELSE '0' END, '' ORDER BY place, v)
         FROM ({_POSITIONS})) AS bits FROM orders""")
 def f_fixed_condvec(spark, sf):
-    columns = [LABEL, *COLUMNS]
-    cats = categories_of(lineitem_orders(spark, sf), columns)
-    out = fixed_condition(table(spark, sf, "orders").select("o_orderkey"), columns, cats, "o_orderpriority", "2-HIGH")
+    codes = category_codes(lineitem_orders(spark, sf), [LABEL, *COLUMNS])
+    out = fixed_condition(table(spark, sf, "orders").select("o_orderkey"), codes, "o_orderpriority", "2-HIGH")
     return out.select("o_orderkey", _bits(F.col("vector")).alias("bits"))
 
 
 @query("f_decode_label", f"SELECT o_orderkey, label FROM {draws_sql()}")
 def f_decode_label(spark, sf):
     lo, draws = drawn(spark, sf)
-    cats = categories_of(lo, [LABEL, *COLUMNS])
-    vectors = condition_vector(draws, LABEL, COLUMNS, cats).select("o_orderkey", "vector")
-    return decode_label(vectors, "vector", cats[LABEL]).select("o_orderkey", "label")
+    codes = category_codes(lo, [LABEL, *COLUMNS])
+    vectors = condition_vector(draws, LABEL, COLUMNS, codes).select("o_orderkey", "vector")
+    return decode_label(vectors, "vector", codes, LABEL).select("o_orderkey", "label")
 
 
 @query("f_labels_order", "SELECT c_mktsegment AS label, min(c_custkey) AS first_at FROM customer GROUP BY 1")

@@ -11,18 +11,19 @@ def number_array(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values]) if values else F.array().cast("array<double>")
 
 
-def one_hot(value: Column, categories: Sequence) -> Column:
-    """1.0 at the position of ``value`` among ``categories``, else all zero. Null is a category."""
-    if not len(categories):
-        return F.array().cast("array<double>")
-    return F.array(*[F.when(value.eqNullSafe(F.lit(c)), 1.0).otherwise(0.0) for c in categories])
-
-
 def one_hot_index(index: Column, width: int) -> Column:
     """1.0 at 0-based ``index``."""
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(i == index, 1.0).otherwise(0.0))
 
 
+def many_hot(indexes: Column, width: int) -> Column:
+    """1.0 at each of the 0-based ``indexes``, an array of bigint."""
+    if not width:
+        return F.array().cast("array<double>")
+    places = F.sequence(F.lit(0), F.lit(width - 1)).cast("array<bigint>")
+    return F.transform(places, lambda i: F.when(F.array_contains(indexes, i), 1.0).otherwise(0.0))
+
+
 def argmax(vector: Column) -> Column:
     """0-based position of the largest element; the first one wins a tie."""
     return (F.array_position(vector, F.array_max(vector)) - 1).cast("int")

@@ -10,7 +10,7 @@ from ..functions.numbers import column
 from ..session import materialize
 from .intervals import cumulative
 from .joins import lookup
-from .ordinals import _ranged
+from .ordinals import _ranged, dense_index
 
 
 def text_of(df: DataFrame, name: str):
@@ -24,6 +24,16 @@ def category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(F.array(*entries))).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def category_codes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, at): the place of every category in one vector over all columns, in the order of ``columns``, then of values.
+
+    A written table: the number of categories has no bound, and no list of them reaches the driver. Null is a category and comes first.
+    """
+    counts = category_counts(df, columns).select("column", "value")
+    place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column"))
+    return materialize(dense_index(counts.withColumn("_place", place), ["_place", "value"], "at").drop("_place"), "codes")
+
+
 def category_freq(df: DataFrame, columns: list[str], log: bool = False) -> DataFrame:
     """(column, value, n, p): probability of each category; ``log`` uses ln(n + 1) as weight."""
     counts = category_counts(df, columns)

@@ -120,7 +120,7 @@ def pick(draws: DataFrame, guide: Guide, u: Column, how: str = "inner", fixed: d
         *[F.col(f"`{c}`").alias(f"_g_{c}") for c in on + ["lo", "hi"]],
         *[c for c in guided.columns if c not in on + ["lo", "hi"]],
     )
-    if guide.small:
+    if guide.small or (fixed and fits_broadcast(guided)):
         table = F.broadcast(table)
     test = (F.col("_u") >= F.col("_g_lo")) & (F.col("_u") < F.col("_g_hi"))
     for c in on:

@@ -21,6 +21,7 @@ from .ordinals import dense_index, first_rows
 MAX_RETRIES = 100  # fixed values of the sampling loop
 MAX_ROWS_MULTIPLIER = 10
 FLOAT_RTOL = 0.01
+FAN = 1000  # attempts that one row lays out at once
 
 Generator = Callable[[DataFrame], DataFrame]
 
@@ -146,6 +147,25 @@ def make_conditions(spark: SparkSession, conditions, n: int | None = None) -> Da
     raise TypeError("conditions are a frame, a dictionary or a series")
 
 
+def _attempts(pending: DataFrame, first: int, count: int, cond_id: str, fan: int = FAN) -> DataFrame:
+    """Every row with each of its attempts ``first`` ... ``first + count - 1``.
+
+    Many attempts of one row are laid out in levels of at most ``fan`` and spread in between, so that neither an array nor
+    a task grows with ``count``.
+    """
+    step = 1
+    while step * fan < count:
+        step *= fan
+    rows, width, last = pending.withColumn("attempt", F.lit(first).cast("bigint")), count, F.lit(first + count - 1).cast("bigint")
+    while True:
+        end = F.least(F.col("attempt") + F.lit(width - 1), last)
+        rows = rows.withColumn("attempt", F.explode(F.sequence(F.col("attempt"), end, F.lit(step).cast("bigint"))))
+        if step == 1:
+            return rows
+        rows = rows.repartition(cond_id, "attempt")
+        width, step = step, step // fan
+
+
 def sample_conditional(conditions: DataFrame, generator: Generator, constraints=(), fields=None,
                        max_retries: int = MAX_RETRIES, max_rows_multiplier: int = MAX_ROWS_MULTIPLIER,
                        rtol: float = FLOAT_RTOL, graceful: bool = False, cond_id: str = "cond_id") -> DataFrame:
@@ -174,7 +194,7 @@ def sample_conditional(conditions: DataFrame, generator: Generator, constraints=
     asked = waiting = wanted.count()
     first, per_row = 0, 1
     for _ in range(max_retries + 1 if asked else 0):
-        tries = pending.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + per_row - 1))))
+        tries = _attempts(pending, first, per_row, cond_id)
         rows = _filter_wanted(filter_valid(generator(tries), row_wise), names, rtol)
         cells = [c for c in rows.columns if c not in (cond_id, "attempt")]
         if per_row == 1:  # one candidate per condition: nothing to choose from

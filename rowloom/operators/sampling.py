@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.random import index_below, uniform
-from ..functions.vectors import one_hot
-from ..session import materialize
+from ..functions.vectors import many_hot
+from ..session import fits_broadcast, materialize
 from .frequency import _pair_rows, pair_names, placed_rows, text_of
 from .intervals import Guide, build_guide, cumulative, pick
 from .joins import lookup
@@ -87,37 +87,37 @@ def draw_original(df: DataFrame, label: str, columns: list[str], ids: list[str],
     return out.withColumns({"a": value(first), "b": value(second)}).drop(*values.values())
 
 
-def condition_vector(drawn: DataFrame, label: str, columns: list[str], categories: dict[str, list],
-                     name: str = "vector", mask: str = "mask") -> DataFrame:
-    """Render (pair, label, a, b) as one one-hot vector over all discrete columns, and the column mask."""
-    names = pair_columns()
-    parts = [one_hot(F.col("label"), categories[label])]
-    bits = [F.lit(1)]
-    for c in columns:
-        first, second = names[0] == c, names[1] == c
-        value = F.when(first, F.col("a")).when(second, F.col("b"))
-        zero = F.array_repeat(F.lit(0.0), len(categories[c]))
-        parts.append(F.when(first | second, one_hot(value, categories[c])).otherwise(zero))
-        bits.append(F.when(first | second, 1).otherwise(0))
-    return drawn.withColumns({name: F.concat(*parts), mask: F.array(*bits)})
+def condition_vector(drawn: DataFrame, label: str, columns: list[str], codes: DataFrame, name: str = "vector", mask: str = "mask") -> DataFrame:
+    """Render (pair, label, a, b) as one one-hot vector over all discrete columns, and the column mask.
+
+    ``codes`` are the ``category_codes`` of the label and the columns. A value that they do not know sets no bit.
+    """
+    first, second = pair_columns()
+    fits, out = fits_broadcast(codes), drawn
+    for i, (column, value) in enumerate([(F.lit(label), "label"), (first, "a"), (second, "b")]):
+        places = codes.select(F.col("column").alias("_column"), F.col("value").alias("_value"), F.col("at").alias(f"_at{i}"))
+        out = out.withColumns({"_column": column, "_value": F.col(value)})
+        out = lookup(out, places, ["_column", "_value"], null_safe=True, fits=fits).drop("_column", "_value")
+    bits = [F.lit(1), *[F.when((first == c) | (second == c), 1).otherwise(0) for c in columns]]
+    set_at = F.array(*[F.coalesce(F.col(f"_at{i}"), F.lit(-1).cast("bigint")) for i in range(3)])
+    return out.withColumns({name: many_hot(set_at, codes.count()), mask: F.array(*bits)}).drop("_at0", "_at1", "_at2")
 
 
-def fixed_condition(ids: DataFrame, columns: list[str], categories: dict[str, list], column: str, value,
-                    name: str = "vector") -> DataFrame:
+def fixed_condition(ids: DataFrame, codes: DataFrame, column: str, value, name: str = "vector") -> DataFrame:
     """The same one-hot vector, naming one value of one column, for every id."""
-    if column not in columns:
+    own = codes.filter(F.col("column") == column)
+    if own.isEmpty():
         raise ValueError(f"`{column}` is not a discrete column")
-    if value not in categories[column]:
+    found = own.filter(F.col("value").eqNullSafe(F.lit(value).cast("string"))).select("at").first()
+    if found is None:
         raise ValueError(f"`{value}` is not a category of `{column}`")
-    at = sum(len(categories[c]) for c in columns[: columns.index(column)]) + categories[column].index(value)
-    width = sum(len(categories[c]) for c in columns)
-    vector = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(i == at, 1.0).otherwise(0.0))
-    return ids.withColumn(name, vector)
-
-
-def decode_label(df: DataFrame, vector: str, categories: list, name: str = "label", start: int = 0) -> DataFrame:
-    """Label whose bit is set in the label span of the vector."""
-    span = F.slice(F.col(vector), start + 1, len(categories))
-    at = F.array_position(span, F.lit(1.0))
-    table = F.array(*[F.lit(c) for c in categories])
-    return df.withColumn(name, F.when(at > 0, F.get(table, (at - 1).cast("int"))))
+    return ids.withColumn(name, many_hot(F.array(F.lit(found["at"]).cast("bigint")), codes.count()))
+
+
+def decode_label(df: DataFrame, vector: str, codes: DataFrame, label: str, name: str = "label") -> DataFrame:
+    """Category of the column ``label`` whose bit is set in its span of the vector; null if none is."""
+    own = codes.filter(F.col("column") == label)
+    start, width = own.agg(F.coalesce(F.min("at"), F.lit(0)), F.count(F.lit(1))).first()
+    bit = F.array_position(F.slice(F.col(vector), start + 1, width), F.lit(1.0))
+    coded = df.withColumn("_at", F.when(bit > 0, bit - 1 + start))
+    return lookup(coded, own.select(F.col("at").alias("_at"), F.col("value").alias(name)), ["_at"]).drop("_at")

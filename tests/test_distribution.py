@@ -8,9 +8,9 @@ from pyspark.sql import Window, functions as F
 
 from rowloom.functions.random import uniform
 from rowloom.operators import joins, ordinals
-from rowloom.operators.frequency import group_ordinals, joint_counts, joint_freq, labels_by_appearance, triple_ordinals
+from rowloom.operators.frequency import category_codes, group_ordinals, joint_counts, joint_freq, labels_by_appearance, triple_ordinals
 from rowloom.operators.intervals import build_guide, cumulative, pick
-from rowloom.operators.sampling import condition_vector, draw_members, fixed_condition, with_pair
+from rowloom.operators.sampling import condition_vector, decode_label, draw_members, fixed_condition, with_pair
 
 
 @pytest.fixture
@@ -132,16 +132,23 @@ def test_pairs_are_equally_likely(spark):
 
 
 def test_condition_vectors(spark):
-    cats = {"l": ["x", "y"], "s": ["a", "b"], "t": ["1", "2"], "w": ["p"]}
+    df = spark.createDataFrame([("x", "b", 1, "p"), ("y", "a", 2, "p")], "l string, s string, t int, w string")
+    codes = category_codes(df, ["l", "s", "t", "w"])
+    assert [(r["column"], r["value"]) for r in codes.orderBy("at").collect()] == [
+        ("l", "x"), ("l", "y"), ("s", "a"), ("s", "b"), ("t", "1"), ("t", "2"), ("w", "p")]
     drawn = spark.createDataFrame([("s|w", "y", "b", "p")], "pair string, label string, a string, b string")
-    got = condition_vector(drawn, "l", ["s", "t", "w"], cats).first()
+    got = condition_vector(drawn, "l", ["s", "t", "w"], codes).first()
     assert got["vector"] == [0, 1, 0, 1, 0, 0, 1] and got["mask"] == [1, 1, 0, 1]
-    fixed = fixed_condition(spark.range(2), ["l", "s", "t"], cats, "s", "a").first()["vector"]
+    strange = spark.createDataFrame([("s|t", "z", None, "2")], "pair string, label string, a string, b string")
+    got = condition_vector(strange, "l", ["s", "t", "w"], codes)
+    assert got.first()["vector"] == [0, 0, 0, 0, 0, 1, 0] and decode_label(got, "vector", codes, "l", "found").first()["found"] is None
+    codes = category_codes(df, ["l", "s", "t"])
+    fixed = fixed_condition(spark.range(2), codes, "s", "a").first()["vector"]
     assert fixed == [0, 0, 1, 0, 0, 0]
     with pytest.raises(ValueError, match="not a discrete column"):
-        fixed_condition(spark.range(2), ["l"], cats, "z", "a")
+        fixed_condition(spark.range(2), codes, "z", "a")
     with pytest.raises(ValueError, match="not a category"):
-        fixed_condition(spark.range(2), ["l"], cats, "l", "q")
+        fixed_condition(spark.range(2), codes, "l", "q")
 
 
 def test_labels_by_appearance(spark):

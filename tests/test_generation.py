@@ -17,7 +17,7 @@ from rowloom.operators.copula import Copula, complete_conditions, copula_stats,
 from rowloom.operators.labels import label_fidelity, label_quota, label_to_iri, nearest_labels, normalise_key, with_embedding
 from rowloom.operators.privacy import cap_rows, domain_cells, epsilon, private_freq, secret_seed
 from rowloom.operators.rejection import (
-    filter_conditions, make_conditions, next_batch, repeat_fill, sample_conditional, sample_valid,
+    _attempts, filter_conditions, make_conditions, next_batch, repeat_fill, sample_conditional, sample_valid,
 )
 from rowloom.session import scratch_path
 
@@ -191,6 +191,13 @@ def test_unique_within_a_condition(spark):
     assert got.count() == 60 and got.groupBy("s", "k").count().filter("count > 1").count() == 0
 
 
+def test_attempts_in_levels(spark):
+    one = spark.range(2).select(F.col("id").alias("cond_id"))
+    for count in (1, 2, 3, 4, 9, 10, 28, 100):
+        got = _attempts(one, 5, count, "cond_id", fan=3)
+        assert rows(got) == sorted([(c, a) for c in range(2) for a in range(5, 5 + count)], key=repr)
+
+
 def test_shortfall(spark):
     asked = spark.range(20).select(F.col("id").alias("cond_id"), F.lit("a").alias("s"))
     with pytest.raises(ValueError, match="never met"):
