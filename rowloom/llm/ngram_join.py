@@ -3,10 +3,11 @@
 Documents with equal shingle sets form a class. Classes are first put into groups: those that share a
 min-hash are compared with one of them, and verified links make a group. Each group keeps the union of its
 members' rarest shingles (the token-group matrix): a set of n shingles can only reach the wanted similarity with
-a set that shares some of its n - ceil(t n) + 1 first shingles in a common order. The shared ones bound the overlap, and a class
-opens the members of another group only where that bound and the sizes allow the similarity.
-Only the qualifying members are compared in full. Members of one group are already linked and never compared again,
-so a large group of copies costs its own size and not the square of it.
+a set that shares some of its n - ceil(t n) + 1 first shingles in a common order. The ones shared with the union bound the overlap with
+any member, and a class opens the members of another group only where that bound and the sizes allow the similarity.
+Opened members are bounded one by one, and only the qualifying ones are compared in full. Members of one group are already
+linked and never compared again, so the square of a large group of copies is met nowhere. Similar sets that no min-hash
+brought into one group still meet one by one.
 
 The common order puts shingles that a sample found in many documents last, most frequent at the very end, and the others by hash.
 The order affects how many members are opened, never the result.
@@ -28,6 +29,7 @@ MIN_HASHES = 6
 SAMPLE_ONE_IN = 16
 FREQUENT = 4  # times in the sample
 FREQUENT_TOKENS = 1 << 18  # longest list of frequent shingles; the order only
+SALT_ROWS = 512  # classes of one shingle that look into groups under one key
 
 
 def _sets(batches, n: int):
@@ -118,6 +120,72 @@ def _size_bound(a: str, b: str, num: int, den: int):
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
+def _behind(size: str, num: int, den: int):
+    """Shingles of a set after its prefix."""
+    return F.floor((F.col(size) * num + (den - 1)) / F.lit(den)) - 1
+
+
+def _reached(overlap, a: str, b: str, num: int, den: int):
+    return overlap * (num + den) >= F.lit(num) * (F.col(a) + F.col(b))
+
+
+def grouped_classes(of_class: DataFrame, groups: DataFrame) -> DataFrame:
+    """(cid, n, prefix, grp, k): each class with its group and the number of classes in it. A class without a group is its own."""
+    sizes = materialize(groups.groupBy("root").agg(F.count(F.lit(1)).alias("k")), "group-sizes")
+    named = materialize(lookup(groups, sizes, ["root"], "inner", salt_by=["node"]).withColumnRenamed("node", "cid"), "group-members")
+    members = lookup(of_class, named, ["cid"], "left")
+    return materialize(members.select("cid", "n", "prefix", F.coalesce("root", "cid").alias("grp"), F.coalesce("k", F.lit(1)).alias("k")), "members")
+
+
+def token_rows(members: DataFrame) -> DataFrame:
+    """(cid, n, grp, k, token, salts): the shingles of the prefixes that two classes or more show; the others open nothing."""
+    tokens = members.select("cid", "n", "grp", "k", F.explode("prefix").alias("token"))
+    shown = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    shown = materialize(shown.select("token", F.ceil(F.col("rows") / SALT_ROWS).cast("int").alias("salts")), "shown-tokens")
+    return materialize(lookup(tokens, shown, ["token"], "inner", salt_by=["cid"]), "token-rows")
+
+
+def token_groups(tokens: DataFrame) -> DataFrame:
+    """(token, grp, k, salts, lo, hi): the token-group matrix. One row for each distinct shingle of the group's prefixes, with the sizes of the sets that show it."""
+    return tokens.groupBy("token", "grp", "k", "salts").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+
+
+def opened_groups(tokens: DataFrame, matrix: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, na, grp, k): the groups a class may have a similar set in. Of two groups, the members of the smaller one look into the larger.
+
+    The shingles of the class's prefix in the group's union are at least those it shares with the prefix of any member. Shingles of many
+    classes are split among salts, so that a key meets about ``SALT_ROWS`` classes.
+    """
+    left = tokens.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("grp").alias("ga"), F.col("k").alias("ka"), F.pmod(F.xxhash64("cid"), "salts").cast("int").alias("salt"))
+    right = matrix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    met = left.join(right, ["token", "salt"]).filter((F.col("ka") < F.col("k")) | ((F.col("ka") == F.col("k")) & (F.col("ga") < F.col("grp"))))
+    met = met.filter((F.col("lo") * num <= F.col("na") * den) & (F.col("hi") * den >= F.col("na") * num))
+    met = met.groupBy("a", "na", "grp", "k").agg(F.count(F.lit(1)).alias("seen"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    met = met.withColumn("lo", F.greatest("lo", F.ceil(F.col("na") * num / F.lit(den)))).withColumn("hi", F.least("hi", F.floor(F.col("na") * den / F.lit(num))))
+    # among sets up to na the smallest needs least; among larger ones the largest shows most behind its prefix, give or take one for rounding
+    small = (F.col("lo") <= F.col("na")) & _reached(F.col("seen") + _behind("na", num, den), "na", "lo", num, den)
+    more = F.when(F.col("lo") < F.col("hi"), 1).otherwise(0)
+    large = (F.col("hi") >= F.col("na")) & _reached(F.col("seen") + _behind("hi", num, den) + more, "na", "hi", num, den)
+    return materialize(met.filter(small | large).select("a", "na", "grp", "k"), "opened-groups")
+
+
+def opened_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes of different groups whose prefixes and sizes allow the similarity.
+
+    All shared shingles of two sets that the pair of prefixes does not show lie behind one of the prefixes.
+    """
+    tokens = token_rows(members)
+    opened = opened_groups(tokens, materialize(token_groups(tokens), "token-groups"), num, den)
+    alone = opened.filter("k = 1").select("a", F.col("grp").alias("b"))  # the union of one prefix: the bound was that of the pair
+    looking = lookup(opened.filter("k > 1"), members.select(F.col("cid").alias("a"), "prefix"), ["a"], "inner", salt_by=["grp"])
+    looking = looking.select("a", "na", "grp", F.explode("prefix").alias("token"))
+    inside = tokens.filter("k > 1").select("grp", F.col("cid").alias("b"), F.col("n").alias("nb"), "token")
+    shared = lookup(looking, inside, ["grp", "token"], "inner", salt_by=["a"]).filter(_size_bound("na", "nb", num, den))
+    shared = shared.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("seen"))
+    behind = F.greatest(_behind("na", num, den), _behind("nb", num, den))
+    return alone.unionByName(shared.filter(_reached(F.col("seen") + behind, "na", "nb", num, den)).select("a", "b"))
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id reachable by links, itself included).
 
@@ -146,16 +214,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = verified(stars.select("a", "b"), rows, classes, n, num, den)
     groups = materialize(components(links, "a", "b"), "groups")
 
-    # the token-group matrix, and what it opens: of two sets, all shared shingles that the pair of prefixes does not show lie behind one of the prefixes
-    grouped = lookup(of_class.select("cid", "n", "prefix"), groups.withColumnRenamed("node", "cid"), ["cid"], "left")
-    matrix = grouped.select("cid", "n", F.coalesce("root", "cid").alias("grp"), F.explode("prefix").alias("token"))
-    left = matrix.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("grp").alias("ga"))
-    right = matrix.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("gb"))
-    shared = left.join(right, "token").filter((F.col("ga") < F.col("gb")) & _size_bound("na", "nb", num, den))
-    shared = shared.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("seen"))
-    behind = lambda m: F.floor((F.col(m) * num + (den - 1)) / F.lit(den)) - 1  # noqa: E731  shingles of a set after its prefix
-    needed = F.col("seen") + F.greatest(behind("na"), behind("nb"))
-    opened = shared.filter(needed * (num + den) >= F.lit(num) * (F.col("na") + F.col("nb"))).select("a", "b")
+    members = grouped_classes(of_class.select("cid", "n", "prefix"), groups)
+    opened = opened_pairs(members, num, den)
     more = verified(opened, rows, classes, n, num, den)
 
     joined = materialize(components(links.unionByName(more), "a", "b"), "components")

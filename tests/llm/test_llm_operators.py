@@ -127,6 +127,47 @@ def test_ngram_join_of_a_chain_and_common_passages(spark):
     assert Counter(tuple(r) for r in got.collect()) == brute_components([(*r, None) for r in rows], 5, 80, 100)
 
 
+def test_ngram_join_looks_into_groups(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = [int(x) for x in rng.integers(16, 28, 120)]
+    sets = [sorted(int(x) for x in rng.choice(30, k, replace=False)) for k in sizes]  # prefixes: the first shingles
+    prefix = [s[: len(s) - -(-80 * len(s) // 100) + 1] for s in sets]
+    root = [40 * (i // 40) if i < 80 else i for i in range(120)]  # two groups of 40 and classes of their own
+    of_class = spark.createDataFrame([(i, len(s), p) for i, (s, p) in enumerate(zip(sets, prefix))], "cid bigint, n bigint, prefix array<bigint>")
+    groups = spark.createDataFrame([(i, root[i]) for i in range(80)], "node bigint, root bigint")
+    monkeypatch.setattr(ngram_join, "SALT_ROWS", 7)  # several salts for a shingle
+    members = ngram_join.grouped_classes(of_class, groups)
+    matrix = [(r["token"], r["grp"]) for r in ngram_join.token_groups(ngram_join.token_rows(members)).collect()]
+    times = Counter(t for p in prefix for t in p)
+    assert Counter(matrix) == Counter({(t, root[i]) for i, p in enumerate(prefix) for t in p if times[t] > 1})
+    got = Counter(tuple(sorted(r)) for r in ngram_join.opened_pairs(members, 80, 100).collect())
+    want = Counter()
+    for b in range(120):
+        for a in range(b):
+            seen, (na, nb) = len(set(prefix[a]) & set(prefix[b])), (len(sets[a]), len(sets[b]))
+            behind = max(-(-80 * n // 100) - 1 for n in (na, nb))
+            if root[a] != root[b] and seen and min(na, nb) * 100 >= max(na, nb) * 80 and (seen + behind) * 180 >= 80 * (na + nb):
+                want[a, b] += 1
+    assert want and got == want
+
+
+def test_ngram_join_of_near_copies_meets_no_square(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"v{i}" for i in range(300)]
+    rows = []
+    for i in range(150):  # different near copies of one text
+        w = list(base)
+        w[int(rng.integers(0, 300))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    met, write = {}, ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, tag="table": met.setdefault(tag, write(df, tag)) if tag in ("token-groups", "members") else write(df, tag))
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert {r["component_id"] for r in got} == {0}
+    pairs = met["members"].select(F.col("grp").alias("ga"), F.explode("prefix").alias("token")).join(met["token-groups"], "token")
+    old = sum(n * n for n in Counter(t for r in met["members"].collect() for t in r["prefix"]).values())
+    assert pairs.filter("ga <> grp").count() < old / 10
+
+
 def test_mixing(docs, plain, none):
     got = mixing.mix(docs).collect()
     size = defaultdict(int)
