@@ -2,8 +2,11 @@
 
 Benchmark items are TF-IDF vectors over their words; the document frequencies come from all passages of the corpus. A
 distributed randomised singular value decomposition gives a latent space. Windows of every document, at several
-lengths so that one fits each item, are projected and compared with all items by cosine, in blocks of items. A window whose
-weight outside the benchmark's words already rules out the cosine is not projected; this is a bound, not a cut. What
+lengths so that one fits each item, are projected and compared with all items by cosine, in blocks of items. Every word of a window
+weighs by its own document frequency. Tasks know those of the benchmark's words and of all words found in one passage of
+``LISTED`` or more; a rarer word weighs the least it can there, which bounds the cosine from above, and what passes is weighed
+again with the frequencies from a written table. A window whose weight outside the benchmark's words already rules out the
+cosine is not projected; this is a bound, not a cut. What
 remains is aligned in full with the item: the weight of the longest common subsequence and the words of its answer
 (the last sentence) decide, so a passage with words changed, dropped or inserted is found as well.
 """
@@ -17,12 +20,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.joins import lookup
 from ..session import materialize
 from .registry import query, table
 from .words import pieces, split_words
 
-WINDOWS = (16, 32, 64)  # words; each moves on by half its length
 BLOCK = 64  # words of a passage for the document frequencies
+LISTED = 4096  # words of one passage in so many are known to every task: at most LISTED * BLOCK at any size of the corpus
 RANK = 256
 TERM_BITS = 17  # terms are hashed beyond this many, which bounds the basis
 POWER = 2
@@ -59,13 +63,10 @@ def _plain_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return before[offsets], codes[keep], names
 
 
-def term_weights(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, float]:
-    """Inverse document frequency of each of the terms over all passages of ``BLOCK`` words, and that of a term found in none."""
-    listed = docs.sparkSession.sparkContext.broadcast(pa.array(terms, pa.string()))
+def passage_counts(docs: DataFrame) -> DataFrame:
+    """(term, n): the passages of ``BLOCK`` words in which each word of the corpus is found, and for the null term all passages."""
 
     def count(batches):
-        known = listed.value
-        total, n = np.zeros(len(known), np.int64), 0
         for batch in batches:
             for part in pieces(batch, "text"):
                 offsets, codes, names = _plain_codes(part.column("text"))
@@ -73,18 +74,35 @@ def term_weights(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, float]:
                 at = np.arange(len(codes)) - np.repeat(offsets[:-1], sizes)
                 passages = -(-sizes // BLOCK)
                 block = np.repeat(np.cumsum(passages) - passages, sizes) + at // BLOCK
-                of = pc.fill_null(pc.index_in(names.cast(pa.string()), known), -1).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
-                pairs = np.unique(block[of >= 0] * len(known) + of[of >= 0])
-                total += np.bincount(pairs % len(known), minlength=len(known))
-                n += int(passages.sum())
-        yield pa.record_batch({"term": pa.array(np.arange(len(known) + 1), pa.int64()), "n": pa.array(np.append(total, n), pa.int64())})
+                n = np.bincount(np.unique(block * max(1, len(names)) + codes) % max(1, len(names)), minlength=len(names))
+                some = np.flatnonzero(n)
+                terms = pa.concat_arrays([names.cast(pa.string()).take(pa.array(some)), pa.nulls(1, pa.string())])
+                yield pa.record_batch({"term": terms, "n": pa.array(np.append(n[some], passages.sum()), pa.int64())})
 
-    found = docs.select("text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # one row per term
-    n = np.zeros(len(terms) + 1)
-    for r in found:
-        n[r["term"]] = r["n"]
-    idf = np.log((1 + n[-1]) / (1 + n[:-1])) + 1.0
-    return idf, float(np.log(1 + n[-1]) + 1.0)
+    found = docs.select("text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return materialize(found, "passage-counts")
+
+
+def inverse_frequency(n, total: float):
+    return np.log((1 + total) / (1 + n)) + 1.0
+
+
+def word_weights(counts: DataFrame, terms: list[str]) -> tuple[list[str], np.ndarray, float]:
+    """(words, weights, passages): the inverse document frequencies of the terms, then of all other words of one passage in ``LISTED`` or
+    more, and last the least that any word beyond these weighs."""
+    total = float(counts.filter("term is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    known = counts.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    own = {r["term"]: r["n"] for r in lookup(known, counts.filter("term is not null"), ["term"], "inner").collect()}
+    often = counts.filter("term is not null").filter(F.col("n") * LISTED >= total)  # at most LISTED * BLOCK
+    others = [(r["term"], r["n"]) for r in lookup(often, known, ["term"], "left_anti").collect()]
+    n = np.array([own.get(t, 0) for t in terms] + [k for _, k in others] + [total / LISTED], float)
+    return [*terms, *(t for t, _ in others)], inverse_frequency(n, total), total
+
+
+def window_sizes(lengths: list[int]) -> list[int]:
+    """Powers of two that fit the items, from the shortest to the longest; a window moves on by half its size."""
+    low, high = (max(1, (n - 1).bit_length()) for n in (min(lengths), max(lengths)))
+    return [1 << k for k in range(low, high + 1)]
 
 
 def item_vectors(items: DataFrame, terms: list[str], idf: np.ndarray) -> DataFrame:
@@ -193,8 +211,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     terms = sorted(r["term"] for r in words.collect())  # the benchmark's vocabulary
     if not terms:
         return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
-    idf, unknown = term_weights(rows, terms)
-    vectors = materialize(item_vectors(items, terms, idf), "item-vectors")
+    counts = passage_counts(rows)
+    listed_words, weights, total = word_weights(counts, terms)
+    vectors = materialize(item_vectors(items, terms, weights[: len(terms)]), "item-vectors")
     used, basis = latent_basis(vectors)
     term_rows = np.searchsorted(used, np.array([_term(t) for t in terms]))
 
@@ -203,10 +222,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     out = None
     for low in range(0, len(bounds), ITEM_BLOCK):
         block = listed.filter(F.col("at").between(bounds[low], bounds[min(low + ITEM_BLOCK, len(bounds)) - 1])).orderBy("at").collect()
-        model = spark.sparkContext.broadcast((pa.array(terms, pa.string()), idf, unknown, term_rows, basis.astype(np.float32), [(r["item_id"], r["text"]) for r in block]))
-        found = rows.mapInArrow(_search(model, cosine), schema)
+        model = spark.sparkContext.broadcast((pa.array(listed_words, pa.string()), weights, len(terms), term_rows, basis.astype(np.float32), [(r["item_id"], r["text"]) for r in block]))
+        found = rows.mapInArrow(_search(model, cosine), schema.replace("cosine double", "windows array<struct<dot:double,square:double,rare:array<string>>>"))
         out = found if out is None else out.unionByName(found)
-    return out.withColumnRenamed("id", id_col)
+    if out is None:
+        return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
+    return weighed(materialize(out.withColumn("at", F.monotonically_increasing_id()), "bounded-leaks"), counts, total, cosine).withColumnRenamed("id", id_col)
+
+
+def weighed(found: DataFrame, counts: DataFrame, total: float, cosine: float) -> DataFrame:
+    """The found rows of which a window reaches the cosine once its rare words weigh by their own passages."""
+    windows = found.select("at", F.posexplode("windows").alias("w", "of")).select("at", "w", "of.*")
+    rare = windows.select("at", "w", F.explode("rare").alias("term"))
+    rare = lookup(rare, counts.filter("term is not null"), ["term"], "left", salt_by=["at", "w"])
+    weight = F.log(F.lit(1 + total) / (1 + F.coalesce("n", F.lit(0)))) + 1
+    rare = materialize(rare.groupBy("at", "w").agg(F.sum(weight * weight).alias("more")), "rare-weights")
+    windows = lookup(windows.drop("rare"), rare, ["at", "w"], "left")
+    like = F.col("dot") / F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0)))
+    best = windows.groupBy("at").agg(F.max(like).alias("cosine")).filter(F.col("cosine") >= cosine)
+    return lookup(found.drop("windows"), materialize(best, "leak-cosines"), ["at"], "inner").select("id", "item_id", "cosine", "common", "answer")
 
 
 def _item_words(batches):
@@ -216,9 +250,12 @@ def _item_words(batches):
 
 
 def _search(model, cosine):
+    kind = pa.list_(pa.struct([("dot", pa.float64()), ("square", pa.float64()), ("rare", pa.list_(pa.string()))]))
+
     def search(batches):
-        terms, idf, unknown, term_rows, basis, items = model.value
-        code_of = {t: i for i, t in enumerate(terms.to_pylist())}
+        listed, weights, n_terms, term_rows, basis, items = model.value
+        idf = weights[:n_terms]
+        code_of = {t: i for i, t in enumerate(listed[:n_terms].to_pylist())}
         item_codes = [np.array([code_of[w] for w in plain_words(text)]) for _, text in items]
         item_latent = np.zeros((len(items), basis.shape[1]), np.float32)
         for i, codes in enumerate(item_codes):
@@ -226,17 +263,21 @@ def _search(model, cosine):
             some = np.flatnonzero(mass)
             item_latent[i] = np.sqrt(mass[some] / mass.sum()).astype(np.float32) @ basis[some]
         item_latent /= np.maximum(np.linalg.norm(item_latent, axis=1, keepdims=True), 1e-12)
+        lengths = window_sizes([len(codes) for codes in item_codes])
         answers = [np.array(sorted(code_of[w] for w in answer_of(text))) for _, text in items]
 
         for batch in batches:
             for part in pieces(batch, "text"):
                 offsets, codes, names = _plain_codes(part.column("text"))
-                of = pc.fill_null(pc.index_in(names.cast(pa.string()), terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                names = names.cast(pa.string())
+                of = pc.fill_null(pc.index_in(names, listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
                 of = of[codes] if len(codes) else np.empty(0, np.int64)
-                square = np.where(of >= 0, idf[of] ** 2, unknown**2)
-                inside, all_ = (np.concatenate([[0], np.cumsum(x)]) for x in (np.where(of >= 0, square, 0.0), square))
+                square = weights[of] ** 2  # the last weight for words that are not listed
+                own = (of >= 0) & (of < n_terms)
+                inside, all_, known = (np.concatenate([[0], np.cumsum(x)]) for x in (np.where(own, square, 0.0), square, np.where(of >= 0, square, 0.0)))
+                of = np.where(own | (of < 0), of, -2)  # -1 rare, -2 listed but in no item
                 near: dict[tuple[int, int], list] = {}
-                for size in WINDOWS:
+                for size in lengths:
                     sizes = np.diff(offsets)
                     steps = np.where(sizes > 0, np.maximum(0, -(-(sizes - size) // (size // 2))) + 1, 0)
                     row = np.repeat(np.arange(len(sizes)), steps)
@@ -248,27 +289,28 @@ def _search(model, cosine):
                     for i in range(0, len(able), 512):
                         some = able[i : i + 512]
                         latent = np.stack([_project(of[a:b], idf, term_rows, basis) for a, b in zip(start[some], end[some])])
-                        like = latent @ item_latent.T / np.sqrt(total[some])[:, None]
+                        dots = latent @ item_latent.T
+                        like = dots / np.sqrt(total[some])[:, None]
                         for w, j in zip(*np.nonzero(like >= cosine)):
                             a, b = start[some[w]], end[some[w]]
-                            near.setdefault((int(row[some[w]]), int(j)), []).append((int(a), int(b), float(like[w, j])))
-                ids, which, cosines, commons, shares = [], [], [], [], []
+                            near.setdefault((int(row[some[w]]), int(j)), []).append((int(a), int(b), float(dots[w, j])))
+                ids, which, windows, commons, shares = [], [], [], [], []
                 for (r, j), spans in sorted(near.items()):
                     reach = len(item_codes[j])
-                    best = (0.0, 0.0, 0.0)
+                    best = (0.0, 0.0)
                     for a, b in _joined([(max(offsets[r], a - reach), min(offsets[r + 1], b + reach)) for a, b, _ in spans]):
                         text = of[a:b]
                         common = aligned_weight(item_codes[j], idf[item_codes[j]], text)
                         answer = float(np.isin(answers[j], text).mean()) if len(answers[j]) else 0.0
-                        best = max(best, (common, answer, max(c for _, _, c in spans)))
+                        best = max(best, (common, answer))
                     if best[0] >= COMMON or (best[0] >= COMMON_WITH_ANSWER and best[1] >= ANSWER):
                         ids.append(r)
                         which.append(items[j][0])
-                        cosines.append(best[2])
+                        windows.append([{"dot": d, "square": float(known[b] - known[a]), "rare": names.take(pa.array(codes[a:b][of[a:b] == -1])).to_pylist()} for a, b, d in spans])
                         commons.append(best[0])
                         shares.append(best[1])
                 if ids:
-                    yield pa.record_batch({"id": part.column("id").take(pa.array(ids)), "item_id": pa.array(which), "cosine": pa.array(cosines), "common": pa.array(commons), "answer": pa.array(shares)})
+                    yield pa.record_batch({"id": part.column("id").take(pa.array(ids)), "item_id": pa.array(which), "windows": pa.array(windows, kind), "common": pa.array(commons), "answer": pa.array(shares)})
 
     return search
 

@@ -273,6 +273,29 @@ def test_leaks(spark, docs, sf, none):
     assert latent_leaks.find_leaks(none, items).count() == 0 and latent_leaks.find_leaks(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n, listed", [(200, 4096), (3000, 4096), (3000, 2)])
+def test_leaks_in_common_words_at_any_size(spark, monkeypatch, n, listed):
+    """Paraphrased words are common in the corpus but not in the benchmark; with ``listed`` of 2 they all are weighed from the table."""
+    monkeypatch.setattr(latent_leaks, "LISTED", listed)
+    rng = np.random.default_rng(11)
+    inside, outside = [f"b{chr(97 + i % 26)}{i}" for i in range(150)], [f"c{chr(97 + i % 26)}{i}" for i in range(150)]
+    items = [(k, list(rng.choice(inside, 30))) for k in range(5)]
+    rows = [(i, list(rng.choice(inside + outside, 64))) for i in range(n)]
+    for k, w in items:
+        w = list(w)
+        for at in (2, 7, 12, 17, 22, 27):
+            w[at] = str(rng.choice(outside))
+        rows[10 * k] = (10 * k, [*rng.choice(outside, 16), *w, *rng.choice(outside, 18)])
+    text = lambda table, name: spark.createDataFrame([(int(i), " ".join(w)) for i, w in table], f"{name} bigint, text string")
+    got = latent_leaks.find_leaks(text(rows, "doc_id"), text(items, "item_id")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(10 * k, k) for k in range(5)}
+    assert all(0.45 <= r["cosine"] <= 1.0 for r in got)
+
+
+def test_windows_follow_the_items():
+    assert latent_leaks.window_sizes([15, 59]) == [16, 32, 64] and latent_leaks.window_sizes([3, 400]) == [4, 8, 16, 32, 64, 128, 256, 512]
+
+
 def test_language_id(docs, none):
     rows = docs.filter("doc_id < 900000").withColumn("draw", F.lit(0.0))
     trees = language_id.fit_context_trees(rows.filter("doc_id % 3 <> 1").select("text", "lang", "draw"))
