@@ -8,8 +8,8 @@ not come back as it was is escaped more strongly until it does:
 * level 2: so is every sign that could begin a control string
 
 The parser cuts a text behind every end mark, tells the role from the start mark and drops the escape signs. Control strings hold no
-escape sign, so an escaped text holds no control string, and level 2 is always read back. Turns are judged one by one first, then
-runs of turns together, then whole conversations.
+escape sign, so an escaped text holds no control string, and level 2 is always read back. Turns are judged one by one, then whole
+conversations; a conversation that does not come back would be an error.
 
 Turns are joined in runs of neighbouring turn numbers before they meet in their conversation, where only rendered runs are left. A
 formatted conversation is one value, so its length is bounded by what one string can hold (2 GB).
@@ -112,8 +112,8 @@ def _parsed_turn(piece: Column, template: Template) -> Column:
 
 def parsed(text: Column, template: Template = LLAMA) -> Column:
     """The turns array<struct<role, text>> of a rendered text; a piece that is no turn gives null."""
-    pieces = F.filter(F.split(text, f"(?<={_any(template.ends())})", -1), lambda p: p != "")
-    return F.transform(pieces, lambda p: _parsed_turn(p, template))
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).*?(?:{_any(template.ends())}|\z)"), F.lit(0))
+    return F.transform(F.filter(pieces, lambda p: p != ""), lambda p: _parsed_turn(p, template))
 
 
 def _same(found: Column, role: Column, text: Column) -> Column:
@@ -123,90 +123,75 @@ def _same(found: Column, role: Column, text: Column) -> Column:
 
 
 def rendered_turns(turns: DataFrame, template: Template = LLAMA) -> DataFrame:
-    """Adds ``piece``, the rendered turn at its lowest level that is read back, and ``level``."""
-    out = turns
-    for i in range(LEVELS):
-        out = out.withColumn(f"_piece{i}", rendered(F.col("role"), escaped(F.col("text"), i, template), template))
-    level = F.lit(LEVELS - 1)
+    """Adds ``piece``, the rendered turn at its lowest level that is read back, and ``level``. A stronger level is tried only where it is needed."""
+    role, text = F.col("role"), F.col("text")
+    at = lambda i: rendered(role, escaped(text, i, template), template)
+    chosen = lambda i: F.struct(F.lit(i).alias("level"), at(i).alias("piece"))
+    best = chosen(LEVELS - 1)
     for i in reversed(range(LEVELS - 1)):
-        level = F.when(_same(parsed(F.col(f"_piece{i}"), template), F.col("role"), F.col("text")), i).otherwise(level)
-    out = out.withColumn("level", level.cast("int"))
-    pieces = [f"_piece{i}" for i in range(LEVELS)]
-    chosen = F.coalesce(*[F.when(F.col("level") == i, F.col(p)) for i, p in enumerate(pieces)])
-    return out.withColumn("piece", chosen).withColumn("strong", F.col(pieces[-1])).drop(*pieces)
+        best = F.when(_same(parsed(at(i), template), role, text), chosen(i)).otherwise(best)
+    return turns.withColumn("best", best).select("*", "best.level", "best.piece").drop("best")
 
 
 def format_chats(rows: DataFrame, template: Template = LLAMA, learned: tuple[str, ...] = ("assistant",), conv_col: str = "conv_id",
                  turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per conversation: conv_id, n_turns, formatted, loss (array of <start, length> in code points), level.
+    """One row per conversation: conv_id, n_turns, formatted, loss (array of <start, length> in code points), turns (as read back), level.
 
-    ``loss`` names the bodies of the turns of the ``learned`` roles in ``formatted``, ``level`` is the highest escape level used. Turns come by
-    turn number, nulls first; equal numbers by role, then text, and repeated rows are all kept. Null texts and roles count as empty; an empty
-    text is a turn with an empty body, an empty role a role of its own. Rows with a null conversation id are one conversation. Other columns are
-    ignored. Long texts are handled whole. An empty table gives an empty result. A conversation that is not read back raises an error.
+    ``loss`` names the bodies of the turns of the ``learned`` roles in ``formatted``, ``turns`` is what the parser makes of ``formatted``, ``level`` is
+    the highest escape level used. Turns come by turn number, nulls first; equal numbers by role, then rendered text, and repeated rows are all
+    kept. Null texts and roles count as empty; an empty text is a turn with an empty body, an empty role a role of its own. Rows with a null
+    conversation id are one conversation. Other columns are ignored. Long texts are handled whole. An empty table gives an empty
+    result. A conversation that is not read back raises an error.
     """
     turns = rows.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    turns = rendered_turns(turns, template)
-    turns = turns.withColumn("run", F.shiftright(F.col("turn").cast("bigint"), RUN_BITS))
+    turns = rendered_turns(turns, template).withColumn("mark", F.xxhash64("role", "text"))
 
     # runs of turns
-    turns = turns.select("*", F.xxhash64("role", "text").alias("mark"), body_start(F.col("role"), template).alias("head"))
-    turns = turns.withColumn("learned", F.col("role").isin(*learned))
-    item = F.struct("turn", "role", "text", "piece", "strong", "mark", "head", "level", "learned")
-    runs = turns.groupBy("conv_id", "run").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    source = F.transform("items", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    joined = lambda name: F.array_join(F.transform("items", lambda t: t[name]), "")
-    runs = runs.withColumn("plain", joined("piece"))
-    runs = runs.withColumn("holds", parsed(F.col("plain"), template).eqNullSafe(source))
-    runs = runs.withColumn("formatted", F.when(F.col("holds"), F.col("plain")).otherwise(joined("strong")))
-    sizes = F.transform("items", lambda t: F.length(F.when(F.col("holds"), t["piece"]).otherwise(t["strong"])))
-    level = F.when(F.col("holds"), F.array_max(F.transform("items", lambda t: t["level"]))).otherwise(F.lit(LEVELS - 1))
-    runs = runs.withColumn("sizes", sizes).select(
-        "conv_id", "run", "formatted", level.alias("level"), F.length("formatted").cast("bigint").alias("chars"),
-        F.transform("items", lambda t: t["mark"]).alias("marks"), _spans(F.col("items"), F.col("sizes"), template).alias("loss"),
+    item = F.struct("turn", "role", "piece", "mark", "level")
+    runs = turns.groupBy("conv_id", F.shiftright(F.col("turn").cast("bigint"), RUN_BITS).alias("run")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    runs = runs.select(
+        "conv_id", "run", F.array_join(F.transform("items", lambda t: t["piece"]), "").alias("formatted"), F.array_max(F.transform("items", lambda t: t["level"])).alias("level"),
+        F.transform("items", lambda t: t["mark"]).alias("marks"), _spans(F.col("items"), learned, template).alias("spans"),
     )
 
     # whole conversations: where each run starts, then all runs in order
     before = Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("at", F.coalesce(F.sum("chars").over(before), F.lit(0)))
-    runs = runs.withColumn("loss", F.transform("loss", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), s["length"].alias("length"))))
-    whole = runs.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("run", "formatted", "marks", "loss"))).alias("runs"), F.max("level").alias("level")
-    )
+    runs = runs.withColumn("at", F.coalesce(F.sum("spans.at").over(before), F.lit(0)))
+    moved = F.transform("spans.out", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), s["length"].alias("length")))
+    whole = runs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("run", "formatted", "marks", moved.alias("loss")))).alias("runs"), F.max("level").alias("level"))
     whole = whole.select(
         "conv_id", "level", F.array_join(F.col("runs.formatted"), "").alias("formatted"), F.flatten("runs.marks").alias("marks"), F.flatten("runs.loss").alias("loss")
     )
-    found = F.transform(parsed(F.col("formatted"), template), lambda t: F.xxhash64(t["role"], t["text"]))
-    checked = F.when(found.eqNullSafe(F.col("marks")), F.col("formatted")).otherwise(
+    whole = whole.withColumn("turns", parsed(F.col("formatted"), template))
+    found = F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"]))
+    checked = F.when(found.eqNullSafe(F.col("marks")), F.col("turns")).otherwise(
         F.raise_error(F.concat(F.lit("a conversation is not read back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
     )
-    return whole.select("conv_id", F.size("marks").cast("bigint").alias("n_turns"), checked.alias("formatted"), "loss", "level")
+    return whole.select("conv_id", F.size("marks").cast("bigint").alias("n_turns"), "formatted", "loss", checked.alias("turns"), "level")
 
 
-def _spans(items: Column, sizes: Column, template: Template) -> Column:
-    """<start, length> of the learned bodies of a run, in code points from its beginning."""
+def _spans(items: Column, learned: tuple[str, ...], template: Template) -> Column:
+    """<at, out>: the code points of a run, and <start, length> of its learned bodies from its beginning."""
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("out"))
     tails = {name: len(b) for name, _, b in template.marks}
     tail = lambda role: F.coalesce(*[F.when(role == n, F.lit(k)) for n, k in tails.items()], F.lit(len(template.other[2])))
 
-    def step(state, pair):
-        t, size = pair["t"], pair["size"]
-        span = F.struct((state["at"] + t["head"]).alias("start"), (size - t["head"] - tail(t["role"])).cast("bigint").alias("length"))
-        out = F.when(t["learned"], F.concat(state["out"], F.array(span))).otherwise(state["out"])
+    def step(state, t):
+        size, head = F.length(t["piece"]), body_start(t["role"], template)
+        span = F.struct((state["at"] + head).alias("start"), (size - head - tail(t["role"])).cast("bigint").alias("length"))
+        out = F.when(t["role"].isin(*learned), F.concat(state["out"], F.array(span))).otherwise(state["out"])
         return F.struct((state["at"] + size).cast("bigint").alias("at"), out.alias("out"))
 
-    pairs = F.zip_with(items, sizes, lambda t, s: F.struct(t.alias("t"), s.alias("size")))
-    return F.aggregate(pairs, zero, step, lambda s: s["out"])
+    return F.aggregate(items, zero, step)
 
 
 def chat_digests(chats: DataFrame, template: Template = LLAMA) -> DataFrame:
-    """What is read back from formatted conversations: turns through the parser, learned text through the spans."""
-    turns = parsed(F.col("formatted"), template)
+    """What is read back from formatted conversations: turns by the parser, learned text by the spans."""
     learned = F.transform("loss", lambda s: unescaped(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")), template))
-    out = chats.withColumns({"turns": turns, "learned_text": F.array_join(learned, "")})
+    out = chats.withColumn("learned_text", F.array_join(learned, ""))
     return out.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
