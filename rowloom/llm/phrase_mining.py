@@ -1,17 +1,19 @@
 """Phrase collocations by Toivonen's sampling.
 
-A sample of the documents proposes phrases of one to three words, level by level. One pass over all texts counts exactly every word
-and every longer phrase whose first and last words but one (its two largest parts) were proposed: the proposed phrases and their negative
-border. A phrase found frequent outside the proposal means that longer phrases around it went uncounted, so further passes count all
-phrases that hold such a failure, until no frequent phrase is uncovered. One such pass closes the set: the shortest uncounted frequent
-phrase has two frequent parts that were counted, one of them a failure.
-
-Proposals and failures reach the tasks as bit arrays of phrase hashes, of a bounded size. A bit set by another phrase causes a phrase to be
-counted in vain, never to be missed, and a phrase is counted at all of its occurrences or at none. Counts are kept by the phrases themselves.
+A sample of the documents proposes phrases of one to three words, level by level. One pass over all texts counts the candidates: every word,
+and every longer phrase whose two largest parts were proposed, which are the proposed phrases and their negative border. Candidates are
+counted by hash buckets, so a count can only be too high; what stays below the support is settled. A second pass counts by the
+phrases themselves whatever is left, and with it the expansion of the border failures: phrases whose parts came out frequent though they had
+not been proposed, so that they were no candidates. All parts of a frequent phrase are frequent, hence reach the second pass, hence so does
+the phrase: no third pass can find more.
+
+Proposals and frequent buckets reach the tasks as bit arrays of phrase hashes, of a bounded size. A bit set by another phrase causes
+a phrase to be counted in vain, never to be missed, and a phrase is counted at all of its occurrences or at none.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +29,10 @@ from .words import _factor, pieces, scramble
 
 LONGEST = 4
 SAMPLE_ONE_IN = 8
-LOWERED = 0.75  # of the support expected in the sample
+LOWERED = {1: 0.25, 2: 0.5, 3: 0.5}  # of the support expected in the sample, by the number of words
 BITS_A_PHRASE = 16
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27  # 16 MB; the bound holds for any corpus
-PASS_BYTES = 8 << 20
+PART_ENTRIES = 1 << 20  # counts that are added up together, on average
 TOP_SALTS = 64
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -98,35 +100,13 @@ class Marks:
         return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _listed_hashes(batch: pa.RecordBatch) -> list[tuple[np.ndarray, list[np.ndarray]]]:
-    """For each length: the rows of a batch (lang, phrase) with it, and the hashes of their words."""
-    words = pc.split_pattern(batch.column("phrase").cast(pa.large_binary()), b" ")
-    flat = words.flatten().dictionary_encode()
-    langs = batch.column("lang").cast(pa.large_binary()).dictionary_encode()
-    of_word = _hashes(flat.dictionary)[flat.indices.to_numpy(zero_copy_only=False)]
-    of_lang = _hashes(langs.dictionary)[langs.indices.to_numpy(zero_copy_only=False)]
-    offsets = words.offsets.to_numpy().astype(np.int64)
-    offsets = offsets - offsets[0]
-    sizes = np.diff(offsets)
-    out = []
-    for k in range(1, LONGEST + 1):
-        rows = np.flatnonzero(sizes == k)
-        out.append((rows, [scramble(of_word[offsets[rows] + i] ^ of_lang[rows]) for i in range(k)]))
-    return out
-
-
-def mark_phrases(phrases: DataFrame) -> Marks:
-    """Bits of the phrases (lang, phrase); their number sets the size, within fixed bounds."""
-    n = phrases.count()
-    bits = min(max(1 << (BITS_A_PHRASE * max(n, 1) - 1).bit_length(), LEAST_BITS), MOST_BITS)
-
-    def slots(batches):
-        for batch in batches:
-            found = [_phrase_hash(parts) for rows, parts in _listed_hashes(batch) if len(rows)]
-            at = np.unique(np.concatenate(found) & np.uint64(bits - 1)) if found else np.empty(0, np.uint64)
-            yield pa.record_batch({"slot": pa.array((at >> np.uint64(6)).astype(np.int64)), "bits": pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))})
-
-    found = phrases.select("lang", "phrase").mapInArrow(slots, "slot bigint, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+def mark_buckets(buckets: DataFrame, bucket_bits: int) -> Marks:
+    """Bits of the buckets, which are the low bits of phrase hashes; their number sets the size, within fixed bounds."""
+    n = buckets.count()
+    bits = min(max(1 << (BITS_A_PHRASE * max(n, 1) - 1).bit_length(), LEAST_BITS), MOST_BITS, 1 << bucket_bits)
+    at = F.col("bucket").bitwiseAND(F.lit(bits - 1))
+    slots = buckets.groupBy(F.shiftright(at, 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bucket & 63 as int))")).alias("bits"))
+    found = slots.toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return Marks(out)
@@ -136,119 +116,147 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].astype(np.int64)
 
 
-def _phrases_of(batch: pa.RecordBatch, proposed: Marks | None, failed: Marks | None, alive: Marks | None, levels: tuple[int, ...]):
-    """Batches (lang, phrase, k, n) of the phrases to count in a batch (lang, text); level 0 is the number of words."""
-    words = split_pieces(batch.column("text"))
-    if not len(words.codes):
-        return
-    langs = batch.column("lang").dictionary_encode()
-    lang_of = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.texts]
-    keys = lang_of * len(words.vocab) + words.codes
-    tokens, ids = np.unique(keys, return_inverse=True)
-    with_lang = scramble(_hashes(words.vocab)[tokens % len(words.vocab)] ^ _hashes(langs.dictionary.cast(pa.large_binary()))[tokens // len(words.vocab)])
-    size, count = len(keys), len(tokens)
+class Tokens:
+    """The words of a batch (lang, text), each with its language, and the phrases that begin at them."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.words = split_pieces(batch.column("text"))
+        self.langs = batch.column("lang").dictionary_encode()
+        self.size = len(self.words.codes)
+        self.lang_of = self.langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[self.words.texts]
+        if not self.size:
+            return
+        kinds = len(self.words.vocab)
+        self.tokens, self.ids = np.unique(self.lang_of * kinds + self.words.codes, return_inverse=True)
+        of_lang = _hashes(self.langs.dictionary.cast(pa.large_binary()))
+        self.hashes = scramble(_hashes(self.words.vocab)[self.tokens % kinds] ^ of_lang[self.tokens // kinds])
+        self.begins = self.shifted(self.words.follows)  # a pair begins here
+
+    def shifted(self, flags: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.size, bool)
+        out[:-1] = flags[1:]
+        return out
+
+    def both(self, flags: np.ndarray, k: int) -> np.ndarray:
+        """Where a phrase of ``k`` words begins both of whose largest parts are flagged."""
+        return flags & self.shifted(flags) & (self.begins if k == 2 else True)
 
-    def at(places: np.ndarray, k: int) -> list[np.ndarray]:
-        return [with_lang[ids[places + i]] for i in range(k)]
+    def phrase_hashes(self, places: np.ndarray, k: int) -> np.ndarray:
+        return _phrase_hash([self.hashes[self.ids[places + i]] for i in range(k)])
 
-    def shifted(flags: np.ndarray) -> np.ndarray:
-        out = np.zeros(size, bool)
-        out[:-1] = flags[1:]
+    def among(self, places: np.ndarray, k: int, marks: Marks) -> np.ndarray:
+        """The flagged ``places`` whose phrase is marked."""
+        out = np.zeros(self.size, bool)
+        at = np.flatnonzero(places)
+        out[at] = marks.has(self.phrase_hashes(at, k))
         return out
 
-    everywhere = np.arange(size)
-    chains = shifted(words.follows)  # a pair begins here
-    masks: dict[int, np.ndarray] = {1: np.ones(size, bool)}
-    if failed is None:
-        whole = {1: proposed.has(_phrase_hash([with_lang]))[ids]} if proposed is not None else {}
-        for k in range(2, max(levels) + 1):
-            masks[k] = whole[k - 1] & shifted(whole[k - 1]) & (chains if k == 2 else masks[k - 1] & shifted(masks[k - 1]))
-            if k < max(levels):
-                places = everywhere[masks[k]]
-                whole[k] = np.zeros(size, bool)
-                whole[k][places] = proposed.has(_phrase_hash(at(places, k)))
-    else:
-        living = alive.has(_phrase_hash([with_lang]))[ids]
-        holds = failed.has(_phrase_hash([with_lang]))[ids] & living
-        runs = living
-        for k in range(2, max(levels) + 1):
-            runs = (chains & living if k == 2 else runs) & shifted(runs)
-            masks[k] = runs & (holds | shifted(holds))
-            holds = masks[k].copy()
-            places = everywhere[runs & ~holds]
-            holds[places] = failed.has(_phrase_hash(at(places, k))) if k < max(levels) else False
-
-    def named(places: np.ndarray, k: int, counts: np.ndarray):
-        chosen = [tokens[ids[places + i]] for i in range(k)]
-        parts = [words.vocab.take(pa.array(c % len(words.vocab))) for c in chosen]
-        phrase = (pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if k > 1 else parts[0]).cast(pa.string())
-        lang = langs.dictionary.take(pa.array(chosen[0] // len(words.vocab)))
-        return pa.record_batch({"lang": lang.cast(pa.string()), "phrase": phrase, "k": pa.array(np.full(len(places), k, np.int32)), "n": pa.array(counts.astype(np.int64))})
-
-    if 0 in levels:
-        counts = np.bincount(lang_of, minlength=len(langs.dictionary))
-        yield pa.record_batch({
-            "lang": langs.dictionary.cast(pa.string()), "phrase": pa.array([""] * len(counts)), "k": pa.array(np.zeros(len(counts), np.int32)), "n": pa.array(counts.astype(np.int64)),
-        })
-    for k in levels:
-        if k == 0:
-            continue
-        places = everywhere[masks[k]]
-        if not len(places):
-            continue
-        key = ids[places]
+    def candidates(self, proposed: list[Marks], longest: int) -> list[np.ndarray]:
+        """Per length, where the phrases to count begin: all words, and phrases with both largest parts proposed."""
+        out = [np.ones(self.size, bool)]
+        for k in range(2, longest + 1):
+            out.append(self.both(self.among(out[-1], k - 1, proposed[k - 2]), k))
+        return out
+
+    def counted(self, places: np.ndarray, k: int) -> pa.RecordBatch:
+        """(lang, phrase, k, n) of the phrases of ``k`` words that begin at the places."""
+        key = self.ids[places]
         for i in range(1, k):
-            key = (_dense(key) if i > 1 else key) * count + ids[places + i]
+            key = (_dense(key) if i > 1 else key) * len(self.tokens) + self.ids[places + i]
         _, first, counts = np.unique(key, return_index=True, return_counts=True)
-        yield named(places[first], k, counts)
+        chosen = [self.tokens[self.ids[places[first] + i]] for i in range(k)]
+        kinds = len(self.words.vocab)
+        parts = [self.words.vocab.take(pa.array(c % kinds)) for c in chosen]
+        phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if k > 1 else parts[0]
+        lang = self.langs.dictionary.take(pa.array(chosen[0] // kinds))
+        return _counts(lang, phrase.cast(pa.string()), k, counts)
 
+    def totals(self) -> pa.RecordBatch:
+        """(lang, '', 0, n): the number of words."""
+        n = np.bincount(self.lang_of, minlength=len(self.langs.dictionary))
+        return _counts(self.langs.dictionary, pa.array([""] * len(n), pa.string()), 0, n)
 
-def count_phrases(texts: DataFrame, levels: tuple[int, ...], proposed: Marks | None = None, failed: Marks | None = None, alive: Marks | None = None) -> DataFrame:
-    """(lang, phrase, k, n): exact counts over the texts (lang, text) of the words and of the phrases that the marks ask for."""
-    context = texts.sparkSession.sparkContext
-    shared = context.broadcast((proposed, failed, alive))
 
-    def phrases(batches):
-        for batch in batches:
-            for part in pieces(batch, "text", PASS_BYTES):
-                yield from _phrases_of(part, *shared.value, levels)
+def _counts(lang: pa.Array, phrase: pa.Array, k: int, n: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"lang": lang.cast(pa.string()), "phrase": phrase, "k": pa.array(np.full(len(n), k, np.int32)), "n": pa.array(n.astype(np.int64))})
 
-    found = texts.select("lang", "text").mapInArrow(phrases, "lang string, phrase string, k int, n bigint")
-    return found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
 
+def frequent_buckets(texts: DataFrame, least: int, proposed: list[Marks], levels: range, entries: int) -> Marks:
+    """Marks of the candidate phrases of the given lengths whose bucket counts ``least`` occurrences or more.
 
-def uncovered(phrases: DataFrame, proposed: Marks, earlier: list[Marks]) -> DataFrame:
-    """The phrases (lang, phrase, ...) that were not proposed and hold none of the earlier failures."""
-    shared = phrases.sparkSession.sparkContext.broadcast((proposed, earlier))
+    About four buckets an expected entry, so that few are shared. A task sends the counts of a part of the buckets as one row: the gaps between
+    them and the counts. Parts are as many as the entries ask for, and hashes fill them evenly.
+    """
+    parts = 1 << max(4, (entries // PART_ENTRIES).bit_length())
+    bucket_bits = max(20, (4 * entries).bit_length())
+    width = bucket_bits - parts.bit_length() + 1  # bits of a bucket inside its part
+    shared = texts.sparkSession.sparkContext.broadcast(proposed)
 
-    def left(batches):
-        proposed, earlier = shared.value
+    def blocks(batches):
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for rows, parts in _listed_hashes(batch):
-                if not len(rows):
+            for piece in pieces(batch, "text"):
+                tokens = Tokens(piece)
+                if not tokens.size:
                     continue
-                open_rows = ~proposed.has(_phrase_hash(parts))
-                for marks in earlier:
-                    for a in range(len(parts)):
-                        for b in range(a + 1, len(parts) + 1):
-                            open_rows &= ~marks.has(_phrase_hash(parts[a:b]))
-                keep[rows] = open_rows
-            yield batch.filter(pa.array(keep))
-
-    return phrases.mapInArrow(left, phrases.schema)
+                found = tokens.candidates(shared.value, levels[-1])
+                hashes = [tokens.phrase_hashes(np.flatnonzero(found[k - 1]), k) for k in levels]
+                buckets, counts = np.unique(np.concatenate(hashes) & np.uint64((1 << bucket_bits) - 1), return_counts=True)
+                if not len(buckets):
+                    continue
+                of = (buckets >> np.uint64(width)).astype(np.int64)
+                begin = np.flatnonzero(np.diff(of, prepend=-1))
+                inside = (buckets & np.uint64((1 << width) - 1)).astype(np.int64)
+                gaps = np.diff(inside, prepend=0)
+                gaps[begin] = inside[begin]
+                ends = np.append(begin[1:], len(of))
+                yield pa.record_batch([
+                    pa.array(of[begin]), pa.array([gaps[a:b].astype(np.uint32).tobytes() for a, b in zip(begin, ends)], pa.binary()),
+                    pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in zip(begin, ends)], pa.binary()),
+                ], names=["part", "gaps", "counts"])
+
+    def added(key, table):
+        at = np.concatenate([np.cumsum(np.frombuffer(g.as_py(), np.uint32).astype(np.int64)) for g in table.column("gaps")])
+        n = np.concatenate([np.frombuffer(c.as_py(), np.uint32) for c in table.column("counts")])
+        order = np.argsort(at, kind="stable")
+        at, n = at[order], n[order].astype(np.int64)
+        begin = np.flatnonzero(np.diff(at, prepend=-1))
+        total = np.add.reduceat(n, begin)
+        frequent = at[begin][total >= least] + (int(key[0].as_py()) << width)
+        return pa.table({"bucket": pa.array(frequent, pa.int64())})
+
+    rows = texts.select("lang", "text").mapInArrow(blocks, "part bigint, gaps binary, counts binary")
+    found = materialize(rows.groupBy("part").applyInArrow(added, "bucket bigint"), "frequent-buckets")
+    return mark_buckets(found, bucket_bits)
+
+
+def exact_counts(texts: DataFrame, proposed: list[Marks], frequent: Marks) -> DataFrame:
+    """(lang, phrase, k, n): the number of words (k = 0), and exact counts of all phrases that can be frequent.
+
+    Those are candidates in a frequent bucket, and phrases that were no candidates although both largest parts can be frequent.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((proposed, frequent))
 
+    def phrases(batches):
+        proposed, frequent = shared.value
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                tokens = Tokens(piece)
+                if not tokens.size:
+                    continue
+                yield tokens.totals()
+                candidates = tokens.candidates(proposed, LONGEST)
+                possible = tokens.among(candidates[0], 1, frequent)
+                for k in range(1, LONGEST + 1):
+                    if k > 1:
+                        open_places = tokens.both(possible, k)
+                        known = open_places & candidates[k - 1]
+                        possible = tokens.among(known, k, frequent) | (open_places & ~known)
+                    places = np.flatnonzero(possible)
+                    if len(places):
+                        yield tokens.counted(places, k)
 
-def sample_proposal(texts: DataFrame, support: int) -> DataFrame:
-    """(lang, phrase) of the phrases of one to three words that reach a lowered support in the sample, level by level."""
-    least = max(2, -(-int(support * LOWERED * 100) // (100 * SAMPLE_ONE_IN)))
-    found: DataFrame | None = None
-    for k in range(1, LONGEST):
-        marks = None if found is None else mark_phrases(found)
-        new = count_phrases(texts, (k,), marks).filter(F.col("n") >= least).select("lang", "phrase")
-        new = materialize(new, "proposed")
-        found = new if found is None else found.unionByName(new)
-    return found
+    found = texts.select("lang", "text").mapInArrow(phrases, "lang string, phrase string, k int, n bigint")
+    return found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(docs: DataFrame, support: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -256,20 +264,15 @@ def frequent_phrases(docs: DataFrame, support: int, id_col: str = "doc_id", text
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     sample = materialize(texts.filter(F.pmod(F.xxhash64("id", "text"), F.lit(SAMPLE_ONE_IN)) == 0).select("lang", "text"), "phrase-sample")
     texts = texts.select("lang", "text")
-    proposed = mark_phrases(sample_proposal(sample, support))
-    enough = (F.col("k") == 0) | (F.col("n") >= support)
-    found = materialize(count_phrases(texts, (0, 1, 2, 3, 4), proposed).filter(enough), "frequent-phrases")
-    earlier: list[Marks] = []
-    while True:
-        short = found.filter((F.col("k") > 0) & (F.col("k") < LONGEST))
-        failures = materialize(uncovered(short, proposed, earlier), "border-failures")
-        if failures.isEmpty():
-            return found
-        failed, alive = mark_phrases(failures), mark_phrases(found.filter("k = 1"))
-        more = count_phrases(texts, (2, 3, 4), proposed, failed, alive).filter(enough)
-        # a phrase counted before has the same count again
-        found = materialize(found.unionByName(more).groupBy("lang", "phrase", "k").agg(F.max("n").alias("n")), "frequent-phrases")
-        earlier.append(failed)
+    letters = sample.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    entries = max(letters // 3, 1 << 16)  # words and pairs of the sample, roughly
+    proposed: list[Marks] = []
+    for k in range(1, LONGEST):
+        least = max(1, math.ceil(support * LOWERED[k] / SAMPLE_ONE_IN))
+        proposed.append(frequent_buckets(sample, least, proposed, range(k, k + 1), entries))
+    frequent = frequent_buckets(texts, support, proposed, range(1, LONGEST + 1), entries * min(SAMPLE_ONE_IN, 1 << 10))
+    found = exact_counts(texts, proposed, frequent)
+    return materialize(found.filter((F.col("k") == 0) | (F.col("n") >= support)), "frequent-phrases")
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741

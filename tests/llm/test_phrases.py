@@ -116,13 +116,22 @@ def test_score_passes_64_bits(spark):
     assert row["s"] == 2_000_000 * 9_000_000_000_000_000_000 // 18_100_000_000_000_000_001
 
 
-def test_marks_agree_with_texts(spark):
-    """Hashes of listed phrases and of phrases in texts are the same."""
-    marks = phrase_mining.mark_phrases(spark.createDataFrame([("en", "big red dog"), ("en", "red"), ("de", "red dog")], "lang string, phrase string"))
-    lang = np.array([phrase_mining._hashes(pa.array([b"en"]))[0]])
-    words = [phrase_mining.scramble(phrase_mining._hashes(pa.array([w])) ^ lang) for w in (b"big", b"red", b"dog")]
-    assert marks.has(phrase_mining._phrase_hash(words))[0] and marks.has(phrase_mining._phrase_hash(words[1:2]))[0]
-    assert not marks.has(phrase_mining._phrase_hash(words[1:]))[0]
+def test_buckets_never_count_too_little(spark, table):
+    """All words and all candidate pairs found often are marked, whatever the number of buckets."""
+    rows, df = table
+    texts = df.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    words = phrase_mining.frequent_buckets(texts, 1, [], range(1, 2), 1 << 16)
+    for entries in (16, 1 << 22):
+        marks = phrase_mining.frequent_buckets(texts, 30, [words], range(1, 3), entries)
+        tokens = phrase_mining.Tokens(pa.RecordBatch.from_pylist([{"lang": lang or "und", "text": text} for _, text, lang in rows], pa.schema([("lang", pa.string()), ("text", pa.string())])))
+        for k in (1, 2):
+            places = np.flatnonzero(tokens.both(np.ones(tokens.size, bool), 2)) if k == 2 else np.arange(tokens.size)
+            often = Counter(zip(*[tokens.ids[places + i].tolist() for i in range(k)]))
+            marked = marks.has(tokens.phrase_hashes(places, k))
+            keys = list(zip(*[tokens.ids[places + i].tolist() for i in range(k)]))
+            assert all(m for m, key in zip(marked, keys) if often[key] >= 30)
+            if entries > 1 << 20:
+                assert not any(m for m, key in zip(marked, keys) if often[key] < 30)
 
 
 def test_no_documents(spark):
