@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.names import WORDS
 from rowloom.operators.anonymize import anon_map, anonymize, fresh_pii, make_ids, make_ids_unique
+from rowloom.operators.constraints import Constraint, filter_valid, prepare
 from rowloom.operators.encoders import (
-    BinaryEnc, LabelEnc, Numeric, OneHotEnc, UniformCat, UnixTs, argmax_decode, decode, encode, fit_encoders,
+    BinaryEnc, Encoder, LabelEnc, Numeric, OneHotEnc, UniformCat, UnixTs, argmax_decode, choose_encoders, decode, encode, fit_encoders,
 )
 from rowloom.operators.generate import ids_only
 from rowloom.operators.mixture import Mixture, inverse_mixture, mixture_table, transform_mixture
+from rowloom.operators.ordinals import dense_index
+from rowloom.sources import profiles
 from rowloom.spec import FieldSpec, TableSpec
 
 from .base import RK, RK_SQL, below, query, r6, table, with_u
@@ -243,7 +246,60 @@ def a_ids_unique(spark, sf):
     return make_ids_unique(p, spec, "p_partkey")
 
 
-@query("g_ids_only", f"SELECT k AS number, {_regex_sql('k')} AS code FROM (SELECT row_number() OVER () - 1 AS k FROM part)")
+@query("g_ids_only", f"SELECT p_partkey, k AS number, {_regex_sql('k')} AS code FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS k FROM part)")
 def g_ids_only(spark, sf):
+    """A table of ids as long as the parts, attached to them in the order of their names."""
+    p = dense_index(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_name", "p_partkey"], "number")
     spec = TableSpec([FieldSpec("number", "id", "integer"), FieldSpec("code", "id", "string", regex=_PATTERN)])
-    return ids_only(spark, spec, table(spark, sf, "part").count())
+    ids = ids_only(spark, spec, p.count())
+    return p.join(ids, "number").select("p_partkey", "number", "code")
+
+
+class Folded(Encoder):
+    """A number as its place between 0 and 1 on a folded scale: an encoder as a user would write it."""
+
+    def statistics(self, df):
+        return [F.avg(F.abs(F.col(self.name)))]
+
+    def learn(self, values):
+        self.scale = float(values[0])
+
+    def encoded(self, df):
+        value = F.col(self.name)
+        return F.array(value / (F.lit(self.scale) + F.abs(value)))
+
+    def decoded(self, vector):
+        return vector[0] * F.lit(self.scale) / (F.lit(1.0) - F.abs(vector[0]))
+
+
+@query("u_own_encoder", """
+    SELECT event_id, round(value / ((SELECT avg(abs(value)) FROM events) + abs(value)), 6) AS code, round(value, 6) AS value FROM events""")
+def u_own_encoder(spark, sf):
+    """A user's encoder, named by the field, learned with the others, used both ways, and found again by its name after saving."""
+    e = table(spark, sf, "events").select("event_id", "value")
+    spec = TableSpec([FieldSpec("event_id", "id", "integer"), FieldSpec("value", "numerical", "float", encoder=Folded)])
+    plain = profiles.to_plain({"encoder": spec["value"].encoder}, {})
+    spec["value"].encoder = profiles.from_plain(plain, {})["encoder"]
+    encoders = fit_encoders(e, choose_encoders(e, spec), "event_id")
+    coded = encode(e, encoders, keep=["event_id"])
+    back = decode(coded.withColumn("code", F.col("vector")[0]), encoders)
+    return back.select("event_id", r6("code", "code"), r6("value", "value"))
+
+
+class MultipleOf(Constraint):
+    """Whole multiples of a step: a constraint as a user would write it."""
+
+    def __init__(self, column, step, handling="reject_sampling"):
+        self.column, self.step = column, step
+        self.columns = (column,)
+        super().__init__(handling)
+
+    def valid(self, df):
+        return F.coalesce(F.col(self.column) % self.step == 0, F.lit(False))
+
+
+@query("u_named_constraint", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity % 5 = 0 AND l_partkey % 2 = 0")
+def u_named_constraint(spark, sf):
+    """Constraints named in a description: by their dotted path, and by the name of their class."""
+    asked = [{"constraint": f"{__name__}.MultipleOf", "column": "l_quantity", "step": 5}, {"constraint": "MultipleOf", "column": "l_partkey", "step": 2}]
+    return filter_valid(table(spark, sf, "lineitem"), prepare(asked)).select("l_orderkey", "l_linenumber", "l_quantity")

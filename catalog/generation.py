@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F, types as T
 
 from rowloom.functions.numbers import time_number
-from rowloom.functions.random import uniform
-
-from rowloom.operators.constraints import Between, UniqueCombinations
+from rowloom.functions.random import _FAR_TAIL, _TAIL, uniform
+from rowloom.operators.constraints import Between, Unique, UniqueCombinations
 from rowloom.operators.copula import Copula, _Dim, complete_conditions, copula_stats
 from rowloom.operators.encoders import choose_encoders, decode, encode, fit_encoders
 from rowloom.operators.frequency import labels_by_appearance
 from rowloom.operators.generate import finalize, fit_model, generate
+from rowloom.operators.intervals import power_of_two
 from rowloom.operators.labels import label_fidelity, label_quota, label_to_iri, nearest_labels, normalise_key, with_embedding
 from rowloom.operators.ordinals import dense_index
 from rowloom.operators.privacy import private_freq
+from rowloom.operators.release import BLOCK_SURVIVORS, MOST_GAPS, Private, tail_probability
 from rowloom.operators.rejection import filter_conditions, make_conditions, repeat_fill, sample_conditional, sample_valid
-from rowloom.plans.synthesizer import Profile
-from rowloom.session import materialize
+from rowloom.plans.synthesizer import Profile, Synthesizer
+from rowloom.session import materialize, scratch_path
 from rowloom.sources import read_label_dict
 from rowloom.spec import FieldSpec, TableSpec
 
@@ -135,6 +138,18 @@ def g_complete_conditions(spark, sf):
     return complete_conditions(p.select("p_partkey", "p_brand"), rule, seed=7, id_col="p_partkey")
 
 
+@query("g_complete_invariants", """
+    SELECT p_partkey, p_brand, true AS seen, true AS own_brand FROM part""")
+def g_complete_invariants(spark, sf):
+    """Whatever is drawn: each part keeps its brand, and the completed combination occurs among the parts."""
+    p = table(spark, sf, "part")
+    out = g_complete_conditions(spark, sf)
+    known = p.select("p_brand", "p_type").distinct().withColumn("seen", F.lit(True))
+    own = p.select("p_partkey", F.col("p_brand").alias("_brand"))
+    out = out.join(known, ["p_brand", "p_type"], "left").join(own, "p_partkey")
+    return out.select("p_partkey", "p_brand", F.coalesce("seen", F.lit(False)).alias("seen"), (F.col("_brand") == F.col("p_brand")).alias("own_brand"))
+
+
 # -- generation ---------------------------------------------------------------------------
 def pick_sql(draws, bounds, on, u, values):
     """``draws`` with the value columns of the interval that contains ``u``."""
@@ -177,6 +192,22 @@ def g_generate_seen(spark, sf):
     return out.withColumn("l_extendedprice", F.round("l_extendedprice", 4))
 
 
+def _stored_sql():
+    q = _seen_sql().replace("(SELECT o_orderkey FROM orders)", "(SELECT i AS o_orderkey FROM range(0, (SELECT count(*) FROM orders)) t(i))")
+    return f"SELECT * EXCLUDE (o_orderkey) FROM ({q})"
+
+
+@query("s_profile_store", _stored_sql())
+def s_profile_store(spark, sf):
+    """Rows of a profile that was saved twice and loaded again."""
+    path = scratch_path(spark, "store")
+    profile = _orders_profile(spark, sf)
+    profile.save(path)
+    profile.save(path)
+    rows = Profile.load(spark, path).sample(table(spark, sf, "orders").count(), seed=SEED)
+    return rows.withColumn("l_extendedprice", F.round("l_extendedprice", 4))
+
+
 _TRAIN = "(SELECT * FROM (SELECT *, o_custkey % 10 AS label FROM orders) WHERE label <> 9)"
 
 
@@ -212,14 +243,38 @@ def g_generate_unseen(spark, sf):
 
 
 # -- rejection ----------------------------------------------------------------------------
-@query("g_topup", f"""
-    SELECT cand_id, round(u, 6) AS v FROM {with_u('(SELECT i AS cand_id FROM range(0, 40 * (SELECT count(*) FROM orders)) t(i))', ['cand_id'], SEED, 'v')}
-    WHERE u >= 0.2 AND u <= 0.5 ORDER BY cand_id LIMIT (SELECT count(*) FROM orders)""")
+def _topup_sql():
+    """All candidates of the model, filtered; the first of each key, the first of those."""
+    shares = " UNION ALL ".join(
+        f"SELECT o_orderstatus AS label, {i} AS component, round(sum(p{i}) * 1e6)::BIGINT AS n FROM {probabilities_sql('orders', 'o_totalprice')} GROUP BY 1"
+        for i in range(3))
+    q = "(SELECT i AS cand_id FROM range(0, 20 * (SELECT count(*) FROM orders)) t(i))"
+    for stream, name in [("label", "ul"), ("value/o_orderpriority", "uv"), ("component/o_totalprice", "uc")]:
+        q = with_u(q, ["cand_id"], SEED, stream, name)
+    q = with_normal(q, ["cand_id"], SEED, "z/o_totalprice", "zz")
+    own = "(SELECT o_orderstatus AS label, o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1, 2)"
+    q = pick_sql(q, bounds_sql("(SELECT o_orderstatus AS label, count(*) AS n FROM orders GROUP BY 1)", "", "label"), [], "ul", [("label", "o_orderstatus")])
+    q = pick_sql(q, bounds_sql(own, "label", "value"), [("o_orderstatus", "label")], "uv", [("value", "o_orderpriority")])
+    q = pick_sql(q, bounds_sql(f"({shares})", "label", "component"), [("o_orderstatus", "label")], "uc", [("component", "component")])
+    return f"""
+    SELECT cand_id, o_orderstatus, o_orderpriority, round(price, 4) AS o_totalprice FROM (
+        SELECT *, floor(price)::BIGINT AS whole FROM (SELECT *, {_value_sql('component', 'zz')} AS price FROM {q}) WHERE price >= 20000 AND price <= 60000)
+    QUALIFY row_number() OVER (PARTITION BY o_orderpriority, whole ORDER BY cand_id) = 1
+    ORDER BY cand_id LIMIT (SELECT count(*) FROM orders)"""
+
+
+@query("g_topup", _topup_sql())
 def g_topup(spark, sf):
-    n = table(spark, sf, "orders").count()
-    rule = Between("v", 0.2, 0.5, handling="reject_sampling")
-    rows = sample_valid(spark, lambda ids: ids.withColumn("v", uniform(SEED, "v", "cand_id")), [rule], n)
-    return rows.select("cand_id", r6("v", "v"))
+    """As many rows as there are orders, drawn from a model of them, within a price range and no two with one priority and whole price."""
+    o = table(spark, sf, "orders")
+    model = fit_model(o, "o_orderstatus", ["o_orderpriority"], ["o_totalprice"], {"o_totalprice": MIX})
+    rules = [Between("o_totalprice", 20000.0, 60000.0, handling="reject_sampling"), Unique(["o_orderpriority", "whole"], "cand_id")]
+
+    def source(ids):
+        return generate(model, ids, ["cand_id"], SEED).withColumn("whole", F.floor("o_totalprice").cast("bigint"))
+
+    rows = sample_valid(spark, source, rules, o.count())
+    return rows.select("cand_id", "o_orderstatus", "o_orderpriority", F.round("o_totalprice", 4).alias("o_totalprice"))
 
 
 @query("g_repeat_fill", """
@@ -262,6 +317,49 @@ def g_conditional(spark, sf):
     rows = sample_conditional(wanted, source, [Between("v", 0.1, 0.9, handling="reject_sampling")])
     return rows.select("cond_id", "o_orderstatus", r6("v", "v"))
 
+def _conditional_profile_sql():
+    """Weights of (label, pair) under the given flag and priority, then everything else given the label."""
+    asked = "(SELECT o_orderkey AS cond_id, 0 AS attempt, ['A', 'N', 'R'][o_orderkey % 3 + 1] AS kx, o_orderpriority AS ky FROM orders)"
+    own = lambda c: f"(SELECT {LABEL} AS label, {c} AS v, count(*) AS n FROM {LO_SQL} GROUP BY 1, 2)"
+    weights = f"""(SELECT kx, ky, label, kind, w FROM (
+        SELECT f.v AS kx, p.v AS ky, l.label, 2.0::DOUBLE * l.n * (f.n::DOUBLE / l.n::DOUBLE) * (p.n::DOUBLE / l.n::DOUBLE) AS w, '' AS kind
+        FROM (SELECT {LABEL} AS label, count(*) AS n FROM {LO_SQL} GROUP BY 1) l JOIN {own('l_returnflag')} f USING (label) JOIN {own('o_orderpriority')} p USING (label)
+        UNION ALL SELECT l_returnflag, o_orderpriority, {LABEL}, count(*)::DOUBLE, 'l_returnflag|o_orderpriority' FROM {LO_SQL} GROUP BY 1, 2, 3))"""
+    whole = f"(SELECT * EXCLUDE (w), round(w / max(w) OVER (PARTITION BY kx, ky) * 1e12)::BIGINT AS n FROM {weights})"
+    shares = " UNION ALL ".join(
+        f"SELECT {LABEL} AS label, {i} AS component, round(sum(p{i}) * 1e6)::BIGINT AS n FROM {probabilities_sql(f'(SELECT * FROM {LO_SQL})', 'l_extendedprice')} GROUP BY 1"
+        for i in range(3))
+    q, ids = asked, ["cond_id", "attempt"]
+    for stream, name in [("guided", "ug"), ("pair", "up"), ("guided/second", "us"), ("guided/first", "uf"), ("value/l_linestatus", "uv"), ("component/l_extendedprice", "uc")]:
+        q = with_u(q, ids, SEED, stream, name)
+    q = with_normal(q, ids, SEED, "z/l_extendedprice", "zz")
+    q = pick_sql(q, bounds_sql(whole, "kx, ky", "kind, label"), [("kx", "kx"), ("ky", "ky")], "ug", [("kind", "kind"), ("label", "label")])
+    q = f"(SELECT *, CASE kind WHEN '' THEN ['l_returnflag|l_linestatus', 'l_linestatus|o_orderpriority'][{below('up', '2')} + 1] ELSE kind END AS pair FROM {q})"
+    joint = lambda x, y: f"(SELECT {LABEL} AS label, {x} AS a, {y} AS b, count(*) AS n FROM {LO_SQL} GROUP BY 1, 2, 3)"
+    second = bounds_sql(joint("l_returnflag", "l_linestatus"), "label, a", "b")
+    first = bounds_sql(joint("l_linestatus", "o_orderpriority"), "label, b", "a")
+    q = f"(SELECT _d.*, s.b AS b FROM {q} _d LEFT JOIN {second} s ON pair = 'l_returnflag|l_linestatus' AND s.label = _d.label AND s.a = kx AND us >= s.lo AND us < s.hi)"
+    q = f"(SELECT _d.*, s.a AS a FROM {q} _d LEFT JOIN {first} s ON pair = 'l_linestatus|o_orderpriority' AND s.label = _d.label AND s.b = ky AND uf >= s.lo AND uf < s.hi)"
+    q = pick_sql(q, bounds_sql(f"(SELECT label, v AS value, n FROM {own('l_linestatus')})", "label", "value"), [("label", "label")], "uv", [("value", "own")])
+    q = pick_sql(q, bounds_sql(f"({shares})", "label", "component"), [("label", "label")], "uc", [("component", "component")])
+    return f"""SELECT cond_id, label AS {LABEL}, kx AS l_returnflag, coalesce(b, a, own) AS l_linestatus, ky AS o_orderpriority,
+        round({_value_sql('component', 'zz')}, 4) AS l_extendedprice FROM {q}"""
+
+
+def _orders_profile(spark, sf):
+    lo = lineitem_orders(spark, sf).select(LABEL, *COLUMNS, "l_extendedprice")
+    model = fit_model(lo, LABEL, COLUMNS, ["l_extendedprice"], {"l_extendedprice": MIX})
+    return Profile(TableSpec.infer(lo), LABEL, [], model, {}, {f.name: f.dataType for f in lo.schema.fields}, 0)
+
+
+@query("g_conditional_profile", _conditional_profile_sql())
+def g_conditional_profile(spark, sf):
+    """A row for every order with the order's priority and a given return flag, also where the two are rare together."""
+    flag = F.element_at(F.array(*[F.lit(v) for v in "ANR"]), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    asked = table(spark, sf, "orders").select(F.col("o_orderkey").alias("cond_id"), flag.alias("l_returnflag"), "o_orderpriority")
+    out = _orders_profile(spark, sf).sample(conditions=asked, seed=SEED, max_retries=0)
+    return out.withColumn("l_extendedprice", F.round("l_extendedprice", 4))
+
 
 @query("g_finalize", "SELECT o_orderkey, o_orderkey AS row_id, o_orderstatus, round(o_totalprice, 2) AS o_totalprice, o_orderdate FROM orders")
 def g_finalize(spark, sf):
@@ -313,6 +411,71 @@ def p_private_freq(spark, sf):
     return out.select("pair", "label", "a", "b", r6("noisy", "noisy"), r6("p", "p"), r6("epsilon", "epsilon"))
 
 
+# the public value lists of a part's size and of the suppliers; most pairs of them occur in no row
+_PRIVATE = ["l_returnflag", "p_size", "l_suppkey"]
+_PRIVATE_SIGMA, _PRIVATE_ROWS, _PRIVATE_THRESHOLD = 1.0, 3, 2.0
+
+
+def _poly(coefficients, x):
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _private_profile_sql():
+    """Observed cells with noise, and the cells whose noise alone passes the threshold, found by geometric gaps."""
+    source = f"(SELECT * FROM {LO_SQL} JOIN part ON l_partkey = p_partkey)"
+    capped = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {RK_SQL}) AS nth FROM {source}) WHERE nth <= {_PRIVATE_ROWS})"
+    pairs = [(a, b) for i, a in enumerate(_PRIVATE) for b in _PRIVATE[i + 1:]]
+    deviation = _PRIVATE_SIGMA * _PRIVATE_ROWS * len(pairs) ** 0.5
+    p = tail_probability(_PRIVATE_THRESHOLD)
+    width = power_of_two(math.ceil(BLOCK_SURVIVORS / p))
+    values = {
+        LABEL: "SELECT unnest(['F', 'O', 'P']) AS v", "l_returnflag": "SELECT unnest(['A', 'N', 'R']) AS v",
+        "p_size": "SELECT unnest(range(1, 51))::VARCHAR AS v", "l_suppkey": "SELECT DISTINCT s_suppkey::VARCHAR AS v FROM supplier",
+    }
+    codes = " UNION ALL ".join(f"SELECT '{c}' AS c, v, row_number() OVER (ORDER BY v) - 1 AS k FROM ({q})" for c, q in values.items())
+    noise = with_normal("(SELECT tab, cell, n FROM observed)", ["cell"], SEED, "noise", "z")
+    gaps = with_u("(SELECT tab, start, size, block, (block - first_block) * " + str(width) + " AS lower, unnest(range(0, " + str(MOST_GAPS) + ")) AS draw FROM (SELECT *, first_block + unnest(range(0, blocks)) AS block FROM tabs))", ["block", "draw"], SEED, "gap", "ug")
+    tails = with_u("(SELECT tab, cell FROM spare)", ["cell"], SEED, "tail", "ut")
+    r = f"sqrt(-ln({p!r} * ut))"
+    near, far = f"({r} - 1.6)", f"({r} - 5.0)"
+    z = f"CASE WHEN {r} <= 5.0 THEN {_poly(_TAIL[0], near)} / {_poly(_TAIL[1], near)} ELSE {_poly(_FAR_TAIL[0], far)} / {_poly(_FAR_TAIL[1], far)} END"
+    return f"""
+    WITH codes AS MATERIALIZED ({codes}), sizes AS (SELECT c, count(*) AS k FROM codes GROUP BY 1),
+    pairs AS (SELECT i, x || '|' || y AS tab, x, y, l.k * a.k * b.k AS size, a.k AS ka, b.k AS kb
+              FROM (VALUES {', '.join(f"({i}, '{x}', '{y}')" for i, (x, y) in enumerate(pairs))}) t(i, x, y)
+              JOIN sizes l ON l.c = '{LABEL}' JOIN sizes a ON a.c = x JOIN sizes b ON b.c = y),
+    tabs AS (SELECT *, (sum(size) OVER (ORDER BY i) - size)::BIGINT AS start, (sum(blocks) OVER (ORDER BY i) - blocks)::BIGINT AS first_block
+             FROM (SELECT *, ((size + {width} - 1) // {width})::BIGINT AS blocks FROM pairs)),
+    counts AS MATERIALIZED ({joint_sql(capped, LABEL, pairs)}),
+    observed AS (SELECT tab, (start + (l.k * ka + a.k) * kb + b.k)::BIGINT AS cell, n FROM counts JOIN tabs ON tab = pair
+                 JOIN codes l ON l.c = '{LABEL}' AND l.v = label JOIN codes a ON a.c = x AND a.v = counts.a JOIN codes b ON b.c = y AND b.v = counts.b),
+    spare AS (SELECT tab, (start + lower + at_)::BIGINT AS cell FROM (
+                  SELECT *, sum(floor(ln(ug) / {math.log1p(-p)!r})::BIGINT + 1) OVER (PARTITION BY block ORDER BY draw) - 1 AS at_ FROM {gaps})
+              WHERE at_ < least({width}, size - lower) AND (start + lower + at_)::BIGINT NOT IN (SELECT cell FROM observed)),
+    kept AS (SELECT tab, cell, n + z * {deviation!r} AS noisy FROM {noise} WHERE n + z * {deviation!r} >= {_PRIVATE_THRESHOLD * deviation!r}
+             UNION ALL SELECT tab, cell, ({z}) * {deviation!r} FROM {tails})
+    SELECT kept.tab AS pair, l.v AS label, a.v AS a, b.v AS b, round(noisy)::BIGINT AS n,
+           round((SELECT min((1 + i / 10) / {_PRIVATE_SIGMA**2!r} + ln(1 / 2e-6) / (i / 10)) FROM range(1, 1271) t(i)), 6) AS epsilon
+    FROM kept JOIN tabs ON tabs.tab = kept.tab JOIN codes l ON l.c = '{LABEL}' AND l.k = (cell - start) // (ka * kb)
+    JOIN codes a ON a.c = x AND a.k = (cell - start) // kb % ka JOIN codes b ON b.c = y AND b.k = (cell - start) % kb"""
+
+
+@query("p_private_profile", _private_profile_sql())
+def p_private_profile(spark, sf):
+    """The joint counts of a profile learned privately, and the epsilon of its two releases."""
+    rows = lineitem_orders(spark, sf).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    how = Private(
+        "o_custkey", RK, {
+            LABEL: _DOMAIN[LABEL], "l_returnflag": _DOMAIN["l_returnflag"], "p_size": list(range(1, 51)),
+            "l_suppkey": table(spark, sf, "supplier").select(F.col("s_suppkey").alias("value")),
+        }, {"l_quantity": (0.0, 51.0)}, _PRIVATE_ROWS, _PRIVATE_SIGMA, threshold=_PRIVATE_THRESHOLD, seed=SEED)
+    profile = Synthesizer(LABEL, private=how).fit(rows)
+    return profile.model.joint.withColumn("epsilon", F.round(F.lit(profile.epsilon), 6))
+
+
 @query("x_scalar_mix", """
     SELECT event_id, 'http://x/' || event_type AS key, epoch_us(ts) AS micros, date_diff('day', TIMESTAMP '2024-01-01', ts)::BIGINT AS days FROM events""")
 def x_scalar_mix(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rowloom.operators.frequency import joint_freq
 from rowloom.session import scratch_path
-from rowloom.sources import profiles, read_label_dict, read_table, write_rows
+from rowloom.sources import profiles, read_embeddings, read_label_dict, read_table, write_rows
 from rowloom.sources.labels import embedding_widths
 from rowloom.spec import FieldSpec, TableSpec
 
@@ -35,6 +35,26 @@ def s_csv_typed(spark, sf):
     return read_table(spark, spec)
 
 
+@query("s_csv_text", r"""
+    SELECT doc_id::VARCHAR AS doc_id, nullif(CASE doc_id % 5 WHEN 0 THEN 'NA' ELSE lang END, 'NA') AS lang,
+           CASE doc_id % 3 WHEN 0 THEN '"' || coalesce(text, '') || '"' || chr(10) || ',"",' || chr(10) || 'end' WHEN 1 THEN nullif(text, '') END AS text,
+           n_chars::DOUBLE AS n_chars FROM documents""")
+def s_csv_text(spark, sf):
+    """Whole texts with quotes, commas, line breaks and missing-value marks, in files that order their columns differently."""
+    path = scratch_path(spark, "csv-text")
+    d = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 5 == 0, "NA").otherwise(F.col("lang")).alias("lang"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('"'), F.coalesce("text", F.lit("")), F.lit('"\n,"",\nend'))).when(F.col("doc_id") % 3 == 1, F.col("text")).alias("text"),
+        F.col("n_chars").cast("string").alias("n_chars"), F.lit("x\ny").alias("other"),
+    )
+    write_rows(d.filter("doc_id % 2 = 0").coalesce(1), f"{path}/even")
+    write_rows(d.filter("doc_id % 2 = 1").select("n_chars", "text", "other", "lang", "doc_id").coalesce(2), f"{path}/odd")
+    spec = TableSpec([
+        FieldSpec("doc_id", "id", "string"), FieldSpec("lang", "categorical"), FieldSpec("text", "categorical"), FieldSpec("n_chars", "numerical", "float"),
+    ], path=f"{path}/*")
+    return read_table(spark, spec)
+
+
 @query("s_label_dict", """
     SELECT c_name AS label, CASE WHEN c_mktsegment = 'BUILDING' THEN 'http://y/' ELSE 'http://x/' END || c_custkey AS iri
     FROM customer""")
@@ -57,6 +77,21 @@ def s_embeddings_width(spark, sf):
     return embedding_widths(table(spark, sf, "embeddings"))
 
 
+@query("s_embeddings_text", """
+    SELECT 'v' || vec_id AS key, len(embedding)::INTEGER AS width, round(list_sum(list_transform(embedding, lambda x: x::FLOAT::DOUBLE)), 6) AS total,
+           round(embedding[64]::FLOAT::DOUBLE, 6) AS last FROM embeddings""")
+def s_embeddings_text(spark, sf):
+    """All embeddings through a word-vector file, with its leading line."""
+    path = scratch_path(spark, "vectors")
+    e = table(spark, sf, "embeddings")
+    line = F.concat(F.lit("v"), F.col("vec_id"), F.lit(" "), F.array_join(F.transform("embedding", lambda x: x.cast("string")), " "))
+    e.select(line.alias("value")).write.text(f"{path}/vectors")
+    e.agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" 64")).alias("value")).write.text(f"{path}/head")
+    back = read_embeddings(spark, [f"{path}/vectors", f"{path}/head"], 64, fmt="text")
+    value = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return back.select("key", F.size("embedding").alias("width"), F.round(value, 6).alias("total"), F.round(F.col("embedding")[63].cast("double"), 6).alias("last"))
+
+
 @query("s_roundtrip", "SELECT event_id, user_id, event_type, value FROM events")
 def s_roundtrip(spark, sf):
     path = scratch_path(spark, "rows")

@@ -8,6 +8,7 @@ from .errors import ConstraintsNotMetError, MetadataError, MetadataNotFittedErro
 from .operators.constraints import (
     Between, ColumnFormula, Constraint, Custom, GreaterThan, Negative, OneHot, Positive, Rounding, Unique, UniqueCombinations,
 )
+from .operators.release import Ledger, Private
 from .plans import Profile, Synthesizer
 from .spec import DatasetSpec, FieldSpec, TableSpec, project
 
@@ -17,6 +18,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 __all__ = [
     "Between", "ColumnFormula", "Constraint", "ConstraintsNotMetError", "Custom", "DatasetSpec", "FieldSpec", "GreaterThan",
-    "MetadataError", "MetadataNotFittedError", "MissingConstraintColumnError", "Negative", "NotFittedError", "OneHot",
-    "Positive", "Profile", "Rounding", "Synthesizer", "TableSpec", "Unique", "UniqueCombinations", "project",
+    "Ledger", "MetadataError", "MetadataNotFittedError", "MissingConstraintColumnError", "Negative", "NotFittedError", "OneHot",
+    "Positive", "Private", "Profile", "Rounding", "Synthesizer", "TableSpec", "Unique", "UniqueCombinations", "project",
 ]

@@ -44,3 +44,43 @@ def index_below(u: Column, n: Column | int) -> Column:
     """Integer in 0..n-1 from a uniform number."""
     n = F.lit(n) if isinstance(n, int) else n
     return F.least(F.floor(u * n), n.cast("bigint") - 1).cast("bigint")
+
+
+# fixed values: the rational approximations of algorithm AS 241 (Wichura 1988), highest power first
+_MIDDLE = (
+    (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125,
+     1971.5909503065514427, 133.14166789178437745, 3.387132872796366608),
+    (5226.495278852854561, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867, 5394.1960214247511077,
+     687.1870074920579083, 42.313330701600911252, 1.0),
+)
+_TAIL = (
+    (7.7454501427834140764e-4, 2.27238449892691845833e-2, 0.24178072517745061177, 1.27045825245236838258, 3.64784832476320460504,
+     5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734),
+    (1.05075007164441684324e-9, 5.475938084995344946e-4, 1.51986665636164571966e-2, 0.14810397642748007459, 0.68976733498510000455,
+     1.6763848301838038494, 2.05319162663775882187, 1.0),
+)
+_FAR_TAIL = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.2426609473880784386e-3, 2.65321895265761230930e-2, 0.29656057182850489123,
+     1.7848265399172913358, 5.4637849111641143699, 6.6579046435011037772),
+    (2.04426310338993978564e-15, 1.4215117583164458887e-7, 1.8463183175100546818e-5, 7.868691311456132591e-4, 1.48753612908506148525e-2,
+     0.13692988092273580531, 0.59983220655588793769, 1.0),
+)
+
+
+def _ratio(polynomials, x: Column) -> Column:
+    def value(coefficients):
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + F.lit(c)
+        return out
+
+    return value(polynomials[0]) / value(polynomials[1])
+
+
+def upper_quantile(q: Column) -> Column:
+    """The ``z`` above which a standard normal number lies with probability ``q``, precise also for tiny ``q``."""
+    centre = F.lit(0.5) - q
+    r = F.sqrt(-F.ln(F.least(q, F.lit(1.0) - q)))
+    far = F.when(r <= 5.0, _ratio(_TAIL, r - F.lit(1.6))).otherwise(_ratio(_FAR_TAIL, r - F.lit(5.0)))
+    middle = _ratio(_MIDDLE, F.lit(0.180625) - centre * centre) * centre
+    return F.when(F.abs(centre) <= 0.425, middle).otherwise(F.when(q < 0.5, far).otherwise(-far))

@@ -12,6 +12,8 @@ from .intervals import cumulative
 from .joins import lookup
 from .ordinals import _ranged, dense_index
 
+BLOCK_BITS = 20  # rows that are numbered or searched together
+
 
 def text_of(df: DataFrame, name: str):
     """Category as text; null stays null and counts as a category of its own."""
@@ -49,22 +51,30 @@ def pair_names(columns: list[str]) -> list[tuple[str, str]]:
     return list(combinations(columns, 2))
 
 
-def _pair_rows(df: DataFrame, label: str, columns: list[str], carry: list[str] = ()) -> DataFrame:
-    """One row per (row, pair of columns): pair, label, a, b as text."""
+def tuple_counts(df: DataFrame, label: str, columns: list[str], by: list[str] = ()) -> DataFrame:
+    """(by, _label, _c0, _c1, ..., _n): how often each combination of the label and all columns, as text, occurs."""
+    named = [text_of(df, label).alias("_label"), *[text_of(df, c).alias(f"_c{i}") for i, c in enumerate(columns)]]
+    out = df.select(*by, *named)
+    return out.groupBy(*out.columns).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def pair_sums(tuples: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
+    """(by, pair, label, a, b, n) of every unordered pair of columns, summed out of the counts of whole combinations."""
+    place = {c: f"_c{i}" for i, c in enumerate(columns)}
     entries = [
-        F.struct(
-            F.lit(f"{x}|{y}").alias("pair"), text_of(df, label).alias("label"),
-            text_of(df, x).alias("a"), text_of(df, y).alias("b"),
-        )
+        F.struct(F.lit(f"{x}|{y}").alias("pair"), F.col("_label").alias("label"), F.col(place[x]).alias("a"), F.col(place[y]).alias("b"))
         for x, y in pair_names(columns)
     ]
-    return df.select(*[F.col(f"`{c}`") for c in carry], F.inline(F.array(*entries)))
+    rows = tuples.select(*by, "_n", F.inline(F.array(*entries)))
+    return rows.groupBy(*by, "pair", "label", "a", "b").agg(F.sum("_n").alias("n"))
 
 
 def joint_counts(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
-    """(pair, label, a, b, n) for every unordered pair of columns: one map-side combined shuffle."""
-    rows = _pair_rows(df, label, columns)
-    return rows.groupBy("pair", "label", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    """(pair, label, a, b, n) for every unordered pair of columns.
+
+    Rows are counted once by the combination of all columns; only the distinct combinations are laid out per pair.
+    """
+    return pair_sums(tuple_counts(df, label, columns), columns)
 
 
 def joint_freq(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
@@ -106,10 +116,47 @@ def group_ordinals(rows: DataFrame, group: list[str], ids: list[str], name: str
     return out.withColumn(name, (F.col("_offset") + F.col("_at") - F.col("_first")).cast("bigint")).drop("_at", "_part", "_first", "_offset")
 
 
+def placed_blocks(df: DataFrame, label: str, columns: list[str], ids: list[str]) -> DataFrame:
+    """Written rows (ids, _label, _c0, ..., _at, _block) in the order of their ids; a block is at most 2^20 consecutive rows of a partition."""
+    rows = df.select(*[F.col(f"`{c}`") for c in ids], text_of(df, label).alias("_label"), *[text_of(df, c).alias(f"_c{i}") for i, c in enumerate(columns)])
+    return _ranged(rows, ids).withColumn("_block", F.shiftright("_at", BLOCK_BITS))
+
+
+def block_counts(placed: DataFrame, columns: list[str]) -> DataFrame:
+    """(pair, label, a, b, _block, _count, _offset, _rows): what each block holds of each triple, and what the blocks before it hold."""
+    values = ["_label", *[f"_c{i}" for i in range(len(columns))]]
+    tuples = placed.groupBy("_block", *values).agg(F.count(F.lit(1)).alias("_n"))
+    counts = pair_sums(tuples, columns, ["_block"]).withColumnRenamed("n", "_count")
+    triple = Window.partitionBy("pair", "label", "a", "b")
+    before = triple.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumns({"_offset": F.coalesce(F.sum("_count").over(before), F.lit(0)).cast("bigint"), "_rows": F.sum("_count").over(triple)})
+
+
 def triple_ordinals(df: DataFrame, label: str, columns: list[str], ids: list[str]) -> DataFrame:
-    """(ids, pair, label, a, b, ordinal): the rows that carry each triple, numbered."""
-    rows = _pair_rows(df, label, columns, ids)
-    return group_ordinals(rows, ["pair", "label", "a", "b"], ids, "ordinal")
+    """(ids, pair, label, a, b, ordinal): the rows that carry each triple, numbered in the order of the ids.
+
+    Rows are placed once by their ids and dealt once by block, together with one row per block and triple that stands for all rows
+    before the block; running sums inside a block then give the numbers of all pairs.
+    """
+    placed = placed_blocks(df, label, columns, ids)
+    counts = block_counts(placed, columns).filter("_offset > 0")
+    place, pairs = {c: i for i, c in enumerate(columns)}, pair_names(columns)
+    named = [f"{x}|{y}" for x, y in pairs]
+    heads = counts.select("_block", F.lit(-1).cast("bigint").alias("_at"), F.col("label").alias("_label"), *[
+        F.coalesce(*[F.when(F.col("pair") == n, F.col("a" if x == c else "b")) for n, (x, y) in zip(named, pairs) if c in (x, y)]).alias(f"_c{i}")
+        for c, i in place.items()
+    ], F.col("pair").alias("_of"), F.col("_offset").alias("_weight"))
+    rows = placed.withColumns({"_of": F.lit(None).cast("string"), "_weight": F.lit(1).cast("bigint")})
+    dealt = rows.unionByName(heads, allowMissingColumns=True).repartition("_block")
+    for k, (n, (x, y)) in enumerate(zip(named, pairs)):
+        inside = Window.partitionBy("_block", "_label", f"_c{place[x]}", f"_c{place[y]}").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        mine = F.when(F.col("_of").isNull() | (F.col("_of") == n), F.col("_weight")).otherwise(F.lit(0))
+        dealt = dealt.withColumn(f"_o{k}", F.sum(mine).over(inside) - 1)
+    entries = [
+        F.struct(F.lit(n).alias("pair"), F.col("_label").alias("label"), F.col(f"_c{place[x]}").alias("a"), F.col(f"_c{place[y]}").alias("b"), F.col(f"_o{k}").alias("ordinal"))
+        for k, (n, (x, y)) in enumerate(zip(named, pairs))
+    ]
+    return dealt.filter("_of is null").select(*[F.col(f"`{c}`") for c in ids], F.inline(F.array(*entries)))
 
 
 def labels_by_appearance(df: DataFrame, label: str, order_by: str) -> DataFrame:

@@ -49,6 +49,10 @@ class Model:
                 made = build_guide(cumulative(self.joint, ["pair"], ["label", "a", "b"]), ["pair"])
             elif name == "pair":
                 made = build_guide(cumulative(self.joint, ["pair", "label"], ["a", "b"]), ["pair", "label"])
+            elif name == "second":  # the joint table under the pair's first column
+                made = build_guide(cumulative(self.joint, ["pair", "label", "a"], ["b"]), ["pair", "label", "a"])
+            elif name == "first":
+                made = build_guide(cumulative(self.joint, ["pair", "label", "b"], ["a"]), ["pair", "label", "b"])
             elif name == "value":
                 made = build_guide(cumulative(self.conditional, ["column", "label"], ["value"]), ["column", "label"])
             else:
@@ -73,8 +77,11 @@ def conditional_counts(joint: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fit_model(df: DataFrame, label: str, columns: list[str], continuous: list[str],
-              mixtures: dict[str, Mixture] | None = None) -> Model:
-    """Learn the tables: one pass for pairs, one histogram pass, one pass for component shares."""
+              mixtures: dict[str, Mixture] | None = None, ranges: dict[str, tuple | None] | None = None) -> Model:
+    """Learn the tables: one pass for pairs, one histogram pass, one pass for component shares.
+
+    Without known ``ranges`` of the numbers (see ``histogram``) one more pass finds them.
+    """
     types = {c: df.schema[c].dataType for c in [label, *columns, *continuous]}
     joint = conditional = None
     if len(columns) >= 2:
@@ -88,7 +95,7 @@ def fit_model(df: DataFrame, label: str, columns: list[str], continuous: list[st
             one = df.groupBy(F.col(f"`{label}`").cast("string").alias("label"), F.col(columns[0]).cast("string").alias("value"))
             conditional = one.agg(F.count(F.lit(1)).alias("n")).withColumn("column", F.lit(columns[0]))
             conditional = materialize(conditional, "conditional")
-    mixtures = fit_mixtures(df, continuous) if mixtures is None else mixtures
+    mixtures = fit_mixtures(df, continuous, ranges=ranges) if mixtures is None else mixtures
     components = materialize(label_components(df, label, mixtures), "components") if mixtures else None
     return Model(label, columns, mixtures, types, materialize(counts, "labels"), joint, conditional, components)
 
@@ -105,7 +112,7 @@ def generate(model: Model, ids: DataFrame, id_cols: list[str], seed: int, given:
 
     With ``given`` the ids carry their ``label`` (text) and only the rest is drawn.
     """
-    rows, key = ids, _id_expression(id_cols)
+    rows, key = ids, id_columns(id_cols)
     if len(model.columns) >= 2:
         rows = _with_pair(rows, model.columns, seed, key)
         u = uniform(seed, "triple", *key)
@@ -114,8 +121,16 @@ def generate(model: Model, ids: DataFrame, id_cols: list[str], seed: int, given:
         rows = rows.drop("n").withColumns({"_x": x, "_y": y})
     elif not given:
         rows = pick(rows, model.guide("label"), uniform(seed, "label", *key)).drop("n")
+    return finish_rows(rows, ids, model, key, seed, {})
+
+
+def finish_rows(rows: DataFrame, ids: DataFrame, model: Model, key: list[Column], seed: int, known: dict[str, Column]) -> DataFrame:
+    """Draw what the label, and the pair (``_x``, ``_y``) with its values ``a`` and ``b``, leave open. Columns in ``known`` have their value already."""
     made = {}
     for c in model.columns:
+        if c in known:
+            made[c] = known[c].cast(model.types[c])
+            continue
         if len(model.columns) > 2 or len(model.columns) == 1:
             rows = pick(rows, model.guide("value"), uniform(seed, f"value/{c}", *key), fixed={"column": c}).drop("n")
             rows = rows.withColumnRenamed("value", f"_own_{c}")
@@ -126,9 +141,12 @@ def generate(model: Model, ids: DataFrame, id_cols: list[str], seed: int, given:
             value = F.when(F.col("_x") == c, F.col("a")).when(F.col("_y") == c, F.col("b")).otherwise(value)
         made[c] = value.cast(model.types[c])
     for c, mix in model.mixtures.items():
-        rows = pick(rows, model.guide("component"), uniform(seed, f"component/{c}", *key), fixed={"column": c}).drop("n")
-        rows = rows.withColumnRenamed("component", f"_own_{c}")
-        value = component_value(F.col(f"`_own_{c}`"), mix, normal(seed, f"z/{c}", *key) / F.lit(SPREAD))
+        if c in known:
+            value = known[c]
+        else:
+            rows = pick(rows, model.guide("component"), uniform(seed, f"component/{c}", *key), fixed={"column": c}).drop("n")
+            rows = rows.withColumnRenamed("component", f"_own_{c}")
+            value = component_value(F.col(f"`_own_{c}`"), mix, normal(seed, f"z/{c}", *key) / F.lit(SPREAD))
         dtype = model.types[c]
         if is_time(dtype):
             made[c] = from_micros(F.rint(value), dtype)
@@ -139,7 +157,7 @@ def generate(model: Model, ids: DataFrame, id_cols: list[str], seed: int, given:
     return rows.select(*[F.col(f"`{c}`") for c in carried], label.alias(model.label), *[v.alias(c) for c, v in made.items()])
 
 
-def _id_expression(id_cols: list[str]) -> list[Column]:
+def id_columns(id_cols: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in id_cols]
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.vectors import bce_with_logits
+from ..session import materialize
 from .joins import lookup
 
 BLOCK_ROWS = 4096
+MAX_PIVOTS = 1024
 
 
 def label_to_iri(df: DataFrame, dictionary: DataFrame, label: str = "label", name: str = "iri") -> DataFrame:
@@ -70,46 +72,134 @@ def label_quota(labels: DataFrame, ids: DataFrame, id_col: str, label: str = "la
     return lookup(placed, table, ["_position"], how="inner", salt_by=[id_col]).drop("_position")
 
 
-def _blocked(df: DataFrame, name: str, seed_stream: str, block_rows: int) -> tuple[DataFrame, int]:
-    blocks = max(1, -(-df.count() // block_rows))
-    part = F.pmod(F.xxhash64(F.col("key"), F.lit(seed_stream)), F.lit(blocks)).cast("int")
-    # a fresh expression per side: both may come from the same table
-    vector = F.transform("embedding", lambda x: x.cast("double")).alias("embedding")
-    return df.select("key", vector, part.alias(name)), blocks
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    out = np.asarray(vectors, float)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+
+def _matrix(rows) -> np.ndarray:
+    """The embeddings of a batch or table, all of one width, as unit rows."""
+    vectors = rows.column("embedding")
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return _unit(vectors.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1))
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+
+
+class PivotIndex:
+    """Seen labels in blocks around pivots, so that a search opens only blocks that can hold a neighbour.
+
+    Angles between vectors obey the triangle inequality: no label of a block is nearer to a query than the query's angle to the pivot less the
+    block's radius. Pivots are at most ``MAX_PIVOTS`` of the labels themselves; every label belongs to its nearest one, and the
+    labels of a pivot are cut into blocks of about ``block_rows``.
+    """
+
+    def __init__(self, seen: DataFrame, block_rows: int = BLOCK_ROWS):
+        self.block_rows, self.opened = block_rows, []
+        rows = seen.select(F.col("key").cast("string").alias("key"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+        self.rows = rows.count()
+        wanted = min(MAX_PIVOTS, -(-self.rows // block_rows))
+        chosen = rows.orderBy(F.xxhash64("key"), "key").limit(max(wanted, 1)).select("embedding").collect()
+        self.pivots = _unit([r["embedding"] for r in chosen]) if chosen else np.empty((0, 0))
+        self.shared = rows.sparkSession.sparkContext.broadcast(self.pivots)
+        placed = rows.mapInArrow(self._placing(), "key string, embedding array<double>, pivot int, angle double")
+        self.placed = materialize(placed, "placed-labels")
+        facts = self.placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()  # one row per pivot
+        self.count, self.radius = np.zeros(len(self.pivots), int), np.full(len(self.pivots), -np.inf)
+        for r in facts:
+            self.count[r["pivot"]], self.radius[r["pivot"]] = r["n"], r["radius"]
+
+    def _placing(self):
+        shared = self.shared
+
+        def place(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    angles = _angles(_matrix(batch), shared.value)
+                    yield pa.record_batch({
+                        "key": batch.column("key"), "embedding": batch.column("embedding"), "pivot": pa.array(angles.argmin(axis=1), pa.int32()),
+                        "angle": pa.array(angles.min(axis=1)),
+                    })
+
+        return place
+
+    def search(self, unseen: DataFrame, k: int) -> DataFrame:
+        """(key, neighbour, similarity) of the ``k`` nearest labels of every query, among others.
+
+        First the nearest pivots' blocks are opened that hold ``k`` labels together. Their k-th angle then bounds which other blocks can matter.
+        """
+        queries = unseen.select(F.col("key").cast("string").alias("key"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+        first = self._meet(self._opening(queries.withColumn("bound", F.lit(None).cast("double")), k), k, "first")
+        if len(self.pivots) < 2:
+            return first
+        ranked = first.withColumn("_nth", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbour")))
+        bound = F.max(F.when(F.col("_nth") == k, F.acos(F.greatest(F.least("similarity", F.lit(1.0)), F.lit(-1.0)))))
+        bounds = materialize(ranked.groupBy("key").agg(F.coalesce(bound, F.lit(np.pi)).alias("bound")), "search-bounds")
+        rest = self._opening(lookup(queries, bounds, ["key"], "inner"), k)
+        return first.unionByName(self._meet(rest, k, "rest"))
+
+    def _opening(self, queries: DataFrame, k: int) -> DataFrame:
+        """(key, embedding, pivot): the pivots whose blocks a query opens; with a ``bound`` those that were not among the first."""
+        shared, count, radius = self.shared, self.count, self.radius
+
+        def opening(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                angles = _angles(_matrix(batch), shared.value)
+                order = np.argsort(angles, axis=1, kind="stable")
+                before = np.cumsum(count[order], axis=1) - count[order]
+                first = np.zeros(angles.shape, bool)
+                np.put_along_axis(first, order, before < k, axis=1)
+                bounds = batch.column("bound").to_numpy(zero_copy_only=False).astype(float)[:, None]
+                opened = np.where(np.isnan(bounds), first, ~first & (angles - radius <= bounds + 1e-9)) & (count > 0)
+                at, pivots = np.nonzero(opened)
+                rows = pa.array(at)
+                yield pa.record_batch({"key": batch.column("key").take(rows), "embedding": batch.column("embedding").take(rows), "pivot": pa.array(pivots, pa.int32())})
+
+        return queries.mapInArrow(opening, "key string, embedding array<double>, pivot int")
+
+    def _meet(self, opened: DataFrame, k: int, tag: str) -> DataFrame:
+        """The best ``k`` of every opened block for every query that opened it; a task sees one block and about as many queries."""
+        opened = materialize(opened, f"opened-{tag}")
+        self.opened.append(opened)
+        asked = opened.groupBy("pivot").agg(F.count(F.lit(1)).alias("asked"))
+        held = self.placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("held"))
+        cuts = asked.join(held, "pivot").select(
+            "pivot", F.ceil(F.col("held") / self.block_rows).cast("int").alias("_blocks"), F.ceil(F.col("asked") / self.block_rows).cast("int").alias("_groups")
+        )
+        cuts = F.broadcast(materialize(cuts, "cuts"))  # at most MAX_PIVOTS rows
+        part = lambda stream, parts: F.pmod(F.xxhash64("key", F.lit(stream)), F.col(parts)).cast("int")
+        every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+        left = opened.join(cuts, "pivot").withColumn("_group", part("u", "_groups")).withColumn("_block", every("_blocks"))
+        right = self.placed.join(cuts, "pivot").withColumn("_block", part("s", "_blocks")).withColumn("_group", every("_groups"))
+        by = ["pivot", "_block", "_group"]
+
+        def block(asked, held):
+            held = held.sort_by("key").combine_chunks()
+            if not asked.num_rows or not held.num_rows:
+                return pa.table({"key": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
+            close = _matrix(asked.combine_chunks()) @ _matrix(held).T
+            best = np.argsort(-close, axis=1, kind="stable")[:, :k]
+            at = np.repeat(np.arange(asked.num_rows), best.shape[1])
+            return pa.table({
+                "key": asked.column("key").take(pa.array(at)), "neighbour": held.column("key").take(pa.array(best.ravel())), "similarity": pa.array(close[at, best.ravel()]),
+            })
+
+        left, right = left.select("key", "embedding", *by), right.select("key", "embedding", *by)
+        met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(block, "key string, neighbour string, similarity double")
+        return materialize(met, f"met-{tag}")
 
 
 def nearest_labels(unseen: DataFrame, seen: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(key, neighbour, similarity, weight): exact k most similar seen labels per unseen label.
+    """(key, neighbour, similarity, rank, weight): exact k most similar seen labels per unseen label.
 
-    Both sides hold (key, embedding). They are cut into blocks; each pair of blocks is one
-    matrix product in a task of bounded size that returns k rows per unseen label only. The
-    block winners are merged by a window filter. Weights are the softmax of the similarities.
+    Both sides hold (key, embedding). The seen labels are searched through a ``PivotIndex``; block winners are merged by a window
+    filter. Weights are the softmax of the similarities.
     """
-    left, m = _blocked(unseen.select(F.col("key").cast("string"), "embedding"), "_ub", "u", block_rows)
-    right, n = _blocked(seen.select(F.col("key").cast("string"), "embedding"), "_sb", "s", block_rows)
-    left = left.withColumn("_sb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    right = right.withColumn("_ub", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-
-    def block(u: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if u.empty or s.empty:
-            return pd.DataFrame({"key": [], "neighbour": [], "similarity": []})
-        s = s.sort_values("key")
-        a = np.stack(u["embedding"].to_numpy()).astype(float)
-        b = np.stack(s["embedding"].to_numpy()).astype(float)
-        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
-        b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
-        close = a @ b.T
-        best = np.argsort(-close, axis=1, kind="stable")[:, :k]
-        at = np.repeat(np.arange(len(u)), best.shape[1])
-        return pd.DataFrame({
-            "key": u["key"].to_numpy()[at],
-            "neighbour": s["key"].to_numpy()[best.ravel()],
-            "similarity": close[at, best.ravel()],
-        })
-
-    met = left.groupBy("_ub", "_sb").cogroup(right.groupBy("_ub", "_sb")).applyInPandas(
-        block, "key string, neighbour string, similarity double"
-    )
+    met = PivotIndex(seen, block_rows).search(unseen, k)
     w = Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbour")
     top = met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     total = F.sum(F.exp("similarity")).over(Window.partitionBy("key"))

@@ -38,25 +38,32 @@ class Mixture:
         return len(self.means)
 
 
-def histogram(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame:
-    """(column, bin, n, total, squares) of all columns in one pass after one range pass.
-
-    Bins are equal on an asinh scale around the median, so long tails do not swallow the
-    body of the distribution.
-    """
+def number_ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple | None]:
+    """(first quartile, median, third quartile, least, largest) of every column in one pass; None for a column without values."""
     values = df.select(*[_number(df, c).alias(c) for c in columns])
     aggs = []
     for c in columns:
         quartiles = F.percentile_approx(c, [0.25, 0.5, 0.75], 1000)
         aggs += [quartiles.alias(f"q_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
     row = values.agg(*aggs).first()
+    return {c: None if row[f"lo_{c}"] is None else (*row[f"q_{c}"], row[f"lo_{c}"], row[f"hi_{c}"]) for c in columns}
+
+
+def histogram(df: DataFrame, columns: list[str], bins: int = BINS, ranges: dict[str, tuple | None] | None = None) -> DataFrame:
+    """(column, bin, n, total, squares) of all columns in one pass, after one range pass where the ``ranges`` are not known.
+
+    Bins are equal on an asinh scale around the median, so long tails do not swallow the
+    body of the distribution.
+    """
+    ranges = number_ranges(df, columns) if ranges is None else ranges
+    values = df.select(*[_number(df, c).alias(c) for c in columns])
     entries = []
     for c in columns:
-        if row[f"lo_{c}"] is None:
+        if ranges[c] is None:
             continue
-        q1, mid, q3 = row[f"q_{c}"]
-        scale = (q3 - q1) or (row[f"hi_{c}"] - row[f"lo_{c}"]) or 1.0
-        lo, hi = (float(np.arcsinh((row[f"{s}_{c}"] - mid) / scale)) for s in ("lo", "hi"))
+        q1, mid, q3, least, largest = ranges[c]
+        scale = (q3 - q1) or (largest - least) or 1.0
+        lo, hi = (float(np.arcsinh((v - mid) / scale)) for v in (least, largest))
         place = F.asinh((F.col(f"`{c}`") - F.lit(mid)) / F.lit(scale))
         width = (hi - lo) or 1.0
         number = F.least(F.floor((place - F.lit(lo)) / F.lit(width) * bins), F.lit(bins - 1)).cast("int")
@@ -107,7 +114,8 @@ def _em(pdf: pd.DataFrame, clusters: int, threshold: float, iterations: int = IT
 
 
 def mixture_table(df: DataFrame, columns: list[str], max_clusters: int = MAX_CLUSTERS,
-                  weight_threshold: float = WEIGHT_THRESHOLD, bins: int = BINS, iterations: int = ITERATIONS) -> DataFrame:
+                  weight_threshold: float = WEIGHT_THRESHOLD, bins: int = BINS, iterations: int = ITERATIONS,
+                  ranges: dict[str, tuple | None] | None = None) -> DataFrame:
     """(column, component, mean, std, weight, converged): fitted components of every column.
 
     Each task of the grouped step sees the at most ``bins`` bins of one column. ``converged`` is false where the means still
@@ -117,21 +125,26 @@ def mixture_table(df: DataFrame, columns: list[str], max_clusters: int = MAX_CLU
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         return _em(pdf, max_clusters, weight_threshold, iterations)
 
-    return histogram(df, columns, bins).groupBy("column").applyInPandas(
+    return histogram(df, columns, bins, ranges).groupBy("column").applyInPandas(
         fit, "column string, component int, mean double, std double, weight double, converged boolean"
     )
 
 
 def fit_mixtures(df: DataFrame, columns: list[str], **kwargs) -> dict[str, Mixture]:
     """Components by column, on the driver: at most ten per column."""
+    return read_mixtures(mixture_table(df, columns, **kwargs), columns) if columns else {}
+
+
+def read_mixtures(table: DataFrame, columns: list[str]) -> dict[str, Mixture]:
+    """The fitted components (column, component, mean, std, weight, converged) by column."""
     found: dict[str, list] = {c: [] for c in columns}
-    for r in mixture_table(df, columns, **kwargs).collect() if columns else []:
+    for r in table.collect():
         found[r["column"]].append(r)
     out = {}
     for c, rows in found.items():
         rows = sorted(rows, key=lambda r: r["component"])
         if not all(r["converged"] for r in rows):
-            warnings.warn(f"the mixture of {c} has not converged", stacklevel=2)
+            warnings.warn(f"the mixture of {c} has not converged", stacklevel=3)
         out[c] = Mixture([r["mean"] for r in rows], [r["std"] for r in rows], [r["weight"] for r in rows])
     return out
 

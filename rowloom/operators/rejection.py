@@ -56,8 +56,21 @@ def _filter_wanted(df: DataFrame, names: list[str], rtol: float) -> DataFrame:
 
 
 def _spans_rows(constraints) -> bool:
-    """True if a verdict can depend on other rows, so that it must be judged on all rounds together."""
-    return any(isinstance(c, Unique) or not (c.row_local or getattr(c, "table", None) is not None) for c in constraints)
+    """True if a verdict can depend on any other row, so that it must be judged on all rounds together."""
+    return any(not isinstance(c, Unique) and not (c.row_local or getattr(c, "table", None) is not None) for c in constraints)
+
+
+def filter_new(rows: DataFrame, constraints, accepted: list[DataFrame]) -> DataFrame:
+    """As ``filter_valid`` for a further round: of rows with one key an accepted one stays, then the first new one.
+
+    Only the new rows are judged. Accepted rows are met through their key columns alone, which are read from where they were written.
+    """
+    for c in constraints:
+        rows = c.filter_valid(rows)
+        if isinstance(c, Unique) and accepted:
+            seen = reduce(DataFrame.unionByName, [a.select(*[F.col(f"`{k}`") for k in c.keys]) for a in accepted])
+            rows = lookup(rows, seen, c.keys, "left_anti")
+    return rows
 
 
 def next_batch(wanted: int, valid: int, tried: int, multiplier: int = MAX_ROWS_MULTIPLIER) -> int:
@@ -70,15 +83,16 @@ def sample_valid(spark: SparkSession, generator: Generator, constraints, n: int,
                  rtol: float = FLOAT_RTOL, id_col: str = "cand_id", graceful: bool = False) -> DataFrame:
     """The first ``n`` generated rows that hold.
 
-    ``generator`` maps a frame of candidate ids to rows that keep the id column. When the retries run out before ``n`` rows
-    hold, that is an error, or with ``graceful`` a warning and fewer rows.
+    ``generator`` maps a frame of candidate ids to rows that keep the id column. A round writes and judges its own rows only; a row accepted
+    in one round stays when a later one repeats its unique key. When the retries run out before ``n`` rows hold, that is an
+    error, or with ``graceful`` a warning and fewer rows.
     """
     if n <= 0:
         return generator(spark.range(0, 0).withColumnRenamed("id", id_col))
     together = _spans_rows(constraints)
 
-    def judged(rows: DataFrame) -> DataFrame:
-        kept = filter_valid(rows, constraints)
+    def judged(rows: DataFrame, accepted: list[DataFrame]) -> DataFrame:
+        kept = filter_new(rows, constraints, accepted)
         return filter_conditions(kept, conditions, rtol) if conditions else kept
 
     parts: list[DataFrame] = []
@@ -88,10 +102,10 @@ def sample_valid(spark: SparkSession, generator: Generator, constraints, n: int,
         ids = spark.range(tried, tried + batch).withColumnRenamed("id", id_col)
         new = generator(ids)
         if together:
-            parts = [materialize(judged(reduce(DataFrame.unionByName, [*parts, new])), "round")]
+            parts = [materialize(judged(reduce(DataFrame.unionByName, [*parts, new]), []), "round")]
             valid = parts[0].count()
         else:
-            parts.append(materialize(judged(new), "round"))
+            parts.append(materialize(judged(new, parts), "round"))
             valid += parts[-1].count()
         tried += batch
         if valid >= n:
@@ -168,29 +182,31 @@ def _attempts(pending: DataFrame, first: int, count: int, cond_id: str, fan: int
 
 def sample_conditional(conditions: DataFrame, generator: Generator, constraints=(), fields=None,
                        max_retries: int = MAX_RETRIES, max_rows_multiplier: int = MAX_ROWS_MULTIPLIER,
-                       rtol: float = FLOAT_RTOL, graceful: bool = False, cond_id: str = "cond_id") -> DataFrame:
+                       rtol: float = FLOAT_RTOL, graceful: bool = False, cond_id: str = "cond_id", carry: list[str] = ()) -> DataFrame:
     """One generated row per condition row; the result carries ``cond_id``.
 
     Every condition makes its own numbered attempts and keeps the first that holds, all
     conditions in one plan per round. A condition shared by a third of the rows is therefore
     not one large group. ``generator`` receives (cond_id, attempt) and the wanted values as
-    ``_want_<column>``, which it may use to draw fewer candidates in vain; it must keep them.
+    ``_want_<column>``, which it may use to draw fewer candidates in vain; it must keep them. The columns ``carry`` of the conditions
+    are no wishes; they reach the generator as they are and are dropped at the end.
     Conditions with a null cannot match and are left out.
     """
-    names = [c for c in conditions.columns if c != cond_id]
+    names = [c for c in conditions.columns if c != cond_id and c not in carry]
     for name in names:
         if fields is not None and name not in fields:
             raise ValueError(f"condition on the unknown column `{name}`")
     known = conditions
     for c in names:
         known = known.filter(column(conditions, c).isNotNull())
-    wanted = known.select(cond_id, *[F.col(f"`{c}`").alias(f"_want_{c}") for c in names])
+    wanted = known.select(cond_id, *[F.col(f"`{c}`").alias(f"_want_{c}") for c in names], *[F.col(f"`{c}`") for c in carry])
     wanted = pending = materialize(wanted, "conditions")
     row_wise = [c for c in constraints if not isinstance(c, Unique)]
     unique = [
         Unique([*[f"_want_{n}" for n in names], *c.keys], [cond_id, "attempt"]) for c in constraints if isinstance(c, Unique)
     ]
     done: DataFrame | None = None
+    accepted: list[DataFrame] = []
     asked = waiting = wanted.count()
     first, per_row = 0, 1
     for _ in range(max_retries + 1 if asked else 0):
@@ -204,15 +220,10 @@ def sample_conditional(conditions: DataFrame, generator: Generator, constraints=
                 F.min("attempt").alias("attempt"), F.min_by(F.struct(*[F.col(f"`{c}`") for c in cells]), "attempt").alias("_row")
             )
             best = best.select(cond_id, "attempt", *[F.col(f"_row.`{c}`").alias(c) for c in cells])
-        if unique:
-            together = best if done is None else done.unionByName(best)
-            done = materialize(filter_valid(together, unique), "accepted")
-        else:
-            best = materialize(best, "accepted")
-            done = best if done is None else done.unionByName(best)
-        # a unique constraint may send an accepted condition back, so all are looked at again
-        open_rows, served_rows = (wanted, done) if unique else (pending, best)
-        pending = materialize(open_rows.join(served_rows.select(cond_id), cond_id, "left_anti"), "pending")
+        best = materialize(filter_new(best, unique, accepted), "accepted")
+        accepted.append(best)
+        done = best if done is None else done.unionByName(best)
+        pending = materialize(pending.join(best.select(cond_id), cond_id, "left_anti"), "pending")
         waiting = pending.count()
         if not waiting:
             break
@@ -229,7 +240,7 @@ def sample_conditional(conditions: DataFrame, generator: Generator, constraints=
         warnings.warn(f"{left} rows are still missing after {max_retries} retries", stacklevel=2)
     if done is None:
         done = generator(wanted.withColumn("attempt", F.lit(0)))
-    return done.drop("attempt", *[f"_want_{n}" for n in names])
+    return done.drop("attempt", *[f"_want_{n}" for n in names], *carry)
 
 
 __all__ = [

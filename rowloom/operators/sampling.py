@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.random import index_below, uniform
 from ..functions.vectors import many_hot
 from ..session import fits_broadcast, materialize
-from .frequency import _pair_rows, pair_names, placed_rows, text_of
+from .frequency import BLOCK_BITS, block_counts, pair_names, placed_blocks, placed_rows, text_of
 from .intervals import Guide, build_guide, cumulative, pick
 from .joins import lookup
 
@@ -69,11 +72,64 @@ def draw_members(df: DataFrame, group: list[str], ids: list[str], draws: DataFra
 
 
 def sample_rows(df: DataFrame, label: str, columns: list[str], ids: list[str], drawn: DataFrame, draw_id: str, seed: int) -> DataFrame:
-    """For every drawn (pair, label, a, b) the id of one real row that carries it, uniformly."""
-    wanted = drawn.select("pair").distinct()
-    rows = _pair_rows(df, label, columns, ids)
-    rows = rows.join(F.broadcast(wanted), "pair", "left_semi")
-    return draw_members(rows, ["pair", "label", "a", "b"], ids, drawn, [draw_id], seed)
+    """For every drawn (pair, label, a, b) the id of one real row that carries it, uniformly.
+
+    A draw becomes a rank among the rows of its triple in the order of their ids. The counts per block of rows turn the rank into a block
+    and a number inside it, and only there rows are looked at: each block meets its draws, at most 2^20 rows and about as many draws at a time.
+    """
+    placed = placed_blocks(df, label, columns, ids)
+    counts = materialize(block_counts(placed, columns), "block-counts")
+    triple = ["pair", "label", "a", "b"]
+    guide = build_guide(cumulative(counts, triple, ["_block"], "_count"), triple)
+    u = uniform(seed, "member", draw_id)
+    found = pick(drawn, guide, u)
+    local = F.greatest(F.least(index_below(u, F.col("_rows")) - F.col("_offset"), F.col("_count") - 1), F.lit(0))
+    found = materialize(found.select(*[F.col(f"`{c}`") for c in drawn.columns], "_block", local.alias("_local")), "ranked-draws")
+
+    # a block with very many draws is copied for every 2^20 of them
+    slices = found.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / F.lit(1 << BLOCK_BITS)).cast("int").alias("_slices"))
+    slices = materialize(slices, "block-slices")
+    fits = fits_broadcast(slices)
+    dealt = lookup(found, slices, ["_block"], "inner", salt_by=[draw_id], fits=fits)
+    dealt = dealt.withColumn("_slice", F.pmod(F.xxhash64(draw_id), F.col("_slices")).cast("int")).drop("_slices")
+    rows = lookup(placed, slices, ["_block"], "inner", salt_by=["_at"], fits=fits)
+    rows = rows.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+
+    places = {f"{x}|{y}": (columns.index(x), columns.index(y)) for x, y in pair_names(columns)}
+    kept, given = list(drawn.columns), list(ids)
+
+    def choose(held: pa.Table, asked: pa.Table) -> pa.Table:
+        return chosen_rows(held, asked, places, kept, given)
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in drawn.schema.fields]
+    fields += [f"`row_{c}` {df.schema[c].dataType.simpleString()}" for c in ids]
+    by = ["_block", "_slice"]
+    return rows.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(choose, ", ".join(fields))
+
+
+def chosen_rows(held: pa.Table, asked: pa.Table, places: dict, kept: list[str], ids: list[str]) -> pa.Table:
+    """The draws ``asked`` of one block, each with the ids of the row that is number ``_local`` of its triple among the rows ``held``."""
+    held = held.sort_by("_at")
+    outs = []
+    for pair, (i, j) in places.items():
+        mine = asked.filter(pc.equal(asked.column("pair"), pair))
+        if not mine.num_rows:
+            continue
+        code, wanted = np.zeros(held.num_rows, np.int64), np.zeros(mine.num_rows, np.int64)
+        for own, drawn in (("_label", "label"), (f"_c{i}", "a"), (f"_c{j}", "b")):
+            coded = held.column(own).combine_chunks().dictionary_encode(null_encoding="encode")
+            size = len(coded.dictionary)
+            here = pc.index_in(mine.column(drawn).combine_chunks(), value_set=coded.dictionary).to_numpy(zero_copy_only=False)
+            code = code * size + coded.indices.to_numpy(zero_copy_only=False)
+            wanted = wanted * size + here
+        order = np.argsort(code, kind="stable")
+        at = order[np.searchsorted(code[order], wanted.astype(np.int64)) + mine.column("_local").to_numpy()]
+        found = held.take(pa.array(at))
+        outs.append(pa.table([*[mine.column(c) for c in kept], *[found.column(c) for c in ids]], names=[*kept, *[f"row_{c}" for c in ids]]))
+    if outs:
+        return pa.concat_tables(outs)
+    empty = asked.slice(0, 0)
+    return pa.table([*[empty.column(c) for c in kept], *[held.slice(0, 0).column(c) for c in ids]], names=[*kept, *[f"row_{c}" for c in ids]])
 
 
 def draw_original(df: DataFrame, label: str, columns: list[str], ids: list[str], draws: DataFrame, draw_id: str, seed: int) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import ConstraintsNotMetError, NotFittedError
 from ..operators.anonymize import anonymize, learn_maps, make_ids, make_ids_unique, new_salt
-from ..operators.constraints import Constraint, prepare
+from ..operators.constraints import Constraint, Unique, prepare, transform_all
 from ..operators.copula import Copula, _Dim
-from ..operators.encoders import Numeric, fit_encoders
+from ..operators.encoders import Numeric
 from ..operators.generate import Model, finalize, fit_model, generate, ids_only
+from ..operators.guided import KNOWN, ConditionIndex, known_values
 from ..operators.joins import lookup
 from ..operators.labels import label_quota, mixed_weights, nearest_labels
 from ..operators.mixture import Mixture
@@ -23,7 +26,9 @@ from ..operators.rejection import (
     sample_conditional,
     sample_valid,
 )
-from ..operators.validate import assert_constraints, discrete_columns
+from ..operators.release import Ledger, Private, fit_private_model
+from ..operators.summary import BROKEN, write_observed
+from ..operators.validate import assert_constraints
 from ..session import materialize
 from ..sources import profiles
 from ..spec import FieldSpec, TableSpec, project
@@ -34,7 +39,7 @@ class Synthesizer:
 
     def __init__(self, label_col: str, spec: TableSpec | None = None, embeddings: DataFrame | None = None, field_names=None,
                  field_types=None, anonymize_fields=None, primary_key=None, constraints=None, rounding="auto",
-                 min_value="auto", max_value="auto"):
+                 min_value="auto", max_value="auto", private: Private | None = None):
         others = (field_names, field_types, anonymize_fields, primary_key, constraints)
         if spec is not None and any(o is not None for o in others):
             raise ValueError("a given spec excludes the other descriptions of the table")
@@ -42,31 +47,72 @@ class Synthesizer:
         self.inferred = dict(field_names=field_names, field_types=field_types, anonymize=anonymize_fields, primary_key=primary_key)
         self.constraints = constraints if spec is None else spec.constraints
         self.limits = (rounding, min_value, max_value)
+        self.private = private
 
     def fit(self, df: DataFrame) -> Profile:
+        if self.private is not None:
+            return self._fit_private(df)
         spec = self.spec or TableSpec.infer(df, **self.inferred)
         constraints = prepare(self.constraints)
         types = {f.name: df.schema[f.name].dataType for f in spec.fields if f.name in df.columns}
         maps = learn_maps(df, spec, new_salt())
         rows = anonymize(project(df, spec), maps)
-        n = df.count()
         if not rows.columns:
-            return Profile(spec, self.label_col, constraints, None, {}, types, n, self.embeddings)
-        assert_constraints(rows, constraints)
+            return Profile(spec, self.label_col, constraints, None, {}, types, df.count(), self.embeddings)
+        local = {f"{i}:{type(c).__name__}": c for i, c in enumerate(constraints) if c.row_local and c.applies_to(rows)}
+        assert_constraints(rows, [c for c in constraints if not c.row_local])
+        rows = rows.withColumns({BROKEN + n: ~c.valid(rows) for n, c in local.items()}) if local else rows
         for c in constraints:
             rows = c.fit(rows).transform(rows)
         hidden = [f.name for f in spec.fields if f.pii and f.type != "id"]
         rows = rows.drop(*[h for h in hidden if h != self.label_col])
         known = {f.name: {"type": f.type, "subtype": f.subtype} for f in spec.fields if f.name in rows.columns}
-        discrete = discrete_columns(rows, field_types=known)
-        columns = [c for c in discrete if c != self.label_col]
-        continuous = [c for c in rows.columns if c not in discrete and c != self.label_col]
-        model = fit_model(rows, self.label_col, columns, continuous)
-        numbers = {
-            c: Numeric(*self.limits) for c in continuous if c in spec and isinstance(rows.schema[c].dataType, T.NumericType)
-        }
-        fit_encoders(rows, numbers)
-        return Profile(spec, self.label_col, constraints, model, numbers, types, n, self.embeddings)
+        rows, seen = write_observed(rows, known, "learned-rows")
+        bad = seen.broken()
+        if bad:
+            raise ConstraintsNotMetError(f"rows break the constraints: {bad}", bad)
+        columns = [c for c in rows.columns if c != self.label_col and seen.discrete(c)]
+        continuous = [c for c in rows.columns if c != self.label_col and c not in columns]
+        model = fit_model(rows, self.label_col, columns, continuous, ranges={c: seen.range(c) for c in continuous})
+        numbers = {}
+        for c in continuous:
+            if c in spec and isinstance(rows.schema[c].dataType, T.NumericType):
+                numbers[c] = Numeric(*self.limits).bind(rows, c)
+                numbers[c].learn(seen.numeric(c))
+        return Profile(spec, self.label_col, constraints, model, numbers, types, seen.rows, self.embeddings)
+
+    def _fit_private(self, df: DataFrame) -> Profile:
+        """Learn from released tables only: no constraint, limit, row count or value list is read off the rows.
+
+        Rows that break a constraint are left out.
+        """
+        how, constraints = self.private, prepare(self.constraints)
+        for c in constraints:
+            if c.fit_columns_model or not (c.row_local or isinstance(c, Unique)):
+                raise ValueError(f"{type(c).__name__} learns from rows and cannot be part of a private profile")
+        learned = {self.label_col, *how.domain, *how.bounds}
+        named = [c for c in df.columns if c in learned or any(c in k.columns for k in constraints)]
+        spec = self.spec or TableSpec.infer(df.select(*[F.col(f"`{c}`") for c in named]), **self.inferred)
+        rows = df
+        for c in constraints:
+            rows = c.fit(rows)._keep(rows) if c.row_local else rows
+            rows = c.transform(rows)
+        unknown = learned - set(rows.columns)
+        if unknown:
+            raise ValueError(f"no columns {sorted(unknown)}")
+        left = [f.name for f in spec.fields if f.type != "id" and not f.pii and f.name in rows.columns and f.name not in learned]
+        if left:
+            raise ValueError(f"neither public values nor bounds are given for {left}")
+        types = {f.name: df.schema[f.name].dataType for f in spec.fields if f.name in df.columns}
+        model, ledger = fit_private_model(rows, self.label_col, how)
+        numbers = {}
+        for c, (low, high) in how.bounds.items():
+            if isinstance(rows.schema[c].dataType, T.NumericType):
+                e = Numeric()
+                e.name, e.type, e.mean, e.low, e.high, e.digits = c, rows.schema[c].dataType, (low + high) / 2, low, high, None
+                numbers[c] = e
+        n = model.counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        return Profile(spec, self.label_col, constraints, model, numbers, types, n, self.embeddings, ledger)
 
 
 @dataclass
@@ -81,14 +127,20 @@ class Profile:
     types: dict[str, T.DataType]
     rows: int
     embeddings: DataFrame | None = None
+    ledger: Ledger | None = None
     _mixed: dict = field(default_factory=dict)
 
+    @property
+    def epsilon(self) -> float | None:
+        """Privacy loss of everything learned; None if it was not learned privately."""
+        return None if self.ledger is None else self.ledger.epsilon
+
     # -- generation ----------------------------------------------------------------
-    def _generator(self, model: Model, seed: int, id_cols: list[str], given: bool = False):
+    def _generator(self, model: Model, seed: int, id_cols: list[str], given: bool = False, index: ConditionIndex | None = None):
         row = "_row"
 
         def make(ids: DataFrame) -> DataFrame:
-            drawn = generate(model, ids, id_cols, seed, given)
+            drawn = generate(model, ids, id_cols, seed, given) if index is None else index.generate(ids, id_cols, seed)
             limits = {c: e.decoded(F.array(F.col(f"`{c}`").cast("double"))) for c, e in self.numbers.items()}
             drawn = drawn.withColumns(limits) if limits else drawn
             numbered = drawn.withColumn(row, F.xxhash64(*[F.col(f"`{c}`").cast("bigint") for c in id_cols]))
@@ -190,26 +242,47 @@ class Profile:
             raise ConstraintsNotMetError("the conditions break the constraints", e.counts) from e
         asked = materialize(asked, "asked")
         fixed = self._completed(asked, names)
-        given = self.label in names
-        make = self._generator(self.model, seed, ["cond_id", "attempt"], given)
+        extra = [] if fixed is None else [c for c in fixed.columns if c not in ("cond_id", *names)]
+        if extra:
+            asked = materialize(asked.join(fixed.select("cond_id", *[F.col(f"`{c}`").alias(f"_fix_{c}") for c in extra]), "cond_id"), "asked")
+        known = self._guiding(asked, names, extra)
+        columns = [c for c in known.columns if c != "cond_id"]
+        index, given = None, self.label in names
+        if columns:
+            known = materialize(known_values(known, self.model, columns, ["cond_id"]), "known")
+            index = ConditionIndex(self.model, known, columns)
+            if not index.impossible().isEmpty():
+                raise ValueError("some conditions were never met")
+            asked = lookup(asked, known, ["cond_id"], "inner")
+        make = self._generator(self.model, seed, ["cond_id", "attempt"], given, index)
+        carry = [*[f"_fix_{c}" for c in extra], *[KNOWN + c for c in columns]]
 
         def source(tries: DataFrame) -> DataFrame:
-            ids = tries.withColumn("label", F.col(f"_want_{self.label}").cast("string")) if given else tries
+            ids = tries.withColumn("label", F.col(f"_want_{self.label}").cast("string")) if given and index is None else tries
             rows = make(ids)
-            if fixed is not None:
-                extra = [c for c in fixed.columns if c != "cond_id"]
-                side = fixed.select("cond_id", *[F.col(f"`{c}`").alias(f"_fix_{c}") for c in extra])
-                rows = rows.join(side, "cond_id")
-                rows = rows.withColumns({c: F.col(f"`_fix_{c}`").cast(rows.schema[c].dataType) for c in extra})
-                rows = rows.drop(*[f"_fix_{c}" for c in extra])
-            return rows
-
-        rows = sample_conditional(asked, source, self.constraints, self.spec.names(), max_retries, multiplier, rtol, graceful)
+            return rows.withColumns({c: F.col(f"`_fix_{c}`").cast(rows.schema[c].dataType) for c in extra}) if extra else rows
+
+        rows = sample_conditional(asked, source, self.constraints, self.spec.names(), max_retries, multiplier, rtol, graceful, carry=carry)
         rows = materialize(rows, "conditional")
         rows = make_ids_unique(self._with_ids(rows, "cond_id"), self.spec, "cond_id")
         out = rows.select("cond_id", *[F.col(f"`{c}`") for c in self.spec.names()])
         return out.orderBy("cond_id") if sort else out
 
+    def _guiding(self, asked: DataFrame, names: list[str], extra: list[str]) -> DataFrame:
+        """(cond_id, given values) in the columns of the model: the conditions as the constraints encode them.
+
+        What a constraint cannot encode, because other columns of it are open, is left to the check of the finished rows.
+        """
+        typed = asked.filter(reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in names], F.lit(True))).select(
+            "cond_id", *[(F.col(f"`{c}`").cast(self.types[c]) if c in self.types else F.col(f"`{c}`")).alias(c) for c in names],
+            *[F.col(f"`_fix_{c}`").alias(c) for c in extra],
+        )
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", UserWarning)  # an open column is what this is for
+            coded = transform_all(typed, self.constraints, on_missing="drop")
+        m = self.model
+        return coded.select("cond_id", *[c for c in coded.columns if c in m.columns or c in m.mixtures or c == m.label])
+
     def _completed(self, asked: DataFrame, names: list[str]) -> DataFrame | None:
         """Constraint columns that a column model adds to the conditions, keyed by condition."""
         fixed = None
@@ -228,7 +301,7 @@ class Profile:
         m, spark = self.model, self._spark()
         constraints = []
         for c in self.constraints:
-            entry = {"arguments": c.to_dict(), "learned": {a: getattr(c, a) for a in c.learned if hasattr(c, a)}}
+            entry = {"arguments": {**c.to_dict(), "constraint": constraint_name(c)}, "learned": {a: getattr(c, a) for a in c.learned if hasattr(c, a)}}
             if c.model is not None:
                 cm = c.model
                 entry["model"] = {
@@ -238,10 +311,11 @@ class Profile:
             constraints.append(entry)
         content = {
             "fields": [
-                {k: v for k, v in vars(f).items() if k != "encoder" and v is not None} for f in self.spec.fields
+                {k: v for k, v in vars(f).items() if v is not None} for f in self.spec.fields
             ],
             "name": self.spec.name, "primary_key": self.spec.primary_key, "label": self.label, "rows": self.rows,
             "types": self.types, "constraints": constraints, "embeddings": self.embeddings,
+            "ledger": None if self.ledger is None else [self.ledger.delta, [list(e) for e in self.ledger.entries]],
             "numbers": {c: [e.type, e.mean, e.low, e.high, e.digits] for c, e in self.numbers.items()},
             "model": None if m is None else {
                 "label": m.label, "columns": m.columns, "types": m.types,
@@ -275,7 +349,15 @@ class Profile:
             mixtures = {c: Mixture(*parts) for c, parts in m["mixtures"].items()}
             model = Model(m["label"], m["columns"], mixtures, m["types"], m["counts"], m["joint"], m["conditional"], m["components"])
         spec = TableSpec([FieldSpec(**f) for f in data["fields"]], data["name"], data["primary_key"])
-        return cls(spec, data["label"], constraints, model, numbers, data["types"], data["rows"], data["embeddings"])
+        ledger = data.get("ledger") and Ledger(data["ledger"][0], [tuple(e) for e in data["ledger"][1]])
+        return cls(spec, data["label"], constraints, model, numbers, data["types"], data["rows"], data["embeddings"], ledger)
+
+
+def constraint_name(c: Constraint) -> str:
+    """Name under which a constraint is found again: users' own by their dotted path, where they have one."""
+    kind = type(c)
+    own = kind.__module__.partition(".")[0] != __name__.partition(".")[0] and kind.__module__ != "__main__" and "<locals>" not in kind.__qualname__
+    return f"{kind.__module__}.{kind.__qualname__}" if own else kind.__name__
 
 
 def finalize_fields(rows: DataFrame, spec: TableSpec, constraints, seed: int, row: str, types) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..errors import MetadataError
 from ..spec import DatasetSpec, FieldSpec, TableSpec
+from .records import MISSING, read_texts
 
 # fixed values: strptime directive, date pattern letters, and the text it matches
 _DIRECTIVES = {
@@ -42,17 +43,6 @@ def time_patterns(fmt: str) -> tuple[str, str]:
     return pattern, regex
 
 
-def _read_as(field: FieldSpec) -> T.DataType:
-    """Type asked of the CSV reader; times and whole numbers are converted afterwards."""
-    if field.type == "datetime" or field.type == "categorical":
-        return T.StringType()
-    if field.type == "id" and field.subtype == "string":
-        return T.StringType()
-    if isinstance(field.spark_type, T.LongType):
-        return T.StringType()
-    return field.spark_type
-
-
 def _typed(field: FieldSpec) -> Column:
     raw = F.col(f"`{field.name}`")
     if field.type == "datetime":
@@ -65,17 +55,24 @@ def _typed(field: FieldSpec) -> Column:
     if isinstance(field.spark_type, T.LongType):
         # "3.0" is how a whole number with missing neighbours is often written
         return F.coalesce(raw.try_cast("bigint"), raw.try_cast("double").try_cast("bigint"))
-    return raw
+    return raw.try_cast(field.spark_type)
 
 
-def read_table(spark: SparkSession, spec: TableSpec, root: str = "", multi_line: bool = True) -> DataFrame:
-    """The table's CSV as a lazy frame with the declared types.
+def read_table(spark: SparkSession, spec: TableSpec, root: str = "", multi_line: bool = True, missing: tuple[str, ...] = MISSING) -> DataFrame:
+    """The table's CSV with the declared types; columns are found by the names in each file's header.
 
-    Doubled quotes and quoted line breaks belong to the value. ``multi_line=False`` keeps large files splittable when no value holds a line break.
+    Doubled quotes and quoted line breaks belong to the value, and files stay splittable all the same. Texts in ``missing`` are null in every
+    column. ``multi_line=False`` spares the search for records where no value holds a line break; all files then need the same header.
     """
     path = f"{root.rstrip('/')}/{spec.path}" if root else spec.path
-    schema = T.StructType([T.StructField(f.name, _read_as(f)) for f in spec.fields])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"').option("multiLine", multi_line).csv(path)
+    names = spec.names()
+    raw = read_texts(spark, path, names, missing) if multi_line else None
+    if raw is None:
+        plain = spark.read.option("header", True).option("enforceSchema", False).option("escape", '"').option("multiLine", multi_line).csv(path)
+        lost = [n for n in names if n not in plain.columns]
+        if lost:
+            raise MetadataError(f"a file has no columns {lost}")
+        raw = plain.select(*[F.when(~F.col(f"`{n}`").isin(*missing), F.col(f"`{n}`")).alias(n) for n in names])
     return raw.select(*[_typed(f).alias(f.name) for f in spec.fields])
 
 
@@ -93,7 +90,7 @@ def write_rows(df: DataFrame, path: str, fmt: str = "csv", partition_by=None, mo
     if partition_by:
         writer = writer.partitionBy(partition_by)
     if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        writer.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     elif fmt == "parquet":
         writer.parquet(path)
     else:
