@@ -258,20 +258,20 @@ def _topup_sql():
     q = pick_sql(q, bounds_sql(f"({shares})", "label", "component"), [("o_orderstatus", "label")], "uc", [("component", "component")])
     return f"""
     SELECT cand_id, o_orderstatus, o_orderpriority, round(price, 4) AS o_totalprice FROM (
-        SELECT *, floor(price)::BIGINT AS whole FROM (SELECT *, {_value_sql('component', 'zz')} AS price FROM {q}) WHERE price >= 20000 AND price <= 60000)
-    QUALIFY row_number() OVER (PARTITION BY o_orderpriority, whole ORDER BY cand_id) = 1
+        SELECT *, floor(price * 10)::BIGINT AS tenths FROM (SELECT *, {_value_sql('component', 'zz')} AS price FROM {q}) WHERE price >= 20000 AND price <= 60000)
+    QUALIFY row_number() OVER (PARTITION BY o_orderpriority, tenths ORDER BY cand_id) = 1
     ORDER BY cand_id LIMIT (SELECT count(*) FROM orders)"""
 
 
 @query("g_topup", _topup_sql())
 def g_topup(spark, sf):
-    """As many rows as there are orders, drawn from a model of them, within a price range and no two with one priority and whole price."""
+    """As many rows as there are orders, drawn from a model of them, within a price range and no two with one priority and price to a tenth."""
     o = table(spark, sf, "orders")
     model = fit_model(o, "o_orderstatus", ["o_orderpriority"], ["o_totalprice"], {"o_totalprice": MIX})
-    rules = [Between("o_totalprice", 20000.0, 60000.0, handling="reject_sampling"), Unique(["o_orderpriority", "whole"], "cand_id")]
+    rules = [Between("o_totalprice", 20000.0, 60000.0, handling="reject_sampling"), Unique(["o_orderpriority", "tenths"], "cand_id")]
 
     def source(ids):
-        return generate(model, ids, ["cand_id"], SEED).withColumn("whole", F.floor("o_totalprice").cast("bigint"))
+        return generate(model, ids, ["cand_id"], SEED).withColumn("tenths", F.floor(F.col("o_totalprice") * 10).cast("bigint"))
 
     rows = sample_valid(spark, source, rules, o.count())
     return rows.select("cand_id", "o_orderstatus", "o_orderpriority", F.round("o_totalprice", 4).alias("o_totalprice"))
