@@ -39,7 +39,19 @@ def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return the written table."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing will read again."""
+    for df in tables:
+        found = getattr(df, "_written_to", None)
+        if found:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(found)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
