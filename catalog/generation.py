@@ -12,6 +12,7 @@ from rowloom.functions.random import _FAR_TAIL, _TAIL, uniform
 from rowloom.operators.constraints import Between, Unique, UniqueCombinations
 from rowloom.operators.copula import Copula, _Dim, complete_conditions, copula_stats
 from rowloom.operators.encoders import choose_encoders, decode, encode, fit_encoders
+from rowloom.operators.factors import FactorModel
 from rowloom.operators.frequency import labels_by_appearance
 from rowloom.operators.generate import finalize, fit_model, generate
 from rowloom.operators.intervals import power_of_two
@@ -138,6 +139,18 @@ def g_complete_conditions(spark, sf):
     return complete_conditions(p.select("p_partkey", "p_brand"), rule, seed=7, id_col="p_partkey")
 
 
+@query("g_wide_model", """
+    SELECT p_brand AS a, p_type AS b, round(count(*) / n - any_value(nb) / n * (any_value(nt) / n) + 1.313e-7, 6) + 0.0 AS cov FROM (
+        SELECT *, count(*) OVER (PARTITION BY p_brand) AS nb, count(*) OVER (PARTITION BY p_type) AS nt, (count(*) OVER ())::DOUBLE AS n FROM part)
+    GROUP BY p_brand, p_type, n""")
+def g_wide_model(spark, sf):
+    """Covariances of a factored column model learned from all parts; with as many factors as dimensions they are exact."""
+    p = table(spark, sf, "part")
+    model = FactorModel.fit(p, ["p_brand", "p_type", "p_size"], rank=64)
+    pairs = p.select(F.col("p_brand").alias("a"), F.col("p_type").alias("b")).distinct()
+    return model.covariance(pairs, "p_brand", "p_type").withColumn("cov", F.round(F.col("cov") + F.lit(1.313e-7), 6) + F.lit(0.0))  # off the ties of fractions
+
+
 @query("g_complete_invariants", """
     SELECT p_partkey, p_brand, true AS seen, true AS own_brand FROM part""")
 def g_complete_invariants(spark, sf):

@@ -17,9 +17,9 @@ from ..functions.numbers import as_number, back_to, column, from_micros, is_time
 from ..functions.random import normal
 from ..functions.vectors import argmax
 from ..session import materialize
-from .joins import lookup
+from .factors import FactorModel
 
-MODEL_WIDTH = 512  # the driver inverts a matrix of this order at most
+MODEL_WIDTH = 512  # the driver inverts a matrix of this order at most; wider models are factored
 ROUNDS = 100  # fixed value: attempts to complete a condition
 ROUND_FACTOR = 10  # fixed value: candidates per wanted row in one round
 
@@ -76,7 +76,8 @@ class Copula:
         self.mean, self.cov = np.asarray(mean, float), np.asarray(cov, float)
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: list[str]) -> Copula:
+    def fit(cls, df: DataFrame, columns: list[str]) -> Copula | FactorModel:
+        """A full covariance up to ``MODEL_WIDTH`` dimensions, a factored one beyond."""
         types = {c: df.schema[c].dataType for c in columns}
         dims: list[_Dim] = []
         for c in columns:
@@ -86,7 +87,7 @@ class Copula:
             else:
                 dims.append(_Dim(c))
         if len(dims) > MODEL_WIDTH:
-            raise ValueError(f"a column model over more than {MODEL_WIDTH} categories is not supported")
+            return FactorModel.fit(df, columns)
         model = cls(columns, types, dims, np.zeros(len(dims)), np.zeros((len(dims), len(dims))))
         means = df.agg(*[F.avg(model._raw(df, d)).alias(f"m{i}") for i, d in enumerate(dims)]).first()
         mean = [float(v) if v is not None else 0.0 for v in means]

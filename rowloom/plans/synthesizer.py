@@ -13,6 +13,7 @@ from ..operators.anonymize import anonymize, learn_maps, make_ids, make_ids_uniq
 from ..operators.constraints import Constraint, Unique, prepare, transform_all
 from ..operators.copula import Copula, _Dim
 from ..operators.encoders import Numeric
+from ..operators.factors import FactorModel
 from ..operators.generate import Model, finalize, fit_model, generate, ids_only
 from ..operators.guided import KNOWN, ConditionIndex, known_values
 from ..operators.joins import lookup
@@ -302,7 +303,10 @@ class Profile:
         constraints = []
         for c in self.constraints:
             entry = {"arguments": {**c.to_dict(), "constraint": constraint_name(c)}, "learned": {a: getattr(c, a) for a in c.learned if hasattr(c, a)}}
-            if c.model is not None:
+            if isinstance(c.model, FactorModel):
+                cm = c.model
+                entry["factors"] = [cm.columns, cm.types, cm.table, cm.numbers, cm.rank]
+            elif c.model is not None:
                 cm = c.model
                 entry["model"] = {
                     "columns": cm.columns, "types": cm.types, "mean": cm.mean, "cov": cm.cov,
@@ -333,6 +337,8 @@ class Profile:
             c = Constraint.from_dict(entry["arguments"])
             for name, value in entry["learned"].items():
                 setattr(c, name, value)
+            if entry.get("factors"):
+                c.model = FactorModel(*entry["factors"])
             if entry.get("model"):
                 cm = entry["model"]
                 dims = [_Dim(col, None if cat is None else tuple(cat)) for col, cat in cm["dims"]]
