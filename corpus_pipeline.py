@@ -46,19 +46,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts without words are no duplicates of anything and stay. Of repeated rows of the document that stays, one stays; documents whose id is null
     stay only if their text belongs to no other id. Rows that go are found by (doc_id, text), so an id used for two texts is no reason to drop either.
     """
-    mark = _free(docs, "row_mark")
-    marked = docs.withColumn(mark, F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.xxhash64("text").alias("h")))
-    found = materialize(ngram_join(marked.select(mark, "text"), mark, "text", n=5, num=80, den=100), "duplicates")
+    row = F.xxhash64("doc_id", "text")
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), row.alias("h")).alias("mark"), "text")
+    found = materialize(ngram_join(named, "mark", "text", n=5, num=80, den=100), "duplicates").filter("n_shingles > 0")
     # rows to drop, and rows of which one of several equal ones stays
-    drop = found.filter((F.col("n_shingles") > 0) & ~F.col(mark).eqNullSafe(F.col("component_id"))).select(mark).distinct()
-    again = found.filter("n_shingles > 0").groupBy(mark).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(mark)
-    drop, again = materialize(drop, "dropped"), materialize(again.join(drop, mark, "left_anti"), "repeated")
-    flat = lambda df: df.select(F.to_json(mark).alias("k"))
+    drop = materialize(found.filter("mark.h <> component_id.h").select("mark.h").distinct(), "dropped")
+    again = found.groupBy("mark.h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    again = materialize(again.join(drop, "h", "left_anti"), "repeated")
     key = _free(docs, "k")
-    keyed = marked.withColumn(key, F.to_json(mark)).drop(mark)
-    kept = lookup(keyed, flat(drop).withColumnRenamed("k", key), [key], "left_anti", salt_by=["doc_id"])
+    keyed = docs.withColumn(key, row)
+    kept = lookup(keyed, drop.withColumnRenamed("h", key), [key], "left_anti", salt_by=["doc_id"])
     if again.limit(1).count():
-        same = flat(again).withColumnRenamed("k", key)
+        same = again.withColumnRenamed("h", key)
         one = lookup(kept, same, [key], "left_semi", salt_by=["doc_id"]).dropDuplicates([key])
         kept = lookup(kept, same, [key], "left_anti", salt_by=["doc_id"]).unionByName(one)
     return kept.drop(key).select(*docs.columns)

@@ -1,12 +1,13 @@
 """Benchmark passages in documents, found by latent semantic retrieval.
 
 Benchmark items are TF-IDF vectors over their words; the document frequencies come from all passages of the corpus. A
-distributed randomised singular value decomposition gives a latent space. Windows of every document, at several
-lengths so that one fits each item, are projected and compared with all items by cosine, in blocks of items. Every word of a window
+distributed randomised singular value decomposition gives a latent space. Stretches of a document are candidates for an item
+if they hold enough of its weight: what is accepted in the end holds ``COMMON_WITH_ANSWER`` of it, so of its rarer words, all but
+``LEFT_OUT`` of the weight, a stretch holds the difference at least. The stretches are found from the places of those words alone. Windows of a
+stretch, at several lengths so that one fits the item, are projected and compared with it by cosine. Every word of a window
 weighs by its own document frequency. Tasks know those of the benchmark's words and of all words found in one passage of
 ``LISTED`` or more; a rarer word weighs the least it can there, which bounds the cosine from above, and what passes is weighed
-again with the frequencies from a written table. A window whose weight outside the benchmark's words already rules out the
-cosine is not projected; this is a bound, not a cut. What
+again with the frequencies from a written table. What
 remains is aligned in full with the item: the weight of the longest common subsequence and the words of its answer
 (the last sentence) decide, so a passage with words changed, dropped or inserted is found as well.
 """
@@ -34,6 +35,8 @@ COSINE = 0.45
 COMMON = 0.75  # weight share of the item in the longest common subsequence
 COMMON_WITH_ANSWER = 0.55
 ANSWER = 0.9
+LEFT_OUT = 0.3  # weight share of an item's most common words, which are not looked up
+STRETCH = 3  # an item is found within so many times its own length
 ITEM_BLOCK = 4096
 
 
@@ -128,6 +131,11 @@ def item_vectors(items: DataFrame, terms: list[str], idf: np.ndarray) -> DataFra
     return items.select("item_id", "text").mapInArrow(vectors, f"item_id {kind}, at array<bigint>, value array<double>")
 
 
+def _added(key, parts):
+    total = np.stack([np.asarray(x.as_py()) for x in parts["sums"]]).sum(0)
+    return pa.table({"row": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([total], pa.list_(pa.float64()))})
+
+
 def latent_basis(vectors: DataFrame, rank: int = RANK, power: int = POWER, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(terms, basis): the leading right singular vectors of the rows, by a randomised range finder with power steps.
 
@@ -162,7 +170,7 @@ def latent_basis(vectors: DataFrame, rank: int = RANK, power: int = POWER, seed:
 
     def summed(q, gram):
         parts = vectors.mapInArrow(product(spark.sparkContext.broadcast(q), gram), "row bigint, sums array<double>")
-        sums = parts.groupBy("row").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(q.shape[1])]).alias("sums")) if q.shape[1] <= 16 else parts
+        sums = parts.groupBy("row").applyInArrow(_added, "row bigint, sums array<double>")  # one row per term
         out = np.zeros((q.shape[1] if gram else q.shape[0], q.shape[1]))
         for r in sums.toLocalIterator():
             out[r["row"]] += np.array(r["sums"])
@@ -264,6 +272,8 @@ def _search(model, cosine):
             item_latent[i] = np.sqrt(mass[some] / mass.sum()).astype(np.float32) @ basis[some]
         item_latent /= np.maximum(np.linalg.norm(item_latent, axis=1, keepdims=True), 1e-12)
         lengths = window_sizes([len(codes) for codes in item_codes])
+        reach = np.array([STRETCH * len(codes) for codes in item_codes])
+        first, holders, shares_of = _holders(item_codes, idf)
         answers = [np.array(sorted(code_of[w] for w in answer_of(text))) for _, text in items]
 
         for batch in batches:
@@ -274,31 +284,21 @@ def _search(model, cosine):
                 of = of[codes] if len(codes) else np.empty(0, np.int64)
                 square = weights[of] ** 2  # the last weight for words that are not listed
                 own = (of >= 0) & (of < n_terms)
-                inside, all_, known = (np.concatenate([[0], np.cumsum(x)]) for x in (np.where(own, square, 0.0), square, np.where(of >= 0, square, 0.0)))
+                all_, known = (np.concatenate([[0], np.cumsum(x)]) for x in (square, np.where(of >= 0, square, 0.0)))
                 of = np.where(own | (of < 0), of, -2)  # -1 rare, -2 listed but in no item
                 near: dict[tuple[int, int], list] = {}
-                for size in lengths:
-                    sizes = np.diff(offsets)
-                    steps = np.where(sizes > 0, np.maximum(0, -(-(sizes - size) // (size // 2))) + 1, 0)
-                    row = np.repeat(np.arange(len(sizes)), steps)
-                    k = np.arange(len(row)) - np.repeat(np.cumsum(steps) - steps, steps)
-                    start = np.minimum(offsets[row] + k * (size // 2), np.maximum(offsets[row], offsets[row + 1] - size))
-                    end = np.minimum(start + size, offsets[row + 1])
+                for r, j, a, b in _stretches(of, offsets, first, holders, shares_of, reach):
+                    start, end = _windows(a, b, lengths)
+                    latent = np.stack([_project(of[x:y], idf, term_rows, basis) for x, y in zip(start, end)])
+                    dots = latent @ item_latent[j]
                     total = all_[end] - all_[start]
-                    able = np.flatnonzero((total > 0) & (inside[end] - inside[start] >= cosine * cosine * total))
-                    for i in range(0, len(able), 512):
-                        some = able[i : i + 512]
-                        latent = np.stack([_project(of[a:b], idf, term_rows, basis) for a, b in zip(start[some], end[some])])
-                        dots = latent @ item_latent.T
-                        like = dots / np.sqrt(total[some])[:, None]
-                        for w, j in zip(*np.nonzero(like >= cosine)):
-                            a, b = start[some[w]], end[some[w]]
-                            near.setdefault((int(row[some[w]]), int(j)), []).append((int(a), int(b), float(dots[w, j])))
+                    for w in np.flatnonzero((total > 0) & (dots >= cosine * np.sqrt(total))):
+                        near.setdefault((r, j), []).append((int(start[w]), int(end[w]), float(dots[w])))
                 ids, which, windows, commons, shares = [], [], [], [], []
                 for (r, j), spans in sorted(near.items()):
-                    reach = len(item_codes[j])
+                    beside = len(item_codes[j])
                     best = (0.0, 0.0)
-                    for a, b in _joined([(max(offsets[r], a - reach), min(offsets[r + 1], b + reach)) for a, b, _ in spans]):
+                    for a, b in _joined([(max(offsets[r], a - beside), min(offsets[r + 1], b + beside)) for a, b, _ in spans]):
                         text = of[a:b]
                         common = aligned_weight(item_codes[j], idf[item_codes[j]], text)
                         answer = float(np.isin(answers[j], text).mean()) if len(answers[j]) else 0.0
@@ -315,6 +315,80 @@ def _search(model, cosine):
     return search
 
 
+def _holders(item_codes: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word the items it is looked up for, as (first, items, weight shares): ``first[w]`` to ``first[w + 1]`` are those of word w.
+
+    Of every item the most common words are left out, up to ``LEFT_OUT`` of its weight.
+    """
+    words, items, shares = [], [], []
+    for j, codes in enumerate(item_codes):
+        own, times = np.unique(codes, return_counts=True)
+        share = times * idf[own]
+        share = share / share.sum()
+        order = np.argsort(share / times, kind="stable")  # most common first
+        kept = order[np.cumsum(share[order]) > LEFT_OUT]
+        words.append(own[kept])
+        items.append(np.full(len(kept), j))
+        shares.append(share[kept])
+    words, items, shares = np.concatenate(words), np.concatenate(items), np.concatenate(shares)
+    order = np.argsort(words, kind="stable")
+    first = np.searchsorted(words[order], np.arange(len(idf) + 1))
+    return first, items[order], shares[order]
+
+
+def _stretches(of: np.ndarray, offsets: np.ndarray, first: np.ndarray, holders: np.ndarray, shares: np.ndarray, reach: np.ndarray):
+    """(row, item, start, end): the stretches of a text, not longer than the item's reach, in which the looked-up words of the item weigh enough.
+
+    Overlapping ones are joined. A word that occurs twice counts twice, so the weight is never too low.
+    """
+    at = np.flatnonzero((of >= 0) & (of < len(first) - 1))
+    times = first[of[at] + 1] - first[of[at]]
+    at, times = at[times > 0], times[times > 0]
+    if not len(at):
+        return
+    begin = np.cumsum(times) - times
+    entry = np.arange(times.sum()) - np.repeat(begin, times) + np.repeat(first[of[at]], times)
+    place, item, share = np.repeat(at, times), holders[entry], shares[entry]
+    row = np.searchsorted(offsets, place, side="right") - 1
+    span = int(offsets[-1]) + int(reach.max()) + 1
+    # places of an item in a text, all texts one after the other and far enough apart
+    key = item * (span + len(offsets) * int(reach.max() + 1)) + place + row * int(reach.max() + 1)
+    order = np.argsort(key, kind="stable")
+    key, place, item, row = key[order], place[order], item[order], row[order]
+    weight = np.concatenate([[0.0], np.cumsum(share[order])])
+    last = np.searchsorted(key, key + reach[item], side="left")
+    good = np.flatnonzero(weight[last] - weight[:-1] >= COMMON_WITH_ANSWER - LEFT_OUT - 1e-9)
+    held = None
+    for i in good.tolist():
+        r, j, a, b = int(row[i]), int(item[i]), int(place[i]), int(place[last[i] - 1]) + 1
+        if held and held[:2] == (r, j) and a <= held[3]:
+            held = (r, j, held[2], max(b, held[3]))
+            continue
+        if held:
+            yield _widened(held, offsets, reach)
+        held = (r, j, a, b)
+    if held:
+        yield _widened(held, offsets, reach)
+
+
+def _widened(stretch: tuple, offsets: np.ndarray, reach: np.ndarray) -> tuple[int, int, int, int]:
+    """A stretch with as much text beside it as the item is long."""
+    r, j, a, b = stretch
+    beside = int(reach[j]) // STRETCH
+    return r, j, max(int(offsets[r]), a - beside), min(int(offsets[r + 1]), b + beside)
+
+
+def _windows(a: int, b: int, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the windows of a stretch at all lengths; a window moves on by half its size, the last ends with the stretch."""
+    starts, ends = [], []
+    for size in lengths:
+        steps = max(0, -(-(b - a - size) // (size // 2))) + 1
+        start = np.minimum(a + np.arange(steps) * (size // 2), max(a, b - size))
+        starts.append(start)
+        ends.append(np.minimum(start + size, b))
+    return np.concatenate(starts), np.concatenate(ends)
+
+
 def _project(codes: np.ndarray, idf: np.ndarray, term_rows: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A window in the latent space, not normalised."""
     at, back = np.unique(term_rows[codes[codes >= 0]], return_inverse=True)

@@ -4,9 +4,13 @@ Documents with equal shingle sets form a class. Classes are first put into group
 min-hash are compared with one of them, and verified links make a group. Each group keeps the union of its
 members' rarest shingles (the token-group matrix): a set of n shingles can only reach the wanted similarity with
 a set that shares some of its n - ceil(t n) + 1 first shingles in a common order. The ones shared with the union bound the overlap with
-any member, and a class opens the members of another group only where that bound and the sizes allow the similarity.
-Opened members are bounded one by one, and only the qualifying ones are compared in full. Members of one group are already
-linked and never compared again, so the square of a large group of copies is met nowhere. Similar sets that no min-hash
+any member, and a class opens another group only where that bound and the sizes allow the similarity.
+
+An opened group is first met through its hub, the member with most links, then through a few members under each shingle; what that links is
+merged, and groups that fell into one component are closed again. All members of the groups still open are found by the fewest
+shingles that one of them must show.
+A bit map of each set then bounds every pair, exactly, and only pairs that pass it are compared in full. Members of one group are
+linked already and never compared again, so the square of a large group of copies is met nowhere. Similar sets that no min-hash
 brought into one group still meet one by one.
 
 The common order puts shingles that a sample found in many documents last, most frequent at the very end, and the others by hash.
@@ -17,19 +21,30 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators.joins import lookup
-from ..session import materialize
+from ..operators.joins import lookup as any_lookup
+from ..session import discard, fits_broadcast, materialize
 from .common import components
+from .phrase_mining import Marks, mark_buckets
 from .registry import query, table
 from .words import list_array, pieces, scramble, shingles, split_words, word_hashes
 
-MIN_HASHES = 6
+MIN_HASHES = 6  # of a class
 SAMPLE_ONE_IN = 16
 FREQUENT = 4  # times in the sample
 FREQUENT_TOKENS = 1 << 18  # longest list of frequent shingles; the order only
 SALT_ROWS = 512  # classes of one shingle that look into groups under one key
+SOME_MEMBERS = 4  # members of a group under each shingle that a class meets before the others
+MAP_BITS = 2048  # of the bit map of a set
+BROADCAST_BYTES = 8 << 20  # many lookups are part of one plan, so each of them may broadcast little
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left", null_safe: bool = False, salt_by: list[str] | None = None, fits: bool | None = None) -> DataFrame:
+    """``lookup`` with a low bound of what is broadcast."""
+    fits = fits_broadcast(table, BROADCAST_BYTES) if fits is None else fits
+    return any_lookup(rows, table, on, how, null_safe, salt_by, fits)
 
 
 def _sets(batches, n: int):
@@ -58,12 +73,13 @@ def frequent_shingles(texts: DataFrame, n: int) -> np.ndarray:
 
     sample = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_ONE_IN)) == 0).select("text")
     counts = sample.mapInArrow(explode, "token bigint").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT)
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS).collect()
-    return np.array([r["token"] for r in reversed(top)], np.int64).view(np.uint64)
+    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS).select("token").toArrow()
+    return top.column("token").to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def set_features(rows: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """(id, n, key, prefix, mins) of each row (id, text): set size, set name, first shingles in the common order, min-hashes."""
+    """(id, row, n, key, prefix, mins, bits) of each row (id, text): a hash of the row, set size, set name, first shingles in the common order,
+    min-hashes, and the set as a bit map."""
     order = np.argsort(frequent)
     known, rank = frequent[order], order.astype(np.uint64)
     shared = rows.sparkSession.sparkContext.broadcast((known, rank))
@@ -71,9 +87,12 @@ def set_features(rows: DataFrame, n: int, num: int, den: int, frequent: np.ndarr
     def features(batches):
         known, rank = shared.value
         for part, sets in _sets(batches, n):
-            keys, firsts, mins = [], [], []
+            keys, firsts, mins, maps = [], [], [], []
             for s in sets:
                 keys.append(_key(s))
+                bits = np.zeros(MAP_BITS, bool)
+                bits[(s >> np.uint64(24)) & np.uint64(MAP_BITS - 1)] = True
+                maps.append(np.packbits(bits).view(np.int64))
                 place = s >> np.uint64(1)
                 if len(known) and len(s):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -83,43 +102,70 @@ def set_features(rows: DataFrame, n: int, num: int, den: int, frequent: np.ndarr
                 firsts.append(s[np.argsort(place, kind="stable")[:length]].view(np.int64))
                 mins.append(np.array([scramble(s ^ np.uint64((i + 1) * 0xD6E8FEB86659FD93 & (2**64 - 1))).min() for i in range(MIN_HASHES)], np.uint64).view(np.int64) if size else np.empty(0, np.int64))
             yield pa.record_batch({
-                "id": part.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()), "key": pa.array(keys, pa.binary()),
-                "prefix": list_array(firsts, pa.int64()), "mins": list_array(mins, pa.int64()),
+                "id": part.column("id"), "row": part.column("row"), "n": pa.array([len(s) for s in sets], pa.int64()), "key": pa.array(keys, pa.binary()),
+                "prefix": list_array(firsts, pa.int64()), "mins": list_array(mins, pa.int64()), "bits": list_array(maps, pa.int64()),
             })
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(features, f"id {kind}, n bigint, key binary, prefix array<bigint>, mins array<bigint>")
+    schema = f"id {kind}, row bigint, n bigint, key binary, prefix array<bigint>, mins array<bigint>, bits array<bigint>"
+    return rows.select("id", "text", _row()).mapInArrow(features, schema)
+
+
+def _row():
+    return F.xxhash64("id", "text").alias("row")
 
 
 def whole_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cid, tokens) of the wanted classes (cid, id, key): the whole texts of their ids are read again."""
+    """(cid, tokens) of the wanted classes (cid, row, key): the whole texts of their rows are read again."""
 
     def tokens(batches):
         for _, sets in _sets(batches, n):
             yield pa.record_batch({"key": pa.array([_key(s) for s in sets], pa.binary()), "tokens": list_array([s.view(np.int64) for s in sets], pa.int64())})
 
-    some = lookup(rows, wanted.select("id").distinct(), ["id"], "left_semi", null_safe=True)
+    some = lookup(rows.select("text", _row()), wanted.select("row").distinct(), ["row"], "left_semi")
     found = some.select("text").mapInArrow(tokens, "key binary, tokens array<bigint>")
     found = found.join(wanted.select("key", "cid"), "key")
     return found.groupBy("cid").agg(F.first("tokens").alias("tokens"))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the similarity. Sets are shuffled to their pairs at every size."""
-    pairs = materialize(pairs, "candidates")
-    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = materialize(classes.select("cid", "id", "key").join(ends, "cid"), "opened")
+def within_bounds(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes whose bit maps (cid, n, bits) allow the similarity.
+
+    A bit of one map that the other lacks stands for a shingle or more that the other set lacks.
+    """
+    side = lambda c, s: maps.select(F.col("cid").alias(c), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"m{s}"))
+    both = lookup(pairs, side("a", "a"), ["a"], "inner", salt_by=["b"], fits=False)
+    both = lookup(both, side("b", "b"), ["b"], "inner", salt_by=["a"], fits=False)
+    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, v: t + v)
+    most = F.least(F.col("na") - lacks("ma", "mb"), F.col("nb") - lacks("mb", "ma"))
+    return both.filter(_reached(most, "na", "nb", num, den)).select("a", "b")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, of_class: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes (cid, row, key, n, bits) whose whole sets reach the similarity. Sets are shuffled to their pairs at every size."""
+    ends = lambda p: p.select(F.col("a").alias("cid")).union(p.select(F.col("b").alias("cid"))).distinct()
+    asked = materialize(pairs.distinct(), "asked")
+    maps = materialize(lookup(of_class.select("cid", "n", "bits"), ends(asked), ["cid"], "left_semi"), "maps")
+    pairs = materialize(within_bounds(asked, maps, num, den), "candidates")
+    wanted = materialize(lookup(of_class.select("cid", "row", "key"), ends(pairs), ["cid"], "left_semi"), "opened")
     sets = materialize(whole_sets(rows, wanted, n), "sets")
     left = lookup(pairs, sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), ["a"], "inner", salt_by=["b"], fits=False)
     both = lookup(left, sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), ["b"], "inner", salt_by=["a"], fits=False)
     both = both.withColumn("i", F.size(F.array_intersect("ta", "tb")).cast("bigint"))
-    return materialize(both.filter(F.col("i") * den >= (F.size("ta") + F.size("tb") - F.col("i")) * num).select("a", "b"), "links")
+    links = materialize(both.filter(F.col("i") * den >= (F.size("ta") + F.size("tb") - F.col("i")) * num).select("a", "b"), "links")
+    discard(asked, maps, pairs, wanted, sets)
+    return links
 
 
 def _size_bound(a: str, b: str, num: int, den: int):
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
+def _fits(size: str, num: int, den: int):
+    """Whether sets between ``lo`` and ``hi`` can be similar to one of that size."""
+    return (F.col("lo") * num <= F.col(size) * den) & (F.col("hi") * den >= F.col(size) * num)
+
+
 def _behind(size: str, num: int, den: int):
     """Shingles of a set after its prefix."""
     return F.floor((F.col(size) * num + (den - 1)) / F.lit(den)) - 1
@@ -129,61 +175,176 @@ def _reached(overlap, a: str, b: str, num: int, den: int):
     return overlap * (num + den) >= F.lit(num) * (F.col(a) + F.col(b))
 
 
+def linked_groups(of_class: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) that make groups, and the groups (node, root).
+
+    In a turn each class is compared with two classes under each of its min-hashes, the first and the last by a hash that changes with the turn, if
+    several min-hashes agree and the two are not in one group yet. Turns go on as long as they add a tenth of the links there are.
+    """
+    mins = materialize(of_class.select("cid", "n", F.posexplode("mins").alias("k", "m")), "min-hashes")
+    shared = mins.groupBy("k", "m").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("k", "m")
+    mins = materialize(lookup(mins, materialize(shared, "shared-min-hashes"), ["k", "m"], "left_semi", salt_by=["cid"]), "min-hashes")
+    links = groups = None
+    found, turn = 0, 0
+    while True:
+        by, who = F.xxhash64("cid", F.lit(turn)), F.struct("cid", "n")
+        hubs = materialize(mins.groupBy("k", "m").agg(F.array(F.min_by(who, by), F.max_by(who, by)).alias("ends")), "hubs")
+        stars = lookup(mins, hubs, ["k", "m"], "inner", salt_by=["cid"]).select("cid", "n", F.explode("ends").alias("hub"))
+        stars = stars.select("cid", "n", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"))
+        stars = stars.filter((F.col("cid") != F.col("hub")) & _size_bound("n", "hub_n", num, den))
+        stars = stars.select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("same"))
+        stars = stars.filter(F.col("same") >= 2).select("a", "b")
+        if groups is not None:
+            root = lambda c, name: groups.select(F.col("node").alias(c), F.col("root").alias(name))  # noqa: E731, B023
+            stars = lookup(lookup(stars, root("a", "ra"), ["a"], "left", salt_by=["b"]), root("b", "rb"), ["b"], "left", salt_by=["a"])
+            stars = stars.filter(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b")
+        new = verified(stars, rows, of_class, n, num, den)
+        discard(hubs)
+        added = new.count()
+        links = new if links is None else links.unionByName(new)
+        if added or groups is None:
+            groups = materialize(components(links, "a", "b"), "groups")
+        found, turn = found + added, turn + 1
+        if 10 * added <= found - added or not added:
+            discard(mins)
+            return links, groups
+
+
 def grouped_classes(of_class: DataFrame, groups: DataFrame) -> DataFrame:
     """(cid, n, prefix, grp, k): each class with its group and the number of classes in it. A class without a group is its own."""
     sizes = materialize(groups.groupBy("root").agg(F.count(F.lit(1)).alias("k")), "group-sizes")
     named = materialize(lookup(groups, sizes, ["root"], "inner", salt_by=["node"]).withColumnRenamed("node", "cid"), "group-members")
-    members = lookup(of_class, named, ["cid"], "left")
+    members = lookup(of_class.select("cid", "n", "prefix"), named, ["cid"], "left")
     return materialize(members.select("cid", "n", "prefix", F.coalesce("root", "cid").alias("grp"), F.coalesce("k", F.lit(1)).alias("k")), "members")
 
 
-def token_rows(members: DataFrame) -> DataFrame:
+def group_hubs(links: DataFrame, groups: DataFrame) -> DataFrame:
+    """(grp, hub): the class of each group that has most links."""
+    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    of = lookup(degree, groups, ["node"], "inner")
+    return materialize(of.groupBy(F.col("root").alias("grp")).agg(F.max_by("node", F.struct("d", -F.col("node"))).alias("hub")), "hubs-of-groups")
+
+
+def shared_tokens(of_class: DataFrame) -> Marks:
+    """Marks of the shingles that the prefixes of two classes or more hold, and of a few others.
+
+    Shingles are counted by hash buckets, many more than there are shingles. A task sends the counts of a part of the buckets as one row: the gaps
+    between them and the counts.
+    """
+    entries = max(of_class.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0], 1 << 10)
+    parts = 1 << max(4, (entries >> 20).bit_length())
+    bucket_bits = max(20, (64 * entries).bit_length())
+    width = bucket_bits - parts.bit_length() + 1  # bits of a bucket inside its part
+
+    def blocks(batches):
+        for batch in batches:
+            tokens = batch.column("prefix").flatten().to_numpy().view(np.uint64)
+            buckets, counts = np.unique(tokens & np.uint64((1 << bucket_bits) - 1), return_counts=True)
+            if not len(buckets):
+                continue
+            of, inside = (buckets >> np.uint64(width)).astype(np.int64), (buckets & np.uint64((1 << width) - 1)).astype(np.int64)
+            begin = np.flatnonzero(np.diff(of, prepend=-1))
+            gaps = np.diff(inside, prepend=0)
+            gaps[begin] = inside[begin]
+            cuts = list(zip(begin, np.append(begin[1:], len(of))))
+            yield pa.record_batch([
+                pa.array(of[begin]), pa.array([gaps[a:b].astype(np.uint32).tobytes() for a, b in cuts], pa.binary()),
+                pa.array([np.minimum(counts[a:b], 2).astype(np.uint8).tobytes() for a, b in cuts], pa.binary()),
+            ], names=["part", "gaps", "counts"])
+
+    def added(key, held):
+        at = np.concatenate([np.cumsum(np.frombuffer(g.as_py(), np.uint32).astype(np.int64)) for g in held.column("gaps")])
+        n = np.concatenate([np.frombuffer(c.as_py(), np.uint8) for c in held.column("counts")])
+        order = np.argsort(at, kind="stable")
+        at, n = at[order], n[order].astype(np.int64)
+        begin = np.flatnonzero(np.diff(at, prepend=-1))
+        return pa.table({"bucket": pa.array(at[begin][np.add.reduceat(n, begin) > 1] + (int(key[0].as_py()) << width), pa.int64())})
+
+    rows = of_class.select("prefix").mapInArrow(blocks, "part bigint, gaps binary, counts binary")
+    found = materialize(rows.groupBy("part").applyInArrow(added, "bucket bigint"), "shared-buckets")
+    marks = mark_buckets(found, bucket_bits)
+    discard(found)
+    return marks
+
+
+def token_rows(members: DataFrame, shared: Marks) -> DataFrame:
     """(cid, n, grp, k, token, salts): the shingles of the prefixes that two classes or more show; the others open nothing."""
-    tokens = members.select("cid", "n", "grp", "k", F.explode("prefix").alias("token"))
+    bits = members.sparkSession.sparkContext.broadcast(shared.bits)
+
+    def some(batches):
+        marks = Marks(bits.value)
+        for batch in batches:
+            prefix = batch.column("prefix")
+            tokens = prefix.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(prefix).to_numpy(zero_copy_only=False))
+            keep = marks.has(tokens.view(np.uint64))
+            at = pa.array(row[keep])
+            yield pa.record_batch({**{c: batch.column(c).take(at) for c in ("cid", "n", "grp", "k")}, "token": pa.array(tokens[keep])})
+
+    rows = members.select("cid", "n", "grp", "k", "prefix").mapInArrow(some, "cid bigint, n bigint, grp bigint, k bigint, token bigint")
+    tokens = materialize(rows, "possible-tokens")
     shown = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     shown = materialize(shown.select("token", F.ceil(F.col("rows") / SALT_ROWS).cast("int").alias("salts")), "shown-tokens")
-    return materialize(lookup(tokens, shown, ["token"], "inner", salt_by=["cid"]), "token-rows")
+    out = materialize(lookup(tokens, shown, ["token"], "inner", salt_by=["cid"]), "token-rows")
+    discard(tokens, shown)
+    return out
 
 
 def token_groups(tokens: DataFrame) -> DataFrame:
-    """(token, grp, k, salts, lo, hi): the token-group matrix. One row for each distinct shingle of the group's prefixes, with the sizes of the sets that show it."""
-    return tokens.groupBy("token", "grp", "k", "salts").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    """(token, grp, k, salts, lo, hi, shown): the token-group matrix. One row for each distinct shingle of the group's prefixes, with the sizes of
+    the sets that show it and their number."""
+    return tokens.groupBy("token", "grp", "k", "salts").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("shown"))
 
 
 def opened_groups(tokens: DataFrame, matrix: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, na, grp, k): the groups a class may have a similar set in. Of two groups, the members of the smaller one look into the larger.
+    """(a, na, grp, k, seen, lo, hi): the groups a class may have a similar set in, and among which sizes. Of two groups, the members of the smaller look into the larger.
 
     The shingles of the class's prefix in the group's union are at least those it shares with the prefix of any member. Shingles of many
     classes are split among salts, so that a key meets about ``SALT_ROWS`` classes.
     """
     left = tokens.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("grp").alias("ga"), F.col("k").alias("ka"), F.pmod(F.xxhash64("cid"), "salts").cast("int").alias("salt"))
-    right = matrix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    right = matrix.drop("shown").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     met = left.join(right, ["token", "salt"]).filter((F.col("ka") < F.col("k")) | ((F.col("ka") == F.col("k")) & (F.col("ga") < F.col("grp"))))
-    met = met.filter((F.col("lo") * num <= F.col("na") * den) & (F.col("hi") * den >= F.col("na") * num))
+    met = met.filter(_fits("na", num, den))
     met = met.groupBy("a", "na", "grp", "k").agg(F.count(F.lit(1)).alias("seen"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     met = met.withColumn("lo", F.greatest("lo", F.ceil(F.col("na") * num / F.lit(den)))).withColumn("hi", F.least("hi", F.floor(F.col("na") * den / F.lit(num))))
     # among sets up to na the smallest needs least; among larger ones the largest shows most behind its prefix, give or take one for rounding
     small = (F.col("lo") <= F.col("na")) & _reached(F.col("seen") + _behind("na", num, den), "na", "lo", num, den)
     more = F.when(F.col("lo") < F.col("hi"), 1).otherwise(0)
     large = (F.col("hi") >= F.col("na")) & _reached(F.col("seen") + _behind("hi", num, den) + more, "na", "hi", num, den)
-    return materialize(met.filter(small | large).select("a", "na", "grp", "k"), "opened-groups")
+    return materialize(met.filter(small | large), "opened-groups")
+
+
+def still_open(opened: DataFrame, links: DataFrame) -> DataFrame:
+    """The opened groups (a, grp, ...) that are not in one component with the class yet."""
+    merged = materialize(components(links, "a", "b"), "merged")
+    root = lambda c, name: merged.select(F.col("node").alias(c), F.col("root").alias(name))
+    both = lookup(lookup(opened, root("a", "ra"), ["a"], "left", salt_by=["grp"]), root("grp", "rg"), ["grp"], "left", salt_by=["a"])
+    out = materialize(both.filter(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rg", "grp"))).drop("ra", "rg"), "still-open")
+    discard(merged)
+    return out
 
 
-def opened_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes of different groups whose prefixes and sizes allow the similarity.
+def member_pairs(opened: DataFrame, members: DataFrame, tokens: DataFrame, matrix: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of a class and the members of its opened groups that can be similar.
 
-    All shared shingles of two sets that the pair of prefixes does not show lie behind one of the prefixes.
+    All shared shingles of two sets that the pair of prefixes does not show lie behind one of the prefixes, which leaves a least number of shared
+    ones to the prefixes. A member that shows so many of the ``seen`` ones shows at least one of any ``seen`` - least + 1 of
+    them: those that the fewest members show are looked up.
     """
-    tokens = token_rows(members)
-    opened = opened_groups(tokens, materialize(token_groups(tokens), "token-groups"), num, den)
-    alone = opened.filter("k = 1").select("a", F.col("grp").alias("b"))  # the union of one prefix: the bound was that of the pair
-    looking = lookup(opened.filter("k > 1"), members.select(F.col("cid").alias("a"), "prefix"), ["a"], "inner", salt_by=["grp"])
-    looking = looking.select("a", "na", "grp", F.explode("prefix").alias("token"))
+    need = lambda b: F.ceil((F.col("na") + b) * num / F.lit(num + den))
+    small = F.when(F.col("lo") <= F.col("na"), need(F.col("lo")) - _behind("na", num, den))
+    large = F.when(F.col("hi") >= F.col("na"), need(F.col("hi")) - _behind("hi", num, den))
+    least = F.greatest(F.least(small, large) - 1, F.lit(1))  # one less for rounding
+    looking = lookup(opened.withColumn("most", F.col("seen") - least + 1), members.select(F.col("cid").alias("a"), "prefix"), ["a"], "inner", salt_by=["grp"])
+    looking = looking.select("a", "na", "grp", "most", F.explode("prefix").alias("token"))
+    of_group = matrix.filter("k > 1").select("grp", "token", "shown", "lo", "hi")
+    shown = lookup(looking, of_group, ["grp", "token"], "inner", salt_by=["a"]).filter(_fits("na", num, den))
+    nth = F.row_number().over(Window.partitionBy("a", "grp").orderBy("shown", "token"))
+    few = shown.withColumn("nth", nth).filter("nth <= most").select("a", "na", "grp", "token")
     inside = tokens.filter("k > 1").select("grp", F.col("cid").alias("b"), F.col("n").alias("nb"), "token")
-    shared = lookup(looking, inside, ["grp", "token"], "inner", salt_by=["a"]).filter(_size_bound("na", "nb", num, den))
-    shared = shared.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("seen"))
-    behind = F.greatest(_behind("na", num, den), _behind("nb", num, den))
-    return alone.unionByName(shared.filter(_reached(F.col("seen") + behind, "na", "nb", num, den)).select("a", "b"))
+    met = lookup(few, inside, ["grp", "token"], "inner", salt_by=["a"]).filter(_size_bound("na", "nb", num, den))
+    return met.select("a", "b").distinct()
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -199,26 +360,29 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(found, "features")
     classes = found.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.min("at").alias("cid"))  # a class is named by one of its rows
     classes = materialize(classes, "classes")
-    of_class = lookup(found.select("n", "prefix", "mins", F.col("at").alias("cid")), classes.select("cid"), ["cid"], "inner")
-
-    # groups: each class is compared with the first and the last class under each of its min-hashes, if several of them agree
-    mins = of_class.select("cid", "n", F.posexplode("mins").alias("k", "m"))
-    ends = F.array(F.min(F.struct("cid", "n")), F.max(F.struct("cid", "n")))
-    hubs = mins.groupBy("k", "m").agg(ends.alias("ends"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    hubs = materialize(hubs.select("k", "m", "ends"), "hubs")
-    stars = lookup(mins, hubs, ["k", "m"], "inner", salt_by=["cid"]).select("cid", "n", F.explode("ends").alias("hub"))
-    stars = stars.select("cid", "n", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"))
-    stars = stars.filter((F.col("cid") != F.col("hub")) & _size_bound("n", "hub_n", num, den))
-    stars = stars.select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("same"))
-    stars = stars.filter(F.col("same") >= 2)
-    links = verified(stars.select("a", "b"), rows, classes, n, num, den)
-    groups = materialize(components(links, "a", "b"), "groups")
-
-    members = grouped_classes(of_class.select("cid", "n", "prefix"), groups)
-    opened = opened_pairs(members, num, den)
-    more = verified(opened, rows, classes, n, num, den)
-
-    joined = materialize(components(links.unionByName(more), "a", "b"), "components")
+    of_class = lookup(found.select("row", "key", "n", "prefix", "mins", "bits", F.col("at").alias("cid")), classes.select("cid"), ["cid"], "inner")
+    of_class = materialize(of_class, "class-features")
+
+    links, groups = linked_groups(of_class, rows, n, num, den)
+
+    # opened groups: classes of their own and hubs first, then the members of what is still open
+    members = grouped_classes(of_class, groups)
+    tokens = token_rows(members, shared_tokens(of_class))
+    matrix = materialize(token_groups(tokens), "token-groups")
+    opened = opened_groups(tokens, matrix, num, den)
+    first = lookup(opened, group_hubs(links, groups), ["grp"], "left", salt_by=["a"]).select("a", F.coalesce("hub", "grp").alias("b"))
+    links = links.unionByName(verified(first, rows, of_class, n, num, den))
+    still = still_open(opened.filter("k > 1"), links)
+    inside = tokens.filter("k > 1")
+    some = inside.withColumn("nth", F.row_number().over(Window.partitionBy("grp", "token").orderBy(F.xxhash64("cid", "token")))).filter(F.col("nth") <= SOME_MEMBERS)
+    tried = materialize(member_pairs(still, members, some, matrix, num, den), "tried")
+    links = links.unionByName(verified(tried, rows, of_class, n, num, den))
+    rest = still_open(still, links)
+    pairs = member_pairs(rest, members, inside, matrix, num, den).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(pairs, rows, of_class, n, num, den))
+
+    joined = materialize(components(links, "a", "b"), "components")
+    discard(groups, members, tokens, matrix, opened, still, tried, rest, of_class)
     named = lookup(classes, joined.withColumnRenamed("node", "cid"), ["cid"], "left").withColumn("root", F.coalesce("root", "cid"))
     named = materialize(named, "rooted")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))

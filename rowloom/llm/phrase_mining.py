@@ -190,15 +190,16 @@ def frequent_buckets(texts: DataFrame, least: int, proposed: list[Marks], levels
     parts = 1 << max(4, (entries // PART_ENTRIES).bit_length())
     bucket_bits = max(20, (4 * entries).bit_length())
     width = bucket_bits - parts.bit_length() + 1  # bits of a bucket inside its part
-    shared = texts.sparkSession.sparkContext.broadcast(proposed)
+    shared = texts.sparkSession.sparkContext.broadcast([m.bits for m in proposed])
 
     def blocks(batches):
+        proposed = [Marks(b) for b in shared.value]
         for batch in batches:
             for piece in pieces(batch, "text"):
                 tokens = Tokens(piece)
                 if not tokens.size:
                     continue
-                found = tokens.candidates(shared.value, levels[-1])
+                found = tokens.candidates(proposed, levels[-1])
                 hashes = [tokens.phrase_hashes(np.flatnonzero(found[k - 1]), k) for k in levels]
                 buckets, counts = np.unique(np.concatenate(hashes) & np.uint64((1 << bucket_bits) - 1), return_counts=True)
                 if not len(buckets):
@@ -234,10 +235,10 @@ def exact_counts(texts: DataFrame, proposed: list[Marks], frequent: Marks) -> Da
 
     Those are candidates in a frequent bucket, and phrases that were no candidates although both largest parts can be frequent.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((proposed, frequent))
+    shared = texts.sparkSession.sparkContext.broadcast(([m.bits for m in proposed], frequent.bits))
 
     def phrases(batches):
-        proposed, frequent = shared.value
+        proposed, frequent = [Marks(b) for b in shared.value[0]], Marks(shared.value[1])
         for batch in batches:
             for piece in pieces(batch, "text"):
                 tokens = Tokens(piece)
