@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.joins import lookup
-from ..session import materialize
+from ..session import discard, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,13 +65,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     seen = None
     while True:
         both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = lookup(both.filter("v > u"), materialize(least, "least"), ["u"], "inner", salt_by=["v"])
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = lookup(both.filter("v > u"), least, ["u"], "inner", salt_by=["v"])
         large = materialize(large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = lookup(large, materialize(least, "least"), ["u"], "inner", salt_by=["v"])
+        lower = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = lookup(large, lower, ["u"], "inner", salt_by=["v"])
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        ends = materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "stars")
+        stars = materialize(small.select("e.u", "e.v").filter("u <> v").distinct(), "stars")
+        discard(least, large, lower, ends)  # finished rounds are read no more
+        ends = stars
         state = tuple(ends.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("u", "v"), 24))).first())
         if state == seen:
             break
