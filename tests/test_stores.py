@@ -178,6 +178,25 @@ def test_rounds_judge_their_own_rows(spark, monkeypatch):
     assert {r["key"]: r["cand_id"] for r in got} == dict(sorted(first.items(), key=lambda kv: kv[1])[:2000])
 
 
+def test_rounds_end_with_their_candidates(spark):
+    """More rows are asked for than there are keys: all candidates are judged, and no round comes after them."""
+    rules = [Between("v", 0, 30, handling="reject_sampling"), Unique("key", "cand_id")]
+    tried = []
+
+    def counted(ids):
+        tried.append(ids.count())
+        return source(ids)
+
+    with pytest.warns(UserWarning, match="missing after 80000 candidates"):
+        got = sample_valid(spark, counted, rules, 4000, graceful=True, max_candidates=80_000).collect()
+    first = {}
+    for r in source(spark.range(80_000).withColumnRenamed("id", "cand_id")).filter("v <= 30").orderBy("cand_id").collect():
+        first.setdefault(r["key"], r["cand_id"])
+    assert sum(tried) == 80_000 and {r["key"]: r["cand_id"] for r in got} == first
+    with pytest.raises(ValueError, match="candidates"):
+        sample_valid(spark, source, rules, 4000, max_candidates=80_000)
+
+
 def test_unique_conditional_rows(spark):
     asked = spark.range(300).select(F.col("id").alias("cond_id"), (F.col("id") % 2).alias("kind"))
 
