@@ -47,8 +47,8 @@ def s_csv_text(spark, sf):
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('"'), F.coalesce("text", F.lit("")), F.lit('"\n,"",\nend'))).when(F.col("doc_id") % 3 == 1, F.col("text")).alias("text"),
         F.col("n_chars").cast("string").alias("n_chars"), F.lit("x\ny").alias("other"),
     )
-    write_rows(d.filter("doc_id % 2 = 0").coalesce(1), f"{path}/even")
-    write_rows(d.filter("doc_id % 2 = 1").select("n_chars", "text", "other", "lang", "doc_id").coalesce(2), f"{path}/odd")
+    write_rows(d.filter("doc_id % 2 = 0"), f"{path}/even")
+    write_rows(d.filter("doc_id % 2 = 1").select("n_chars", "text", "other", "lang", "doc_id"), f"{path}/odd")
     spec = TableSpec([
         FieldSpec("doc_id", "id", "string"), FieldSpec("lang", "categorical"), FieldSpec("text", "categorical"), FieldSpec("n_chars", "numerical", "float"),
     ], path=f"{path}/*")

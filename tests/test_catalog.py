@@ -36,3 +36,14 @@ def test_plans_stay_in_the_jvm_without_nested_loops(spark, name):
     assert "Python" not in text and "Pandas" not in text
     assert "NestedLoop" not in text and "Cartesian" not in text
     assert "SinglePartition" not in text
+
+
+def test_csv_text_is_written_by_as_many_tasks_as_read_it(spark, tmp_path, monkeypatch):
+    from catalog import sources
+
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('a,b', id, '\"') AS text", "'en' AS lang", "'web' AS source", "5L AS n_chars")
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    plain, tasks = sources.write_rows, []
+    monkeypatch.setattr(sources, "write_rows", lambda df, path: (tasks.append(df.rdd.getNumPartitions()), plain(df, path)))
+    got = QUERIES["s_csv_text"](spark, str(tmp_path))
+    assert got.count() == 400 and len(tasks) == 2 and min(tasks) >= 4
