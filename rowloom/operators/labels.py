@@ -12,6 +12,8 @@ from .joins import lookup
 
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 1024
+TOGETHER = 256  # vectors that are compared with all pivots, or all labels of a block, at once
+SENT = 8192  # opened rows sent at once
 
 
 def label_to_iri(df: DataFrame, dictionary: DataFrame, label: str = "label", name: str = "iri") -> DataFrame:
@@ -88,6 +90,12 @@ def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
 
 
+def _slices(rows, size: int):
+    """A batch or table in slices of at most ``size`` rows."""
+    for low in range(0, rows.num_rows, size):
+        yield rows.slice(low, size)
+
+
 class PivotIndex:
     """Seen labels in blocks around pivots, so that a search opens only blocks that can hold a neighbour.
 
@@ -116,10 +124,10 @@ class PivotIndex:
 
         def place(batches):
             for batch in batches:
-                if batch.num_rows:
-                    angles = _angles(_matrix(batch), shared.value)
+                for some in _slices(batch, TOGETHER):
+                    angles = _angles(_matrix(some), shared.value)
                     yield pa.record_batch({
-                        "key": batch.column("key"), "embedding": batch.column("embedding"), "pivot": pa.array(angles.argmin(axis=1), pa.int32()),
+                        "key": some.column("key"), "embedding": some.column("embedding"), "pivot": pa.array(angles.argmin(axis=1), pa.int32()),
                         "angle": pa.array(angles.min(axis=1)),
                     })
 
@@ -146,18 +154,20 @@ class PivotIndex:
 
         def opening(batches):
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                angles = _angles(_matrix(batch), shared.value)
-                order = np.argsort(angles, axis=1, kind="stable")
-                before = np.cumsum(count[order], axis=1) - count[order]
-                first = np.zeros(angles.shape, bool)
-                np.put_along_axis(first, order, before < k, axis=1)
-                bounds = batch.column("bound").to_numpy(zero_copy_only=False).astype(float)[:, None]
-                opened = np.where(np.isnan(bounds), first, ~first & (angles - radius <= bounds + 1e-9)) & (count > 0)
-                at, pivots = np.nonzero(opened)
-                rows = pa.array(at)
-                yield pa.record_batch({"key": batch.column("key").take(rows), "embedding": batch.column("embedding").take(rows), "pivot": pa.array(pivots, pa.int32())})
+                for some in _slices(batch, TOGETHER):
+                    angles = _angles(_matrix(some), shared.value)
+                    order = np.argsort(angles, axis=1, kind="stable")
+                    before = np.cumsum(count[order], axis=1) - count[order]
+                    first = np.zeros(angles.shape, bool)
+                    np.put_along_axis(first, order, before < k, axis=1)
+                    bounds = some.column("bound").to_numpy(zero_copy_only=False).astype(float)[:, None]
+                    opened = np.where(np.isnan(bounds), first, ~first & (angles - radius <= bounds + 1e-9)) & (count > 0)
+                    at, pivots = np.nonzero(opened)
+                    for low in range(0, len(at), SENT):  # a query may open all blocks
+                        rows = pa.array(at[low : low + SENT])
+                        yield pa.record_batch({
+                            "key": some.column("key").take(rows), "embedding": some.column("embedding").take(rows), "pivot": pa.array(pivots[low : low + SENT], pa.int32()),
+                        })
 
         return queries.mapInArrow(opening, "key string, embedding array<double>, pivot int")
 
@@ -181,12 +191,15 @@ class PivotIndex:
             held = held.sort_by("key").combine_chunks()
             if not asked.num_rows or not held.num_rows:
                 return pa.table({"key": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
-            close = _matrix(asked.combine_chunks()) @ _matrix(held).T
-            best = np.argsort(-close, axis=1, kind="stable")[:, :k]
-            at = np.repeat(np.arange(asked.num_rows), best.shape[1])
-            return pa.table({
-                "key": asked.column("key").take(pa.array(at)), "neighbour": held.column("key").take(pa.array(best.ravel())), "similarity": pa.array(close[at, best.ravel()]),
-            })
+            seen, found = _matrix(held), []
+            for some in _slices(asked.combine_chunks(), TOGETHER):
+                close = _matrix(some) @ seen.T
+                best = np.argsort(-close, axis=1, kind="stable")[:, :k]
+                at = np.repeat(np.arange(some.num_rows), best.shape[1])
+                found.append(pa.table({
+                    "key": some.column("key").take(pa.array(at)), "neighbour": held.column("key").take(pa.array(best.ravel())), "similarity": pa.array(close[at, best.ravel()]),
+                }))
+            return pa.concat_tables(found)
 
         left, right = left.select("key", "embedding", *by), right.select("key", "embedding", *by)
         met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(block, "key string, neighbour string, similarity double")

@@ -1,10 +1,13 @@
 """How often a fit reads its input, and how many blocks a label search opens."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rowloom import Between, ConstraintsNotMetError, GreaterThan, Synthesizer, UniqueCombinations
-from rowloom.operators.labels import PivotIndex, nearest_labels
+from rowloom.operators.labels import PivotIndex, _unit, nearest_labels
 from rowloom.operators.mixture import number_ranges
 from rowloom.operators.summary import write_observed
 from rowloom.operators.validate import discrete_columns
@@ -97,3 +100,23 @@ def test_a_search_is_exact(clusters, block):
     for r in nearest_labels(unseen, seen, 5, block).orderBy("key", "rank").collect():
         got.setdefault(r["key"], []).append(round(r["similarity"], 9))
     assert got == want
+
+
+def test_opened_blocks_are_sent_in_bounded_batches():
+    """Queries that open every block do not lay out all their copies at once."""
+    rng, every = np.random.default_rng(3), 400
+    vectors = lambda n: rng.normal(size=(n, 8))
+
+    class Asked:
+        def mapInArrow(self, opening, schema):
+            return opening
+
+    index = object.__new__(PivotIndex)
+    index.shared, index.count, index.radius = SimpleNamespace(value=_unit(vectors(every))), np.ones(every, int), np.full(every, np.pi)
+    asked = pa.record_batch({
+        "key": pa.array([str(i) for i in range(500)]), "embedding": pa.array(vectors(500).tolist()), "bound": pa.array([np.pi] * 500),
+    })
+    sent = list(index._opening(Asked(), 3)([asked]))
+    assert max(b.num_rows for b in sent) <= 8192
+    met = {(k, p) for b in sent for k, p in zip(b.column("key").to_pylist(), b.column("pivot").to_pylist())}
+    assert len(met) == sum(b.num_rows for b in sent) == 500 * (every - 3)
