@@ -4,9 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from rowloom import Profile, Synthesizer, UniqueCombinations
+from rowloom.operators import factors
 from rowloom.operators.copula import Copula
 from rowloom.operators.factors import FactorModel
 
@@ -88,3 +90,26 @@ def test_a_profile_keeps_its_factored_model(spark, places, tmp_path, monkeypatch
 
 def test_narrow_models_stay_full(places):
     assert isinstance(Copula.fit(places, ["country", "height"]), Copula)
+
+
+def test_rows_are_projected_without_laying_out_their_dimensions(spark, monkeypatch):
+    """Neither vector sum of a fit makes a row of every value of every row."""
+    plans, plain = [], factors.materialize
+
+    def seen(df, tag="table"):
+        if tag in ("entries", "range"):
+            plans.append(plan_of(df))
+        return plain(df, tag)
+
+    gram = factors._gram
+    monkeypatch.setattr(factors, "materialize", seen)
+    monkeypatch.setattr(factors, "_gram", lambda df, name, width: (plans.append(plan_of(df)), gram(df, name, width))[1])
+    df = spark.range(300).selectExpr("cast(id % 7 AS string) AS a", "nullif(cast(id % 5 AS string), '0') AS b", "cast(id AS double) AS x")
+    model = factors.FactorModel.fit(df, ["a", "b", "x"], rank=16)
+    assert len(plans) == 4 and not any("Generate" in p for p in plans)
+    pair = model.covariance(df.select("a", "b").distinct().filter("a = '1'"), "a", "b").collect()
+    rows = [(r["a"], r["b"]) for r in df.collect()]
+    for r in pair:
+        both, own, other = (sum(f(a, b) for a, b in rows) / 300 for f in (lambda a, b: a == r["a"] and b == r["b"], lambda a, b: a == r["a"], lambda a, b: b == r["b"]))
+        assert abs(r["cov"] - (both - own * other)) < 1e-9
+    assert {r["b"] for r in pair} == {None, "1", "2", "3", "4"}
