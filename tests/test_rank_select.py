@@ -85,3 +85,20 @@ def test_joint_counts_of_many_columns(spark):
             for j in range(i + 1, 40):
                 want[f"c{i}|c{j}", label, str(values[i]), str(values[j])] += n
     assert {(r["pair"], r["label"], r["a"], r["b"]): r["n"] for r in counts.collect()} == want
+
+
+def test_tasks_number_bounded_ranges(spark, monkeypatch):
+    """However few shuffle partitions there are, a task numbers one range of rows."""
+    from rowloom.operators import ordinals
+
+    monkeypatch.setattr(ordinals, "RANGE_ROWS", 500, raising=False)
+    df = spark.range(10_000).selectExpr("id", "cast(id % 3 AS string) AS label", "cast(id % 4 AS string) AS a", "nullif(cast(id % 5 AS string), '0') AS b")
+    got = frequency.triple_ordinals(df, "label", ["a", "b"], ["id"])
+    tasks = got.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(t["count"] for t in tasks) == 10_000 and max(t["count"] for t in tasks) <= 1500
+    seen, want = {}, []
+    for i in range(10_000):
+        triple = (str(i % 3), str(i % 4), str(i % 5) if i % 5 else None)
+        want.append((i, *triple, seen.get(triple, 0)))
+        seen[triple] = seen.get(triple, 0) + 1
+    assert sorted((r["id"], r["label"], r["a"], r["b"], r["ordinal"]) for r in got.collect()) == want
