@@ -281,6 +281,26 @@ def test_bits_of_a_byte_are_a_distribution():
     assert 0 < np.exp2(-bits).sum() <= 1.0
 
 
+def test_weights_learn_from_every_training_pair(spark):
+    import pyarrow as pa
+
+    texts = [(i, " ".join(f"w{i % 97}x{j * i}" for j in range(90))) for i in range(1000)]  # 90,000 words, most of them once or twice
+    rows = spark.createDataFrame(texts, "doc_id int, text string").withColumn("held_out", F.col("doc_id") % 10 == 0)
+    signs = pa.array([], pa.string())
+    pairs = context_mixing.count_pairs(rows, signs)
+    model = context_mixing.MixingModel([np.zeros(1 << b, np.uint16) for b in context_mixing.SLOT_BITS], np.zeros(1 << 24, bool))
+    weights, hits = context_mixing.learned(pairs, model, still=True)
+    learn = [w for i, t in texts if i % 10 for w in t.split()]
+    assert hits.sum() == 8 * (sum(len(w) + 1 for w in learn) + 900)  # every bit of every word, and the ends
+    assert np.isfinite(weights).all()
+    whole = context_mixing.fit_model(pairs, sorted(set(learn)))
+    some = sorted(set(learn))[:300]
+    alone = [whole.word_bits(pa.array([w]), np.zeros(1, np.int64))[0] for w in some]
+    assert whole.word_bits(pa.array(some), np.zeros(300, np.int64)).tolist() == pytest.approx(alone)  # beginnings coded once
+    start = context_mixing.MixingModel(whole.tables, whole.known)
+    assert sum(alone) < start.word_bits(pa.array(some), np.zeros(300, np.int64)).sum()
+
+
 def test_leaks(spark, docs, sf, none):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     texts = {r["item_id"]: r["text"] for r in items.collect()}
