@@ -217,13 +217,12 @@ def score_toxicity(docs: DataFrame, model: tuple[list[str], np.ndarray], text_co
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
+    @F.arrow_udf("double")  # texts stay Arrow buffers: as Python strings a batch takes several times its size
+    def score(texts: pa.Array) -> pa.Array:
         names, w = shared.value
         listed = pa.array(names, pa.string())
         out = []
-        whole = pa.record_batch({"text": pa.Array.from_pandas(texts, type=pa.string())})
-        for part in pieces(whole, "text"):
+        for part in pieces(pa.record_batch({"text": texts}), "text"):
             z = np.full(part.num_rows, w[-1])
             if names:
                 for kinds, rows, codes in _document_features(part.column("text")):
@@ -231,9 +230,7 @@ def score_toxicity(docs: DataFrame, model: tuple[list[str], np.ndarray], text_co
                     value = np.where(at >= 0, w[at], 0.0)[codes]
                     z += np.bincount(rows, value, part.num_rows)
             out.append(0.5 * (1 + np.tanh(z / 2)))
-        import pandas as pd
-
-        return pd.Series(np.concatenate(out) if out else np.empty(0))
+        return pa.array(np.concatenate(out) if out else np.empty(0))
 
     return docs.withColumn(name, score(F.col(text_col)))
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from rowloom.llm import context_mixing, exact_dedup, kd_shards, language_id, latent_leaks, mixing, ngram_join, token_counts, toxicity, url_rules
@@ -301,6 +302,17 @@ def test_weights_learn_from_every_training_pair(spark):
     assert sum(alone) < start.word_bits(pa.array(some), np.zeros(300, np.int64)).sum()
 
 
+def test_toxicity_scores_arrow_texts(spark):
+    from pyspark.util import PythonEvalType
+
+    model = (["w:bad"], np.array([2.0, -1.0]))
+    rows = spark.createDataFrame([(1, "a BAD ä word"), (2, None), (3, ""), (4, "fine")], "doc_id int, text string")
+    found = toxicity.score_toxicity(rows, model)
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_UDF}" in next(x for x in plan_of(found).splitlines() if "ArrowEvalPython" in x)  # no strings of Python's own
+    sure, base = 1 / (1 + math.exp(-1)), 1 / (1 + math.exp(1))
+    assert [r["score"] for r in found.orderBy("doc_id").collect()] == pytest.approx([sure, base, base, base])
+
+
 def test_leaks(spark, docs, sf, none):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     texts = {r["item_id"]: r["text"] for r in items.collect()}
