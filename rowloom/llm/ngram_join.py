@@ -24,9 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators.joins import lookup as any_lookup
-from ..session import discard, fits_broadcast, materialize
-from .common import components
+from ..session import discard, materialize, written_bytes
+from .common import BROADCAST_FILES, components, light_lookup as lookup
 from .phrase_mining import Marks, mark_buckets
 from .registry import query, table
 from .words import list_array, pieces, scramble, shingles, split_words, word_hashes
@@ -38,13 +37,12 @@ FREQUENT_TOKENS = 1 << 18  # longest list of frequent shingles; the order only
 SALT_ROWS = 512  # classes of one shingle that look into groups under one key
 SOME_MEMBERS = 4  # members of a group under each shingle that a class meets before the others
 MAP_BITS = 2048  # of the bit map of a set
-BROADCAST_BYTES = 8 << 20  # many lookups are part of one plan, so each of them may broadcast little
 
 
-def lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left", null_safe: bool = False, salt_by: list[str] | None = None, fits: bool | None = None) -> DataFrame:
-    """``lookup`` with a low bound of what is broadcast."""
-    fits = fits_broadcast(table, BROADCAST_BYTES) if fits is None else fits
-    return any_lookup(rows, table, on, how, null_safe, salt_by, fits)
+def _light(table: DataFrame) -> bool | None:
+    """Whether a written table, or a part of its columns, may be broadcast; null for a table that has to be measured."""
+    size = written_bytes(table)
+    return None if size is None else size <= BROADCAST_FILES
 
 
 def _sets(batches, n: int):
@@ -122,7 +120,7 @@ def whole_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for _, sets in _sets(batches, n):
             yield pa.record_batch({"key": pa.array([_key(s) for s in sets], pa.binary()), "tokens": list_array([s.view(np.int64) for s in sets], pa.int64())})
 
-    some = lookup(rows.select("text", _row()), wanted.select("row").distinct(), ["row"], "left_semi")
+    some = lookup(rows.select("text", _row()), wanted, ["row"], "left_semi")
     found = some.select("text").mapInArrow(tokens, "key binary, tokens array<bigint>")
     found = found.join(wanted.select("key", "cid"), "key")
     return found.groupBy("cid").agg(F.first("tokens").alias("tokens"))
@@ -135,7 +133,7 @@ def within_bounds(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> Data
     """
     side = lambda c, s: maps.select(F.col("cid").alias(c), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"m{s}"))
     both = lookup(pairs, side("a", "a"), ["a"], "inner", salt_by=["b"], fits=False)
-    both = lookup(both, side("b", "b"), ["b"], "inner", salt_by=["a"], fits=False)
+    both = lookup(both, side("b", "b"), ["b"], "inner", salt_by=["a"], fits=False, counted=pairs)
     lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, v: t + v)
     most = F.least(F.col("na") - lacks("ma", "mb"), F.col("nb") - lacks("mb", "ma"))
     return both.filter(_reached(most, "na", "nb", num, den)).select("a", "b")
@@ -145,12 +143,17 @@ def verified(pairs: DataFrame, rows: DataFrame, of_class: DataFrame, n: int, num
     """The pairs (a, b) of classes (cid, row, key, n, bits) whose whole sets reach the similarity. Sets are shuffled to their pairs at every size."""
     ends = lambda p: p.select(F.col("a").alias("cid")).union(p.select(F.col("b").alias("cid"))).distinct()
     asked = materialize(pairs.distinct(), "asked")
-    maps = materialize(lookup(of_class.select("cid", "n", "bits"), ends(asked), ["cid"], "left_semi"), "maps")
+    if asked.isEmpty():
+        return asked
+    maps = materialize(of_class.select("cid", "n", "bits").join(ends(asked), "cid", "left_semi"), "maps")
     pairs = materialize(within_bounds(asked, maps, num, den), "candidates")
-    wanted = materialize(lookup(of_class.select("cid", "row", "key"), ends(pairs), ["cid"], "left_semi"), "opened")
+    if pairs.isEmpty():
+        discard(asked, maps)
+        return pairs
+    wanted = materialize(of_class.select("cid", "row", "key").join(ends(pairs), "cid", "left_semi"), "opened")
     sets = materialize(whole_sets(rows, wanted, n), "sets")
     left = lookup(pairs, sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), ["a"], "inner", salt_by=["b"], fits=False)
-    both = lookup(left, sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), ["b"], "inner", salt_by=["a"], fits=False)
+    both = lookup(left, sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), ["b"], "inner", salt_by=["a"], fits=False, counted=pairs)
     both = both.withColumn("i", F.size(F.array_intersect("ta", "tb")).cast("bigint"))
     links = materialize(both.filter(F.col("i") * den >= (F.size("ta") + F.size("tb") - F.col("i")) * num).select("a", "b"), "links")
     discard(asked, maps, pairs, wanted, sets)
@@ -196,20 +199,42 @@ def linked_groups(of_class: DataFrame, rows: DataFrame, n: int, num: int, den: i
         stars = stars.filter(F.col("same") >= 2).select("a", "b")
         if groups is not None:
             root = lambda c, name: groups.select(F.col("node").alias(c), F.col("root").alias(name))  # noqa: E731, B023
-            stars = lookup(lookup(stars, root("a", "ra"), ["a"], "left", salt_by=["b"]), root("b", "rb"), ["b"], "left", salt_by=["a"])
+            fits = _light(groups)
+            stars = lookup(lookup(stars, root("a", "ra"), ["a"], "left", salt_by=["b"], fits=fits), root("b", "rb"), ["b"], "left", salt_by=["a"], fits=fits)
             stars = stars.filter(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b")
         new = verified(stars, rows, of_class, n, num, den)
         discard(hubs)
         added = new.count()
         links = new if links is None else links.unionByName(new)
-        if added or groups is None:
+        if groups is None:
             groups = materialize(components(links, "a", "b"), "groups")
+        elif added:
+            groups = merged(groups, new)
         found, turn = found + added, turn + 1
         if 10 * added <= found - added or not added:
             discard(mins)
             return links, groups
 
 
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups (node, root) after the links (a, b): only their roots are met by the component rounds."""
+    root = lambda c, name: groups.select(F.col("node").alias(c), F.col("root").alias(name))
+    fits = _light(groups)
+    tops = lookup(lookup(links, root("a", "ra"), ["a"], "left", salt_by=["b"], fits=fits), root("b", "rb"), ["b"], "left", salt_by=["a"], fits=fits)
+    tops = tops.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b")
+    tops = materialize(components(tops, "a", "b"), "tops")
+    below = lookup(groups, tops.select(F.col("node").alias("root"), F.col("root").alias("top")), ["root"], "left", salt_by=["node"], fits=_light(tops))
+    below = below.select("node", F.coalesce("top", "root").alias("root"))
+    fresh = tops.join(groups.select("node"), "node", "left_anti")
+    out = materialize(below.unionByName(fresh.select("node", "root")), "groups")
+    discard(tops)
+    return out
+
+
+def joined_by(groups: DataFrame, links: DataFrame) -> DataFrame:
+    return groups if links.isEmpty() else merged(groups, links)
+
+
 def grouped_classes(of_class: DataFrame, groups: DataFrame) -> DataFrame:
     """(cid, n, prefix, grp, k): each class with its group and the number of classes in it. A class without a group is its own."""
     sizes = materialize(groups.groupBy("root").agg(F.count(F.lit(1)).alias("k")), "group-sizes")
@@ -315,14 +340,12 @@ def opened_groups(tokens: DataFrame, matrix: DataFrame, num: int, den: int) -> D
     return materialize(met.filter(small | large), "opened-groups")
 
 
-def still_open(opened: DataFrame, links: DataFrame) -> DataFrame:
-    """The opened groups (a, grp, ...) that are not in one component with the class yet."""
-    merged = materialize(components(links, "a", "b"), "merged")
-    root = lambda c, name: merged.select(F.col("node").alias(c), F.col("root").alias(name))
-    both = lookup(lookup(opened, root("a", "ra"), ["a"], "left", salt_by=["grp"]), root("grp", "rg"), ["grp"], "left", salt_by=["a"])
-    out = materialize(both.filter(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rg", "grp"))).drop("ra", "rg"), "still-open")
-    discard(merged)
-    return out
+def still_open(opened: DataFrame, groups: DataFrame) -> DataFrame:
+    """The opened groups (a, grp, ...) that are not in one component (node, root) with the class yet."""
+    root = lambda c, name: groups.select(F.col("node").alias(c), F.col("root").alias(name))
+    fits = _light(groups)
+    both = lookup(lookup(opened, root("a", "ra"), ["a"], "left", salt_by=["grp"], fits=fits), root("grp", "rg"), ["grp"], "left", salt_by=["a"], fits=fits)
+    return materialize(both.filter(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rg", "grp"))).drop("ra", "rg"), "still-open")
 
 
 def member_pairs(opened: DataFrame, members: DataFrame, tokens: DataFrame, matrix: DataFrame, num: int, den: int) -> DataFrame:
@@ -336,14 +359,14 @@ def member_pairs(opened: DataFrame, members: DataFrame, tokens: DataFrame, matri
     small = F.when(F.col("lo") <= F.col("na"), need(F.col("lo")) - _behind("na", num, den))
     large = F.when(F.col("hi") >= F.col("na"), need(F.col("hi")) - _behind("hi", num, den))
     least = F.greatest(F.least(small, large) - 1, F.lit(1))  # one less for rounding
-    looking = lookup(opened.withColumn("most", F.col("seen") - least + 1), members.select(F.col("cid").alias("a"), "prefix"), ["a"], "inner", salt_by=["grp"])
+    looking = lookup(opened.withColumn("most", F.col("seen") - least + 1), members.select(F.col("cid").alias("a"), "prefix"), ["a"], "inner", salt_by=["grp"], fits=_light(members), counted=opened)
     looking = looking.select("a", "na", "grp", "most", F.explode("prefix").alias("token"))
     of_group = matrix.filter("k > 1").select("grp", "token", "shown", "lo", "hi")
-    shown = lookup(looking, of_group, ["grp", "token"], "inner", salt_by=["a"]).filter(_fits("na", num, den))
+    shown = lookup(looking, of_group, ["grp", "token"], "inner", salt_by=["a"], fits=_light(matrix)).filter(_fits("na", num, den))
     nth = F.row_number().over(Window.partitionBy("a", "grp").orderBy("shown", "token"))
     few = shown.withColumn("nth", nth).filter("nth <= most").select("a", "na", "grp", "token")
     inside = tokens.filter("k > 1").select("grp", F.col("cid").alias("b"), F.col("n").alias("nb"), "token")
-    met = lookup(few, inside, ["grp", "token"], "inner", salt_by=["a"]).filter(_size_bound("na", "nb", num, den))
+    met = lookup(few, inside, ["grp", "token"], "inner", salt_by=["a"], fits=False).filter(_size_bound("na", "nb", num, den))
     return met.select("a", "b").distinct()
 
 
@@ -360,7 +383,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(found, "features")
     classes = found.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.min("at").alias("cid"))  # a class is named by one of its rows
     classes = materialize(classes, "classes")
-    of_class = lookup(found.select("row", "key", "n", "prefix", "mins", "bits", F.col("at").alias("cid")), classes.select("cid"), ["cid"], "inner")
+    of_class = lookup(found.select("row", "key", "n", "prefix", "mins", "bits", F.col("at").alias("cid")), classes.select("cid"), ["cid"], "inner", fits=_light(classes))
     of_class = materialize(of_class, "class-features")
 
     links, groups = linked_groups(of_class, rows, n, num, den)
@@ -371,19 +394,20 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     matrix = materialize(token_groups(tokens), "token-groups")
     opened = opened_groups(tokens, matrix, num, den)
     first = lookup(opened, group_hubs(links, groups), ["grp"], "left", salt_by=["a"]).select("a", F.coalesce("hub", "grp").alias("b"))
-    links = links.unionByName(verified(first, rows, of_class, n, num, den))
-    still = still_open(opened.filter("k > 1"), links)
-    inside = tokens.filter("k > 1")
-    some = inside.withColumn("nth", F.row_number().over(Window.partitionBy("grp", "token").orderBy(F.xxhash64("cid", "token")))).filter(F.col("nth") <= SOME_MEMBERS)
-    tried = materialize(member_pairs(still, members, some, matrix, num, den), "tried")
-    links = links.unionByName(verified(tried, rows, of_class, n, num, den))
-    rest = still_open(still, links)
-    pairs = member_pairs(rest, members, inside, matrix, num, den).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(pairs, rows, of_class, n, num, den))
-
-    joined = materialize(components(links, "a", "b"), "components")
-    discard(groups, members, tokens, matrix, opened, still, tried, rest, of_class)
-    named = lookup(classes, joined.withColumnRenamed("node", "cid"), ["cid"], "left").withColumn("root", F.coalesce("root", "cid"))
+    joined = joined_by(groups, verified(first, rows, of_class, n, num, den))
+    still = still_open(opened.filter("k > 1"), joined)
+    if not still.isEmpty():
+        inside = tokens.filter("k > 1")
+        some = inside.withColumn("nth", F.row_number().over(Window.partitionBy("grp", "token").orderBy(F.xxhash64("cid", "token")))).filter(F.col("nth") <= SOME_MEMBERS)
+        tried = materialize(member_pairs(still, members, some, matrix, num, den), "tried")
+        joined = joined_by(joined, verified(tried, rows, of_class, n, num, den))
+        rest = still_open(still, joined)
+        if not rest.isEmpty():
+            pairs = member_pairs(rest, members, inside, matrix, num, den).join(tried, ["a", "b"], "left_anti")
+            joined = joined_by(joined, verified(pairs, rows, of_class, n, num, den))
+        discard(tried, rest)
+    discard(members, tokens, matrix, opened, still, of_class)
+    named = lookup(classes, joined.withColumnRenamed("node", "cid"), ["cid"], "left", fits=_light(joined)).withColumn("root", F.coalesce("root", "cid"))
     named = materialize(named, "rooted")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     named = lookup(named.select("key", "root"), materialize(least, "least-ids"), ["root"], "inner", salt_by=["key"]).select("key", "component_id")

@@ -12,6 +12,7 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from rowloom.llm import context_mixing, exact_dedup, kd_shards, language_id, latent_leaks, mixing, ngram_join, token_counts, toxicity, url_rules
+from rowloom.llm.common import components
 
 LONG = " ".join(f"w{i % 977}" for i in range(20_000))
 EDGES = [
@@ -404,3 +405,24 @@ def test_counterfactual_penalty(spark):
         gap[penalty] = abs(scores[0] - scores[1])
         assert scores[2] > 0.7
     assert gap[10.0] < 0.1 * gap[0.0]
+
+
+def test_ngram_join_takes_few_jobs(spark):
+    """Each job and plan of a session costs memory of the driver."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice([f"w{k}" for k in range(300)], 40))) for i in range(40)]
+    rows += [(100 + i, f"{t} {i}") for i, t in rows[:20]]
+    context = spark.sparkContext
+    context.setJobGroup("few jobs", "")
+    try:
+        got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string"), num=80)
+        assert Counter(tuple(r) for r in got.collect()) == brute_components([(*r, None) for r in rows], 4, 80, 100)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("few jobs")) < 160
+
+
+def test_components_of_stars_and_chains(spark):
+    edges = [(1, 2), (1, 3), (9, 8), (8, 7), (7, 6), (20, 20), (None, 4), (30, 31), (31, 30)]
+    found = components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (2, 1), (3, 1), (6, 6), (7, 6), (8, 6), (9, 6), (30, 30), (31, 30)]
