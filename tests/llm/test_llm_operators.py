@@ -426,3 +426,11 @@ def test_components_of_stars_and_chains(spark):
     edges = [(1, 2), (1, 3), (9, 8), (8, 7), (7, 6), (20, 20), (None, 4), (30, 31), (31, 30)]
     found = components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b")
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (2, 1), (3, 1), (6, 6), (7, 6), (8, 6), (9, 6), (30, 30), (31, 30)]
+
+
+def test_bit_counts_travel_as_the_cells_that_hold_any():
+    counts = np.zeros(1 << 17, np.uint32)
+    assert context_mixing._unpacked(context_mixing._packed(counts))[0].size == 0
+    counts[[0, 5, 70_000, (1 << 17) - 1]] = 1, 300, (1 << 32) - 1, 2
+    at, found = context_mixing._unpacked(context_mixing._packed(counts))
+    assert at.tolist() == [0, 5, 70_000, (1 << 17) - 1] and found.tolist() == [1, 300, (1 << 32) - 1, 2]
