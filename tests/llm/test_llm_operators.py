@@ -303,6 +303,25 @@ def test_weights_learn_from_every_training_pair(spark):
     assert sum(alone) < start.word_bits(pa.array(some), np.zeros(300, np.int64)).sum()
 
 
+@pytest.mark.parametrize("n", [3_000, 520_000])
+def test_weights_settle_at_every_size(spark, n):
+    word = F.concat(F.conv(F.pmod(F.xxhash64("id"), F.lit(40_000)).cast("string"), 10, 30), F.when(F.col("id") % 3 == 0, "a").otherwise(F.conv(F.col("id").cast("string"), 10, 7)))
+    pairs = spark.range(n).select(word.alias("word"), (F.col("id") % 32).cast("int").alias("cls"), F.expr("1 + 5000 div (1 + id)").alias("train"))
+    pairs = pairs.sortWithinPartitions(F.xxhash64("cls", F.substring("word", 1, 3)), "cls", "word").cache()
+    model = context_mixing.fit_model(pairs, [r["word"] for r in pairs.limit(100).collect()])
+    learner, rows = context_mixing.Learner(model, still=True), pairs.toArrow()
+    for batch in rows.to_batches(max_chunksize=10_000):
+        learner.learn(*(batch.column(c) if c == "word" else batch.column(c).to_numpy() for c in ("word", "cls", "train")))
+    pairs.unpersist()
+    pull, curve, hits = learner.found()
+    pull = pull - context_mixing.RIDGE * (model.weights - context_mixing.start_weights())
+    promised = (pull * np.linalg.solve(curve + context_mixing.RIDGE * np.eye(curve.shape[-1]), pull[..., None])[..., 0]).sum() / 2
+    assert hits.sum() > 8 * n and promised < 2e-5 * hits.sum()  # nats that another step over all pairs would save, against the decisions
+    ones, total = hits.reshape(256, -1, 2)[..., 1], hits.reshape(256, -1, 2).sum(2)
+    prior = 1 / (1 + np.exp(-((np.arange(context_mixing.BUCKETS) + 0.5) / context_mixing.BUCKETS * 28 - 14)))
+    assert np.abs(model.refined - (ones + 30 * prior) / (total + 30)).max() < 0.01  # counted under the weights that it refines
+
+
 def test_toxicity_scores_arrow_texts(spark):
     from pyspark.util import PythonEvalType
 
